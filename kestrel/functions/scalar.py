@@ -110,8 +110,8 @@ def suggestion_text(current, predicted, unit: str = "", tol: float = 1e-6) -> Co
     """No change / Increase / Reduce text."""
     cur, pred = _c(current), _c(predicted)
     return (F.when(F.abs(pred - cur) < tol, F.lit("No change"))
-            .when(pred > cur, F.concat(F.lit("Increase to "), fixed(pred, 2), F.lit(unit)))
-            .otherwise(F.concat(F.lit("Reduce to "), fixed(pred, 2), F.lit(unit))))
+            .when(pred > cur, F.concat(F.lit("Increase to "), fixed(rnd(pred, 2), 2), F.lit(unit)))
+            .otherwise(F.concat(F.lit("Reduce to "), fixed(rnd(pred, 2), 2), F.lit(unit))))
 
 
 def under_provisioned(usage, request, factor: float = 1.2) -> Column:

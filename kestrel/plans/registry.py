@@ -59,4 +59,5 @@ def load_all() -> None:
     """Import every query module so that it registers itself."""
     from kestrel.plans import (  # noqa: F401
         q_capacity,
+        q_clean,
     )
