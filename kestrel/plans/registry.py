@@ -60,4 +60,5 @@ def load_all() -> None:
     from kestrel.plans import (  # noqa: F401
         q_capacity,
         q_clean,
+        q_relational,
     )
