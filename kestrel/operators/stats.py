@@ -201,7 +201,7 @@ def f_regression(df: DataFrame, cols, target: str) -> DataFrame:
         parts.append(_long_from_row(df.agg(*exprs), chunk, ["r", "n"]))
     r2 = F.col("r") * F.col("r")
     return _union(parts).select("feature", "n", F.col("r").alias("corr"),
-                                F.try_divide(r2, 1 - r2) * (F.col("n") - 2).alias("f"))
+                                (F.try_divide(r2, 1 - r2) * (F.col("n") - 2)).alias("f"))
 
 
 def contingency(df: DataFrame, cols, label: str) -> DataFrame:

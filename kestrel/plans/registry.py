@@ -61,4 +61,5 @@ def load_all() -> None:
         q_capacity,
         q_clean,
         q_relational,
+        q_select,
     )
