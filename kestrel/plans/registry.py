@@ -62,4 +62,5 @@ def load_all() -> None:
         q_clean,
         q_relational,
         q_select,
+        q_wrapper,
     )
