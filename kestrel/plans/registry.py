@@ -63,4 +63,5 @@ def load_all() -> None:
         q_relational,
         q_select,
         q_wrapper,
+        q_models,
     )
