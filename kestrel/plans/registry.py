@@ -64,4 +64,5 @@ def load_all() -> None:
         q_select,
         q_wrapper,
         q_models,
+        q_mrmr,
     )
