@@ -130,3 +130,20 @@ def first_n(df: DataFrame, order_by, n: int | None = None, fraction: float | Non
     if flag:
         return indexed.withColumn(flag, cond).drop(IDX)
     return indexed.where(cond).drop(IDX)
+
+
+def lags(df: DataFrame, partition_by, order_by, cols, max_lag: int,
+         block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """``c_lag1 .. c_lag<max_lag>`` for each column in one indexed pass
+    (halo of ``max_lag`` rows per block), skew-safe like :func:`rolling`."""
+    parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
+    order = _cols(parts) + _cols(order_by)
+    indexed = with_global_index(df, order)
+    blk = F.floor(F.col(IDX) / F.lit(block_rows))
+    own = indexed.withColumn("_kblk", blk).withColumn("_khalo", F.lit(False))
+    spill = (indexed.where((F.col(IDX) % F.lit(block_rows)) >= F.lit(block_rows - max_lag))
+             .withColumn("_kblk", blk + 1).withColumn("_khalo", F.lit(True)))
+    w = Window.partitionBy(*(["_kblk"] + parts)).orderBy(IDX)
+    exprs = [F.lag(c, k).over(w).alias(f"{c}_lag{k}") for c in cols for k in range(1, max_lag + 1)]
+    out = own.unionByName(spill).select("*", *exprs)
+    return out.where(~F.col("_khalo")).drop("_kblk", "_khalo")

@@ -65,4 +65,5 @@ def load_all() -> None:
         q_wrapper,
         q_models,
         q_mrmr,
+        q_forecast,
     )
