@@ -87,15 +87,21 @@ def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 def metric_value(kind: str, scored: DataFrame, label: str, metric: str) -> float:
     if metric == "roc_auc":
-        s = scored.select(score_column(kind).alias("_ks"), F.col(label))
-        return ST.auc_by_group(s, None, "_ks", label).first()["auc"]
+        # Exact AUC (numBins=0: every distinct score is a threshold; ties
+        # handled), computed by Spark's distributed sort.
+        from pyspark.ml.evaluation import BinaryClassificationEvaluator
+        raw = "probability" if kind in CLASSIFIERS else "prediction"
+        ev = BinaryClassificationEvaluator(rawPredictionCol=raw, labelCol=label, metricName="areaUnderROC", numBins=0)
+        return ev.evaluate(scored.withColumn(label, F.col(label).cast("double")))
     m = regression_metrics(scored, label, "prediction").first()
     return {"mse": m["mse"], "rmse": m["rmse"], "neg_rmse": -m["rmse"], "mae": m["mae"], "r2": m["r2"]}[metric]
 
 
-def cv_score(kind: str, df: DataFrame, cols, label: str, metric: str, fold_col: str = "fold", **params) -> list[float]:
+def cv_score(kind: str, df: DataFrame, cols, label: str, metric: str, fold_col: str = "fold", folds=None,
+             **params) -> list[float]:
     """Score per held-out fold."""
-    folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]
+    if folds is None:
+        folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]
     out = []
     for k in folds:
         m = fit(kind, df.where(F.col(fold_col) != k), cols, label, **params)
@@ -103,7 +109,7 @@ def cv_score(kind: str, df: DataFrame, cols, label: str, metric: str, fold_col:
     return out
 
 
-def _parallel(fn, items, threads: int = 4):
+def _parallel(fn, items, threads: int = 8):
     with ThreadPoolExecutor(max_workers=threads) as ex:
         return list(ex.map(fn, items))
 
@@ -123,9 +129,10 @@ def single_feature_cv(kind: str, df: DataFrame, cols, label: str, metric: str, f
     """``SelectBySingleFeaturePerformance`` (H2): mean and std over folds;
     keep above ``threshold`` (default: mean of the means)."""
     import statistics
+    folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]
 
     def one(c):
-        sc = cv_score(kind, df, [c], label, metric, fold_col, **params)
+        sc = cv_score(kind, df, [c], label, metric, fold_col, folds, **params)
         return (c, float(statistics.mean(sc)), float(statistics.stdev(sc)) if len(sc) > 1 else 0.0)
     rows = _parallel(one, list(cols))
     thr = threshold if threshold is not None else sum(r[1] for r in rows) / len(rows)

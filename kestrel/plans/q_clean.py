@@ -352,3 +352,35 @@ def c20_round_half_even(spark, d):
     q = F.col("l_quantity") / 8.0
     return li.select("l_orderkey", "l_linenumber", "l_quantity", S.round_half_even(q, 2).alias("q_even"),
                      S.rnd(q, 2).alias("q_up"))
+
+
+@query("a04_json_array_scan", "SELECT controllerName, max(cpuUsage) AS cpuUsage FROM metrics GROUP BY controllerName",
+       views=M)
+def a04_json_array_scan(spark, d):
+    """Scan of JSON array documents (A4, ``multiLine``).  The documents are
+    made by Spark: every Arrow batch of a task (at most
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows) becomes one array
+    line, written by the text writer (no driver hop), then read back with
+    ``multiLine=True``."""
+    df = view(spark, d, "metrics").groupBy("controllerName").agg(F.max("cpuUsage").alias("cpuUsage"))
+    lines = df.select(F.to_json(F.struct("controllerName", "cpuUsage")).alias("j"))
+
+    def to_array(it):
+        import pandas as pd
+        for pdf in it:
+            if len(pdf):
+                yield pd.DataFrame({"value": ["[" + ",".join(pdf["j"]) + "]"]})
+
+    path = IO.scratch_path(spark, "a04")
+    lines.mapInPandas(to_array, "value string").write.mode("overwrite").text(path)
+    return IO.read_json(spark, path, schema="controllerName string, cpuUsage double", lines=False)
+
+
+@query("a06_jsonl_summary_sink", """SELECT controllerName, max(cpuUsage) AS cpuUsage, max(memUsage) AS memUsage,
+ count(*) AS n FROM metrics GROUP BY controllerName""", views=M)
+def a06_jsonl_summary_sink(spark, d):
+    """Per-controller summary written as JSON lines (A6) and read back."""
+    df = view(spark, d, "metrics").groupBy("controllerName").agg(
+        F.max("cpuUsage").alias("cpuUsage"), F.max("memUsage").alias("memUsage"), F.count(F.lit(1)).alias("n"))
+    path = IO.write_json_lines(df, IO.scratch_path(spark, "a06"))
+    return IO.read_json(spark, path, schema=df.schema)

@@ -385,3 +385,21 @@ b AS (SELECT qty, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || ':7'),
 SELECT a.id, b.qty FROM a JOIN b ON a.i = b.i""", views=FT)
 def p04_permute_column(spark, d):
     return SP.permute_column(view(spark, d, "feat").select("id", "qty"), "id", "qty", seed=7)
+
+
+@query("g02_group_max10", """SELECT controllerName, max(cpuRequest) AS cpuRequest, max(cpuLimit) AS cpuLimit, max(cpuUsage) AS cpuUsage,
+ max(memRequest) AS memRequest, max(memLimit) AS memLimit, max(memUsage) AS memUsage, max(key) AS key,
+ max(collectionTimestamp) AS collectionTimestamp, max(pod) AS pod, max(container) AS container FROM metrics GROUP BY controllerName""",
+       views=M)
+def g02_group_max10(spark, d):
+    """Max of ten columns per controller."""
+    cols = ["cpuRequest", "cpuLimit", "cpuUsage", "memRequest", "memLimit", "memUsage", "key", "collectionTimestamp",
+            "pod", "container"]
+    return AG.group_max(view(spark, d, "metrics"), "controllerName", cols)
+
+
+@query("p03_kfold_assignment", """SELECT id, CAST(CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || ':5'), 1, 8)) AS BIGINT)
+ % 1073741824 % 5 AS INTEGER) AS fold FROM feat""", views=FT)
+def p03_kfold_assignment(spark, d):
+    """k-fold assignment from a key hash (P3), the ``foldCol`` of CrossValidator."""
+    return SP.fold_column(view(spark, d, "feat").select("id"), "id", 5, seed=5)

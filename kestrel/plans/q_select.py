@@ -409,3 +409,60 @@ def h08_target_mean_performance(spark, d):
     out = TM.target_mean_performance(df, "id", KDD_COLS + ["fare", "balance"], "target", folds=3,
                                      numeric=["fare", "balance"], bins=5)
     return out.select("feature", S.rnd("auc_mean", 6).alias("auc_mean"), S.rnd("auc_std", 6).alias("auc_std"), "keep")
+
+
+@query("f07_duplicate_list", "SELECT DISTINCT feature FROM (" + _dup_sql(FEAT_NUMERIC) + ")", views=FT)
+def f07_duplicate_list(spark, d):
+    """Flat list of later copies."""
+    return SEL.duplicate_pairs(view(spark, d, "feat"), FEAT_NUMERIC, "id").select("feature").distinct()
+
+
+@query("f15_smart_correlated_performance")
+def f15_smart_correlated_performance(spark, d):
+    """``SmartCorrelatedSelection(selection_method='model_performance')`` (F15):
+    within each correlated group keep the best single-feature CV score."""
+    from kestrel.operators import models as ML
+    from kestrel.operators.sampling import fold_column
+    df = fold_column(view(spark, d, "feat"), "id", 3).cache()
+    sc = ML.single_feature_cv("dt_clf", df, CORR_COLS, "target", "roc_auc", maxDepth=3)
+    score = {r["feature"]: r["mean"] for r in sc.collect()}
+    order = sorted(CORR_COLS, key=lambda c: (-score[c], CORR_COLS.index(c)))
+    groups = SEL.correlated_groups(ST.corr_pairs(df, CORR_COLS), order, 0.8)
+    return _groups_df(spark, groups)
+
+
+@query("f16_group_best_by_forest")
+def f16_group_best_by_forest(spark, d):
+    """Best member of each correlated group by forest importance (F16)."""
+    from kestrel.operators import models as ML
+    df = view(spark, d, "feat")
+    groups = SEL.correlated_groups_by_strength(ST.corr_pairs(df, CORR_COLS), 0.8)
+    rows = []
+    for i, g in enumerate(groups):
+        imp = ML.importance_table(ML.fit("rf_clf", df, g, "target", numTrees=10, maxDepth=3), g)
+        rows.append((i, imp[0][0], ",".join(g)))
+    return spark.createDataFrame(rows, "group_id int, best string, members string")
+
+
+@query("s03_mutual_info_regression", "WITH b AS (SELECT " + ", ".join(
+    f"len(list_filter((SELECT list_distinct(quantile_cont({c}, [{', '.join(str(i / 10) for i in range(1, 10))}])) FROM feat), "
+    f"lambda e: e < {c})) AS {c}" for c in ["qty", "noise", "max_disc", "price"]) + " FROM feat)\n"
+    + _mi_sql(_ct_sql(["qty", "noise", "max_disc"], "b", "price")).replace("WITH ct AS", ", ct AS", 1), views=FT)
+def s03_mutual_info_regression(spark, d):
+    """MI against a continuous target (S3): both sides binned, then S1."""
+    df = view(spark, d, "feat")
+    cols = ["qty", "noise", "max_disc", "price"]
+    edges = ST.quantile_edges(df, cols, 10)
+    b = df.select(*[ST.bin_column(c, edges[c], outside="clip").alias(c) for c in cols])
+    return ST.mutual_info_discrete(b, cols[:-1], "price").withColumn("mi", S.rnd("mi", 6))
+
+
+@query("z04_pluggable_score_function", "SELECT feature, RND(abs(corr), 6) AS score FROM (" + per_feature(
+    ANOVA_COLS, "SELECT '{c}' AS feature, corr({c}, target) AS corr FROM feat") + ") ORDER BY score DESC, feature LIMIT 2",
+       views=FT)
+def z04_pluggable_score_function(spark, d):
+    """``SelectKBest(score_func=...)`` with any function returning a score
+    table (Z4): here abs correlation with the target, k = 2."""
+    def score_func(df, cols, label):
+        return ST.corr_with(df, cols, label).select("feature", S.rnd(F.abs("corr"), 6).alias("score"))
+    return RS.select_k_best(score_func(view(spark, d, "feat"), ANOVA_COLS, "target"), 2)
