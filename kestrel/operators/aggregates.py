@@ -63,3 +63,12 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 def per_feature_mean_std(scores: DataFrame, feature: str = "feature", value: str = "score") -> DataFrame:
     """Mean and std of a per-fold score per feature."""
     return scores.groupBy(feature).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+
+
+def share_of_group(df: DataFrame, key: str, col: str, out: str = "share") -> DataFrame:
+    """``groupby(key).apply(lambda g: g.assign(share=g[col] / g[col].sum()))``
+    without a per-group function (Z2): group sums are a partial aggregate
+    (one row per key) joined back, so a key holding a third of the rows is
+    never gathered into one task."""
+    sums = df.groupBy(key).agg(F.sum(col).alias("_ksum"))
+    return df.join(sums, key).withColumn(out, F.try_divide(F.col(col), F.col("_ksum"))).drop("_ksum")

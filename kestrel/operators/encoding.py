@@ -34,6 +34,26 @@ def code_tables(df: DataFrame, cols) -> DataFrame:
             .select("_kcol", "_kval", (F.col(IDX) - F.col("_kfirst")).cast("long").alias("_kcode")))
 
 
+SMALL_CODE_TABLE = 100_000
+
+
+def _small_code_table(df: DataFrame, cols):
+    """(column, value, code) built on the driver when the distinct values are
+    provably few (at most ``SMALL_CODE_TABLE``; checked with ``limit``)."""
+    from functools import reduce
+    parts = [df.select(F.lit(c).alias("_kcol"), F.col(c).cast("string").alias("_kval"))
+             .where(F.col("_kval").isNotNull()) for c in cols]
+    distinct = reduce(lambda a, b: a.unionByName(b), parts).distinct()
+    rows = distinct.limit(SMALL_CODE_TABLE + 1).collect()
+    if len(rows) > SMALL_CODE_TABLE:
+        return None
+    by_col: dict[str, list[str]] = {}
+    for r in rows:
+        by_col.setdefault(r[0], []).append(r[1])
+    out = [(c, v, i) for c, vals in by_col.items() for i, v in enumerate(sorted(vals))]
+    return df.sparkSession.createDataFrame(out, "_kcol string, _kval string, _kcode long")
+
+
 def ordinal_codes(df: DataFrame, cols, prefix: str = "cat_") -> DataFrame:
     """Add ``cat_<col>`` codes for each column (W7).  Nulls get a null code.
 
@@ -42,12 +62,11 @@ def ordinal_codes(df: DataFrame, cols, prefix: str = "cat_") -> DataFrame:
     otherwise.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
-    codes = code_tables(df, cols) if len(cols) > 1 else None
+    small = _small_code_table(df, cols)
+    codes = small if small is not None else code_tables(df, cols)
     out = df
     for c in cols:
-        if codes is None:
-            table = code_table(df, c, f"{prefix}{c}")
-        else:
-            table = codes.where(F.col("_kcol") == c).select(F.col("_kval").alias(c), F.col("_kcode").alias(f"{prefix}{c}"))
-        out = out.join(table, c, "left")
+        table = codes.where(F.col("_kcol") == c).select(F.col("_kval").alias(c), F.col("_kcode").alias(f"{prefix}{c}"))
+        # The small table has a proven size bound: broadcast it.
+        out = out.join(F.broadcast(table) if small is not None else table, c, "left")
     return out

@@ -22,6 +22,27 @@ from pyspark.sql import functions as F
 
 IDX = "_kidx"
 DEFAULT_BLOCK_ROWS = 1 << 20
+# Largest window partition allowed in one task before the block/halo form is
+# used.  Override with the session conf ``kestrel.window.maxTaskRows``.
+DEFAULT_MAX_TASK_ROWS = 20_000_000
+
+
+def max_task_rows(spark) -> int:
+    return int(spark.conf.get("kestrel.window.maxTaskRows", str(DEFAULT_MAX_TASK_ROWS)))
+
+
+def largest_partition(df: DataFrame, parts) -> int:
+    """Row count of the biggest window partition (one small aggregate job)."""
+    if parts:
+        r = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("_kc")).agg(F.max("_kc")).first()[0]
+    else:
+        r = df.count()
+    return int(r or 0)
+
+
+def _fits_one_task(df: DataFrame, parts, block_rows: int) -> bool:
+    limit = min(max_task_rows(df.sparkSession), block_rows)
+    return largest_partition(df, parts) <= limit
 
 
 def _cols(cols) -> list[Column]:
@@ -70,6 +91,10 @@ def rolling(df: DataFrame, partition_by, order_by, rows: int, aggs: dict[str, Co
     ``block_rows`` consecutive rows whatever the key distribution.
     """
     parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
+    if _fits_one_task(df, parts, block_rows):
+        # Size-checked fast path: every window partition fits one task.
+        w = Window.partitionBy(*parts).orderBy(*_cols(order_by)).rowsBetween(-(rows - 1), 0)
+        return df.select("*", *[(a(w) if callable(a) else a.over(w)).alias(name) for name, a in aggs.items()])
     order = _cols(parts) + _cols(order_by)
     indexed = with_global_index(df, order)
     halo = rows - 1
@@ -87,6 +112,9 @@ def shifted(df: DataFrame, partition_by, order_by, cols, offset: int = 1,
             suffix: str = "_lag1", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """``shift(offset)`` of ``cols`` in the given order (W3), skew-safe."""
     parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
+    if _fits_one_task(df, parts, block_rows):
+        w = Window.partitionBy(*parts).orderBy(*_cols(order_by))
+        return df.select("*", *[F.lag(c, offset).over(w).alias(f"{c}{suffix}") for c in cols])
     order = _cols(parts) + _cols(order_by)
     indexed = with_global_index(df, order)
     blk = F.floor(F.col(IDX) / F.lit(block_rows))
@@ -137,6 +165,9 @@ def lags(df: DataFrame, partition_by, order_by, cols, max_lag: int,
     """``c_lag1 .. c_lag<max_lag>`` for each column in one indexed pass
     (halo of ``max_lag`` rows per block), skew-safe like :func:`rolling`."""
     parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
+    if _fits_one_task(df, parts, block_rows):
+        w = Window.partitionBy(*parts).orderBy(*_cols(order_by))
+        return df.select("*", *[F.lag(c, k).over(w).alias(f"{c}_lag{k}") for c in cols for k in range(1, max_lag + 1)])
     order = _cols(parts) + _cols(order_by)
     indexed = with_global_index(df, order)
     blk = F.floor(F.col(IDX) / F.lit(block_rows))

@@ -434,3 +434,19 @@ def r12_underprovision_classifier(spark, d):
     m = ML.fit("rf_clf", tr, ["cpuRequest", "cpuLimit", "avg_cpu_5min", "hour", "dayofweek"], "flag", **FOREST)
     pred = m.transform(te).withColumn("prediction", F.col("prediction").cast("int"))
     return ML.classification_report(pred, "flag", "prediction")
+
+
+@query("z03_pluggable_scorers")
+def z03_pluggable_scorers(spark, d):
+    """Pluggable estimator and scoring names (Z3): the same CV loop with
+    ``roc_auc`` for a classifier and ``r2`` / ``neg_rmse`` / ``mae`` for a
+    regressor."""
+    df = fold_column(_feat(spark, d), "id", 2).cache()
+    rows = []
+    for kind, label, cols, metric in (("dt_clf", "target", XCOLS, "roc_auc"),
+                                      ("dt_reg", "price", ["qty", "n_items", "max_disc"], "r2"),
+                                      ("dt_reg", "price", ["qty", "n_items", "max_disc"], "neg_rmse"),
+                                      ("dt_reg", "price", ["qty", "n_items", "max_disc"], "mae")):
+        sc = ML.cv_score(kind, df, cols, label, metric, "fold", [0, 1], **TREE)
+        rows.append((kind, metric, float(sum(sc) / len(sc))))
+    return _rows(spark, rows, "estimator string, scoring string, mean_score double")

@@ -403,3 +403,22 @@ def g02_group_max10(spark, d):
 def p03_kfold_assignment(spark, d):
     """k-fold assignment from a key hash (P3), the ``foldCol`` of CrossValidator."""
     return SP.fold_column(view(spark, d, "feat").select("id"), "id", 5, seed=5)
+
+
+@query("z01_native_scalar", """SELECT id, CASE WHEN cabin IS NULL OR trim(cabin) = '' THEN 'N'
+ ELSE split_part(regexp_replace(trim(cabin), '\\s+', ' ', 'g'), ' ', 1) END AS first_token,
+ abs(fare - 100000.0) AS abs_dev, RND(fare / 1000.0, 3) AS fare_k FROM people""", views=P)
+def z01_native_scalar(spark, d):
+    """Row functions the reference applies with ``apply``/``map``/``np.abs``
+    as native column expressions (Z1): no Python UDF."""
+    df = view(spark, d, "people")
+    return df.select("id", S.first_token_or("cabin").alias("first_token"), F.abs(F.col("fare") - 100000.0).alias("abs_dev"),
+                     S.rnd(F.col("fare") / 1000.0, 3).alias("fare_k"))
+
+
+@query("z02_group_function_native", """SELECT key, deployment, RND(cpuUsage / sum(cpuUsage) OVER (PARTITION BY deployment), 8) AS share
+FROM metrics""", views=M)
+def z02_group_function_native(spark, d):
+    """A group function returning a frame, re-keyed as aggregate + join."""
+    df = view(spark, d, "metrics").select("key", "deployment", "cpuUsage")
+    return AG.share_of_group(df, "deployment", "cpuUsage").select("key", "deployment", S.rnd("share", 8).alias("share"))
