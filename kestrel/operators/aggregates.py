@@ -52,11 +52,11 @@ def profile(df: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """Counts behind ``hist(bins=n)`` (G14): equal-width bins over [min, max],
     the last bin closed on the right like numpy."""
-    mm = df.agg(F.min(col).alias("_klo"), F.max(col).alias("_khi"))
+    lo, hi = df.agg(F.min(col)).scalar(), df.agg(F.max(col)).scalar()   # scalar subqueries
     x = F.col(col)
-    width = (F.col("_khi") - F.col("_klo")) / F.lit(bins)
-    b = F.least(F.floor(F.try_divide(x - F.col("_klo"), width)), F.lit(bins - 1))
-    return (df.where(x.isNotNull()).crossJoin(F.broadcast(mm))
+    width = (hi - lo) / F.lit(bins)
+    b = F.least(F.floor(F.try_divide(x - lo, width)), F.lit(bins - 1))
+    return (df.where(x.isNotNull())
             .groupBy(F.coalesce(b, F.lit(0)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count")))
 
 

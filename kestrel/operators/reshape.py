@@ -59,10 +59,10 @@ def keep_by_rule(scores: DataFrame, rule: str, score: str = "score", value: floa
         cond = F.col(score) > F.lit(value) if rule == ">" else F.col(score) < F.lit(value)
         return scores.where(cond)
     stat = F.avg(F.abs(score)) if rule == ">mean_abs" else F.avg(score)
-    m = scores.agg(stat.alias("_km"))
+    m = scores.agg(stat).scalar()
     x = F.abs(score) if rule == ">mean_abs" else F.col(score)
-    cond = x > F.col("_km") if rule.startswith(">") else x < F.col("_km")
-    return scores.crossJoin(F.broadcast(m)).where(cond).drop("_km")
+    cond = x > m if rule.startswith(">") else x < m
+    return scores.where(cond)
 
 
 def not_in(a: DataFrame, b: DataFrame, key: str = "feature") -> DataFrame:

@@ -81,10 +81,10 @@ def frequency_summary(df: DataFrame, cols, dropna: bool = True) -> DataFrame:
     ``top_count / n_counted`` is ``value_counts(normalize=True).max()``.
     """
     vc = value_counts(df, cols, dropna)
-    total = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    total = df.agg(F.count(F.lit(1))).scalar()
     return (vc.groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"), F.max("count").alias("top_count"),
                                       F.sum("count").alias("n_counted"))
-            .crossJoin(F.broadcast(total)))
+            .withColumn("n_rows", total))
 
 
 def predominant_share(df: DataFrame, cols, denominator: str = "non_null") -> DataFrame:
@@ -212,15 +212,14 @@ def contingency(df: DataFrame, cols, label: str) -> DataFrame:
         "_klabel", "label")
 
 
-def _full_cells(ct: DataFrame) -> DataFrame:
-    """Contingency cells including zeros, with marginals and expected counts."""
+def _observed_cells(ct: DataFrame) -> DataFrame:
+    """Observed cells with marginals and expected counts (no zero cells)."""
     rows = ct.groupBy("feature", "value").agg(F.sum("count").alias("row_n"))
     colm = ct.groupBy("feature", "label").agg(F.sum("count").alias("col_n"))
     tot = ct.groupBy("feature").agg(F.sum("count").alias("n"), F.countDistinct("value").alias("r"),
                                     F.countDistinct("label").alias("c"))
-    cells = rows.join(colm, "feature").join(tot, "feature")
-    return (cells.join(ct, ["feature", "value", "label"], "left")
-            .select("feature", "value", "label", F.coalesce("count", F.lit(0)).alias("o"),
+    return (ct.join(rows, ["feature", "value"]).join(colm, ["feature", "label"]).join(tot, "feature")
+            .select("feature", "value", "label", F.col("count").alias("o"),
                     (F.col("row_n") * F.col("col_n") / F.col("n")).alias("e"), "n", "r", "c"))
 
 
@@ -228,15 +227,27 @@ def chi_square(df: DataFrame, cols, label: str) -> DataFrame:
     """Chi-square test of independence per feature.
 
     Returns the plain statistic, the Yates-corrected one (what scipy's
-    ``chi2_contingency`` reports when dof == 1) and dof.
+    ``chi2_contingency`` reports when dof == 1) and dof.  Only observed
+    cells are materialised: empty cells add ``n - sum(expected)`` to the
+    plain statistic; the Yates form (2 x 2 tables only) gets its at most
+    four cells from the margins.
     """
-    cells = _full_cells(contingency(df, cols, label))
+    cells = _observed_cells(contingency(df, cols, label))
     d = F.abs(F.col("o") - F.col("e"))
-    yates = F.greatest(d - F.least(d, F.lit(0.5)), F.lit(0.0))
-    return cells.groupBy("feature").agg(
-        F.sum(d * d / F.col("e")).alias("chi2"),
-        F.sum(yates * yates / F.col("e")).alias("chi2_yates"),
+    plain = cells.groupBy("feature").agg(
+        (F.sum(d * d / F.col("e")) + F.first("n") - F.sum("e")).alias("chi2"),
         ((F.first("r") - 1) * (F.first("c") - 1)).cast("long").alias("dof"))
+    two = cells.where((F.col("r") == 2) & (F.col("c") == 2))
+    rws = two.groupBy("feature", "value").agg(F.sum("o").alias("rn"), F.first("n").alias("n"))
+    cls = two.groupBy("feature", "label").agg(F.sum("o").alias("cn"))
+    grid = (rws.join(cls, "feature")      # 2 x 2 = 4 cells per feature
+            .join(two.select("feature", "value", "label", "o"), ["feature", "value", "label"], "left")
+            .select("feature", F.coalesce("o", F.lit(0)).alias("o"), (F.col("rn") * F.col("cn") / F.col("n")).alias("e")))
+    dg = F.abs(F.col("o") - F.col("e"))
+    yk = F.greatest(dg - F.least(dg, F.lit(0.5)), F.lit(0.0))
+    yates = grid.groupBy("feature").agg(F.sum(yk * yk / F.col("e")).alias("chi2_yates"))
+    return plain.join(yates, "feature", "left").select(
+        "feature", "chi2", F.coalesce("chi2_yates", "chi2").alias("chi2_yates"), "dof")
 
 
 def mutual_info_discrete(df: DataFrame, cols, label: str) -> DataFrame:
@@ -309,9 +320,10 @@ def auc_by_group(df: DataFrame, group: str | None, score: str, label: str) -> Da
     per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*g, score).agg(
         F.sum(lab).alias("pos"), F.sum(1.0 - lab).alias("neg"))
     cum = running_sum(per, g + [score], "neg", "_kcum").withColumn("_kbefore", F.col("_kcum") - F.col("neg"))
-    start = cum.groupBy(*g).agg(F.min("_kbefore").alias("_kstart")) if g else \
-        cum.agg(F.min("_kbefore").alias("_kstart"))
-    joined = cum.join(F.broadcast(start), g) if g else cum.crossJoin(F.broadcast(start))
+    if g:   # one row per group
+        joined = cum.join(F.broadcast(cum.groupBy(*g).agg(F.min("_kbefore").alias("_kstart"))), g)
+    else:
+        joined = cum.withColumn("_kstart", cum.agg(F.min("_kbefore")).scalar())
     ranked = joined.withColumn("neg_below", F.col("_kbefore") - F.col("_kstart"))
     agg = ranked.groupBy(*g).agg(
         F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("u"),

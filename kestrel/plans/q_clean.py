@@ -256,8 +256,8 @@ FROM metrics""", views=M)
 def c07_seconds_since_first(spark, d):
     df = view(spark, d, "metrics")
     us = F.unix_micros(F.col("collectionTimestamp").cast("timestamp"))
-    first = df.agg(F.min(us).alias("_kmin"))  # one row
-    return df.crossJoin(F.broadcast(first)).select("key", ((us - F.col("_kmin")) / 1e6).alias("seconds"))
+    first = df.agg(F.min(us)).scalar()  # scalar subquery: one value, computed once
+    return df.select("key", ((us - first) / 1e6).alias("seconds"))
 
 
 @query("c08_bytes_to_mb", "SELECT key, RND(memUsage / 1048576.0, 2) AS memUsageMB, RND(memRequest / 1048576.0, 2) AS memRequestMB FROM metrics",
@@ -272,8 +272,8 @@ def c08_bytes_to_mb(spark, d):
 def c09_unit_sniff(spark, d):
     """Convert to MiB only if the column max exceeds 1 MiB."""
     df = view(spark, d, "metrics")
-    mx = df.agg(F.max("memUsage").alias("_kmax"))
-    return df.crossJoin(F.broadcast(mx)).select("key", F.when(F.col("_kmax") > S.MIB, F.col("memUsage") / S.MIB)
+    mx = df.agg(F.max("memUsage")).scalar()
+    return df.select("key", F.when(mx > S.MIB, F.col("memUsage") / S.MIB)
                                                  .otherwise(F.col("memUsage")).alias("memUsageMB"))
 
 

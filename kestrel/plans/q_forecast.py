@@ -35,9 +35,8 @@ def r05_savings_summary(spark, d):
     df = view(spark, d, "metrics").select("key", "cpuRequest", S.clip_lower(F.col("cpuUsage") * 1.2).alias("rec"))
     curve = C.savings_curve(df.withColumn("savings", F.col("cpuRequest") - F.col("rec")), "savings", "key")
     counts = C.change_counts(df, "cpuRequest", "rec")
-    tot = curve.agg(S.rnd(F.sum("savings"), 4).alias("total_savings"),
-                    S.rnd(F.max("cumulative_savings"), 4).alias("max_cumulative_savings"))
-    return counts.crossJoin(tot)
+    return counts.select("*", S.rnd(curve.agg(F.sum("savings")).scalar(), 4).alias("total_savings"),
+                         S.rnd(curve.agg(F.max("cumulative_savings")).scalar(), 4).alias("max_cumulative_savings"))
 
 
 @query("r07_rows_by_deployment", "WITH " + REC_SQL + """, dep AS (SELECT key, deployment FROM metrics)

@@ -56,8 +56,7 @@ def h01b_single_feature_tree_mse(spark, d):
     tr, te = _split(spark, d)
     cols = [c for c in XCOLS if c != "price"]
     sc = ML.single_feature_scores("dt_reg", tr, te, cols, "price", "mse", **TREE)
-    m = sc.agg(F.avg("score").alias("_km"))
-    return sc.crossJoin(m).withColumn("keep", F.col("score") < F.col("_km")).drop("_km")
+    return sc.withColumn("keep", F.col("score") < sc.agg(F.avg("score")).scalar())
 
 
 @query("h02_single_feature_cv")
@@ -213,8 +212,7 @@ def y03_select_by_shuffling(spark, d):
                                   **FOREST)
         parts.append(dr.withColumn("fold", F.lit(k)))
     per = ST._union(parts).groupBy("feature").agg(F.avg("drift").alias("drift"))
-    m = per.agg(F.avg("drift").alias("_km"))
-    return per.crossJoin(m).withColumn("keep", F.col("drift") > F.col("_km")).drop("_km")
+    return per.withColumn("keep", F.col("drift") > per.agg(F.avg("drift")).scalar())
 
 
 @query("y04_recursive_elimination")

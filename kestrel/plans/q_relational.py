@@ -106,8 +106,8 @@ def g06_distinct_values(spark, d):
 FROM people GROUP BY priority""", views=P)
 def g07_value_counts(spark, d):
     vc = ST.value_counts(view(spark, d, "people"), ["priority"])
-    tot = vc.agg(F.sum("count").alias("_kn"))
-    return vc.crossJoin(F.broadcast(tot)).select("value", "count", S.rnd(F.col("count") / F.col("_kn"), 6).alias("share"))
+    tot = vc.agg(F.sum("count")).scalar()
+    return vc.select("value", "count", S.rnd(F.col("count") / tot, 6).alias("share"))
 
 
 @query("g08_predominant_share", "SELECT feature, RND(share, 6) AS share FROM (" + _freq_sql(

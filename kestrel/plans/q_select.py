@@ -221,7 +221,9 @@ t AS (SELECT feature, sum(o) AS n, count(DISTINCT value) AS nr, count(DISTINCT l
 cells AS (SELECT r.feature, coalesce(ct.o, 0) AS o, rn * cn / n AS e, nr, nc FROM r JOIN c USING (feature) JOIN t USING (feature)
  LEFT JOIN ct ON ct.feature = r.feature AND ct.value = r.value AND ct.label = c.label)
 SELECT feature, RND(sum((o - e) * (o - e) / e), 6) AS chi2,
- RND(sum(greatest(abs(o - e) - least(abs(o - e), 0.5), 0) * greatest(abs(o - e) - least(abs(o - e), 0.5), 0) / e), 6) AS chi2_yates,
+ RND(CASE WHEN max((nr - 1) * (nc - 1)) = 1
+  THEN sum(greatest(abs(o - e) - least(abs(o - e), 0.5), 0) * greatest(abs(o - e) - least(abs(o - e), 0.5), 0) / e)
+  ELSE sum((o - e) * (o - e) / e) END, 6) AS chi2_yates,
  CAST(max((nr - 1) * (nc - 1)) AS BIGINT) AS dof FROM cells GROUP BY feature"""
 
 
@@ -235,7 +237,7 @@ def s04_chi_square(spark, d):
 def s04b_chi_square_pvalue(spark, d):
     """Chi-square p-values (scipy's rule: Yates when dof == 1), smallest first (T3 with p-values)."""
     out = ST.chi_square(view(spark, d, "people"), CAT_COLS, "target")
-    stat = F.when(F.col("dof") == 1, F.col("chi2_yates")).otherwise(F.col("chi2"))
+    stat = F.col("chi2_yates")
     return out.select("feature", stat.alias("stat"), "dof", chi2_pvalue(stat, "dof").alias("p_value")).orderBy("p_value")
 
 
@@ -245,10 +247,10 @@ SELECT RND(sum((o - e) * (o - e) / e), 6) AS chi2, CAST(max(k) - 1 - 1 AS BIGINT
 def s05_goodness_of_fit(spark, d):
     """``chisquare(f_obs, ddof=1)`` against a uniform expectation."""
     o = view(spark, d, "people").groupBy("priority").agg(F.count(F.lit(1)).alias("o"))
-    e = o.agg((F.sum("o") / F.count(F.lit(1))).alias("e"), F.count(F.lit(1)).alias("k"))
-    j = o.crossJoin(F.broadcast(e))
-    diff = F.col("o") - F.col("e")
-    return j.agg(S.rnd(F.sum(diff * diff / F.col("e")), 6).alias("chi2"), (F.max("k") - 2).cast("long").alias("dof"))
+    e = o.agg(F.sum("o") / F.count(F.lit(1))).scalar()      # scalar subquery, one value
+    k = o.agg(F.count(F.lit(1))).scalar()
+    diff = F.col("o") - e
+    return o.agg(S.rnd(F.sum(diff * diff / e), 6).alias("chi2"), (F.max(F.lit(1)) * k - 2).cast("long").alias("dof"))
 
 
 ANOVA_COLS = ["n_items", "qty", "max_disc", "min_tax", "noise", "price", "disc_nulls"]
