@@ -114,6 +114,37 @@ def _groups_df(spark, groups):
     return spark.createDataFrame(rows, "group_id int, leader string, feature string")
 
 
+def _greedy_sql(cols, order_sql, threshold=0.8):
+    """Feature-engine grouping walk as a recursive CTE (oracle for F12-F14):
+    state = features already grouped + groups so far, one step per position."""
+    nxt = ("(SELECT list(a.g ORDER BY a.gpos) FROM adjp a WHERE a.f = o.feature AND a.gpos > w.pos "
+           "AND NOT list_contains(w.seen, a.g))")
+    return f"""WITH RECURSIVE pr AS ({_pairs_sql(cols)}),
+ord AS ({order_sql}),
+adj AS (SELECT feature1 AS f, feature2 AS g FROM pr WHERE abs(corr) > {threshold}
+        UNION ALL SELECT feature2, feature1 FROM pr WHERE abs(corr) > {threshold}),
+adjp AS (SELECT adj.f, adj.g, o.pos AS gpos FROM adj JOIN ord o ON o.feature = adj.g),
+walk(pos, seen, grp) AS (
+  SELECT 0, []::VARCHAR[], []::VARCHAR[][]
+  UNION ALL
+  SELECT w.pos + 1,
+    CASE WHEN list_contains(w.seen, o.feature) THEN w.seen ELSE list_concat(w.seen, [o.feature], coalesce({nxt}, [])) END,
+    CASE WHEN list_contains(w.seen, o.feature) OR coalesce(len({nxt}), 0) = 0 THEN w.grp
+         ELSE list_append(w.grp, list_concat([o.feature], {nxt})) END
+  FROM walk w JOIN ord o ON o.pos = w.pos),
+fin AS (SELECT grp FROM walk ORDER BY pos DESC LIMIT 1),
+gs AS (SELECT unnest(grp) AS g, generate_subscripts(grp, 1) AS gi FROM fin)
+SELECT CAST(gi - 1 AS INTEGER) AS group_id, g[1] AS leader, unnest(g) AS feature FROM gs"""
+
+
+def _order_sql(cols, metric_sql=None, desc=True):
+    base = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {i} AS i, " + (metric_sql.format(c=c) + " AS v FROM feat" if metric_sql else "0 AS v")
+        for i, c in enumerate(cols))
+    direction = "DESC" if desc else "ASC"
+    return f"SELECT feature, CAST(row_number() OVER (ORDER BY coalesce(v, 0) {direction}, i) - 1 AS INTEGER) AS pos FROM ({base})"
+
+
 @query("f11_corr_groups_by_strength")
 def f11_corr_groups_by_strength(spark, d):
     """Greedy groups from the strongest pair down (F11); driver walk over the pair table."""
@@ -121,21 +152,23 @@ def f11_corr_groups_by_strength(spark, d):
     return _groups_df(spark, SEL.correlated_groups_by_strength(pairs, 0.8))
 
 
-@query("f12_drop_correlated")
+@query("f12_drop_correlated", _greedy_sql(CORR_COLS, _order_sql(CORR_COLS)), views=FT)
 def f12_drop_correlated(spark, d):
     """``DropCorrelatedFeatures(threshold=0.8)``: first feature of each group kept."""
     sel = SEL.DropCorrelated(0.8).fit(view(spark, d, "feat"), CORR_COLS)
     return _groups_df(spark, sel.correlated_feature_sets_)
 
 
-@query("f13_smart_correlated_variance")
+@query("f13_smart_correlated_variance", _greedy_sql(CORR_COLS, _order_sql(CORR_COLS, "var_samp({c})")), views=FT)
 def f13_smart_correlated_variance(spark, d):
     """``SmartCorrelatedSelection(selection_method='variance')``."""
     sel = SEL.DropCorrelated(0.8, "variance").fit(view(spark, d, "feat"), CORR_COLS)
     return _groups_df(spark, sel.correlated_feature_sets_)
 
 
-@query("f14_smart_correlated_cardinality")
+@query("f14_smart_correlated_cardinality", "SELECT *, 'cardinality' AS method FROM (" + _greedy_sql(
+    CORR_COLS, _order_sql(CORR_COLS, "count(DISTINCT {c})")) + ") UNION ALL SELECT *, 'missing_values' AS method FROM (" +
+       _greedy_sql(CORR_COLS, _order_sql(CORR_COLS, "count(*) - count({c})", desc=False)) + ")", views=FT)
 def f14_smart_correlated_cardinality(spark, d):
     """``SmartCorrelatedSelection`` with 'cardinality' / 'missing_values' orders."""
     df = view(spark, d, "feat")
