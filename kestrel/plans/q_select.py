@@ -114,12 +114,15 @@ def _groups_df(spark, groups):
     return spark.createDataFrame(rows, "group_id int, leader string, feature string")
 
 
-def _greedy_sql(cols, order_sql, threshold=0.8):
+GROUPS_FINAL = "SELECT CAST(gi - 1 AS INTEGER) AS group_id, g[1] AS leader, unnest(g) AS feature FROM gs"
+
+
+def _greedy_sql(cols, order_sql, threshold=0.8, final=GROUPS_FINAL, extra_ctes=""):
     """Feature-engine grouping walk as a recursive CTE (oracle for F12-F14):
     state = features already grouped + groups so far, one step per position."""
     nxt = ("(SELECT list(a.g ORDER BY a.gpos) FROM adjp a WHERE a.f = o.feature AND a.gpos > w.pos "
            "AND NOT list_contains(w.seen, a.g))")
-    return f"""WITH RECURSIVE pr AS ({_pairs_sql(cols)}),
+    return f"""WITH RECURSIVE {extra_ctes}pr AS ({_pairs_sql(cols)}),
 ord AS ({order_sql}),
 adj AS (SELECT feature1 AS f, feature2 AS g FROM pr WHERE abs(corr) > {threshold}
         UNION ALL SELECT feature2, feature1 FROM pr WHERE abs(corr) > {threshold}),
@@ -134,7 +137,7 @@ walk(pos, seen, grp) AS (
   FROM walk w JOIN ord o ON o.pos = w.pos),
 fin AS (SELECT grp FROM walk ORDER BY pos DESC LIMIT 1),
 gs AS (SELECT unnest(grp) AS g, generate_subscripts(grp, 1) AS gi FROM fin)
-SELECT CAST(gi - 1 AS INTEGER) AS group_id, g[1] AS leader, unnest(g) AS feature FROM gs"""
+{final}"""
 
 
 def _order_sql(cols, metric_sql=None, desc=True):
@@ -186,7 +189,18 @@ def f17_correlates_of_one(spark, d):
             .select(F.col("feature2").alias("feature"), S.rnd("corr", 6).alias("corr")))
 
 
-@query("f18_selector_chain")
+F18_CTES = ("sh AS (" + per_feature(FEAT_NUMERIC, SHARE_SQL) + "),\n"
+            "dropc AS (SELECT feature FROM sh WHERE share >= 0.998),\n"
+            "dup AS (SELECT feature FROM (" + _dup_sql(FEAT_NUMERIC) + ") WHERE feature NOT IN (SELECT feature FROM dropc)),\n"
+            "rest AS (SELECT feature, i FROM (" + " UNION ALL ".join(
+                f"SELECT '{c}' AS feature, {i} AS i" for i, c in enumerate(FEAT_NUMERIC)) + ") WHERE feature NOT IN "
+            "(SELECT feature FROM dropc) AND feature NOT IN (SELECT feature FROM dup)),\n")
+F18_ORDER = "SELECT feature, CAST(row_number() OVER (ORDER BY i) - 1 AS INTEGER) AS pos FROM rest"
+F18_FINAL = ("SELECT 'id' AS feature UNION ALL SELECT feature FROM rest WHERE feature NOT IN "
+             "(SELECT unnest(g[2:]) FROM gs)")
+
+
+@query("f18_selector_chain", _greedy_sql(FEAT_NUMERIC, F18_ORDER, 0.8, F18_FINAL, F18_CTES), views=FT)
 def f18_selector_chain(spark, d):
     """Constant -> duplicated -> correlated chain, fit then transform.
     Returns the columns kept."""
