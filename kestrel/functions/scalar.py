@@ -63,6 +63,13 @@ def recommendation_text(cpu, mem, cpu_decimals: int = 4, mem_decimals: int = 2)
 
 # --- calendar ----------------------------------------------------------------
 
+def epoch_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock (``timestamp_ntz``)
+    value, independent of the session time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            _c(ts).cast("timestamp_ntz"))
+
+
 def day_of_week_mon0(ts) -> Column:
     """pandas ``dt.dayofweek``: Monday = 0 ... Sunday = 6."""
     return F.weekday(_c(ts))
@@ -72,6 +79,14 @@ def is_weekend(ts) -> Column:
     return day_of_week_mon0(ts) >= 5
 
 
+def to_naive_utc(ts) -> Column:
+    """``dt.tz_localize(None)`` after conversion to UTC (B14): an instant
+    (``timestamp``) becomes its UTC wall-clock ``timestamp_ntz``, whatever
+    the session time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_c(ts)), epoch)
+
+
 def calendar_features(ts) -> dict[str, Column]:
     """hour, dayofweek, quarter, month, year, dayofyear, dayofmonth, weekofyear."""
     t = _c(ts)

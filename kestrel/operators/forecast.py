@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.functions.scalar import epoch_micros
 from kestrel.operators.ordering import IDX, lags
 
 
@@ -32,7 +33,7 @@ def future_frame(df: DataFrame, key: str, ts: str, periods: int, step_seconds: i
 
 
 def _days(ts_col, origin_col):
-    return (F.unix_micros(F.col(ts_col).cast("timestamp")) - F.col(origin_col)) / F.lit(86400e6)
+    return (epoch_micros(ts_col) - F.col(origin_col)) / F.lit(86400e6)
 
 
 def trend_season_forecast(df: DataFrame, key: str, ts: str, y: str, periods: int = 30,
@@ -45,7 +46,7 @@ def trend_season_forecast(df: DataFrame, key: str, ts: str, y: str, periods: int
     ``min_points`` samples are skipped.
     """
     base = df.select(key, ts, y).where(F.col(y).isNotNull())
-    origin = base.groupBy(key).agg(F.min(F.unix_micros(F.col(ts).cast("timestamp"))).alias("_korig"),
+    origin = base.groupBy(key).agg(F.min(epoch_micros(ts)).alias("_korig"),
                                    F.count(F.lit(1)).alias("_kn"))
     origin = origin.where(F.col("_kn") >= min_points)
     b = base.join(origin, key).withColumn("t", _days(ts, "_korig"))

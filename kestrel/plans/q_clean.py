@@ -163,7 +163,7 @@ def b14_strip_timezone(spark, d):
     o = table(spark, d, "orders")
     aware = F.to_timestamp(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00")),
                            "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
-    return o.select("o_orderkey", F.to_timestamp_ntz(F.date_format(aware, "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("orderdate"))
+    return o.select("o_orderkey", S.to_naive_utc(aware).alias("orderdate"))
 
 
 @query("b15_positive_filter", "SELECT key, cpuUsage, cpuRequest, RND(cpuUsage / cpuRequest, 6) AS ratio FROM metrics "
@@ -255,7 +255,7 @@ def c06_create_features(spark, d):
 FROM metrics""", views=M)
 def c07_seconds_since_first(spark, d):
     df = view(spark, d, "metrics")
-    us = F.unix_micros(F.col("collectionTimestamp").cast("timestamp"))
+    us = S.epoch_micros("collectionTimestamp")
     first = df.agg(F.min(us)).scalar()  # scalar subquery: one value, computed once
     return df.select("key", ((us - first) / 1e6).alias("seconds"))
 

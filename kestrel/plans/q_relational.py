@@ -270,7 +270,7 @@ def w06_last_step(spark, d):
     the top-2 per key come from ``max`` and ``max`` below it.
     """
     df = view(spark, d, "metrics").select("deployment", "collectionTimestamp", "key")
-    us = F.unix_micros(F.col("collectionTimestamp").cast("timestamp"))
+    us = S.epoch_micros("collectionTimestamp")
     last = df.groupBy("deployment").agg(F.max_by(F.struct(us.alias("u"), F.col("key")),
                                                  F.struct(us, F.col("key"))).alias("l"))
     prev = (df.join(last, "deployment")
