@@ -123,8 +123,9 @@ def corr_pairs(df: DataFrame, cols, method: str = "auto") -> DataFrame:
         method = "pairwise"
         if len(cols) > 40:
             nulls = df.agg(*[F.count_if(F.col(c).isNull()) for c in cols]).first()
-            if sum(nulls) == 0:
-                method = "gram"
+            method = "gram" if sum(nulls) == 0 else "masked"
+    if method == "masked":
+        return _corr_pairs_masked(df, cols)
     if method == "gram":
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.stat import Correlation
@@ -144,6 +145,59 @@ def corr_pairs(df: DataFrame, cols, method: str = "auto") -> DataFrame:
     return _union(parts)
 
 
+def _corr_pairs_masked(df: DataFrame, cols) -> DataFrame:
+    """Pairwise-complete Pearson for many columns with nulls in ONE pass.
+
+    Each task turns its Arrow batches into four p x p partial sums (numpy
+    matrix products with a presence mask, values centred on the global
+    means); the partials are summed per matrix row with ``Summarizer`` (a
+    distributed aggregate), so the shuffle carries p rows of 4p numbers per
+    task and the driver receives 4p^2 numbers.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    cols = list(cols)
+    p = len(cols)
+    spark = df.sparkSession
+    means = df.agg(*[F.avg(F.col(c).cast("double")) for c in cols]).first()
+    mu = np.array([m if m is not None else 0.0 for m in means], dtype=float)
+    bmu = spark.sparkContext.broadcast(mu)
+
+    def partial(it):
+        acc = None
+        for pdf in it:
+            x = pdf.to_numpy(dtype=float, na_value=np.nan) - bmu.value
+            m = ~np.isnan(x)
+            x0 = np.where(m, x, 0.0)
+            mf = m.astype(float)
+            part = [mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0]
+            acc = part if acc is None else [a + b for a, b in zip(acc, part)]
+        if acc is not None:
+            rows = np.concatenate(acc, axis=1)           # p x 4p
+            yield pd.DataFrame({"i": np.arange(p, dtype=np.int32), "v": list(rows)})
+
+    proj = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    parts = proj.mapInPandas(partial, "i int, v array<double>")
+    summed = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("v")).alias("s")).collect()
+    tot = np.zeros((p, 4 * p))
+    for r in summed:
+        tot[r["i"]] = r["s"].toArray()
+    n, sx, sxx, sxy = (tot[:, k * p:(k + 1) * p] for k in range(4))
+    rows = []
+    for i in range(p):
+        for j in range(i + 1, p):
+            nij = n[i, j]
+            si, sj = sx[i, j], sx[j, i]          # sum of x_i where x_j present, and vice versa
+            qi, qj = sxx[i, j], sxx[j, i]
+            vi, vj = nij * qi - si * si, nij * qj - sj * sj
+            r = (nij * sxy[i, j] - si * sj) / np.sqrt(vi * vj) if nij > 1 and vi > 0 and vj > 0 else None
+            rows.append((cols[i], cols[j], i, j, float(r) if r is not None else None))
+    return spark.createDataFrame(rows, "feature1 string, feature2 string, i1 int, i2 int, corr double")
+
+
 def corr_with(df: DataFrame, cols, target: str) -> DataFrame:
     """(feature, corr) of each column with one column."""
     parts = []
