@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kestrel.functions import scalar as S
 from kestrel.operators import models as ML
 from kestrel.operators import mrmr as MR
-from kestrel.plans.q_select import ANOVA_COLS, _anova_sql, _pairs_sql
+from kestrel.plans.q_select import ANOVA_COLS, _anova_sql, _binned_sql, _pairs_sql
 from kestrel.plans.registry import query
 from kestrel.sources.fixtures import view
 
@@ -15,27 +15,62 @@ FT = ("feat",)
 MI_COLS = ["n_items", "qty", "max_disc", "min_tax", "noise", "price"]
 
 
+def _mi_long_sql(pairs):
+    """MI (nats) for (name, x, y) column pairs of the binned table ``b``."""
+    ct = " UNION ALL ".join(
+        f"SELECT '{a}' AS f, '{g}' AS g, CAST({a} AS VARCHAR) AS xv, CAST({g} AS VARCHAR) AS yv, count(*) AS o "
+        f"FROM b WHERE {a} IS NOT NULL AND {g} IS NOT NULL GROUP BY {a}, {g}" for a, g in pairs)
+    return f"""ct AS ({ct}),
+mx AS (SELECT f, g, xv, sum(o) AS nx FROM ct GROUP BY 1, 2, 3),
+my AS (SELECT f, g, yv, sum(o) AS ny FROM ct GROUP BY 1, 2, 3),
+mn AS (SELECT f, g, sum(o) AS n FROM ct GROUP BY 1, 2),
+mi AS (SELECT ct.f, ct.g, sum(o / n * ln(o * n / (nx * ny))) AS mi FROM ct JOIN mx USING (f, g, xv)
+       JOIN my USING (f, g, yv) JOIN mn USING (f, g) GROUP BY ct.f, ct.g)"""
+
+
+def _mrmr_sql(cols, k, scheme, discrete=("n_items",)):
+    """Greedy MRMR as a recursive CTE over MI relevance / redundancy tables."""
+    pairs = [(c, "target") for c in cols] + [(a, g) for i, a in enumerate(cols) for g in cols[i + 1:]]
+    order = " UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS i" for i, c in enumerate(cols))
+    red = "(SELECT avg(r.mi) FROM red r WHERE r.f = x.feature AND list_contains(w.chosen, r.g))"
+    score = f"x.rel / {red}" if scheme == "quotient" else f"x.rel - {red}"
+    pick = (f"(SELECT {{col}} FROM (SELECT x.feature, x.i, CASE WHEN len(w.chosen) = 0 THEN x.rel ELSE {score} END AS sc "
+            f"FROM rel x WHERE NOT list_contains(w.chosen, x.feature)) ORDER BY sc DESC, i LIMIT 1)")
+    return f"""WITH RECURSIVE b AS ({_binned_sql(cols, discrete=discrete)}),
+{_mi_long_sql(pairs)},
+ord AS ({order}),
+rel AS (SELECT mi.f AS feature, ord.i, mi.mi AS rel FROM mi JOIN ord ON ord.feature = mi.f WHERE mi.g = 'target'),
+red AS (SELECT f, g, mi FROM mi WHERE g <> 'target' UNION ALL SELECT g, f, mi FROM mi WHERE g <> 'target'),
+walk(step, chosen, scores) AS (
+  SELECT 0, []::VARCHAR[], []::DOUBLE[]
+  UNION ALL
+  SELECT w.step + 1, list_append(w.chosen, {pick.format(col='feature')}), list_append(w.scores, {pick.format(col='sc')})
+  FROM walk w WHERE w.step < {min(k, len(cols))}),
+fin AS (SELECT chosen, scores FROM walk ORDER BY step DESC LIMIT 1)
+SELECT CAST(generate_subscripts(chosen, 1) AS INTEGER) AS step, unnest(chosen) AS feature, RND(unnest(scores), 6) AS score FROM fin"""
+
+
 def _steps(spark, steps):
     return spark.createDataFrame(steps, "step int, feature string, score double")
 
 
-@query("y08_mrmr_miq")
+@query("y08_mrmr_miq", _mrmr_sql(MI_COLS, 4, "quotient"), views=FT)
 def y08_mrmr_miq(spark, d):
     """MRMR with MI relevance and MI redundancy, quotient (MIQ), k = 4.
     MI on equal-frequency bins; ``n_items`` is discrete."""
     df = view(spark, d, "feat")
     rel = MR.relevance_mi(df, MI_COLS, "target", discrete=["n_items"])
     red = MR.redundancy_mi(df, MI_COLS, discrete=["n_items"])
-    return _steps(spark, MR.mrmr(rel, red, 4, "quotient", MI_COLS))
+    return _steps(spark, MR.mrmr(rel, red, 4, "quotient", MI_COLS)).withColumn("score", S.rnd("score", 6))
 
 
-@query("y09_mrmr_mid_loop")
+@query("y09_mrmr_mid_loop", _mrmr_sql(MI_COLS, 10, "difference"), views=FT)
 def y09_mrmr_mid_loop(spark, d):
     """MRMR difference scheme (MID) looped to k = 10 or all features."""
     df = view(spark, d, "feat")
     rel = MR.relevance_mi(df, MI_COLS, "target", discrete=["n_items"])
     red = MR.redundancy_mi(df, MI_COLS, discrete=["n_items"])
-    return _steps(spark, MR.mrmr(rel, red, 10, "difference", MI_COLS))
+    return _steps(spark, MR.mrmr(rel, red, 10, "difference", MI_COLS)).withColumn("score", S.rnd("score", 6))
 
 
 def _fcq_sql(cols, k=3):

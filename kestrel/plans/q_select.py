@@ -240,13 +240,20 @@ def s01_mutual_info_discrete(spark, d):
 BIN_COLS = ["qty", "noise", "price", "max_disc"]
 
 
-def _binned_sql(cols, q=10):
-    """Equal-frequency bins (inner percentile edges, lowest included), as text."""
+def _bin_expr(c, q=10, table="feat"):
+    """Equal-frequency bin id of ``c`` as SQL: the number of inner cut points
+    below the value; cut points are the distinct inner percentiles strictly
+    between the minimum and the maximum (the deduplicated edges of qcut)."""
     probs = ", ".join(str(i / q) for i in range(1, q))
-    sel = ", ".join(
-        f"len(list_filter((SELECT list_distinct(quantile_cont({c}, [{probs}])) FROM feat), lambda e: e < {c})) AS {c}"
-        for c in cols)
-    return f"SELECT target, {sel} FROM feat"
+    cuts = (f"(SELECT list_filter(list_distinct(quantile_cont({c}, [{probs}])), "
+            f"lambda e: e > min({c}) AND e < max({c})) FROM {table})")
+    return f"len(list_filter({cuts}, lambda e: e < {c}))"
+
+
+def _binned_sql(cols, q=10, keep=("target",), discrete=()):
+    """Equal-frequency bins (inner percentile edges, lowest included), as text."""
+    sel = ", ".join((f"{c}" if c in discrete else f"{_bin_expr(c, q)} AS {c}") for c in cols)
+    return f"SELECT {', '.join(keep)}{', ' if keep else ''}{sel} FROM feat"
 
 
 @query("s02_mutual_info_binned", "WITH b AS (" + _binned_sql(BIN_COLS) + ")\n" + _mi_sql(_ct_sql(BIN_COLS, "b")).replace(
@@ -493,9 +500,7 @@ def f16_group_best_by_forest(spark, d):
     return spark.createDataFrame(rows, "group_id int, best string, members string")
 
 
-@query("s03_mutual_info_regression", "WITH b AS (SELECT " + ", ".join(
-    f"len(list_filter((SELECT list_distinct(quantile_cont({c}, [{', '.join(str(i / 10) for i in range(1, 10))}])) FROM feat), "
-    f"lambda e: e < {c})) AS {c}" for c in ["qty", "noise", "max_disc", "price"]) + " FROM feat)\n"
+@query("s03_mutual_info_regression", "WITH b AS (" + _binned_sql(["qty", "noise", "max_disc", "price"], keep=()) + ")\n"
     + _mi_sql(_ct_sql(["qty", "noise", "max_disc"], "b", "price")).replace("WITH ct AS", ", ct AS", 1), views=FT)
 def s03_mutual_info_regression(spark, d):
     """MI against a continuous target (S3): both sides binned, then S1."""
