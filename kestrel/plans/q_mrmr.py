@@ -28,19 +28,21 @@ mi AS (SELECT ct.f, ct.g, sum(o / n * ln(o * n / (nx * ny))) AS mi FROM ct JOIN
        JOIN my USING (f, g, yv) JOIN mn USING (f, g) GROUP BY ct.f, ct.g)"""
 
 
-def _mrmr_sql(cols, k, scheme, discrete=("n_items",)):
+def _mrmr_sql(cols, k, scheme, discrete=("n_items",), label="target", bin_label=False):
     """Greedy MRMR as a recursive CTE over MI relevance / redundancy tables."""
-    pairs = [(c, "target") for c in cols] + [(a, g) for i, a in enumerate(cols) for g in cols[i + 1:]]
+    pairs = [(c, label) for c in cols] + [(a, g) for i, a in enumerate(cols) for g in cols[i + 1:]]
+    binned = (_binned_sql(cols + [label], keep=(), discrete=discrete) if bin_label
+              else _binned_sql(cols, discrete=discrete, keep=(label,)))
     order = " UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS i" for i, c in enumerate(cols))
     red = "(SELECT avg(r.mi) FROM red r WHERE r.f = x.feature AND list_contains(w.chosen, r.g))"
     score = f"x.rel / {red}" if scheme == "quotient" else f"x.rel - {red}"
     pick = (f"(SELECT {{col}} FROM (SELECT x.feature, x.i, CASE WHEN len(w.chosen) = 0 THEN x.rel ELSE {score} END AS sc "
             f"FROM rel x WHERE NOT list_contains(w.chosen, x.feature)) ORDER BY sc DESC, i LIMIT 1)")
-    return f"""WITH RECURSIVE b AS ({_binned_sql(cols, discrete=discrete)}),
+    return f"""WITH RECURSIVE b AS ({binned}),
 {_mi_long_sql(pairs)},
 ord AS ({order}),
-rel AS (SELECT mi.f AS feature, ord.i, mi.mi AS rel FROM mi JOIN ord ON ord.feature = mi.f WHERE mi.g = 'target'),
-red AS (SELECT f, g, mi FROM mi WHERE g <> 'target' UNION ALL SELECT g, f, mi FROM mi WHERE g <> 'target'),
+rel AS (SELECT mi.f AS feature, ord.i, mi.mi AS rel FROM mi JOIN ord ON ord.feature = mi.f WHERE mi.g = '{label}'),
+red AS (SELECT f, g, mi FROM mi WHERE g <> '{label}' UNION ALL SELECT g, f, mi FROM mi WHERE g <> '{label}'),
 walk(step, chosen, scores) AS (
   SELECT 0, []::VARCHAR[], []::DOUBLE[]
   UNION ALL
@@ -115,7 +117,8 @@ def y11_mrmr_rfcq(spark, d):
     return _steps(spark, MR.mrmr(rel, MR.redundancy_corr(df, MI_COLS), 4, "quotient", MI_COLS))
 
 
-@query("y12_mrmr_subset_discrete")
+@query("y12_mrmr_subset_discrete", _mrmr_sql(["qty", "noise", "max_disc", "priority", "status"], 3, "quotient",
+                                            discrete=("priority", "status"), label="price", bin_label=True), views=FT)
 def y12_mrmr_subset_discrete(spark, d):
     """MRMR on a variable subset with a discrete mask (Y12): MI relevance
     against the continuous price target (regression), ``priority`` and
@@ -126,4 +129,4 @@ def y12_mrmr_subset_discrete(spark, d):
     from kestrel.operators.stats import mutual_info_discrete
     rel = {r["feature"]: r["mi"] for r in mutual_info_discrete(b, cols, "price").collect()}
     red = MR.redundancy_mi(df, cols, discrete=["priority", "status"])
-    return _steps(spark, MR.mrmr(rel, red, 3, "quotient", cols)).withColumn("score", F.col("score"))
+    return _steps(spark, MR.mrmr(rel, red, 3, "quotient", cols)).withColumn("score", S.rnd("score", 6))
