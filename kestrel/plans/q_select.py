@@ -148,7 +148,27 @@ def _order_sql(cols, metric_sql=None, desc=True):
     return f"SELECT feature, CAST(row_number() OVER (ORDER BY coalesce(v, 0) {direction}, i) - 1 AS INTEGER) AS pos FROM ({base})"
 
 
-@query("f11_corr_groups_by_strength")
+def _strength_sql(cols, threshold=0.8):
+    """Oracle for the strongest-pair-first grouping (F11) as a recursive CTE."""
+    nxt = "(SELECT list(DISTINCT a.g) FROM adj a WHERE a.f = e.feature1 AND NOT list_contains(w.seen, a.g))"
+    return f"""WITH RECURSIVE pr AS ({_pairs_sql(cols)}),
+e AS (SELECT feature1, feature2, row_number() OVER (ORDER BY abs(corr) DESC, i1, i2) AS rk FROM pr WHERE abs(corr) > {threshold}),
+adj AS (SELECT feature1 AS f, feature2 AS g FROM e UNION ALL SELECT feature2, feature1 FROM e),
+walk(rk, seen, grp) AS (
+  SELECT 0, []::VARCHAR[], []::VARCHAR[][]
+  UNION ALL
+  SELECT w.rk + 1,
+    CASE WHEN list_contains(w.seen, e.feature1) OR coalesce(len({nxt}), 0) = 0 THEN w.seen
+         ELSE list_concat(w.seen, [e.feature1], {nxt}) END,
+    CASE WHEN list_contains(w.seen, e.feature1) OR coalesce(len({nxt}), 0) = 0 THEN w.grp
+         ELSE list_append(w.grp, list_concat([e.feature1], {nxt})) END
+  FROM walk w JOIN e ON e.rk = w.rk + 1),
+fin AS (SELECT grp FROM walk ORDER BY rk DESC LIMIT 1),
+gs AS (SELECT unnest(grp) AS g, generate_subscripts(grp, 1) AS gi FROM fin)
+{GROUPS_FINAL}"""
+
+
+@query("f11_corr_groups_by_strength", _strength_sql(CORR_COLS), views=FT)
 def f11_corr_groups_by_strength(spark, d):
     """Greedy groups from the strongest pair down (F11); driver walk over the pair table."""
     pairs = ST.corr_pairs(view(spark, d, "feat"), CORR_COLS)
