@@ -477,7 +477,36 @@ def h07_kdd_target_mean_auc(spark, d):
     return out.select("feature", S.rnd("auc", 6).alias("auc"))
 
 
-@query("h08_target_mean_performance")
+def _h08_sql(cats, nums, folds=3, bins=5):
+    probs = ", ".join(str(i / bins) for i in range(bins + 1))
+    fold = "CAST(CAST(('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) % 1073741824 % {k} AS INTEGER)".format(k=folds)
+    edges = ", ".join(f"list_sort(list_distinct(quantile_cont({c}, [{probs}]) FILTER (WHERE fold <> k))) AS e_{c}" for c in nums)
+    tr_bin = lambda c: f"len(list_filter(e_{c}[2:len(e_{c}) - 1], lambda v: v < {c}))"
+    te_bin = lambda c: (f"CASE WHEN {c} IS NULL OR {c} <= e_{c}[1] OR {c} > e_{c}[len(e_{c})] THEN 0 "
+                        f"ELSE len(list_filter(e_{c}[2:len(e_{c}) - 1], lambda v: v < {c})) END")
+
+    def long(side):
+        parts = [f"SELECT k, id, target, '{c}' AS feature, CAST({c} AS VARCHAR) AS value FROM {side}" for c in cats]
+        parts += [f"SELECT k, id, target, '{c}' AS feature, CAST({c}_b AS VARCHAR) AS value FROM {side}" for c in nums]
+        return " UNION ALL ".join(parts)
+    trb = ", ".join(f"{tr_bin(c)} AS {c}_b" for c in nums)
+    teb = ", ".join(f"{te_bin(c)} AS {c}_b" for c in nums)
+    return f"""WITH f AS (SELECT *, {fold} AS fold FROM people),
+ks AS (SELECT unnest(range({folds})) AS k),
+ed AS (SELECT k, {edges} FROM f, ks GROUP BY k),
+tr AS (SELECT f.*, ed.k, {trb} FROM f JOIN ed ON f.fold <> ed.k),
+te AS (SELECT f.*, ed.k, {teb} FROM f JOIN ed ON f.fold = ed.k),
+m AS (SELECT k, feature, value, avg(target) AS tm FROM ({long('tr')}) GROUP BY 1, 2, 3),
+sc AS (SELECT l.k, l.feature, m.tm AS score, l.target FROM ({long('te')}) l
+       JOIN m ON m.k = l.k AND m.feature = l.feature AND m.value = l.value),
+g AS (SELECT k, feature, score, sum(target) AS pos, sum(1 - target) AS neg FROM sc WHERE score IS NOT NULL GROUP BY 1, 2, 3),
+r AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY k, feature ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+auc AS (SELECT k, feature, sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc FROM r GROUP BY 1, 2),
+per AS (SELECT feature, avg(auc) AS auc_mean, stddev_samp(auc) AS auc_std FROM auc GROUP BY feature)
+SELECT feature, RND(auc_mean, 6) AS auc_mean, RND(auc_std, 6) AS auc_std, auc_mean > (SELECT avg(auc_mean) FROM per) AS keep FROM per"""
+
+
+@query("h08_target_mean_performance", _h08_sql(KDD_COLS, ["fare", "balance"]), views=P)
 def h08_target_mean_performance(spark, d):
     """``SelectByTargetMeanPerformance(bins=5, cv=3)`` over categorical and
     binned numeric columns (H8)."""
