@@ -50,11 +50,12 @@ def fill_mean(df: DataFrame, cols) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(means[c])) for c in cols})
 
 
-def fill_median(df: DataFrame, cols, exact: bool = True) -> DataFrame:
-    """``fillna(median)`` (B11).  Exact percentile (interpolated like pandas);
-    ``exact=False`` uses ``percentile_approx`` for very large tables."""
-    f = (lambda c: F.percentile(c, 0.5)) if exact else (lambda c: F.percentile_approx(c, 0.5, 10000))
-    med = df.agg(*[f(c).alias(c) for c in cols]).first().asDict()
+def fill_median(df: DataFrame, cols, exact: bool | None = None) -> DataFrame:
+    """``fillna(median)`` (B11).  Exact interpolated median (like pandas)
+    while the column's distinct values are bounded, ``percentile_approx``
+    beyond (see :func:`kestrel.operators.stats.quantiles`)."""
+    from kestrel.operators.stats import quantiles
+    med = {c: v[0] for c, v in quantiles(df, cols, [0.5], exact).items()}
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(med[c]).cast(df.schema[c].dataType)) for c in cols})
 
 

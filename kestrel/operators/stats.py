@@ -316,23 +316,49 @@ def mutual_info_discrete(df: DataFrame, cols, label: str) -> DataFrame:
     return j.groupBy("feature").agg(F.sum(term).alias("mi"))
 
 
-def quantile_edges(df: DataFrame, cols, q: int = 10, exact: bool = True) -> dict[str, list[float]]:
+# Exact percentiles keep a value -> count map per column, so their memory
+# grows with the number of DISTINCT values; above this bound the
+# fixed-size sketch of ``percentile_approx`` is used instead.
+MAX_EXACT_DISTINCT = 2_000_000
+APPROX_ACCURACY = 1_000_000
+
+
+def quantile_exprs(df: DataFrame, cols, probs, exact: bool | None = None) -> dict:
+    """One ``Column`` per column giving the array of quantiles at ``probs``.
+
+    ``exact=None`` decides per column from ``approx_count_distinct`` (one
+    cheap pass): exact, interpolated like pandas / DuckDB ``quantile_cont``,
+    while the distinct values are bounded, ``percentile_approx`` otherwise.
+    """
+    cols = list(cols)
+    if exact is None:
+        nd = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first().asDict()
+        use_exact = {c: (nd[c] or 0) <= MAX_EXACT_DISTINCT for c in cols}
+    else:
+        use_exact = {c: exact for c in cols}
+    arr = F.array(*[F.lit(float(p)) for p in probs])
+    return {c: (F.percentile(F.col(c).cast("double"), arr) if use_exact[c]
+                else F.percentile_approx(F.col(c).cast("double"), arr, APPROX_ACCURACY)) for c in cols}
+
+
+def quantiles(df: DataFrame, cols, probs, exact: bool | None = None) -> dict[str, list]:
+    """{column: [quantile per prob]} from one aggregate (size-checked exactness)."""
+    ex = quantile_exprs(df, cols, probs, exact)
+    row = df.agg(*[e.alias(c) for c, e in ex.items()]).first()
+    return {c: list(row[c] or []) for c in cols}
+
+
+def quantile_edges(df: DataFrame, cols, q: int = 10, exact: bool | None = None) -> dict[str, list[float]]:
     """Equal-frequency bin edges per column, duplicates dropped (H4, ``qcut``).
 
-    Exact ``percentile`` (interpolated like pandas) by default; the result is
-    (q + 1) numbers per column, so it is safe on the driver.
+    (q + 1) numbers per column reach the driver.
     """
     probs = [i / q for i in range(q + 1)]
-    if exact:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(c)
-                       for c in cols]).first()
-    else:
-        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 10000).alias(c) for c in cols]).first()
+    vals = quantiles(df, cols, probs, exact)
     out = {}
     for c in cols:
-        vals = row[c] or []
         edges = []
-        for v in vals:
+        for v in vals[c]:
             if v is not None and (not edges or v > edges[-1]):
                 edges.append(float(v))
         out[c] = edges

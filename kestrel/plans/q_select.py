@@ -430,7 +430,7 @@ def h03_mean_encoding(spark, d):
 def h04_quantile_edges(spark, d):
     """``qcut(q=10, retbins=True)`` edges (H4), exact interpolated percentiles."""
     df = view(spark, d, "feat")
-    row = df.agg(F.percentile("qty", F.array(*[F.lit(i / 10) for i in range(11)])).alias("e"))
+    row = df.agg(ST.quantile_exprs(df, ["qty"], [i / 10 for i in range(11)])["qty"].alias("e"))
     return row.select(*[S.rnd(F.col("e")[i], 6).alias(f"q{i}") for i in range(11)])
 
 
