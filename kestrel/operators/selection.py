@@ -23,9 +23,20 @@ def constant_by_std(df: DataFrame, cols) -> DataFrame:
 
 def constant_by_distinct(df: DataFrame, cols, dropna: bool = True) -> DataFrame:
     """Features with a single distinct value (F2): ``nunique() == 1``.
-    With ``dropna=False`` a null counts as a value (``nunique(dropna=False)``)."""
-    fs = ST.frequency_summary(df, cols, dropna=dropna)
-    return fs.where(F.col("n_distinct") == 1).select("feature")
+    With ``dropna=False`` a null counts as a value (``nunique(dropna=False)``).
+
+    Decided from one aggregate of min, max and null count per column
+    (nunique == 1 exactly when min == max), so no value table is built.
+    """
+    def stats(c):
+        return [F.min(c).cast("string").alias(f"lo__{c}"), F.max(c).cast("string").alias(f"hi__{c}"),
+                F.count_if(F.col(c).isNull()).alias(f"nn__{c}"), F.count(F.lit(1)).alias(f"n__{c}")]
+    parts = [ST._long_from_row(df.agg(*[e for c in chunk for e in stats(c)]), chunk, ["lo", "hi", "nn", "n"])
+             for chunk in ST._chunks(cols, 25)]
+    t = ST._union(parts)
+    one_value = (F.col("lo") == F.col("hi"))
+    cond = one_value if dropna else ((one_value & (F.col("nn") == 0)) | (F.col("nn") == F.col("n")))
+    return t.where(cond).select("feature")
 
 
 def variance_threshold(df: DataFrame, cols, threshold: float = 0.0) -> DataFrame:
