@@ -175,11 +175,20 @@ def subsets(cols, min_k: int, max_k: int):
         yield from itertools.combinations(cols, k)
 
 
+DRIVER_SUBSETS = 5000
+
+
 def exhaustive_scores(spark, g: GramStats, min_k: int, max_k: int, cv: bool = False) -> DataFrame:
     """Exhaustive search (X5): every subset of size min_k..max_k as a row of a
     DataFrame, scored in ``mapInPandas`` against the broadcast sums."""
     rows = [(",".join(sub), len(sub)) for sub in subsets(g.cols, min_k, max_k)]
-    sdf = spark.createDataFrame(rows, "subset string, k int")
+    if len(rows) <= DRIVER_SUBSETS:
+        # A few thousand small solves take milliseconds on the driver; no
+        # Python workers needed.
+        f = score_fn(g, cv)
+        return spark.createDataFrame([(s_, k, f(s_.split(","))) for s_, k in rows], "subset string, k int, r2 double")
+    sdf = spark.createDataFrame(rows, "subset string, k int").repartition(
+        max(1, len(rows) // DRIVER_SUBSETS))
     bc = spark.sparkContext.broadcast((g.cols, g.n, g.s, g.P, g.mu))
 
     def score(it):

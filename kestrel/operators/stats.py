@@ -46,8 +46,9 @@ def column_moments(df: DataFrame, cols) -> DataFrame:
     """
     stats = ["n_rows", "n_null", "mean", "std", "var", "var_pop", "min", "max"]
     parts = []
-    per_chunk = max(1, CHUNK // len(stats))
-    for chunk in _chunks(cols, per_chunk):
+    # ~15 buffer fields per column: 6 columns per aggregate stay in codegen;
+    # each aggregate reads only its own columns from a columnar scan.
+    for chunk in _chunks(cols, 6):
         exprs = []
         for c in chunk:
             x = F.col(c).cast("double")
@@ -108,20 +109,27 @@ def pearson(x, y) -> Column:
     return F.try_divide(F.covar_samp(xm, ym), F.stddev_samp(xm) * F.stddev_samp(ym))
 
 
+# Per-pair aggregates carry ~10 buffer fields; 9 pairs per aggregate keep the
+# partial aggregation inside whole-stage codegen (``spark.sql.codegen.maxFields``).
+PAIRS_PER_AGG = 9
+PAIRWISE_MAX_COLS = 4
+
+
 def corr_pairs(df: DataFrame, cols, method: str = "auto") -> DataFrame:
     """(feature1, feature2, i1, i2, corr) for every pair i1 < i2 in column order.
 
     ``method='pairwise'``: ``covar/std`` per pair on rows where both are
-    present (pandas ``corr()``), chunked aggregates.  ``'gram'``: one pass of
-    ``ml.stat.Correlation`` over assembled vectors (no nulls allowed), then a
-    p x p matrix on the driver.  ``'auto'`` picks gram for > 40 columns
-    without nulls.
+    present (pandas ``corr()``), aggregates of 9 pairs.  ``'gram'``: one pass
+    of ``ml.stat.Correlation`` over assembled vectors (no nulls allowed).
+    ``'masked'``: one pass of per-task numpy partial sums with a presence
+    mask (pairwise-complete, nulls allowed).  ``'auto'``: pairwise for up to
+    4 columns, otherwise gram without nulls and masked with nulls.
     """
     cols = list(cols)
     spark = df.sparkSession
     if method == "auto":
         method = "pairwise"
-        if len(cols) > 40:
+        if len(cols) > PAIRWISE_MAX_COLS:
             nulls = df.agg(*[F.count_if(F.col(c).isNull()) for c in cols]).first()
             method = "gram" if sum(nulls) == 0 else "masked"
     if method == "masked":
@@ -136,7 +144,7 @@ def corr_pairs(df: DataFrame, cols, method: str = "auto") -> DataFrame:
         return spark.createDataFrame(rows, "feature1 string, feature2 string, i1 int, i2 int, corr double")
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     parts = []
-    for chunk in _chunks(pairs):
+    for chunk in _chunks(pairs, PAIRS_PER_AGG):
         wide = df.agg(*[pearson(cols[i], cols[j]).alias(f"corr__{i}_{j}") for i, j in chunk])
         parts.append(wide.select(F.explode(F.array(*[
             F.struct(F.lit(cols[i]).alias("feature1"), F.lit(cols[j]).alias("feature2"), F.lit(i).alias("i1"),
@@ -201,7 +209,7 @@ def _corr_pairs_masked(df: DataFrame, cols) -> DataFrame:
 def corr_with(df: DataFrame, cols, target: str) -> DataFrame:
     """(feature, corr) of each column with one column."""
     parts = []
-    for chunk in _chunks(cols):
+    for chunk in _chunks(cols, PAIRS_PER_AGG):
         wide = df.agg(*[pearson(c, target).alias(f"corr__{c}") for c in chunk])
         parts.append(_long_from_row(wide, chunk, ["corr"]))
     return _union(parts)
@@ -247,7 +255,7 @@ def f_regression(df: DataFrame, cols, target: str) -> DataFrame:
     """F statistic of a univariate linear fit per feature (S7):
     F = r^2 / (1 - r^2) * (n - 2), n = rows with both values present."""
     parts = []
-    for chunk in _chunks(cols, CHUNK // 2):
+    for chunk in _chunks(cols, PAIRS_PER_AGG - 1):
         exprs = []
         for c in chunk:
             exprs += [pearson(c, target).alias(f"r__{c}"),
