@@ -266,6 +266,15 @@ def f_regression(df: DataFrame, cols, target: str) -> DataFrame:
                                 (F.try_divide(r2, 1 - r2) * (F.col("n") - 2)).alias("f"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Materialise a small derived table that several branches reuse (a
+    contingency table has one row per (feature, value, label)), as a reliable
+    checkpoint: the big input is scanned once and the lineage is cut."""
+    from kestrel.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def contingency(df: DataFrame, cols, label: str) -> DataFrame:
     """(feature, value, label, count) long contingency table."""
     proj = df.select(F.col(label).alias("_klabel"), *[F.col(c).cast("string").alias(c) for c in cols])
@@ -294,7 +303,7 @@ def chi_square(df: DataFrame, cols, label: str) -> DataFrame:
     plain statistic; the Yates form (2 x 2 tables only) gets its at most
     four cells from the margins.
     """
-    cells = _observed_cells(contingency(df, cols, label))
+    cells = _observed_cells(_small(contingency(df, cols, label)))
     d = F.abs(F.col("o") - F.col("e"))
     plain = cells.groupBy("feature").agg(
         (F.sum(d * d / F.col("e")) + F.first("n") - F.sum("e")).alias("chi2"),
@@ -315,7 +324,7 @@ def chi_square(df: DataFrame, cols, label: str) -> DataFrame:
 def mutual_info_discrete(df: DataFrame, cols, label: str) -> DataFrame:
     """Mutual information (nats) between discrete features and a class (S1):
     sum p(x,y) ln(p(x,y) / (p(x) p(y)))."""
-    ct = contingency(df, cols, label)
+    ct = _small(contingency(df, cols, label))
     rows = ct.groupBy("feature", "value").agg(F.sum("count").alias("nx"))
     colm = ct.groupBy("feature", "label").agg(F.sum("count").alias("ny"))
     tot = ct.groupBy("feature").agg(F.sum("count").alias("n"))
