@@ -292,7 +292,9 @@ def l04_boosting_early_stopping(spark, d):
     80/20 split."""
     from kestrel.operators.ordering import first_n
     df = first_n(_metrics_frame(spark, d), ["timestamp", "key"], fraction=0.8, flag="is_train")
-    tr = df.where("is_train").withColumn("is_val", F.col("key") % 5 == 0)
+    # evaluation set: a repeatable 20 % hash sample of the training period
+    from kestrel.operators.sampling import hash_bucket
+    tr = df.where("is_train").withColumn("is_val", hash_bucket("key", 7) < 20)
     te = df.where(~F.col("is_train"))
     est = ML.estimator("gbt_reg", "cpuUsage", maxIter=30, maxDepth=3, validationIndicatorCol="is_val",
                        validationTol=0.01)

@@ -321,13 +321,14 @@ def t07_last_n(spark, d):
 
 # --- 2.8 set operations and reshaping ----------------------------------------------------
 
-@query("u01_union", """SELECT 'train' AS part, key, cpuUsage, NULL AS prediction FROM metrics WHERE key % 2 = 0
-UNION ALL SELECT 'test', key, cpuUsage, cpuUsage * 1.2 FROM metrics WHERE key % 2 = 1""", views=M)
+@query("u01_union", f"""SELECT 'train' AS part, key, cpuUsage, NULL AS prediction FROM metrics WHERE NOT ({SPLIT.format(k='key')} < 20)
+UNION ALL SELECT 'test', key, cpuUsage, cpuUsage * 1.2 FROM metrics WHERE {SPLIT.format(k='key')} < 20""", views=M)
 def u01_union(spark, d):
-    df = view(spark, d, "metrics")
-    a = df.where(F.col("key") % 2 == 0).select(F.lit("train").alias("part"), "key", "cpuUsage")
-    b = df.where(F.col("key") % 2 == 1).select(F.lit("test").alias("part"), "key", "cpuUsage",
-                                                (F.col("cpuUsage") * 1.2).alias("prediction"))
+    """``pd.concat(ignore_index=True)`` of a train part and a scored test
+    part (U1); columns missing on one side become null."""
+    tr, te = SP.split_frames(view(spark, d, "metrics"), "key", 20)
+    a = tr.select(F.lit("train").alias("part"), "key", "cpuUsage")
+    b = te.select(F.lit("test").alias("part"), "key", "cpuUsage", (F.col("cpuUsage") * 1.2).alias("prediction"))
     return RS.union_all([a, b])
 
 
