@@ -142,3 +142,37 @@ def arima111_forecast(df: DataFrame, key: str, ts: str, tie: str, y: str, steps:
     ph = F.col("phi")
     growth = F.when(F.abs(ph) < 1e-12, F.lit(1.0)).otherwise((1 - F.pow(ph, F.col("step"))) / (1 - ph))
     return fc.select(key, "step", "tsT", "yT", "phi", "theta", (F.col("yT") + w1 * growth).alias("forecast"))
+
+
+def last_step_micros(df: DataFrame, key: str, ts: str, tie: str, default_micros: int = 86_400_000_000) -> DataFrame:
+    """(key, step_us): gap between the last two samples per key, one day when
+    a key has a single sample (W6).  Two plain aggregates, no window."""
+    us = epoch_micros(ts)
+    last = df.groupBy(key).agg(F.max_by(F.struct(us.alias("u"), F.col(tie).alias("t")),
+                                        F.struct(us, F.col(tie))).alias("l"))
+    prev = (df.join(last, key).where(F.struct(us, F.col(tie)) < F.struct(F.col("l.u"), F.col("l.t")))
+            .groupBy(key).agg(F.max(us).alias("p")))
+    return last.join(prev, key, "left").select(
+        key, F.coalesce(F.col("l.u") - F.col("p"), F.lit(default_micros)).cast("long").alias("step_us"))
+
+
+def forecast_requests(df: DataFrame, key: str, ts: str, tie: str, resources: dict, steps: int = 5) -> DataFrame:
+    """Per-key ARIMA(1,1,1) forecasts of several series (R8): for each
+    resource ``{name: (series, usage, request)}`` the ``steps`` forecasts at
+    ``last timestamp + h * last gap`` with the last usage, request and
+    series value of the key."""
+    gaps = last_step_micros(df, key, ts, tie)
+    lastrow = df.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for r in resources.values() for c in r], F.col(ts)),
+                                           F.struct(ts, tie)).alias("lr"))
+    parts = []
+    for name, (series, usage, request) in resources.items():
+        fc = arima111_forecast(df, key, ts, tie, series, steps)
+        parts.append(
+            fc.join(gaps, key).join(lastrow, key).select(
+                key, F.lit(name).alias("resource"), "step",
+                F.timestamp_add("MICROSECOND", F.col("step_us") * F.col("step"), F.col("tsT")).alias("forecast_timestamp"),
+                F.col("forecast").alias("forecasted_value"), F.col(f"lr.{usage}").alias("last_usage"),
+                F.col(f"lr.{request}").alias("last_request"), F.col(f"lr.{series}").alias("last_predicted"),
+                F.col("tsT").alias("last_actual_timestamp"), "phi", "theta"))
+    from functools import reduce
+    return reduce(lambda a, b: a.unionByName(b), parts)

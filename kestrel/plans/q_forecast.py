@@ -52,11 +52,18 @@ def r07_rows_by_deployment(spark, d):
 
 @query("r08_arima_forecast")
 def r08_arima_forecast(spark, d):
-    """5-step ARIMA(1,1,1) forecasts of cpu usage per deployment."""
-    df = view(spark, d, "metrics")
-    out = FC.arima111_forecast(df, "deployment", "collectionTimestamp", "key", "cpuUsage", steps=5)
-    return out.select("deployment", "step", "tsT", S.rnd("yT", 6).alias("last_usage"), S.rnd("phi", 6).alias("phi"),
-                      S.rnd("theta", 6).alias("theta"), S.rnd("forecast", 6).alias("forecast"))
+    """5-step ARIMA(1,1,1) forecasts of the predicted cpu and memory requests
+    per deployment (R8), stamped at last timestamp + h * last gap, with the
+    last usage / request / prediction of the deployment."""
+    dep = view(spark, d, "metrics").select("key", "deployment", "collectionTimestamp")
+    rows = recommended(spark, d).join(dep, "key")
+    out = FC.forecast_requests(rows, "deployment", "collectionTimestamp", "key", {
+        "cpu": ("cpuRequest_predicted", "cpuUsage", "cpuRequest"),
+        "memory": ("memRequest_predicted", "memUsage", "memRequest")}, steps=5)
+    return out.select("deployment", "resource", "step", "forecast_timestamp",
+                      S.rnd("forecasted_value", 6).alias("forecasted_value"), "last_usage", "last_request",
+                      "last_predicted", "last_actual_timestamp", S.rnd("phi", 6).alias("phi"),
+                      S.rnd("theta", 6).alias("theta"))
 
 
 R9_SQL = """WITH base AS (SELECT controllerName AS k, collectionTimestamp AS ts, cpuUsage AS y FROM metrics WHERE cpuUsage IS NOT NULL),
