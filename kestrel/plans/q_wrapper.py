@@ -122,3 +122,43 @@ def l05_linear_regression(spark, d):
     c = LN.coefficients(g)
     return spark.createDataFrame([(c["p_size"], c["intercept"])], "slope double, intercept double").select(
         S.rnd("slope", 6).alias("slope"), S.rnd("intercept", 6).alias("intercept"))
+
+
+def _cv_subset_sql(cols, y, folds=3, seed=1):
+    """Held-out R^2 per subset of size 1-2, averaged over hash folds, with the
+    OLS fit of each training part written out in closed form (oracle for
+    ``x05c``)."""
+    fold = (f"CAST(CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || ':{seed}'), 1, 8)) AS BIGINT) "
+            f"% 1073741824 % {folds} AS INTEGER)")
+    names = list(cols) + [y]
+    mom = [f"avg({c}) AS m_{c}" for c in names]
+    mom += [f"covar_pop({a}, {b}) AS c_{a}_{b}" for i, a in enumerate(names) for b in names[i:]]
+    subsets = [(c,) for c in cols] + [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    preds = []
+    for sub in subsets:
+        if len(sub) == 1:
+            a = sub[0]
+            b1 = f"(t.c_{a}_{y} / t.c_{a}_{a})"
+            pred = f"(t.m_{y} + {b1} * (f.{a} - t.m_{a}))"
+        else:
+            a, b = sub
+            det = f"(t.c_{a}_{a} * t.c_{b}_{b} - t.c_{a}_{b} * t.c_{a}_{b})"
+            ba = f"((t.c_{a}_{y} * t.c_{b}_{b} - t.c_{b}_{y} * t.c_{a}_{b}) / {det})"
+            bb = f"((t.c_{b}_{y} * t.c_{a}_{a} - t.c_{a}_{y} * t.c_{a}_{b}) / {det})"
+            pred = f"(t.m_{y} + {ba} * (f.{a} - t.m_{a}) + {bb} * (f.{b} - t.m_{b}))"
+        preds.append(f"SELECT t.k, '{','.join(sub)}' AS subset, {len(sub)} AS k_size, "
+                     f"1 - sum((f.{y} - {pred}) * (f.{y} - {pred})) / (var_pop(f.{y}) * count(*)) AS r2 "
+                     f"FROM f JOIN t ON f.fold = t.k GROUP BY t.k")
+    return f"""WITH f AS (SELECT *, {fold} AS fold FROM feat),
+ks AS (SELECT unnest(range({folds})) AS k),
+t AS (SELECT ks.k, {', '.join(mom)} FROM f JOIN ks ON f.fold <> ks.k GROUP BY ks.k),
+s AS ({' UNION ALL '.join(preds)})
+SELECT subset, k_size AS k, RND(avg(r2), 6) AS r2 FROM s GROUP BY subset, k_size"""
+
+
+@query("x05c_exhaustive_cv_k2", _cv_subset_sql(WRAP_COLS, TARGET), views=FT)
+def x05c_exhaustive_cv_k2(spark, d):
+    """Exhaustive search over sizes 1-2 scored by 3-fold held-out R^2 from the
+    fold-wise Gram sums (X5 with cv)."""
+    g = _cv_gram(spark, d)
+    return LN.exhaustive_scores(spark, g, 1, 2, cv=True).select("subset", "k", S.rnd("r2", 6).alias("r2"))
