@@ -99,9 +99,10 @@ def arima111_forecast(df: DataFrame, key: str, ts: str, tie: str, y: str, steps:
     p = ar_order
     base = df.select(key, ts, tie, F.col(y).cast("double").alias("_ky")).where(F.col("_ky").isNotNull())
     counts = base.groupBy(key).agg(F.count(F.lit(1)).alias("_kn"))
+    largest = int(counts.agg(F.max("_kn")).first()[0] or 0)      # one small job decides both passes
     base = base.join(counts.where(F.col("_kn") >= min_points), key)
-    dif = lags(base, key, [ts, tie], ["_ky"], 1).withColumn("w", F.col("_ky") - F.col("_ky_lag1")).drop(IDX)
-    lw = lags(dif, key, [ts, tie], ["w"], p + 1)
+    dif = lags(base, key, [ts, tie], ["_ky"], 1, largest=largest).withColumn("w", F.col("_ky") - F.col("_ky_lag1")).drop(IDX)
+    lw = lags(dif, key, [ts, tie], ["w"], p + 1, largest=largest)
     g = lw.groupBy(key).agg(*[F.sum(F.col("w") * (F.col("w") if k == 0 else F.col(f"w_lag{k}"))).alias(f"g{k}")
                               for k in range(p + 1)])
 
@@ -161,6 +162,12 @@ def forecast_requests(df: DataFrame, key: str, ts: str, tie: str, resources: dic
     resource ``{name: (series, usage, request)}`` the ``steps`` forecasts at
     ``last timestamp + h * last gap`` with the last usage, request and
     series value of the key."""
+    from kestrel.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    used = [key, ts, tie] + list(dict.fromkeys(c for r in resources.values() for c in r))
+    # The series feed several per-key jobs: materialise the projected input
+    # once (reliable checkpoint) instead of recomputing its lineage each time.
+    df = df.select(*used).checkpoint(eager=True)
     gaps = last_step_micros(df, key, ts, tie)
     lastrow = df.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for r in resources.values() for c in r], F.col(ts)),
                                            F.struct(ts, tie)).alias("lr"))

@@ -189,11 +189,15 @@ def first_n(df: DataFrame, order_by, n: int | None = None, fraction: float | Non
 
 
 def lags(df: DataFrame, partition_by, order_by, cols, max_lag: int,
-         block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+         block_rows: int = DEFAULT_BLOCK_ROWS, largest: int | None = None) -> DataFrame:
     """``c_lag1 .. c_lag<max_lag>`` for each column in one indexed pass
-    (halo of ``max_lag`` rows per block), skew-safe like :func:`rolling`."""
+    (halo of ``max_lag`` rows per block), skew-safe like :func:`rolling`.
+    ``largest`` (rows of the biggest partition) skips the size-check job when
+    the caller already knows it."""
     parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
-    if _fits_one_task(df, parts, block_rows):
+    fits = (largest <= min(max_task_rows(df.sparkSession), block_rows)) if largest is not None else \
+        _fits_one_task(df, parts, block_rows)
+    if fits:
         w = Window.partitionBy(*parts).orderBy(*_cols(order_by))
         return df.select("*", *[F.lag(c, k).over(w).alias(f"{c}_lag{k}") for c in cols for k in range(1, max_lag + 1)])
     order = _cols(parts) + _cols(order_by)
