@@ -49,32 +49,15 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+ROWS_PER_RANGE_PARTITION = 2_000_000
 
 
 def range_partitions(df: DataFrame) -> int:
     """Range-shuffle width: at least ``spark.sql.shuffle.partitions``, more
-    when the optimizer's size estimate says partitions would exceed about
-    256 MB (AQE does not split range partitions by itself)."""
-    spark = df.sparkSession
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(max(base, -(-input_bytes(df) // TARGET_PARTITION_BYTES)), 200_000))
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the scanned relations under ``df`` (leaf statistics only:
-    join estimates without CBO are products and unusable; unknown leaves
-    count as 0)."""
-    total = 0
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        for i in range(leaves.size()):
-            size = int(str(leaves.apply(i).stats().sizeInBytes()))
-            if size < (1 << 62):
-                total += size
-    except Exception:  # noqa: BLE001 - statistics are an optimisation only
-        return 0
-    return total
+    when that would put over ~2M rows in a partition (AQE does not split
+    range partitions by itself).  Costs one count."""
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return int(min(max(base, -(-df.count() // ROWS_PER_RANGE_PARTITION)), 200_000))
 
 
 def with_global_index(df: DataFrame, order_by, idx_col: str = IDX,
