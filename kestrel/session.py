@@ -20,6 +20,12 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Shuffle partitions are sized at run time by AQE (coalesced towards
+    # 128 MB, skewed ones split); scans read 256 MB splits.  Set
+    # spark.sql.shuffle.partitions high (e.g. 2-3x the cluster's cores or
+    # input bytes / 128 MB) and let AQE coalesce.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Checkpoint files of dropped DataFrames are removed by the context cleaner.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
