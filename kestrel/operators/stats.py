@@ -323,14 +323,18 @@ def chi_square(df: DataFrame, cols, label: str) -> DataFrame:
 
 def mutual_info_discrete(df: DataFrame, cols, label: str) -> DataFrame:
     """Mutual information (nats) between discrete features and a class (S1):
-    sum p(x,y) ln(p(x,y) / (p(x) p(y)))."""
+    sum p(x,y) ln(p(x,y) / (p(x) p(y))), computed as
+    (sum o ln o - sum n_x ln n_x - sum n_y ln n_y) / n + ln n from the
+    contingency table and its margins (no cell-level joins)."""
     ct = _small(contingency(df, cols, label))
-    rows = ct.groupBy("feature", "value").agg(F.sum("count").alias("nx"))
-    colm = ct.groupBy("feature", "label").agg(F.sum("count").alias("ny"))
-    tot = ct.groupBy("feature").agg(F.sum("count").alias("n"))
-    j = ct.join(rows, ["feature", "value"]).join(colm, ["feature", "label"]).join(tot, "feature")
-    term = F.col("count") / F.col("n") * F.log(F.col("count") * F.col("n") / (F.col("nx") * F.col("ny")))
-    return j.groupBy("feature").agg(F.sum(term).alias("mi"))
+    xlogx = lambda c: F.col(c) * F.log(F.col(c))
+    cells = ct.groupBy("feature").agg(F.sum(xlogx("count")).alias("a"), F.sum("count").alias("n"))
+    rows = (ct.groupBy("feature", "value").agg(F.sum("count").alias("nx"))
+            .groupBy("feature").agg(F.sum(xlogx("nx")).alias("b")))
+    colm = (ct.groupBy("feature", "label").agg(F.sum("count").alias("ny"))
+            .groupBy("feature").agg(F.sum(xlogx("ny")).alias("c")))
+    j = cells.join(rows, "feature").join(colm, "feature")
+    return j.select("feature", ((F.col("a") - F.col("b") - F.col("c")) / F.col("n") + F.log("n")).alias("mi"))
 
 
 # Exact percentiles keep a value -> count map per column, so their memory
