@@ -20,9 +20,11 @@ PART_COLS = "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice"
 
 # --- 2.1 scans and sinks ----------------------------------------------------------
 
-@query("a01_csv_scan", f"SELECT {PART_COLS} FROM part")
+@query("a01_csv_scan", "SELECT CAST(p_partkey AS INTEGER) AS p_partkey, p_name, p_brand, p_type, p_size, p_retailprice "
+       "FROM part")
 def a01_csv_scan(spark, d):
-    """Write ``part`` as CSV, read it back with header and inferred types."""
+    """Write ``part`` as CSV, read it back with header and inferred types
+    (small keys infer as int, like pandas' narrowest fitting integer)."""
     path = IO.write_csv(table(spark, d, "part"), IO.scratch_path(spark, "a01"))
     return IO.read_csv(spark, path).select(*[c.strip() for c in PART_COLS.split(",")])
 
@@ -150,11 +152,12 @@ def b12_null_counts(spark, d):
 
 
 @query("b13_cast", """SELECT id, CAST(nation AS DOUBLE) AS nation_f, CAST(target AS VARCHAR) AS target_s,
- TRY_CAST(cabin AS INTEGER) AS cabin_i FROM people""", views=P)
+ TRY_CAST(substr(priority, 1, 1) AS INTEGER) AS priority_i FROM people""", views=P)
 def b13_cast(spark, d):
+    """``astype`` casts; ``try_cast`` is ``errors='coerce'`` (bad text -> null)."""
     df = view(spark, d, "people")
     return df.select("id", F.col("nation").cast("double").alias("nation_f"), F.col("target").cast("string").alias("target_s"),
-                     F.expr("try_cast(cabin AS INT)").alias("cabin_i"))
+                     F.expr("try_cast(substr(priority, 1, 1) AS INT)").alias("priority_i"))
 
 
 @query("b14_strip_timezone", "SELECT o_orderkey, o_orderdate AS orderdate FROM orders")
