@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 IDX = "_kidx"
 DEFAULT_BLOCK_ROWS = 1 << 20
+MAX_BLOCKS = 10_000
 # Largest window partition allowed in one task before the block/halo form is
 # used.  Override with the session conf ``kestrel.window.maxTaskRows``.
 DEFAULT_MAX_TASK_ROWS = 20_000_000
@@ -52,16 +53,17 @@ def _cols(cols) -> list[Column]:
 ROWS_PER_RANGE_PARTITION = 2_000_000
 
 
-def range_partitions(df: DataFrame) -> int:
+def range_partitions(df: DataFrame, rows: int | None = None) -> int:
     """Range-shuffle width: at least ``spark.sql.shuffle.partitions``, more
     when that would put over ~2M rows in a partition (AQE does not split
-    range partitions by itself).  Costs one count."""
+    range partitions by itself).  Costs one count unless ``rows`` is given."""
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(max(base, -(-df.count() // ROWS_PER_RANGE_PARTITION)), 200_000))
+    rows = df.count() if rows is None else rows
+    return int(min(max(base, -(-rows // ROWS_PER_RANGE_PARTITION)), 200_000))
 
 
 def with_global_index(df: DataFrame, order_by, idx_col: str = IDX,
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, rows: int | None = None) -> DataFrame:
     """Add a 0-based position of each row in the total order ``order_by``.
 
     ``order_by`` must be a unique key (add a tie-break column); columns may be
@@ -75,7 +77,7 @@ def with_global_index(df: DataFrame, order_by, idx_col: str = IDX,
     from kestrel.session import ensure_checkpoint_dir
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or range_partitions(df)
+    n = num_partitions or range_partitions(df, rows)
     order = _cols(order_by)
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
     pid = F.spark_partition_id()
@@ -144,7 +146,10 @@ def running_sum(df: DataFrame, order_by, col: str, out: str,
     Block totals (one row per block) are prefix-summed and broadcast; inside a
     block a bounded window adds the running part.
     """
-    indexed = with_global_index(df, order_by).withColumn("_kblk", F.floor(F.col(IDX) / F.lit(block_rows)))
+    rows = df.count()
+    # At most ~10k blocks, so the broadcast prefix table has a fixed bound.
+    block_rows = max(block_rows, -(-rows // MAX_BLOCKS))
+    indexed = with_global_index(df, order_by, rows=rows).withColumn("_kblk", F.floor(F.col(IDX) / F.lit(block_rows)))
     totals = indexed.groupBy("_kblk").agg(F.sum(col).alias("_ktot"))
     prefix = totals.select("_kblk", F.sum("_ktot").over(
         Window.orderBy("_kblk").rowsBetween(Window.unboundedPreceding, -1)).alias("_kpre"))

@@ -421,8 +421,8 @@ def auc_by_group(df: DataFrame, group: str | None, score: str, label: str) -> Da
     per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*g, score).agg(
         F.sum(lab).alias("pos"), F.sum(1.0 - lab).alias("neg"))
     cum = running_sum(per, g + [score], "neg", "_kcum").withColumn("_kbefore", F.col("_kcum") - F.col("neg"))
-    if g:   # one row per group
-        joined = cum.join(F.broadcast(cum.groupBy(*g).agg(F.min("_kbefore").alias("_kstart"))), g)
+    if g:   # one row per group; AQE broadcasts it when its runtime size allows
+        joined = cum.join(cum.groupBy(*g).agg(F.min("_kbefore").alias("_kstart")), g)
     else:
         joined = cum.withColumn("_kstart", cum.agg(F.min("_kbefore")).scalar())
     ranked = joined.withColumn("neg_below", F.col("_kbefore") - F.col("_kstart"))
