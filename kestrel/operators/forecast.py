@@ -161,7 +161,13 @@ def forecast_requests(df: DataFrame, key: str, ts: str, tie: str, resources: dic
     """Per-key ARIMA(1,1,1) forecasts of several series (R8): for each
     resource ``{name: (series, usage, request)}`` the ``steps`` forecasts at
     ``last timestamp + h * last gap`` with the last usage, request and
-    series value of the key."""
+    series value of the key.
+
+    All series are stacked into one long table keyed by (key, resource), so
+    one ARIMA pass fits every series of every key.
+    """
+    from functools import reduce
+
     from kestrel.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     used = [key, ts, tie] + list(dict.fromkeys(c for r in resources.values() for c in r))
@@ -169,17 +175,28 @@ def forecast_requests(df: DataFrame, key: str, ts: str, tie: str, resources: dic
     # once (reliable checkpoint) instead of recomputing its lineage each time.
     df = df.select(*used).checkpoint(eager=True)
     gaps = last_step_micros(df, key, ts, tie)
-    lastrow = df.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for r in resources.values() for c in r], F.col(ts)),
+    lastrow = df.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in used[3:]], F.col(ts)),
                                            F.struct(ts, tie)).alias("lr"))
-    parts = []
-    for name, (series, usage, request) in resources.items():
-        fc = arima111_forecast(df, key, ts, tie, series, steps)
-        parts.append(
-            fc.join(gaps, key).join(lastrow, key).select(
-                key, F.lit(name).alias("resource"), "step",
-                F.timestamp_add("MICROSECOND", F.col("step_us") * F.col("step"), F.col("tsT")).alias("forecast_timestamp"),
-                F.col("forecast").alias("forecasted_value"), F.col(f"lr.{usage}").alias("last_usage"),
-                F.col(f"lr.{request}").alias("last_request"), F.col(f"lr.{series}").alias("last_predicted"),
-                F.col("tsT").alias("last_actual_timestamp"), "phi", "theta"))
-    from functools import reduce
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    sep = "\u0001"
+    long = reduce(lambda a, b: a.unionByName(b), [
+        df.select(F.concat_ws(sep, F.col(key).cast("string"), F.lit(name)).alias("_kser"), ts, tie,
+                  F.col(series).cast("double").alias("_kval"))
+        for name, (series, _, _) in resources.items()])
+    fc = arima111_forecast(long, "_kser", ts, tie, "_kval", steps)
+    key_type = dict(df.dtypes)[key]
+    fc = fc.select(F.split("_kser", sep).getItem(0).cast(key_type).alias(key),
+                   F.split("_kser", sep).getItem(1).alias("resource"), "step", "tsT", "forecast", "phi", "theta")
+
+    def pick(pos: int):
+        expr = None
+        for name, cols in resources.items():
+            cond = F.col("resource") == name
+            val = F.col(f"lr.{cols[pos]}").cast("double")
+            expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+        return expr
+
+    return fc.join(gaps, key).join(lastrow, key).select(
+        key, "resource", "step",
+        F.timestamp_add("MICROSECOND", F.col("step_us") * F.col("step"), F.col("tsT")).alias("forecast_timestamp"),
+        F.col("forecast").alias("forecasted_value"), pick(1).alias("last_usage"), pick(2).alias("last_request"),
+        pick(0).alias("last_predicted"), F.col("tsT").alias("last_actual_timestamp"), "phi", "theta")
