@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import sharding
+from kestrel.llm import sharding, token_counts
 from kestrel.llm.common import documents
 
 
@@ -18,8 +18,14 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, and the longest prefix within 4,096 tokens, from prefix counts."""
+    return token_counts.count_tokens(documents(spark, sf_dir), limit=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rendezvous_shards": op9_rendezvous_shards,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
