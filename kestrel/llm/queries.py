@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import sharding, token_counts
+from kestrel.llm import sentencepiece_codec, sharding, token_counts
 from kestrel.llm.common import documents
 
 
+def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents by streaming Viterbi, decoded again and compared with the text."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return sentencepiece_codec.encode_checked(docs).drop("text")
+
+
 def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 40 shards of equal weight, by rendezvous hashing of doc_id."""
     out = sharding.shard_documents(documents(spark, sf_dir), shards=40)
@@ -24,6 +30,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece_codec": op2_sentencepiece_codec,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_token_counts": op10_token_counts,
 }
