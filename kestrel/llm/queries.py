@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import sentencepiece_codec, sharding, token_counts
+from kestrel.llm import sentencepiece_codec, sharding, simhash, token_counts
 from kestrel.llm.common import documents
 
 
@@ -17,6 +17,11 @@ def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_checked(docs).drop("text")
 
 
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents over 3-word shingles, linked at 2 or fewer differing bits."""
+    return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=2)
+
+
 def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 40 shards of equal weight, by rendezvous hashing of doc_id."""
     out = sharding.shard_documents(documents(spark, sf_dir), shards=40)
@@ -31,6 +36,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece_codec": op2_sentencepiece_codec,
+    "op6_simhash_components": op6_simhash_components,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_token_counts": op10_token_counts,
 }
