@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import sentencepiece_codec, sharding, simhash, token_counts
+from kestrel.llm import secret_scan, sentencepiece_codec, sharding, simhash, token_counts
 from kestrel.llm.common import documents
 
 
@@ -17,6 +17,11 @@ def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_checked(docs).drop("text")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: pattern matches, and tokens that the Markov models take for random."""
+    return secret_scan.report(secret_scan.scan(documents(spark, sf_dir), min_token=16, prior=0.001))
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents over 3-word shingles, linked at 2 or fewer differing bits."""
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=2)
@@ -36,6 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece_codec": op2_sentencepiece_codec,
+    "op4_secret_scan": op4_secret_scan,
     "op6_simhash_components": op6_simhash_components,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_token_counts": op10_token_counts,
