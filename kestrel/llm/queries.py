@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import secret_scan, sentencepiece_codec, sharding, simhash, token_counts
+from kestrel.llm import secret_scan, sentencepiece_codec, sharding, simhash, syncmers, token_counts
 from kestrel.llm.common import documents
 
 
@@ -22,6 +22,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(documents(spark, sf_dir), min_token=16, prior=0.001))
 
 
+def op5_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-syncmer fingerprints of all documents and of their edited texts, compared."""
+    return syncmers.edited_likeness(documents(spark, sf_dir))
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents over 3-word shingles, linked at 2 or fewer differing bits."""
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=2)
@@ -42,6 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece_codec": op2_sentencepiece_codec,
     "op4_secret_scan": op4_secret_scan,
+    "op5_syncmer_fingerprints": op5_syncmer_fingerprints,
     "op6_simhash_components": op6_simhash_components,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_token_counts": op10_token_counts,
