@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import secret_scan, sentencepiece_codec, sharding, simhash, syncmers, token_counts
-from kestrel.llm.common import documents
+from kestrel.llm import contamination, secret_scan, sentencepiece_codec, sharding, simhash, syncmers, token_counts
+from kestrel.llm.common import documents, table
 
 
 def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=2)
 
 
+def op8_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents, with up to 8 edits in 100 characters."""
+    return contamination.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 40 shards of equal weight, by rendezvous hashing of doc_id."""
     out = sharding.shard_documents(documents(spark, sf_dir), shards=40)
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_syncmer_fingerprints": op5_syncmer_fingerprints,
     "op6_simhash_components": op6_simhash_components,
+    "op8_benchmark_passages": op8_benchmark_passages,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_token_counts": op10_token_counts,
 }
