@@ -39,6 +39,7 @@ Q = 10
 RATE = 0.08
 BLOCK_CHARS = 4_000_000
 CHARS_AT_ONCE = 1 << 21
+BANDS_AT_ONCE = 512
 MATCH = "array<struct<item:int,start:int,stop:int,edits:int>>"
 
 _FOLD = np.arange(128, dtype=np.uint32)
@@ -102,8 +103,8 @@ class Index:
     def _slot(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(item, diagonal)`` of every q-gram that the codes share with an item."""
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(item, place in the item, diagonal)`` of every q-gram that the codes share with an item."""
         hashes = gram_hashes(codes, self.q)
         at = np.flatnonzero(self.may[self._slot(hashes)])
         found = np.searchsorted(self.grams, hashes[at])
@@ -112,18 +113,21 @@ class Index:
         at, found = at[true], found[true]
         n = self.count[found]
         entry = np.repeat(self.first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return self.owner[entry], np.repeat(at, n) - self.place[entry]
+        return self.owner[entry], self.place[entry], np.repeat(at, n) - self.place[entry]
 
     def regions(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """``(item, first diagonal, last diagonal)`` of the bands with enough shared q-grams."""
-        item, diagonal = self.hits(codes)
+        item, place, diagonal = self.hits(codes)
         if not len(item):
             return []
         step = self.edits[item] + 1
         shift = np.int64(max(map(len, self.codes)))          # diagonals can be negative
         band = (diagonal + shift) // step
         keys = np.concatenate([item << 40 | band + 1, item << 40 | band])     # bands b - 1 and b, of two steps each
-        keys, n = np.unique(keys, return_counts=True)
+        order = np.lexsort((np.concatenate([place, place]), keys))
+        keys, place = keys[order], np.concatenate([place, place])[order]
+        fresh = np.append(True, (keys[1:] != keys[:-1]) | (place[1:] != place[:-1]))   # a q-gram of the item counts once
+        keys, n = np.unique(keys[fresh], return_counts=True)
         keys = keys[n >= self.least[keys >> 40]]
         out = []
         for key in keys.tolist():
@@ -143,43 +147,46 @@ def _exact(item: np.ndarray, codes: np.ndarray, low: int, high: int) -> int | No
     return None if at < 0 else begin + at // 4
 
 
-def align(item: np.ndarray, codes: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
-    """Place and edits of the best occurrence whose diagonals lie within ``low - budget .. high + budget``.
+def align(item: np.ndarray, texts: list[np.ndarray], lows: list[int], width: int, budget: int) -> list:
+    """Place and edits of an item's best occurrence in each text, within a band of diagonals.
 
-    ``(start, stop, edits)``, or None if it needs over ``budget`` edits.  Of
-    equally good ones the first by its end, then the longest is taken.
+    The band of a text is ``low .. low + width - 1``, widened by ``budget`` on
+    either side.  Each result is ``(start, stop, edits)``, or None if it needs
+    over ``budget`` edits; of equally good ones the first by its end, then the
+    shortest.  All bands of an item move through one dynamic program together.
     """
-    verbatim = _exact(item, codes, low, high)
-    if verbatim is not None:
-        return verbatim, verbatim + len(item), 0
-    low, high = low - budget, high + budget
-    width, m = high - low + 1, len(item)
-    far = m + len(codes) + 1
-    if high < -m or low > len(codes):
-        return None
-    offset = np.arange(width)
-    # cost[j]: item[:i] aligned with a stretch that ends before codes[low + i + j]; from[j]: where the stretch starts
+    width, m, n = width + 2 * budget, len(item), len(texts)
+    low = np.array(lows, np.int32)[:, None] - np.int32(budget)
+    size = np.array([len(t) for t in texts], np.int32)[:, None]
+    window = np.full((n, m + width), -1, np.int64)
+    for k, codes in enumerate(texts):
+        first = int(low[k, 0])
+        part = codes[max(0, first):max(0, first + m + width)]
+        window[k, max(0, -first):max(0, -first) + len(part)] = part
+    offset = np.arange(width, dtype=np.int32)[None, :]
+    far = np.int32(1 << 29)
     begin = low + offset
-    inside = (begin >= 0) & (begin <= len(codes))
-    cost, origin = np.where(inside, 0, far), begin.copy()
-    padded = np.full(max(0, -low) + len(codes) + max(0, high + m - len(codes)) + 1, -1, np.int64)
-    padded[max(0, -low):max(0, -low) + len(codes)] = codes
-    shift = max(0, -low)
+    # cost[k, j]: item[:i] aligned with a stretch that ends before place low + i + j; origin: where it starts
+    cost, origin = np.where((begin >= 0) & (begin <= size), np.int32(0), far), begin
+    edge = np.full((n, 1), far, np.int32)
     for i in range(1, m + 1):
-        here = padded[low + i - 1 + shift:low + i - 1 + shift + width]
-        end = low + i + offset
+        here = window[:, i - 1:i - 1 + width]
         match = cost + (here != item[i - 1])
-        drop = np.append(cost[1:] + 1, far)                # the item's character is missing
+        drop = np.concatenate([cost[:, 1:] + 1, edge], axis=1)         # the item's character is missing
+        match[here < 0] = far
         down = drop < match
-        best, start = np.where(down, drop, match), np.where(down, np.append(origin[1:], 0), origin)
-        best[(end < 0) | (end > len(codes)) | ((here < 0) & ~down)] = far
-        run = np.minimum.accumulate(best - offset) + offset    # extra characters in the document
-        source = np.maximum.accumulate(np.where(best <= run, offset, 0))
-        cost, origin = run, start[source]
-    j = int(np.argmin(cost))
-    if cost[j] > budget:
-        return None
-    return int(origin[j]), low + m + j, int(cost[j])
+        best = np.where(down, drop, match)
+        start = np.where(down, np.concatenate([origin[:, 1:], edge], axis=1), origin)
+        end = begin + i
+        best[(end < 0) | (end > size)] = far
+        run = np.minimum.accumulate(best - offset, axis=1) + offset    # extra characters in the text
+        source = np.maximum.accumulate(np.where(best <= run, offset, 0), axis=1)
+        cost, origin = run.astype(np.int32), np.take_along_axis(start, source, axis=1)
+    out = []
+    for k, j in enumerate(np.argmin(cost, axis=1).tolist()):
+        edits = int(cost[k, j])
+        out.append((int(origin[k, j]), int(low[k, 0]) + m + j, edits) if edits <= budget else None)
+    return out
 
 
 def best_of(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -206,15 +213,26 @@ def search(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, i
         sizes = np.array([len(t or "") for t in texts[first:at]], np.int64)
         starts = np.cumsum(sizes + index.q) - sizes - index.q
         found: dict[int, list] = {}
+        unsettled: dict[int, list] = {}
         for i, low, high in index.regions(joined):
             item, budget = index.codes[i], int(index.edits[i])
             # A band may reach into a neighbouring text; each text is aligned by itself.
             for k in range(max(0, int(np.searchsorted(starts, low - budget, "right")) - 1),
                            int(np.searchsorted(starts, high + budget + len(item), "right"))):
-                begin, n = int(starts[k]), int(sizes[k])
-                place = align(item, joined[begin:begin + n], low - begin, high - begin, budget)
-                if place:
-                    found.setdefault(k, []).append((i, *place))
+                begin = int(starts[k])
+                codes = joined[begin:begin + int(sizes[k])]
+                verbatim = _exact(item, codes, low - begin, high - begin)
+                if verbatim is not None:
+                    found.setdefault(k, []).append((i, verbatim, verbatim + len(item), 0))
+                elif budget:
+                    unsettled.setdefault(i, []).append((k, codes, low - begin))
+        for i, bands in unsettled.items():
+            for part in range(0, len(bands), BANDS_AT_ONCE):
+                ks, codes, lows = zip(*bands[part:part + BANDS_AT_ONCE])
+                budget = int(index.edits[i])
+                for k, place in zip(ks, align(index.codes[i], list(codes), list(lows), 2 * (budget + 1), budget)):
+                    if place:
+                        found.setdefault(k, []).append((i, *place))
         for k, places in found.items():
             out[first + k] = best_of(places)
     return out
