@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import contamination, secret_scan, sentencepiece_codec, sharding, simhash, syncmers, token_counts
+from kestrel.llm import contamination, secret_scan, sentencepiece_codec, sharding, simhash, syncmers, token_counts, toxicity
 from kestrel.llm.common import documents, table
 
 
@@ -17,6 +17,15 @@ def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_checked(docs).drop("text")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; fitted on labels of ids whose CRC modulo 4 is not 2."""
+    docs, part = documents(spark, sf_dir), toxicity.fold(F.col("doc_id"), 4)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), chosen=part != 2)
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", (part == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "n_sentences", "worst_start", "worst_stop", "worst_score")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents: pattern matches, and tokens that the Markov models take for random."""
     return secret_scan.report(secret_scan.scan(documents(spark, sf_dir), min_token=16, prior=0.001))
@@ -51,6 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece_codec": op2_sentencepiece_codec,
+    "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
     "op5_syncmer_fingerprints": op5_syncmer_fingerprints,
     "op6_simhash_components": op6_simhash_components,
