@@ -167,8 +167,12 @@ def _bags(features: list[str]):
 
 
 def fit_bags(bags: list[list[list[int]]], labels: np.ndarray, weights: np.ndarray, n_features: int,
-             steps: int = 300, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias by projected Adam on the noisy-or likelihood (deterministic)."""
+             steps: int = 300, l1: float | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias by projected Adam on the noisy-or likelihood (deterministic).
+
+    ``l1`` (default: half a document's share) keeps features out that a few documents alone speak for.
+    """
+    l1 = 0.5 / len(bags) if l1 is None else l1
     sizes = np.array([len(b) for b in bags])
     doc = np.repeat(np.arange(len(bags)), sizes)
     per = np.array([len(s) for b in bags for s in b])
@@ -183,7 +187,7 @@ def fit_bags(bags: list[list[list[int]]], labels: np.ndarray, weights: np.ndarra
         none = np.bincount(doc, np.logaddexp(0, odds), len(bags))          # -log of "no sentence is toxic"
         pull = np.where(positive, -1 / np.expm1(np.maximum(none, 1e-12)), 1.0) * weights
         g = pull[doc] * p
-        grad = np.append(np.bincount(col, g[row], n_features) + l2 * w / len(bags) ** 0.5, g.sum())
+        grad = np.append(np.bincount(col, g[row], n_features) + l1, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
         w, bias = np.maximum(0, w - step[:-1]), bias - step[-1]
