@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import contamination, secret_scan, sentencepiece_codec, sharding, simhash, syncmers, token_counts, toxicity
+from kestrel.llm import contamination, quality, secret_scan, sentencepiece_codec, sharding, simhash, syncmers, token_counts, toxicity
 from kestrel.llm.common import documents, table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents; positives from labels of ids whose CRC modulo 3 is not 1."""
+    part = toxicity.fold(F.col("doc_id"), 3)
+    scored = quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"), chosen=part != 1)
+    return scored.select("doc_id", (part == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents by streaming Viterbi, decoded again and compared with the text."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -59,6 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_sentencepiece_codec": op2_sentencepiece_codec,
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
