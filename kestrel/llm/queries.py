@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import contamination, quality, secret_scan, sentencepiece_codec, sharding, simhash, syncmers, token_counts, toxicity
+from kestrel.llm import contamination, line_dedup, quality, secret_scan, sentencepiece_codec, sharding, simhash, syncmers, token_counts, toxicity
 from kestrel.llm.common import documents, table
 
 
@@ -48,6 +48,12 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, max_bits=2)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the later copies of repeated line runs of 30 or more characters."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.drop_repeated_lines(docs, min_chars=30, count="n_deleted")
+
+
 def op8_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in all documents, with up to 8 edits in 100 characters."""
     return contamination.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_syncmer_fingerprints": op5_syncmer_fingerprints,
     "op6_simhash_components": op6_simhash_components,
+    "op7_line_dedup": op7_line_dedup,
     "op8_benchmark_passages": op8_benchmark_passages,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_token_counts": op10_token_counts,
