@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from kestrel.llm import contamination, line_dedup, quality, secret_scan, sentencepiece_codec, sharding, simhash, syncmers, token_counts, toxicity
 from kestrel.llm.common import documents, table
 
@@ -82,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_passages": op8_benchmark_passages,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_token_counts": op10_token_counts,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -182,7 +182,8 @@ def decode(df: DataFrame, model_path: str | None = None, ids: str = "ids", out:
 def encode_checked(df: DataFrame, model_path: str | None = None, text: str = "text") -> DataFrame:
     """``df`` with ``ids``, their number ``n_ids``, and whether they decode to the very text."""
     others = [c for c in df.columns if c not in ("ids", "n_ids", "restored", text)]
-    src = df.select(*others, F.coalesce(F.col(text), F.lit("")).alias(text)).withColumn("_hash", F.xxhash64(text))
-    coded = decode(encode(src, model_path, text, "ids").drop(text), model_path, "ids", text)
-    return coded.select(*others, text, "ids", F.size("ids").alias("n_ids"),
-                        (F.xxhash64(text) == F.col("_hash")).alias("restored"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    src = df.select(F.struct(F.lit(0), *[F.col(c) for c in others]).alias("_row"), whole.alias("_text"), F.xxhash64(whole).alias("_hash"))
+    coded = decode(encode(src, model_path, "_text", "ids").drop("_text"), model_path, "ids", "_text")
+    return coded.select(*[F.col(f"_row.{c}") for c in others], F.col("_text").alias(text), "ids", F.size("ids").alias("n_ids"),
+                        (F.xxhash64("_text") == F.col("_hash")).alias("restored"))

@@ -246,6 +246,12 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return keep.mapInArrow(run, schema)
 
 
+def drop_toxic(df: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose probability is below ``threshold``, with all their columns."""
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.col(text).alias("_text"))
+    return score(rows, model, "_text").where(F.col("score") < threshold).select("_row.*")
+
+
 def locate(df: DataFrame, model: Model, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, start, stop, score, sentence``: every sentence whose own probability reaches ``threshold``."""
     import pyarrow as pa
