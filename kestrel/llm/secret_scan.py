@@ -2,11 +2,11 @@
 
 The patterns find assignments to secret names, access keys and hexadecimal
 strings.  What they match is the labelled sample of random strings; the other
-long tokens of the same corpus are the labelled sample of ordinary
-identifiers.  Transitions between neighbouring characters are counted over all
-documents for either sample (each distinct string once), smoothed by adding
-one, and kept as the logarithm of the ratio of the two transition
-probabilities.  A token of ``min_token`` or more characters outside the
+long tokens of the same corpus that hold no digit are the labelled sample of
+ordinary identifiers.  Transitions between neighbouring characters are counted
+over all documents for either sample (each distinct string once), smoothed
+toward the shares of single characters, and kept as the logarithm of the ratio
+of the two transition probabilities.  A token of ``min_token`` or more characters outside the
 pattern matches is a further span if the sum of its ratios, plus the logarithm
 of the prior odds, is positive.
 
@@ -118,9 +118,10 @@ def _bigrams(token: Column) -> Column:
 def transition_counts(scanned: DataFrame, least: int = SAMPLE_TOKEN) -> DataFrame:
     """``pair, random, ordinary``: transitions in either labelled sample, over all rows."""
     tokens = F.regexp_extract_all("rest", F.lit(TOKEN_CLASS + "{%d,}" % least), F.lit(0))
+    named = F.filter(tokens, lambda t: ~t.rlike("[0-9]"))
     labelled = scanned.select(F.explode(F.concat(
         F.transform("values", lambda v: F.struct(F.lit(1).alias("label"), v.alias("token"))),
-        F.transform(tokens, lambda t: F.struct(F.lit(0).alias("label"), t.alias("token"))))).alias("s"))
+        F.transform(named, lambda t: F.struct(F.lit(0).alias("label"), t.alias("token"))))).alias("s"))
     distinct = labelled.groupBy("s.label", "s.token").agg(F.count(F.lit(1)).alias("n"))
     pairs = distinct.select("label", F.explode(_bigrams(F.col("token"))).alias("pair"))
     return pairs.groupBy("pair").agg(F.sum("label").alias("random"), F.sum(1 - F.col("label")).alias("ordinary"))
@@ -139,8 +140,10 @@ def log_ratios(counts: DataFrame) -> list[float] | None:
     if not table[0].any() or not table[1].any():
         return None
     both = table.reshape(2, WIDTH, WIDTH)
-    seen = both.sum(axis=(0, 1)).astype(bool) | both.sum(axis=(0, 2)).astype(bool)
-    p = (both + 1) / (both.sum(axis=2, keepdims=True) + seen.sum())
+    seen = both.any(axis=(0, 1)) | both.any(axis=(0, 2))
+    size = seen.sum()
+    single = (both.sum(axis=1) + 1) / (both.sum(axis=(1, 2)) + size)[:, None]         # shares of second characters
+    p = (both + size * single[:, None, :]) / (both.sum(axis=2, keepdims=True) + size)
     ratio = np.log(p[0] / p[1]) * np.outer(seen, seen)
     return ratio.ravel().tolist()
 
