@@ -32,7 +32,7 @@ from kestrel.operators.ordering import with_global_index
 
 K = 5
 SKETCH = 64
-WORD = 0xFFFFFFFF
+ANCHOR_BITS = 0x7FFFFFFF
 
 
 def words(text: Column) -> Column:
@@ -46,15 +46,19 @@ def with_pairs(df: DataFrame, text: str, pairs: str) -> DataFrame:
     return df.withColumn(pairs, F.zip_with(F.slice(pairs, 1, n), F.slice(pairs, 2, n), lambda a, b: F.xxhash64(a, b)))
 
 
+def _short(long_hash: Column) -> Column:
+    return long_hash.bitwiseAND(F.lit(ANCHOR_BITS)).cast("int")
+
+
 def syncmers(pairs: str) -> Column:
-    """For each k-mer its 32-bit hash if it is a closed syncmer, else null."""
+    """For each k-mer its 31-bit hash if it is a closed syncmer, else null."""
     kmers = F.slice(pairs, 1, F.greatest(F.size(pairs) - (K - 2), F.lit(0)))
 
     def choose(first: Column, at: Column) -> Column:
         inner = [F.get(pairs, at + j) for j in range(1, K - 2)]
         last = F.get(pairs, at + (K - 2))
         edge = F.least(first, last)
-        return F.when(edge <= F.least(*inner), F.xxhash64(first, F.get(pairs, at + 2), last).bitwiseAND(F.lit(WORD)))
+        return F.when(edge <= F.least(*inner), _short(F.xxhash64(first, F.get(pairs, at + 2), last)))
     return F.transform(kmers, choose)
 
 
@@ -62,17 +66,17 @@ def anchors(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """``doc_id, position, anchor``: the anchors of every text; positions count words from 0."""
     src = df.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     found = with_pairs(src, "text", "pairs").select("doc_id", "text", syncmers("pairs").alias("found"))
-    whole = F.array(F.xxhash64("text").bitwiseAND(F.lit(WORD)))
+    whole = F.array(_short(F.xxhash64("text")))
     some = F.exists("found", lambda a: a.isNotNull())
     return (found.select("doc_id", F.posexplode(F.when(some, F.col("found")).otherwise(whole)).alias("position", "anchor"))
             .where(F.col("anchor").isNotNull()))
 
 
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out array<long>``: the smallest distinct anchors of a text, ascending."""
+    """Add ``out array<int>``: the smallest distinct anchors of a text, ascending."""
     df = with_pairs(df, text, "_pairs").withColumn("_found", F.filter(syncmers("_pairs"), lambda a: a.isNotNull()))
     least = F.slice(F.array_sort(F.array_distinct("_found")), 1, SKETCH)
-    whole = F.array(F.xxhash64(text).bitwiseAND(F.lit(WORD)))
+    whole = F.array(_short(F.xxhash64(text)))
     return df.withColumn(out, F.when(F.size("_found") > 0, least).otherwise(whole)).drop("_pairs", "_found")
 
 
@@ -106,7 +110,7 @@ def followers(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def edited_likeness(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprint every text and the text whose last quarter is replaced from the next document.
 
-    ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
+    ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id``.
     Texts are shuffled once (the exchange serves both sides of the join); what
     moves to the document before is only the beginning it needs.
     """
@@ -116,7 +120,7 @@ def edited_likeness(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
              .where("_copy = 1")
              .select(F.col("prev_kd").alias("_kd"), F.col("prev_kt").alias("_kt"),
                      F.substring("text", F.lit(1), F.floor(F.col("prev_chars") / 4).cast("int")).alias("head"),
-                     F.col("sketch").alias("next_sketch")))
+                     F.col("sketch").alias("next_sketch"), F.col("doc_id").alias("next_id")))
     joined = rows.join(heads, ["_kd", "_kt"])
     n = F.length("text")
     kept = F.substring("text", F.lit(1), (n - F.floor(n / 4)).cast("int"))
@@ -125,4 +129,4 @@ def edited_likeness(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return done.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
                        shown("sketch").alias("fingerprint"), shown("edited_sketch").alias("edited_fingerprint"),
                        likeness("sketch", "edited_sketch").alias("near_edited"),
-                       likeness("sketch", "next_sketch").alias("near_next"))
+                       likeness("sketch", "next_sketch").alias("near_next"), "next_id")
