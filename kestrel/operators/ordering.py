@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 IDX = "_kidx"
 DEFAULT_BLOCK_ROWS = 1 << 20
-MAX_BLOCKS = 10_000
 # Largest window partition allowed in one task before the block/halo form is
 # used.  Override with the session conf ``kestrel.window.maxTaskRows``.
 DEFAULT_MAX_TASK_ROWS = 20_000_000
@@ -59,7 +58,7 @@ def range_partitions(df: DataFrame, rows: int | None = None) -> int:
     range partitions by itself).  Costs one count unless ``rows`` is given."""
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.count() if rows is None else rows
-    return int(min(max(base, -(-rows // ROWS_PER_RANGE_PARTITION)), 200_000))
+    return int(max(base, -(-rows // ROWS_PER_RANGE_PARTITION)))
 
 
 def with_global_index(df: DataFrame, order_by, idx_col: str = IDX,
@@ -93,6 +92,15 @@ def with_global_index(df: DataFrame, order_by, idx_col: str = IDX,
             .drop("_kpid", "_kpos", "_koff"))
 
 
+def _with_halo(indexed: DataFrame, block_rows: int, halo: int) -> DataFrame:
+    """Rows with their block ``_kblk``, and copies (``_khalo``) in every later
+    block whose first rows look back at them, however many blocks that are."""
+    at = F.col(IDX)
+    block, last = F.floor(at / F.lit(block_rows)), F.floor((at + F.lit(halo)) / F.lit(block_rows))
+    return (indexed.withColumn("_kown", block).withColumn("_kblk", F.explode(F.sequence(block, last)))
+            .withColumn("_khalo", F.col("_kblk") > F.col("_kown")).drop("_kown"))
+
+
 def rolling(df: DataFrame, partition_by, order_by, rows: int, aggs: dict[str, Column],
             block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Frame "current row and the ``rows - 1`` before it" within ``partition_by``.
@@ -109,13 +117,8 @@ def rolling(df: DataFrame, partition_by, order_by, rows: int, aggs: dict[str, Co
         w = Window.partitionBy(*parts).orderBy(*_cols(order_by)).rowsBetween(-(rows - 1), 0)
         return df.select("*", *[(a(w) if callable(a) else a.over(w)).alias(name) for name, a in aggs.items()])
     order = _cols(parts) + _cols(order_by)
-    indexed = with_global_index(df, order)
     halo = rows - 1
-    blk = F.floor(F.col(IDX) / F.lit(block_rows))
-    own = indexed.withColumn("_kblk", blk).withColumn("_khalo", F.lit(False))
-    spill = (indexed.where((F.col(IDX) % F.lit(block_rows)) >= F.lit(block_rows - halo))
-             .withColumn("_kblk", blk + 1).withColumn("_khalo", F.lit(True)))
-    both = own.unionByName(spill) if halo > 0 else own
+    both = _with_halo(with_global_index(df, order), block_rows, halo)
     w = Window.partitionBy(*(["_kblk"] + parts)).orderBy(IDX).rowsBetween(-halo, 0)
     out = both.select("*", *[(a(w) if callable(a) else a.over(w)).alias(name) for name, a in aggs.items()])
     return out.where(~F.col("_khalo")).drop("_kblk", "_khalo", IDX)
@@ -129,13 +132,9 @@ def shifted(df: DataFrame, partition_by, order_by, cols, offset: int = 1,
         w = Window.partitionBy(*parts).orderBy(*_cols(order_by))
         return df.select("*", *[F.lag(c, offset).over(w).alias(f"{c}{suffix}") for c in cols])
     order = _cols(parts) + _cols(order_by)
-    indexed = with_global_index(df, order)
-    blk = F.floor(F.col(IDX) / F.lit(block_rows))
-    own = indexed.withColumn("_kblk", blk).withColumn("_khalo", F.lit(False))
-    spill = (indexed.where((F.col(IDX) % F.lit(block_rows)) >= F.lit(block_rows - offset))
-             .withColumn("_kblk", blk + 1).withColumn("_khalo", F.lit(True)))
+    both = _with_halo(with_global_index(df, order), block_rows, offset)
     w = Window.partitionBy(*(["_kblk"] + parts)).orderBy(IDX)
-    out = own.unionByName(spill).select("*", *[F.lag(c, offset).over(w).alias(f"{c}{suffix}") for c in cols])
+    out = both.select("*", *[F.lag(c, offset).over(w).alias(f"{c}{suffix}") for c in cols])
     return out.where(~F.col("_khalo")).drop("_kblk", "_khalo", IDX)
 
 
@@ -143,18 +142,21 @@ def running_sum(df: DataFrame, order_by, col: str, out: str,
                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Cumulative sum in a global order (W4) without a single-task window.
 
-    Block totals (one row per block) are prefix-summed and broadcast; inside a
-    block a bounded window adds the running part.
+    Blocks have a fixed number of rows; inside a block a bounded window adds
+    the running part.  Block totals (one row per block) are prefix-summed the
+    same way: by a window while they fit one block, else in blocks of blocks.
     """
     rows = df.count()
-    # At most ~10k blocks, so the broadcast prefix table has a fixed bound.
-    block_rows = max(block_rows, -(-rows // MAX_BLOCKS))
     indexed = with_global_index(df, order_by, rows=rows).withColumn("_kblk", F.floor(F.col(IDX) / F.lit(block_rows)))
     totals = indexed.groupBy("_kblk").agg(F.sum(col).alias("_ktot"))
-    prefix = totals.select("_kblk", F.sum("_ktot").over(
-        Window.orderBy("_kblk").rowsBetween(Window.unboundedPreceding, -1)).alias("_kpre"))
+    if -(-rows // block_rows) <= block_rows:
+        prefix = totals.select("_kblk", F.sum("_ktot").over(
+            Window.orderBy("_kblk").rowsBetween(Window.unboundedPreceding, -1)).alias("_kpre"))
+    else:
+        upper = running_sum(totals.withColumnRenamed("_kblk", "_kid"), ["_kid"], "_ktot", "_kincl", block_rows)
+        prefix = upper.select(F.col("_kid").alias("_kblk"), (F.col("_kincl") - F.col("_ktot")).alias("_kpre"))
     w = Window.partitionBy("_kblk").orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0)
-    return (indexed.join(F.broadcast(prefix), "_kblk")
+    return (indexed.join(prefix, "_kblk")
             .withColumn(out, F.coalesce(F.col("_kpre"), F.lit(0.0)) + F.sum(col).over(w))
             .drop("_kblk", "_kpre", IDX))
 
@@ -189,12 +191,8 @@ def lags(df: DataFrame, partition_by, order_by, cols, max_lag: int,
         w = Window.partitionBy(*parts).orderBy(*_cols(order_by))
         return df.select("*", *[F.lag(c, k).over(w).alias(f"{c}_lag{k}") for c in cols for k in range(1, max_lag + 1)])
     order = _cols(parts) + _cols(order_by)
-    indexed = with_global_index(df, order)
-    blk = F.floor(F.col(IDX) / F.lit(block_rows))
-    own = indexed.withColumn("_kblk", blk).withColumn("_khalo", F.lit(False))
-    spill = (indexed.where((F.col(IDX) % F.lit(block_rows)) >= F.lit(block_rows - max_lag))
-             .withColumn("_kblk", blk + 1).withColumn("_khalo", F.lit(True)))
+    both = _with_halo(with_global_index(df, order), block_rows, max_lag)
     w = Window.partitionBy(*(["_kblk"] + parts)).orderBy(IDX)
     exprs = [F.lag(c, k).over(w).alias(f"{c}_lag{k}") for c in cols for k in range(1, max_lag + 1)]
-    out = own.unionByName(spill).select("*", *exprs)
+    out = both.select("*", *exprs)
     return out.where(~F.col("_khalo")).drop("_kblk", "_khalo")

@@ -59,7 +59,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Local/test sessions only: a cluster must name a shared folder.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # One process: its temporary folder is shared by all tasks.
         configured = tempfile.mkdtemp(prefix="kestrel-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
