@@ -28,13 +28,13 @@ def target_mean(df: DataFrame, col: str, target: str) -> DataFrame:
 def describe(df: DataFrame, cols) -> DataFrame:
     """pandas ``describe()`` in long form (G10): count, mean, std, min,
     25/50/75 % (linear interpolation) and max per column, one pass per chunk."""
-    q = ST.quantile_exprs(df, cols, [0.25, 0.5, 0.75])
+    q = ST.quantiles(df, cols, [0.25, 0.5, 0.75])
     parts = []
     for c in cols:
         x = F.col(c).cast("double")
         parts.append(df.agg(F.lit(c).alias("feature"), F.count(x).alias("count"), F.avg(x).alias("mean"),
                             F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                            q[c].alias("_kq"), F.max(x).alias("max")))
+                            F.array(*[F.lit(v).cast("double") for v in q[c]]).alias("_kq"), F.max(x).alias("max")))
     out = ST._union(parts)
     return out.select("feature", "count", "mean", "std", "min", F.col("_kq")[0].alias("p25"),
                       F.col("_kq")[1].alias("p50"), F.col("_kq")[2].alias("p75"), "max")

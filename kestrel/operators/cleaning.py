@@ -50,12 +50,11 @@ def fill_mean(df: DataFrame, cols) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(means[c])) for c in cols})
 
 
-def fill_median(df: DataFrame, cols, exact: bool | None = None) -> DataFrame:
-    """``fillna(median)`` (B11).  Exact interpolated median (like pandas)
-    while the column's distinct values are bounded, ``percentile_approx``
-    beyond (see :func:`kestrel.operators.stats.quantiles`)."""
+def fill_median(df: DataFrame, cols) -> DataFrame:
+    """``fillna(median)`` (B11): the exact interpolated median, like pandas
+    (see :func:`kestrel.operators.stats.quantiles`)."""
     from kestrel.operators.stats import quantiles
-    med = {c: v[0] for c, v in quantiles(df, cols, [0.5], exact).items()}
+    med = {c: v[0] for c, v in quantiles(df, cols, [0.5]).items()}
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(med[c]).cast(df.schema[c].dataType)) for c in cols})
 
 

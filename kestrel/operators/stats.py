@@ -112,49 +112,13 @@ def pearson(x, y) -> Column:
 # Per-pair aggregates carry ~10 buffer fields; 9 pairs per aggregate keep the
 # partial aggregation inside whole-stage codegen (``spark.sql.codegen.maxFields``).
 PAIRS_PER_AGG = 9
-PAIRWISE_MAX_COLS = 4
 
 
-def corr_pairs(df: DataFrame, cols, method: str = "auto") -> DataFrame:
+def corr_pairs(df: DataFrame, cols) -> DataFrame:
     """(feature1, feature2, i1, i2, corr) for every pair i1 < i2 in column order.
 
-    ``method='pairwise'``: ``covar/std`` per pair on rows where both are
-    present (pandas ``corr()``), aggregates of 9 pairs.  ``'gram'``: one pass
-    of ``ml.stat.Correlation`` over assembled vectors (no nulls allowed).
-    ``'masked'``: one pass of per-task numpy partial sums with a presence
-    mask (pairwise-complete, nulls allowed).  ``'auto'``: pairwise for up to
-    4 columns, otherwise gram without nulls and masked with nulls.
-    """
-    cols = list(cols)
-    spark = df.sparkSession
-    if method == "auto":
-        method = "pairwise"
-        if len(cols) > PAIRWISE_MAX_COLS:
-            nulls = df.agg(*[F.count_if(F.col(c).isNull()) for c in cols]).first()
-            method = "gram" if sum(nulls) == 0 else "masked"
-    if method == "masked":
-        return _corr_pairs_masked(df, cols)
-    if method == "gram":
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        vec = VectorAssembler(inputCols=cols, outputCol="_kv").transform(df.select(*cols)).select("_kv")
-        m = Correlation.corr(vec, "_kv").first()[0].toArray()
-        rows = [(cols[i], cols[j], i, j, float(m[i, j]) if m[i, j] == m[i, j] else None)
-                for i in range(len(cols)) for j in range(i + 1, len(cols))]
-        return spark.createDataFrame(rows, "feature1 string, feature2 string, i1 int, i2 int, corr double")
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    parts = []
-    for chunk in _chunks(pairs, PAIRS_PER_AGG):
-        wide = df.agg(*[pearson(cols[i], cols[j]).alias(f"corr__{i}_{j}") for i, j in chunk])
-        parts.append(wide.select(F.explode(F.array(*[
-            F.struct(F.lit(cols[i]).alias("feature1"), F.lit(cols[j]).alias("feature2"), F.lit(i).alias("i1"),
-                     F.lit(j).alias("i2"), F.col(f"corr__{i}_{j}").alias("corr")) for i, j in chunk
-        ])).alias("r")).select("r.*"))
-    return _union(parts)
-
-
-def _corr_pairs_masked(df: DataFrame, cols) -> DataFrame:
-    """Pairwise-complete Pearson for many columns with nulls in ONE pass.
+    Pairwise-complete Pearson r (pandas ``corr()``) in one pass, whatever the
+    number of columns; null and NaN are missing; a constant side gives null.
 
     Each task turns its Arrow batches into four p x p partial sums (numpy
     matrix products with a presence mask, values centred on the global
@@ -218,37 +182,40 @@ def corr_with(df: DataFrame, cols, target: str) -> DataFrame:
 # --- label-conditional statistics ---------------------------------------------
 
 def class_moments(df: DataFrame, cols, label: str) -> DataFrame:
-    """(feature, label, n, s1, s2) = count, sum, sum of squares per class.
+    """(feature, label, n, mean, m2) = count, mean and sum of squared deviations per class.
 
     One ``groupBy(label)`` pass with partial aggregation, whatever the class
-    balance; the result has (#classes x #features) rows.
+    balance; the result has (#classes x #features) rows.  Deviations are from
+    the class mean (merged by ``var_pop``), so a large common offset costs no
+    precision.
     """
     parts = []
     for chunk in _chunks(cols, CHUNK // 3):
         exprs = []
         for c in chunk:
             x = F.col(c).cast("double")
-            exprs += [F.count(x).alias(f"n__{c}"), F.sum(x).alias(f"s1__{c}"), F.sum(x * x).alias(f"s2__{c}")]
+            exprs += [F.count(x).alias(f"n__{c}"), F.avg(x).alias(f"mean__{c}"), F.var_pop(x).alias(f"var__{c}")]
         wide = df.groupBy(label).agg(*exprs)
         parts.append(wide.select(F.col(label).alias("label"), F.explode(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(f"n__{c}").alias("n"), F.col(f"s1__{c}").alias("s1"),
-                     F.col(f"s2__{c}").alias("s2")) for c in chunk])).alias("r")).select("label", "r.*"))
+            F.struct(F.lit(c).alias("feature"), F.col(f"n__{c}").alias("n"), F.col(f"mean__{c}").alias("mean"),
+                     (F.col(f"n__{c}") * F.col(f"var__{c}")).alias("m2")) for c in chunk])).alias("r")).select("label", "r.*"))
     return _union(parts)
 
 
 def anova_f(df: DataFrame, cols, label: str) -> DataFrame:
     """One-way ANOVA F per feature against a class label (S6, ``f_classif``).
 
-    F = (SSB / (k - 1)) / (SSW / (n - k)) from per-class count/sum/sumsq.
+    F = (SSB / (k - 1)) / (SSW / (n - k)); SSW sums the classes' own squared
+    deviations, SSB is the weighted variance of the class means.
     """
-    cm = class_moments(df, cols, label)
-    per = cm.groupBy("feature").agg(
-        F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.count(F.lit(1)).alias("k"),
-        F.sum(F.col("s1") * F.col("s1") / F.col("n")).alias("between_raw"), F.sum("s2").alias("s2"))
-    ssb = F.col("between_raw") - F.col("s1") * F.col("s1") / F.col("n")
-    ssw = F.col("s2") - F.col("between_raw")
-    return per.select("feature", F.col("n").alias("n"), F.col("k").alias("k"),
-                      F.try_divide(ssb / (F.col("k") - 1), ssw / (F.col("n") - F.col("k"))).alias("f"))
+    cm = class_moments(df, cols, label).where(F.col("n") > 0)
+    grand = Window.partitionBy("feature")                # one row per class
+    mean = F.sum(F.col("n") * F.col("mean")).over(grand) / F.sum("n").over(grand)
+    per = cm.withColumn("away", F.col("mean") - mean).groupBy("feature").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"),
+        F.sum(F.col("n") * F.col("away") * F.col("away")).alias("ssb"), F.sum("m2").alias("ssw"))
+    return per.select("feature", "n", "k",
+                      F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k"))).alias("f"))
 
 
 def f_regression(df: DataFrame, cols, target: str) -> DataFrame:
@@ -337,45 +304,102 @@ def mutual_info_discrete(df: DataFrame, cols, label: str) -> DataFrame:
     return j.select("feature", ((F.col("a") - F.col("b") - F.col("c")) / F.col("n") + F.log("n")).alias("mi"))
 
 
-# Exact percentiles keep a value -> count map per column, so their memory
-# grows with the number of DISTINCT values; above this bound the
-# fixed-size sketch of ``percentile_approx`` is used instead.
-MAX_EXACT_DISTINCT = 2_000_000
-APPROX_ACCURACY = 1_000_000
+# --- exact quantiles -----------------------------------------------------------
 
+RADIX_BITS = 13
 
-def quantile_exprs(df: DataFrame, cols, probs, exact: bool | None = None) -> dict:
-    """One ``Column`` per column giving the array of quantiles at ``probs``.
 
-    ``exact=None`` decides per column from ``approx_count_distinct`` (one
-    cheap pass): exact, interpolated like pandas / DuckDB ``quantile_cont``,
-    while the distinct values are bounded, ``percentile_approx`` otherwise.
-    """
-    cols = list(cols)
-    if exact is None:
-        nd = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first().asDict()
-        use_exact = {c: (nd[c] or 0) <= MAX_EXACT_DISTINCT for c in cols}
-    else:
-        use_exact = {c: exact for c in cols}
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    return {c: (F.percentile(F.col(c).cast("double"), arr) if use_exact[c]
-                else F.percentile_approx(F.col(c).cast("double"), arr, APPROX_ACCURACY)) for c in cols}
+def _ordered_keys(x):
+    """Doubles as 64-bit unsigned integers in the same order (-0.0 counts as 0.0)."""
+    import numpy as np
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def _key_value(key: int) -> float:
+    import struct
+    bits = key & ((1 << 63) - 1) if key >> 63 else ~key & ((1 << 64) - 1)
+    return struct.unpack("<d", struct.pack("<Q", bits))[0]
 
 
-def quantiles(df: DataFrame, cols, probs, exact: bool | None = None) -> dict[str, list]:
-    """{column: [quantile per prob]} from one aggregate (size-checked exactness)."""
-    ex = quantile_exprs(df, cols, probs, exact)
-    row = df.agg(*[e.alias(c) for c, e in ex.items()]).first()
-    return {c: list(row[c] or []) for c in cols}
+def _digit_counts(table: DataFrame, prefixes: list[list[int]], shift: int, width: int) -> dict:
+    """{(column, prefix): counts by next digit}: one pass, counted per task and summed."""
+    import numpy as np
+    import pandas as pd
+
+    def partial(it):
+        acc = {}
+        for pdf in it:
+            for c, known in enumerate(prefixes):
+                x = pdf.iloc[:, c].to_numpy(dtype=float, na_value=np.nan)
+                keys = _ordered_keys(x[~np.isnan(x)])
+                top, digit = keys >> np.uint64(shift), (1 << width) - 1
+                for q in known:
+                    mine = top if shift + width >= 64 else top[(top >> np.uint64(width)) == np.uint64(q)]
+                    n = np.bincount((mine & np.uint64(digit)).astype(np.int64), minlength=1 << width)
+                    acc[c, q] = acc.get((c, q), 0) + n
+        for (c, q), n in acc.items():
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"c": np.int32(c), "q": str(q), "d": at.astype(np.int32), "n": n[at]})
+
+    rows = (table.mapInPandas(partial, "c int, q string, d int, n long").groupBy("c", "q", "d")
+            .agg(F.sum("n").alias("n")).orderBy("c", "q", "d").collect())
+    out: dict = {}
+    for r in rows:
+        out.setdefault((r["c"], int(r["q"])), []).append((r["d"], r["n"]))
+    return out
+
+
+def quantiles(df: DataFrame, cols, probs) -> dict[str, list]:
+    """{column: [quantile per prob]}, exact and interpolated like pandas.
+
+    One method at every size: a radix select over the ordered bits of the
+    doubles.  Each of five passes over the stored columns counts the next 13
+    bits of the values that can still be the wanted ranks; the driver sees at
+    most 8,192 counts per column and rank.  Null and NaN are missing; a column
+    without values gives None.
+    """
+    cols, probs = list(cols), [float(p) for p in probs]
+    table = _small(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]))
+    wanted: list[dict[int, tuple[int, int]]] = [{} for _ in cols]     # rank -> (known bits, rank among values with them)
+    totals, shift = [0] * len(cols), 64
+    while shift:
+        width = min(RADIX_BITS, shift)
+        shift -= width
+        first = shift + width == 64
+        prefixes = [[0] if first else sorted({k for k, _ in w.values()}) for w in wanted]
+        counts = _digit_counts(table, prefixes, shift, width)
+        if first:
+            for c in range(len(cols)):
+                n = totals[c] = sum(k for _, k in counts.get((c, 0), []))
+                ranks = {int(p * (n - 1)) + up for p in probs for up in (0, 1)} if n else set()
+                wanted[c] = {r: (0, r) for r in ranks if r < n}
+        for c, ranks in enumerate(wanted):
+            for rank, (known, left) in ranks.items():
+                for digit, n in counts[c, known]:
+                    if left < n:
+                        ranks[rank] = (known << width | digit, left)
+                        break
+                    left -= n
+    out = {}
+    for c, name in enumerate(cols):
+        value = {rank: _key_value(key) for rank, (key, _) in wanted[c].items()}
+        out[name] = []
+        for p in probs:
+            at = p * (totals[c] - 1)
+            low = value.get(int(at)) if totals[c] else None
+            part = at - int(at)
+            out[name].append(low if low is None or not part else low + (value[int(at) + 1] - low) * part)
+    return out
 
 
-def quantile_edges(df: DataFrame, cols, q: int = 10, exact: bool | None = None) -> dict[str, list[float]]:
+def quantile_edges(df: DataFrame, cols, q: int = 10) -> dict[str, list[float]]:
     """Equal-frequency bin edges per column, duplicates dropped (H4, ``qcut``).
 
     (q + 1) numbers per column reach the driver.
     """
     probs = [i / q for i in range(q + 1)]
-    vals = quantiles(df, cols, probs, exact)
+    vals = quantiles(df, cols, probs)
     out = {}
     for c in cols:
         edges = []

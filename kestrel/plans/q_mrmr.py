@@ -78,7 +78,7 @@ def y09_mrmr_mid_loop(spark, d):
 def _fcq_sql(cols, k=3):
     f = _anova_sql(cols).replace("WITH cm AS", "cm AS", 1)
     body = f.split("SELECT feature, CAST(n AS BIGINT) AS n, k, ")[0]
-    fsel = ("SELECT feature, ((br - s1 * s1 / n) / (k - 1)) / ((s2 - br) / (n - k)) AS f FROM per")
+    fsel = ("SELECT feature, (ssb / (k - 1)) / (ssw / (n - k)) AS f FROM per")
     idx = " UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS i" for i, c in enumerate(cols))
     return f"""WITH {body.rstrip().rstrip(',')},
 fs AS ({fsel}), ix AS ({idx}), fr AS (SELECT fs.feature, fs.f, ix.i FROM fs JOIN ix USING (feature)),
