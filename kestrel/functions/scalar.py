@@ -18,19 +18,15 @@ def _c(c) -> Column:
 
 
 def rnd(c, decimals: int) -> Column:
-    """Round half up on the binary double: ``floor(x * 10^d + 0.5) / 10^d``.
+    """Round half to even on the binary double: ``rint(x * 10^d) / 10^d``.
 
-    Plain IEEE operations, so every engine (Spark, DuckDB, numpy) gives the
-    same bits; ``F.round`` rounds the decimal string form instead and differs
-    from other engines at ties such as 0.14275.  Valid for |x| * 10^d < 9e18.
+    The rule of numpy and pandas.  Plain IEEE operations on doubles, so every
+    engine (Spark, DuckDB, numpy) gives the same bits, and NaN, infinities and
+    numbers of any size pass through; ``F.round`` rounds the decimal string
+    form instead and differs at ties such as 0.14275.
     """
     scale = float(10 ** decimals)
-    return F.floor(_c(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
-
-
-def rnd_sql(expr: str, decimals: int) -> str:
-    """SQL text of :func:`rnd` for oracle queries."""
-    return f"(floor(({expr}) * 1e{decimals} + 0.5) / 1e{decimals})"
+    return F.rint(_c(c) * F.lit(scale)) / F.lit(scale)
 
 
 # --- strings -----------------------------------------------------------------
@@ -121,10 +117,10 @@ def percent_reduction(current, predicted, decimals: int = 2) -> Column:
     return rnd(F.try_divide(_c(current) - _c(predicted), _c(current)) * 100.0, decimals)
 
 
-def suggestion_text(current, predicted, unit: str = "", tol: float = 1e-6) -> Column:
-    """No change / Increase / Reduce text."""
+def suggestion_text(current, predicted, unit: str = "", tol: float = 1e-6, rel: float = 1e-5) -> Column:
+    """No change / Increase / Reduce text (C16); equal within ``tol + rel * abs(current)``."""
     cur, pred = _c(current), _c(predicted)
-    return (F.when(F.abs(pred - cur) < tol, F.lit("No change"))
+    return (F.when(F.abs(pred - cur) <= F.lit(tol) + F.lit(rel) * F.abs(cur), F.lit("No change"))
             .when(pred > cur, F.concat(F.lit("Increase to "), fixed(rnd(pred, 2), 2), F.lit(unit)))
             .otherwise(F.concat(F.lit("Reduce to "), fixed(rnd(pred, 2), 2), F.lit(unit))))
 

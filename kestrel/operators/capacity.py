@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions import scalar as S
 from kestrel.operators.encoding import ordinal_codes
-from kestrel.operators.ordering import rolling
+from kestrel.operators.ordering import rolling, shifted
 
 METRIC_COLS = ["cpuRequest", "cpuLimit", "cpuUsage", "memRequest", "memLimit", "memUsage"]
 CODE_COLS = ["deployment", "namespace", "controllerName", "controllerKind"]
@@ -75,6 +75,16 @@ def rolling_usage(df: DataFrame, partition_by="controllerName",
     return rolling(df, partition_by, list(order_by), rows, aggs)
 
 
+def with_earlier_usage(df: DataFrame, partition_by="controllerName", order_by=("timestamp", "key")) -> DataFrame:
+    """Rolling features of the sample before the current one, as ``<name>_before``.
+
+    Predictors must not hold the value they predict; the first sample of a
+    series has no earlier one and takes its current request instead."""
+    out = shifted(df, partition_by, list(order_by), ["avg_cpu_5min", "avg_mem_5min", "max_cpu", "max_mem"], 1, "_before")
+    return out.withColumns({f"{c}_before": F.coalesce(f"{c}_before", r) for c, r in (
+        ("avg_cpu_5min", "cpuRequest"), ("avg_mem_5min", "memRequest"), ("max_cpu", "cpuRequest"), ("max_mem", "memRequest"))})
+
+
 def preprocess_metrics(df: DataFrame, namespace: str | None = None,
                        partition_by="controllerName") -> DataFrame:
     """The metric preprocessing job (R6): filter, units, calendar, ratios,
@@ -131,8 +141,8 @@ def controller_summary(df: DataFrame, key: str = "controllerName", cols=SUMMARY_
 def first_per_key(df: DataFrame, key: str, order_by) -> DataFrame:
     """``drop_duplicates(key)`` after a sort: first row per key.
 
-    ``max_by``/``min_by`` over a struct is a plain hash aggregate (partial
-    aggregation before the shuffle), so a hot key costs no more than others.
+    ``min_by`` over a struct plans as a sort aggregate, with partial
+    aggregation before the shuffle, so a hot key sends one row per task.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     payload = [c for c in df.columns if c != key]

@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from kestrel.operators.ordering import IDX, with_global_index
 
 
-def code_table(df: DataFrame, col: str, code_col: str) -> DataFrame:
-    """(value, code) with code = 0-based position in sorted distinct values.
-
-    Same as scikit-learn ``LabelEncoder`` / pandas ``cat.codes``.  Built with
-    a distributed index, not a single-task window, so high cardinality is fine.
-    """
-    distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
-    return with_global_index(distinct, [col]).select(col, F.col(IDX).cast("long").alias(code_col))
-
-
 def code_tables(df: DataFrame, cols) -> DataFrame:
     """(column, value, code) for several string columns in ONE indexed pass.
 

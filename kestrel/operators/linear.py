@@ -12,7 +12,6 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +38,14 @@ class GramStats:
 
 
 def gram_stats(df: DataFrame, cols, label: str, fold_col: str | None = None) -> GramStats:
-    """One grouped pass (per fold) of the centred sums; rows with a null in
-    any used column are dropped (like scikit-learn, which rejects them)."""
+    """One grouped pass (per fold) of the centred sums; a null in any used
+    column is an error, as in scikit-learn."""
     cols = list(cols)
     names = cols + [label]
-    clean = df.select(*( [fold_col] if fold_col else []), *[F.col(c).cast("double").alias(c) for c in names]).na.drop()
-    means = clean.agg(*[F.avg(c).alias(c) for c in names]).first()
+    clean = df.select(*( [fold_col] if fold_col else []), *[F.col(c).cast("double").alias(c) for c in names])
+    means = clean.agg(*[F.avg(c).alias(c) for c in names], *[F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in names]).first()
+    if holes := [c for c in names if means[f"null {c}"]]:
+        raise ValueError(f"null values in {', '.join(holes)}; fill or drop them first")
     mu = np.array([means[c] or 0.0 for c in names])
     z = [(F.col(c) - F.lit(float(mu[i]))) for i, c in enumerate(names)]
     q = len(names)
@@ -218,7 +219,3 @@ def recursive_addition(g: GramStats, order, tol: float, cv: bool = True):
             base = sc
         log.append((c, float(gain), bool(keep)))
     return kept, log
-
-
-def as_frame(spark, rows, schema: str) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(",")]), schema)

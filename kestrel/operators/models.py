@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.operators import stats as ST
-from kestrel.operators.sampling import fold_column, permute_column
+from kestrel.operators.sampling import fold_column, permute_columns
 
 ESTIMATORS = {
     "dt_reg": DecisionTreeRegressor, "dt_clf": DecisionTreeClassifier,
@@ -42,7 +42,8 @@ def estimator(kind: str, label: str, features: str = "features", **params):
 
 
 def assemble(cols, out: str = "features") -> VectorAssembler:
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip")
+    """Feature vector; a null feature is an error, fill it before (no row is left out silently)."""
+    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error")
 
 
 def fit(kind: str, df: DataFrame, cols, label: str, **params) -> PipelineModel:
@@ -182,14 +183,20 @@ def rfe(kind: str, df: DataFrame, cols, label: str, n_features: int, **params) -
 # --- hybrid searches ----------------------------------------------------------------------------
 
 def permutation_drift(kind: str, train: DataFrame, cols, label: str, key: str, metric: str,
-                      seed: int = 0, **params) -> DataFrame:
-    """Drift = score - score with one column permuted (Y1, Y2): the model is
-    fitted once; each column is shuffled by :func:`permute_column`."""
+                      seed: int = 0, test: DataFrame | None = None, **params) -> DataFrame:
+    """Drift = score - score with one column permuted.
+
+    The model is fitted once on ``train`` and scored on ``test`` (default:
+    ``train``).  All columns are permuted by one pair of indexes and one join
+    (:func:`permute_columns`), stored once; each column then takes its
+    permuted twin for its own score."""
     model = fit(kind, train, cols, label, **params)
-    base = metric_value(kind, model.transform(train), label, metric)
+    test = train if test is None else test
+    base = metric_value(kind, model.transform(test), label, metric)
+    both = permute_columns(test, key, cols, seed).checkpoint(eager=True)
 
     def one(c):
-        shuffled = permute_column(train, key, c, seed)
+        shuffled = both.withColumn(c, F.col(f"{c}__perm"))
         return (c, float(base - metric_value(kind, model.transform(shuffled), label, metric)))
     rows = _parallel(one, list(cols))
     return train.sparkSession.createDataFrame(rows, "feature string, drift double")
@@ -200,39 +207,58 @@ def recursive_elimination(kind: str, train: DataFrame, test: DataFrame, cols, la
     """Recursive elimination by importance with tolerance (Y4, Y5): remove
     the least important remaining feature; keep it back if the score drops by
     more than ``tol``, else the baseline moves to the new score."""
-    model = fit(kind, train, cols, label, **params)
-    base = metric_value(kind, model.transform(test), label, metric)
-    order = [c for c, _ in reversed(importance_table(model, cols))]
-    kept = list(cols)
-    log = []
+    return recursive_elimination_cv(kind, [(train, test)], train, cols, label, metric, tol, **params)
+
+
+def _mean_score(kind: str, splits, cols, label: str, metric: str, **params) -> float:
+    """Mean score over (train, test) pairs; fits of different pairs run concurrently."""
+    def one(pair):
+        return metric_value(kind, fit(kind, pair[0], cols, label, **params).transform(pair[1]), label, metric)
+    scores = _parallel(one, splits)
+    return float(sum(scores) / len(scores))
+
+
+def recursive_elimination_cv(kind: str, splits, full: DataFrame, cols, label: str, metric: str, tol: float,
+                             **params) -> list[tuple[str, float, bool]]:
+    """One elimination whose score is the mean over the folds.
+
+    ``log``: every feature in the order it was tried (least important in the
+    model on ``full`` first) with its drift, the baseline before the trial
+    minus the score without it, and whether it was kept.  The last feature
+    left is kept without a trial (drift null)."""
+    base = _mean_score(kind, splits, cols, label, metric, **params)
+    order = [c for c, _ in reversed(importance_table(fit(kind, full, cols, label, **params), cols))]
+    kept, log = list(cols), []
     for c in order:
         trial = [x for x in kept if x != c]
         if not trial:
-            break
-        sc = metric_value(kind, fit(kind, train, trial, label, **params).transform(test), label, metric)
-        drop = base - sc < tol
-        if drop:
-            kept, base = trial, sc
-        log.append((c, float(base - sc) if not drop else 0.0, not drop))
+            log.append((c, None, True))
+            continue
+        score = _mean_score(kind, splits, trial, label, metric, **params)
+        drift = float(base - score)
+        log.append((c, drift, drift >= tol))
+        if drift < tol:
+            kept, base = trial, score
     return log
 
 
 def recursive_addition(kind: str, train: DataFrame, test: DataFrame, cols, label: str, metric: str,
-                       tol: float, **params) -> list[tuple[str, float, bool]]:
+                       tol: float, **params) -> list[tuple[str, float, float | None, bool]]:
     """Recursive addition (Y6, Y7): most important first; keep when the gain
-    is at least ``tol`` and move the baseline."""
+    is at least ``tol`` and move the baseline.  Rows: feature, score with it,
+    gain over the baseline before it (null for the first), kept."""
     model = fit(kind, train, cols, label, **params)
     order = [c for c, _ in importance_table(model, cols)]
     kept = [order[0]]
     base = metric_value(kind, fit(kind, train, kept, label, **params).transform(test), label, metric)
-    log = [(order[0], float(base), True)]
+    log = [(order[0], float(base), None, True)]
     for c in order[1:]:
         sc = metric_value(kind, fit(kind, train, kept + [c], label, **params).transform(test), label, metric)
-        keep = sc - base >= tol
-        if keep:
+        gain = float(sc - base)
+        log.append((c, float(sc), gain, gain >= tol))
+        if gain >= tol:
             kept.append(c)
             base = sc
-        log.append((c, float(sc - base) if not keep else float(sc), keep))
     return log
 
 
@@ -292,7 +318,3 @@ def save_model(model: PipelineModel, path: str) -> str:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def with_folds(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
-    return fold_column(df, key, k, seed)

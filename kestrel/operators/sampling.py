@@ -45,6 +45,17 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.withColumn("_kh", h).orderBy("_kh", key).limit(n).drop("_kh")
 
 
+def permute_columns(df: DataFrame, key: str, cols, seed: int = 0) -> DataFrame:
+    """``df`` with ``c__perm`` for each column: all columns follow one shuffled
+    row order, so one pair of indexes and one join serve any number of them."""
+    cols = list(cols)
+    base = with_global_index(df, [key])
+    donor = with_global_index(
+        df.select(key, *cols).withColumn("_kh", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))),
+        ["_kh", key]).select(F.col(IDX), *[F.col(c).alias(f"{c}__perm") for c in cols])
+    return base.join(donor, IDX).drop(IDX)
+
+
 def permute_column(df: DataFrame, key: str, col: str, seed: int = 0, out: str | None = None) -> DataFrame:
     """``sample(frac=1)`` of one column realigned to the key order.
 

@@ -148,20 +148,21 @@ def correlated_groups(pairs: DataFrame, order: list[str], threshold: float) -> l
 
 
 def correlated_groups_by_strength(pairs: DataFrame, threshold: float) -> list[list[str]]:
-    """Greedy groups in order of the strongest pair (F11): the first feature of
-    the strongest remaining pair collects all its correlates not yet grouped."""
-    rows = (pairs.where(F.abs("corr") > threshold)
-            .orderBy(F.abs("corr").desc(), "i1", "i2").select("feature1", "feature2").collect())
+    """Groups in order of the strongest pair (F11), over ``threshold <= abs(r) < 1``.
+
+    Both directions of a pair count.  A feature that is in no group yet leads
+    one with all its correlates, strongest first; those may be in earlier
+    groups as well, so groups can overlap."""
+    band = pairs.where((F.abs("corr") >= threshold) & (F.abs("corr") < 1)).select("feature1", "feature2", "i1", "i2", "corr")
+    both = band.union(band.select("feature2", "feature1", "i2", "i1", "corr"))
+    rows = both.orderBy(F.abs("corr").desc(), "i1", "i2").select("feature1", "feature2").collect()
     grouped: set[str] = set()
     groups = []
-    for f1, _ in rows:
-        if f1 in grouped:
-            continue
-        members = [b if a == f1 else a for a, b in rows if f1 in (a, b)]
-        members = [m for m in dict.fromkeys(members) if m not in grouped and m != f1]
-        if members:
-            groups.append([f1] + members)
-            grouped.update(members + [f1])
+    for leader, _ in rows:
+        if leader not in grouped:
+            members = [b for a, b in rows if a == leader]
+            groups.append([leader] + members)
+            grouped.update(members + [leader])
     return groups
 
 

@@ -40,11 +40,15 @@ processed AS (
 )"""
 
 REC_SQL = PRE_SQL + """,
+prd AS (
+  SELECT *, coalesce(lag(max_cpu) OVER b, cpuRequest) AS cpuRequest_predicted,
+         coalesce(lag(max_mem) OVER b, memRequest) AS memRequest_predicted
+  FROM processed WINDOW b AS (PARTITION BY controllerName ORDER BY timestamp, key)
+),
 rec AS (
-  SELECT *, max_cpu AS cpuRequest_predicted, max_mem AS memRequest_predicted,
-         RND(CASE WHEN max_cpu < cpuUsage THEN cpuUsage * 1.2 ELSE max_cpu * 1.2 END, 4) AS recommended_cpuRequest,
-         RND(CASE WHEN max_mem < memUsage THEN memUsage * 1.2 ELSE max_mem * 1.2 END, 2) AS recommended_memRequest
-  FROM processed
+  SELECT *, RND(CASE WHEN cpuRequest_predicted < cpuUsage THEN cpuUsage * 1.2 ELSE cpuRequest_predicted * 1.2 END, 4) AS recommended_cpuRequest,
+         RND(CASE WHEN memRequest_predicted < memUsage THEN memUsage * 1.2 ELSE memRequest_predicted * 1.2 END, 2) AS recommended_memRequest
+  FROM prd
 )"""
 
 
@@ -53,9 +57,9 @@ def processed(spark, sf_dir):
 
 
 def recommended(spark, sf_dir):
-    """Rows with a predictor (the rolling max) and the request rule applied."""
-    df = processed(spark, sf_dir).withColumns({
-        "cpuRequest_predicted": F.col("max_cpu"), "memRequest_predicted": F.col("max_mem")})
+    """Rows with a predictor (the rolling max of the samples before) and the request rule applied."""
+    df = C.with_earlier_usage(processed(spark, sf_dir)).withColumns({
+        "cpuRequest_predicted": F.col("max_cpu_before"), "memRequest_predicted": F.col("max_mem_before")})
     return C.recommend(df)
 
 

@@ -319,7 +319,7 @@ def c15_percent_reduction(spark, d):
     return df.select("key", S.percent_reduction("cpuRequest", F.col("cpuUsage") * 1.2).alias("reduction_pct"))
 
 
-@query("c16_suggestion", """SELECT key, CASE WHEN abs(cpuUsage * 1.2 - cpuRequest) < 1e-6 THEN 'No change'
+@query("c16_suggestion", """SELECT key, CASE WHEN abs(cpuUsage * 1.2 - cpuRequest) <= 1e-6 + 1e-5 * abs(cpuRequest) THEN 'No change'
  WHEN cpuUsage * 1.2 > cpuRequest THEN 'Increase to ' || printf('%.2f', RND(cpuUsage * 1.2, 2))
  ELSE 'Reduce to ' || printf('%.2f', RND(cpuUsage * 1.2, 2)) END AS suggestion FROM metrics""", views=M)
 def c16_suggestion(spark, d):

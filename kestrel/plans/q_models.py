@@ -127,24 +127,23 @@ def e05_lasso_logistic(spark, d):
 
 @query("e06_lasso_regression")
 def e06_lasso_regression(spark, d):
-    """``Lasso(alpha=100)`` on the price target (E6): regParam = alpha, L1."""
-    tr, _ = _std_train(spark, d)
+    """``Lasso(alpha=100)`` on the price target, features scaled (E6): regParam = alpha, L1."""
+    tr, _ = _split(spark, d)
     cols = [c for c in XCOLS if c != "price"]
-    tr = tr.withColumn("price_raw", F.col("price"))
-    m = ML.fit("lin_reg", tr, cols, "target", regParam=0.01, elasticNetParam=1.0, standardization=False)
+    m = ML.fit("lin_reg", ML.standardize(tr, cols), cols, "price", regParam=100.0, elasticNetParam=1.0, standardization=False)
     coefs = ML.coefficient_table(m, cols)
     return _rows(spark, [(c, v, v != 0) for c, v in coefs], "feature string, coef double, nonzero boolean")
 
 
 @query("e07_zero_coefficients")
 def e07_zero_coefficients(spark, d):
-    """Count of zero coefficients: lasso zeroes some, ridge none."""
-    tr, _ = _std_train(spark, d)
-    cols = [c for c in XCOLS if c != "price"]
+    """Zero coefficients of L1 and L2 logistic regression, C = 0.5 on scaled
+    features (E7): L1 zeroes some, L2 none."""
+    tr, n = _std_train(spark, d)
     rows = []
-    for name, enet in (("lasso", 1.0), ("ridge", 0.0)):
-        m = ML.fit("lin_reg", tr, cols, "target", regParam=0.05, elasticNetParam=enet, standardization=False)
-        rows.append((name, sum(1 for _, v in ML.coefficient_table(m, cols) if v == 0)))
+    for name, enet in (("l1", 1.0), ("l2", 0.0)):
+        m = ML.fit("log_reg", tr, XCOLS, "target", regParam=1.0 / (0.5 * n), elasticNetParam=enet, standardization=False)
+        rows.append((name, sum(1 for _, v in ML.coefficient_table(m, XCOLS) if v == 0)))
     return _rows(spark, rows, "model string, n_zero int")
 
 
@@ -204,12 +203,12 @@ def y02_permutation_regression(spark, d):
 
 @query("y03_select_by_shuffling")
 def y03_select_by_shuffling(spark, d):
-    """``SelectByShuffling(cv=2)``: mean drift over folds, keep > mean."""
+    """``SelectByShuffling(cv=2)``: drift on the held-out fold, mean over folds, keep > mean."""
     df = fold_column(_feat(spark, d), "id", 2).cache()
     parts = []
     for k in (0, 1):
         dr = ML.permutation_drift("rf_clf", df.where(F.col("fold") != k), XCOLS, "target", "id", "roc_auc", seed=k,
-                                  **FOREST)
+                                  test=df.where(F.col("fold") == k), **FOREST)
         parts.append(dr.withColumn("fold", F.lit(k)))
     per = ST._union(parts).groupBy("feature").agg(F.avg("drift").alias("drift"))
     return per.withColumn("keep", F.col("drift") > per.agg(F.avg("drift")).scalar())
@@ -225,14 +224,11 @@ def y04_recursive_elimination(spark, d):
 
 @query("y05_recursive_elimination_cv")
 def y05_recursive_elimination_cv(spark, d):
-    """``RecursiveFeatureElimination(cv=2, threshold)``: Y4 on each fold, kept
-    if kept in any fold (Y5)."""
+    """``RecursiveFeatureElimination(cv=2, threshold)``: one elimination, drift of the mean score over the folds."""
     df = fold_column(_feat(spark, d), "id", 2).cache()
-    rows = []
-    for k in (0, 1):
-        tr, te = df.where(F.col("fold") != k), df.where(F.col("fold") == k)
-        rows += [(k, *r) for r in ML.recursive_elimination("dt_clf", tr, te, XCOLS, "target", "roc_auc", 0.001, **TREE)]
-    return _rows(spark, rows, "fold int, feature string, drift double, kept boolean")
+    splits = [(df.where(F.col("fold") != k), df.where(F.col("fold") == k)) for k in (0, 1)]
+    log = ML.recursive_elimination_cv("dt_clf", splits, df, XCOLS, "target", "roc_auc", 0.001, **TREE)
+    return _rows(spark, log, "feature string, drift double, kept boolean")
 
 
 @query("y07_recursive_addition_model")
@@ -240,17 +236,19 @@ def y07_recursive_addition_model(spark, d):
     """``RecursiveFeatureAddition`` with a forest, tol 0.001."""
     tr, te = _split(spark, d)
     log = ML.recursive_addition("rf_clf", tr, te, XCOLS, "target", "roc_auc", 0.001, **FOREST)
-    return _rows(spark, log, "feature string, score double, kept boolean")
+    return _rows(spark, log, "feature string, score double, gain double, kept boolean")
 
 
 # --- 2.16 fitting, tuning, metrics ------------------------------------------------------------------
 
 def _metrics_frame(spark, d):
+    """Processed metrics with the rolling features of earlier samples only (no target among the features)."""
+    from kestrel.operators.capacity import with_earlier_usage
     from kestrel.plans.q_capacity import processed
-    return processed(spark, d)
+    return with_earlier_usage(processed(spark, d))
 
 
-MCOLS = ["cpuRequest", "cpuLimit", "avg_cpu_5min", "max_cpu", "hour", "dayofweek"]
+MCOLS = ["cpuRequest", "cpuLimit", "avg_cpu_5min_before", "max_cpu_before", "hour", "dayofweek"]
 
 
 @query("l01_decision_tree_regressor")
@@ -344,11 +342,11 @@ def l09_grid_search(spark, d):
 
 @query("l10_random_search")
 def l10_random_search(spark, d):
-    """``RandomizedSearchCV(n_iter=3)``: seeded draws from the grid."""
+    """``RandomizedSearchCV(n_iter=10)``: seeded draws from the grid."""
     df = fold_column(_metrics_frame(spark, d), "key", 2).cache()
     _, rows = ML.grid_search("gbt_reg", df, MCOLS, "cpuUsage",
-                             {"maxDepth": [2, 3], "maxIter": [5, 10], "stepSize": [0.1, 0.3]}, metric="mae",
-                             sample=3, seed=42, num_folds=2)
+                             {"maxDepth": [2, 3, 4], "maxIter": [5, 10], "stepSize": [0.05, 0.1, 0.3]}, metric="mae",
+                             sample=10, seed=42, num_folds=2)
     return _rows(spark, rows, "params string, mae double")
 
 
@@ -431,7 +429,7 @@ def r12_underprovision_classifier(spark, d):
     """Random-forest classifier of the under-provisioning flag (R12, C17 + L13)."""
     df = _metrics_frame(spark, d).withColumn("flag", S.under_provisioned("cpuUsage", "cpuRequest"))
     tr, te = split_frames(df, "key", 20)
-    m = ML.fit("rf_clf", tr, ["cpuRequest", "cpuLimit", "avg_cpu_5min", "hour", "dayofweek"], "flag", **FOREST)
+    m = ML.fit("rf_clf", tr, ["cpuRequest", "cpuLimit", "avg_cpu_5min_before", "hour", "dayofweek"], "flag", **FOREST)
     pred = m.transform(te).withColumn("prediction", F.col("prediction").cast("int"))
     return ML.classification_report(pred, "flag", "prediction")
 

@@ -358,12 +358,18 @@ def u05_corr_pairs_band(spark, d):
     return pairs.where((F.abs("corr") >= 0.8) & (F.abs("corr") < 1))
 
 
-@query("u06_not_in", """SELECT feature FROM (VALUES ('n_items'), ('qty'), ('qty_copy'), ('noise'), ('price')) a(feature)
-WHERE feature NOT IN ('qty_copy', 'noise')""")
+U06_COLS = ["n_items", "qty", "qty_copy", "noise", "price"]
+
+
+@query("u06_not_in", "WITH m AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, corr({c}, price) AS with_price, corr({c}, qty) AS with_qty FROM feat" for c in U06_COLS) + """)
+SELECT feature FROM m WHERE abs(with_price) >= 0.1 AND feature NOT IN (SELECT feature FROM m WHERE abs(with_qty) > 0.99 AND feature <> 'qty')""",
+       views=FT)
 def u06_not_in(spark, d):
-    cols = view(spark, d, "feat").select("n_items", "qty", "qty_copy", "noise", "price").columns
-    a = spark.createDataFrame([(c,) for c in cols], "feature string")
-    b = spark.createDataFrame([("qty_copy",), ("noise",)], "feature string")
+    """Features that go with the price but are not copies of ``qty``: two selections computed from the data."""
+    df = view(spark, d, "feat")
+    a = ST.corr_with(df, U06_COLS, "price").where(F.abs("corr") >= 0.1).select("feature")
+    b = ST.corr_with(df, U06_COLS, "qty").where((F.abs("corr") > 0.99) & (F.col("feature") != "qty")).select("feature")
     return RS.not_in(a, b)
 
 

@@ -9,6 +9,7 @@ from kestrel.functions import scalar as S
 from kestrel.functions.distributions import chi2_pvalue, f_pvalue
 from kestrel.operators import reshape as RS
 from kestrel.operators import selection as SEL
+from kestrel.operators.cleaning import fill_median
 from kestrel.operators import stats as ST
 from kestrel.operators import target_mean as TM
 from kestrel.plans.registry import query
@@ -150,17 +151,17 @@ def _order_sql(cols, metric_sql=None, desc=True):
 
 def _strength_sql(cols, threshold=0.8):
     """Oracle for the strongest-pair-first grouping (F11) as a recursive CTE."""
-    nxt = "(SELECT list(DISTINCT a.g) FROM adj a WHERE a.f = e.feature1 AND NOT list_contains(w.seen, a.g))"
+    nxt = "(SELECT list(a.feature2 ORDER BY a.rk) FROM e a WHERE a.feature1 = e.feature1)"
     return f"""WITH RECURSIVE pr AS ({_pairs_sql(cols)}),
-e AS (SELECT feature1, feature2, row_number() OVER (ORDER BY abs(corr) DESC, i1, i2) AS rk FROM pr WHERE abs(corr) > {threshold}),
-adj AS (SELECT feature1 AS f, feature2 AS g FROM e UNION ALL SELECT feature2, feature1 FROM e),
+band AS (SELECT feature1, feature2, i1, i2, corr FROM pr WHERE abs(corr) >= {threshold} AND abs(corr) < 1
+         UNION ALL SELECT feature2, feature1, i2, i1, corr FROM pr WHERE abs(corr) >= {threshold} AND abs(corr) < 1),
+e AS (SELECT feature1, feature2, row_number() OVER (ORDER BY abs(corr) DESC, i1, i2) AS rk FROM band),
 walk(rk, seen, grp) AS (
   SELECT 0, []::VARCHAR[], []::VARCHAR[][]
   UNION ALL
   SELECT w.rk + 1,
-    CASE WHEN list_contains(w.seen, e.feature1) OR coalesce(len({nxt}), 0) = 0 THEN w.seen
-         ELSE list_concat(w.seen, [e.feature1], {nxt}) END,
-    CASE WHEN list_contains(w.seen, e.feature1) OR coalesce(len({nxt}), 0) = 0 THEN w.grp
+    CASE WHEN list_contains(w.seen, e.feature1) THEN w.seen ELSE list_concat(w.seen, [e.feature1], {nxt}) END,
+    CASE WHEN list_contains(w.seen, e.feature1) THEN w.grp
          ELSE list_append(w.grp, list_concat([e.feature1], {nxt})) END
   FROM walk w JOIN e ON e.rk = w.rk + 1),
 fin AS (SELECT grp FROM walk ORDER BY rk DESC LIMIT 1),
@@ -332,11 +333,12 @@ ANOVA_COLS = ["n_items", "qty", "max_disc", "min_tax", "noise", "price", "disc_n
 
 def _anova_sql(cols):
     cm = " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, target, count({c}) AS n, sum({c}) AS s1, sum({c} * {c}) AS s2 FROM feat GROUP BY target"
+        f"SELECT '{c}' AS feature, target, count({c}) AS n, avg({c}) AS m, var_pop({c}) AS v FROM feat GROUP BY target"
         for c in cols)
     return f"""WITH cm AS ({cm}),
-per AS (SELECT feature, sum(n) AS n, sum(s1) AS s1, count(*) AS k, sum(s1 * s1 / n) AS br, sum(s2) AS s2 FROM cm GROUP BY feature)
-SELECT feature, CAST(n AS BIGINT) AS n, k, RND(((br - s1 * s1 / n) / (k - 1)) / ((s2 - br) / (n - k)), 4) AS f FROM per"""
+per AS (SELECT feature, sum(n) AS n, count(*) AS k, sum(n * v) AS ssw, sum(n * (m - g) * (m - g)) AS ssb FROM (SELECT *, sum(n * m) OVER (PARTITION BY feature) / sum(n) OVER (PARTITION BY feature) AS g FROM cm)
+        GROUP BY feature)
+SELECT feature, CAST(n AS BIGINT) AS n, k, RND((ssb / (k - 1)) / (ssw / (n - k)), 4) AS f FROM per"""
 
 
 @query("s06_anova_f", _anova_sql(ANOVA_COLS), views=FT)
@@ -430,8 +432,9 @@ def h03_mean_encoding(spark, d):
 def h04_quantile_edges(spark, d):
     """``qcut(q=10, retbins=True)`` edges (H4), exact interpolated percentiles."""
     df = view(spark, d, "feat")
-    row = df.agg(ST.quantile_exprs(df, ["qty"], [i / 10 for i in range(11)])["qty"].alias("e"))
-    return row.select(*[S.rnd(F.col("e")[i], 6).alias(f"q{i}") for i in range(11)])
+    edges = ST.quantiles(df, ["qty"], [i / 10 for i in range(11)])["qty"]
+    row = spark.createDataFrame([tuple(edges)], ", ".join(f"q{i} double" for i in range(11)))
+    return row.select(*[S.rnd(f"q{i}", 6).alias(f"q{i}") for i in range(11)])
 
 
 @query("h05_cut_apply", f"""WITH tr AS (SELECT * FROM feat WHERE {SPLIT.format(k='id')} >= 30),
@@ -528,7 +531,9 @@ def f15_smart_correlated_performance(spark, d):
     within each correlated group keep the best single-feature CV score."""
     from kestrel.operators import models as ML
     from kestrel.operators.sampling import fold_column
-    df = fold_column(view(spark, d, "feat"), "id", 3).cache()
+    df = view(spark, d, "feat")
+    holes = [r["feature"] for r in ST.column_moments(df, CORR_COLS).where("n_null > 0").collect()]
+    df = fold_column(fill_median(df, holes) if holes else df, "id", 3).cache()   # all features on the same rows
     sc = ML.single_feature_cv("dt_clf", df, CORR_COLS, "target", "roc_auc", maxDepth=3)
     score = {r["feature"]: r["mean"] for r in sc.collect()}
     order = sorted(CORR_COLS, key=lambda c: (-score[c], CORR_COLS.index(c)))
@@ -542,6 +547,9 @@ def f16_group_best_by_forest(spark, d):
     from kestrel.operators import models as ML
     df = view(spark, d, "feat")
     groups = SEL.correlated_groups_by_strength(ST.corr_pairs(df, CORR_COLS), 0.8)
+    used = sorted({c for g in groups for c in g})
+    holes = [r["feature"] for r in ST.column_moments(df, used).where("n_null > 0").collect()]
+    df = fill_median(df, holes) if holes else df
     rows = []
     for i, g in enumerate(groups):
         imp = ML.importance_table(ML.fit("rf_clf", df, g, "target", numTrees=10, maxDepth=3), g)

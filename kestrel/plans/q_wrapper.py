@@ -58,9 +58,9 @@ def _cv_gram(spark, d, cols=WRAP_COLS, k=3):
 
 @query("x02_forward_tol_cv")
 def x02_forward_tol_cv(spark, d):
-    """Forward search with ``n_features_to_select`` and ``tol`` on 3-fold CV R^2."""
+    """Forward search with ``n_features_to_select = 4`` and ``tol = -0.01`` on 3-fold CV R^2."""
     g = _cv_gram(spark, d)
-    return spark.createDataFrame(LN.forward_select(g, 4, cv=True, tol=0.001), "step int, feature string, score double")
+    return spark.createDataFrame(LN.forward_select(g, 4, cv=True, tol=-0.01), "step int, feature string, score double")
 
 
 @query("x03_backward_cv")
@@ -73,10 +73,11 @@ def x03_backward_cv(spark, d):
 
 @query("x04_backward_tol_cv")
 def x04_backward_tol_cv(spark, d):
-    """Backward with a tolerance (X4): stop when a removal costs more than tol."""
+    """Backward with a tolerance (X4): stop when a removal costs more than tol; removals, then what is left."""
     g = _cv_gram(spark, d)
-    kept, _ = LN.backward_select(g, 1, cv=True, tol=0.01)
-    return spark.createDataFrame([(c,) for c in kept], "feature string")
+    kept, steps = LN.backward_select(g, 1, cv=True, tol=0.01)
+    rows = [(f, False, float(score)) for _, f, score in steps] + [(f, True, None) for f in kept]
+    return spark.createDataFrame(rows, "feature string, kept boolean, score double")
 
 
 @query("x05b_exhaustive_cv")

@@ -40,7 +40,7 @@ def expand_rnd(sql: str) -> str:
             k += 1
         expr = expand_rnd(sql[j + 4:comma])
         d = int(sql[comma + 1:k - 1])
-        out.append(f"(floor(({expr}) * 1e{d} + 0.5) / 1e{d})")
+        out.append(f"(round_even(({expr}) * 1e{d}, 0) / 1e{d})")
         i = k
 
 

@@ -111,10 +111,3 @@ def roundtrip(df: DataFrame, fmt: str, name: str, schema=None) -> DataFrame:
         return read_csv(spark, path, schema=schema)
     df.write.mode("overwrite").format(fmt).save(path)
     return spark.read.format(fmt).load(path)
-
-
-def lit_none_to_nan_free(df: DataFrame) -> DataFrame:
-    """Replace NaN by null in double columns (pandas treats NaN as missing)."""
-    exprs = [F.nanvl(F.col(f.name), F.lit(None)).alias(f.name) if f.dataType.typeName() in ("double", "float")
-             else F.col(f.name) for f in df.schema.fields]
-    return df.select(*exprs)
