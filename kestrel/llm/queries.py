@@ -86,6 +86,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # Every run of lines whose first or last line is needed to reach 30 characters, compared as whole text.
+    "op7_line_dedup": """
+WITH all_lines AS (
+  SELECT doc_id, line, nth FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents)),
+lines AS (
+  SELECT doc_id, line, nth, length(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS pos
+  FROM all_lines WHERE trim(line) <> ''),
+runs AS (
+  SELECT a.doc_id, a.pos AS s, e.pos AS e, string_agg(m.line, chr(10) ORDER BY m.pos) AS run
+  FROM lines a JOIN lines e ON e.doc_id = a.doc_id AND e.pos BETWEEN a.pos AND a.pos + 29
+  JOIN lines m ON m.doc_id = a.doc_id AND m.pos BETWEEN a.pos AND e.pos
+  GROUP BY a.doc_id, a.pos, e.pos, a.n, e.n HAVING sum(m.n) >= 30 AND (sum(m.n) - a.n < 30 OR sum(m.n) - e.n < 30)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS copy FROM runs),
+gone AS (SELECT DISTINCT l.doc_id, l.nth FROM ranked r JOIN lines l ON l.doc_id = r.doc_id AND l.pos BETWEEN r.s AND r.e WHERE r.copy > 1),
+kept AS (
+  SELECT a.doc_id, string_agg(a.line, chr(10) ORDER BY a.nth) FILTER (WHERE g.nth IS NULL) AS text, CAST(count(g.nth) AS INTEGER) AS n_deleted
+  FROM all_lines a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.nth = a.nth GROUP BY a.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(k.n_deleted, 0) AS n_deleted
+FROM documents d LEFT JOIN kept k USING (doc_id)""",
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
