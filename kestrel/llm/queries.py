@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kestrel.llm import contamination, line_dedup, quality, secret_scan, sentencepiece_codec, sharding, simhash, syncmers, token_counts, toxicity
+from kestrel.llm import contamination, line_dedup, quality, secret_scan, secret_sql, sentencepiece_codec, sharding, simhash, syncmers, token_counts, toxicity
 from kestrel.llm.common import documents, table
 
 
@@ -87,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_secret_scan": secret_sql.scan_sql(min_token=16, prior=0.001),
     # Every run of lines whose first or last line is needed to reach 30 characters, compared as whole text.
     "op7_line_dedup": """
 WITH all_lines AS (

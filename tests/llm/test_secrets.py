@@ -51,6 +51,25 @@ def test_markov_models_find_random_tokens_only(make):
     assert sum(len(found[i].random) for i in range(300)) == 0
 
 
+def test_sql_twin_gives_the_same_spans(make, tmp_path):
+    import duckdb
+
+    from kestrel.llm import secret_sql
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice(["tion", "ment", "con", "pre", "able", "ing", "er", "an"]) for _ in range(6))
+    mixed = lambda n: "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(n))
+    texts = pieces(2, 80) + [f"{word()} {word()} token = {mixed(24)} and {word()}_{word()}" for _ in range(60)]
+    texts += [f"{word()} uses {mixed(rnd.randint(16, 32))} or {word()}{mixed(9)} here" for _ in range(40)] + [None, ""]
+    path = str(tmp_path / "documents")
+    df = make(list(enumerate(texts)))
+    df.write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = {r[0]: tuple(r[1:]) for r in con.execute(secret_sql.scan_sql()).fetchall()}
+    got = {r[0]: tuple(r[1:]) for r in secret_scan.report(secret_scan.scan(df)).collect()}
+    assert got == want and sum("random:" in r[4] for r in want.values()) > 10
+
+
 def test_odd_rows_and_native(odd, empty):
     out = secret_scan.report(secret_scan.scan(odd))
     assert out.count() == odd.count()
