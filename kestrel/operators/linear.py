@@ -9,13 +9,12 @@ cost one scan in total, however many subsets they try.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.operators.stats import _chunks
+from kestrel.operators import wrapper as W
+from kestrel.operators.stats import _summed
 
 
 class GramStats:
@@ -38,35 +37,38 @@ class GramStats:
 
 
 def gram_stats(df: DataFrame, cols, label: str, fold_col: str | None = None) -> GramStats:
-    """One grouped pass (per fold) of the centred sums; a null in any used
-    column is an error, as in scikit-learn."""
+    """The centred sums of every fold in one pass after the means, for any
+    number of columns; a null in any used column is an error, as in
+    scikit-learn."""
     cols = list(cols)
     names = cols + [label]
-    clean = df.select(*( [fold_col] if fold_col else []), *[F.col(c).cast("double").alias(c) for c in names])
-    means = clean.agg(*[F.avg(c).alias(c) for c in names], *[F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in names]).first()
-    if holes := [c for c in names if means[f"null {c}"]]:
-        raise ValueError(f"null values in {', '.join(holes)}; fill or drop them first")
-    mu = np.array([means[c] or 0.0 for c in names])
-    z = [(F.col(c) - F.lit(float(mu[i]))) for i, c in enumerate(names)]
+    clean = df.select(*([F.col(fold_col).cast("int").alias("_kfold")] if fold_col else [F.lit(0).alias("_kfold")]),
+                      *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
     q = len(names)
-    pairs = [(i, j) for i in range(q) for j in range(i, q)]
-    key = F.col(fold_col) if fold_col else F.lit(0)
+    means = clean.agg(*[F.avg(f"c{i}") for i in range(q)], *[F.count_if(F.col(f"c{i}").isNull()) for i in range(q)],
+                      F.min("_kfold"), F.max("_kfold")).first()
+    if holes := [c for i, c in enumerate(names) if means[q + i]]:
+        raise ValueError(f"null values in {', '.join(holes)}; fill or drop them first")
+    mu = np.array([means[i] or 0.0 for i in range(q)])
+    low, high = means[2 * q] or 0, means[2 * q + 1] or 0
+
+    def partial(pdf):
+        # For each fold q rows: sums of products, sum, and count of the rows.
+        out = np.zeros(((high - low + 1) * q, q + 2))
+        fold = pdf.iloc[:, 0].to_numpy()
+        z = pdf.iloc[:, 1:].to_numpy(dtype=float) - mu
+        for k in np.unique(fold):
+            x = z[fold == k]
+            block = out[(k - low) * q:(k - low + 1) * q]
+            block[:, :q], block[:, q], block[:, q + 1] = x.T @ x, x.sum(axis=0), len(x)
+        return out
+
+    got = _summed(clean, partial)
     n, s, P = {}, {}, {}
-    base = clean.select(key.alias("_kfold"), *[zi.alias(f"z{i}") for i, zi in enumerate(z)])
-    first = True
-    for chunk in _chunks(pairs, 150):
-        exprs = [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p_{i}_{j}") for i, j in chunk]
-        if first:
-            exprs += [F.count(F.lit(1)).alias("_kn")] + [F.sum(f"z{i}").alias(f"s_{i}") for i in range(q)]
-        for r in base.groupBy("_kfold").agg(*exprs).collect():
-            k = r["_kfold"]
-            if first:
-                n[k] = r["_kn"]
-                s[k] = np.array([r[f"s_{i}"] for i in range(q)], dtype=float)
-                P[k] = np.zeros((q, q))
-            for i, j in chunk:
-                P[k][i, j] = P[k][j, i] = r[f"p_{i}_{j}"]
-        first = False
+    for k in range(low, high + 1):
+        rows = np.array([got[(k - low) * q + i] for i in range(q)]) if got else np.zeros((q, q + 2))
+        if rows[0, q + 1]:
+            n[k], s[k], P[k] = int(rows[0, q + 1]), rows[:, q], rows[:, :q]
     return GramStats(cols, n, s, P, mu)
 
 
@@ -136,70 +138,38 @@ def score_fn(g: GramStats, cv: bool):
 
 
 def forward_select(g: GramStats, k: int, cv: bool = False, tol: float | None = None):
-    """Step forward (X1, X2): add the column that scores best; stop at k or
-    when the gain is below ``tol``.  Returns [(step, feature, score)]."""
+    """Step forward (X1, X2) with a linear scorer; see :func:`wrapper.forward`."""
     f = score_fn(g, cv)
-    chosen, steps, last = [], [], -np.inf
-    while len(chosen) < k:
-        cands = [c for c in g.cols if c not in chosen]
-        if not cands:
-            break
-        best = max(cands, key=lambda c: (f(chosen + [c]), -g.cols.index(c)))
-        sc = f(chosen + [best])
-        if tol is not None and steps and sc - last < tol:
-            break
-        chosen.append(best)
-        steps.append((len(chosen), best, float(sc)))
-        last = sc
-    return steps
+    return W.forward(g.cols, lambda many: [f(x) for x in many], k, tol)
 
 
 def backward_select(g: GramStats, k: int, cv: bool = False, tol: float | None = None):
-    """Step backward (X3, X4): drop the column whose removal scores best."""
+    """Step backward (X3, X4) with a linear scorer; see :func:`wrapper.backward`."""
     f = score_fn(g, cv)
-    kept = list(g.cols)
-    steps = []
-    last = f(kept)
-    while len(kept) > k:
-        best = max(kept, key=lambda c: (f([x for x in kept if x != c]), g.cols.index(c)))
-        sc = f([x for x in kept if x != best])
-        if tol is not None and last - sc > tol:
-            break
-        kept.remove(best)
-        steps.append((len(kept), best, float(sc)))
-        last = sc
-    return kept, steps
+    return W.backward(g.cols, lambda many: [f(x) for x in many], k, tol)
 
 
-def subsets(cols, min_k: int, max_k: int):
-    for k in range(min_k, max_k + 1):
-        yield from itertools.combinations(cols, k)
-
-
-DRIVER_SUBSETS = 5000
+SUBSETS_PER_TASK = 5000
 
 
 def exhaustive_scores(spark, g: GramStats, min_k: int, max_k: int, cv: bool = False) -> DataFrame:
-    """Exhaustive search (X5): every subset of size min_k..max_k as a row of a
-    DataFrame, scored in ``mapInPandas`` against the broadcast sums."""
-    rows = [(",".join(sub), len(sub)) for sub in subsets(g.cols, min_k, max_k)]
-    if len(rows) <= DRIVER_SUBSETS:
-        # A few thousand small solves take milliseconds on the driver; no
-        # Python workers needed.
-        f = score_fn(g, cv)
-        return spark.createDataFrame([(s_, k, f(s_.split(","))) for s_, k in rows], "subset string, k int, r2 double")
-    sdf = spark.createDataFrame(rows, "subset string, k int").repartition(
-        max(1, len(rows) // DRIVER_SUBSETS))
+    """Exhaustive search (X5): every subset of size min_k..max_k as a row.
+
+    Subsets are numbered; a task makes its own from their numbers and scores
+    them against the broadcast sums, so none is listed on the driver."""
+    total = W.n_subsets(len(g.cols), min_k, max_k)
+    numbers = spark.range(0, total, 1, max(1, -(-total // SUBSETS_PER_TASK)))
     bc = spark.sparkContext.broadcast((g.cols, g.n, g.s, g.P, g.mu))
 
     def score(it):
-        cols, n, s, P, mu = bc.value
-        gg = GramStats(cols, n, s, P, mu)
-        f = score_fn(gg, cv)
+        import pandas as pd
+        f = score_fn(GramStats(*bc.value), cv)
         for pdf in it:
-            yield pdf.assign(r2=[f(x.split(",")) for x in pdf["subset"]])
+            picked = [[bc.value[0][i] for i in W.subset_at(len(bc.value[0]), min_k, int(r))] for r in pdf["id"]]
+            yield pd.DataFrame({"subset": [",".join(x) for x in picked], "k": np.array([len(x) for x in picked], np.int32),
+                                "r2": [f(x) for x in picked]})
 
-    return sdf.mapInPandas(score, "subset string, k int, r2 double")
+    return numbers.mapInPandas(score, "subset string, k int, r2 double")
 
 
 def recursive_addition(g: GramStats, order, tol: float, cv: bool = True):

@@ -141,6 +141,17 @@ def single_feature_cv(kind: str, df: DataFrame, cols, label: str, metric: str, f
                                            "feature string, mean double, std double, keep boolean")
 
 
+def subset_scorer(kind: str, df: DataFrame, label: str, metric: str, fold_col: str = "fold", **params):
+    """``score_many`` of a wrapper search: mean CV score of a model on each
+    subset; the subsets of one call are fitted concurrently."""
+    folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]
+
+    def one(cols):
+        scores = cv_score(kind, df, cols, label, metric, fold_col, folds, **params)
+        return sum(scores) / len(scores)
+    return lambda many: _parallel(one, many)
+
+
 # --- embedded selection -----------------------------------------------------------------------
 
 def coefficient_table(model: PipelineModel, cols) -> list[tuple[str, float]]:

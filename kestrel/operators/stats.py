@@ -38,26 +38,63 @@ def _long_from_row(wide: DataFrame, cols, stats: list[str]) -> DataFrame:
 
 # --- per-column moments ------------------------------------------------------
 
+def _summed(table: DataFrame, partial) -> dict:
+    """Sum per row number of what ``partial`` makes of each task's pandas batches.
+
+    ``partial(pdf)`` gives a matrix; the matrices of a task are added up in
+    the task, then row by row over the tasks by a distributed aggregate, so
+    the driver receives one matrix whatever the size of the table.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    def run(it):
+        acc = None
+        for pdf in it:
+            if len(pdf):
+                part = partial(pdf)
+                acc = part if acc is None else acc + part
+        if acc is not None:
+            yield pd.DataFrame({"i": np.arange(len(acc), dtype=np.int32), "v": list(acc)})
+
+    rows = table.mapInPandas(run, "i int, v array<double>").groupBy("i").agg(
+        Summarizer.sum(array_to_vector("v")).alias("s")).collect()
+    return {r["i"]: r["s"].toArray() for r in rows}
+
+
+def _doubles(df: DataFrame, cols) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+
+
 def column_moments(df: DataFrame, cols) -> DataFrame:
-    """(feature, n_rows, n_null, mean, std, var, var_pop, min, max) in one pass per chunk.
+    """(feature, n_rows, n_null, mean, std, var, var_pop, min, max) in two passes, for any number of columns.
 
     ``std``/``var`` are sample statistics (pandas ``std()``), ``var_pop`` is
-    scikit-learn's ``VarianceThreshold`` variance.  Nulls are skipped.
+    scikit-learn's ``VarianceThreshold`` variance.  Null and NaN are missing.
+    The first pass takes one mean, minimum and maximum per column, the second
+    sums the squared deviations.
     """
-    stats = ["n_rows", "n_null", "mean", "std", "var", "var_pop", "min", "max"]
-    parts = []
-    # ~15 buffer fields per column: 6 columns per aggregate stay in codegen;
-    # each aggregate reads only its own columns from a columnar scan.
-    for chunk in _chunks(cols, 6):
-        exprs = []
-        for c in chunk:
-            x = F.col(c).cast("double")
-            exprs += [F.count(F.lit(1)).alias(f"n_rows__{c}"), F.count_if(F.col(c).isNull()).alias(f"n_null__{c}"),
-                      F.avg(x).alias(f"mean__{c}"), F.stddev_samp(x).alias(f"std__{c}"),
-                      F.var_samp(x).alias(f"var__{c}"), F.var_pop(x).alias(f"var_pop__{c}"),
-                      F.min(x).alias(f"min__{c}"), F.max(x).alias(f"max__{c}")]
-        parts.append(_long_from_row(df.agg(*exprs), chunk, stats))
-    return _union(parts)
+    import numpy as np
+    cols = list(cols)
+    table = _doubles(df, cols).select(*[F.nanvl(f"c{i}", F.lit(None)).alias(f"c{i}") for i in range(len(cols))])
+    first = table.agg(F.count(F.lit(1)), *[f(f"c{i}") for i in range(len(cols)) for f in (F.avg, F.min, F.max, F.count)]).first()
+    n_rows, mean = first[0], [first[1 + 4 * i] for i in range(len(cols))]
+    mu = np.array([0.0 if m is None else m for m in mean])
+
+    def squares(pdf):
+        x = np.nan_to_num(pdf.to_numpy(dtype=float, na_value=np.nan) - mu, nan=0.0, posinf=np.inf, neginf=-np.inf)
+        return np.stack([(x * x).sum(axis=0), x.sum(axis=0)])
+    got = _summed(table, squares)
+    rows = []
+    for i, c in enumerate(cols):
+        n, low, high = first[4 + 4 * i], first[2 + 4 * i], first[3 + 4 * i]
+        m2 = max(0.0, float(got[0][i]) - float(got[1][i]) ** 2 / n) if n and got else None
+        var = m2 / (n - 1) if n > 1 else None
+        rows.append((c, n_rows, n_rows - n, mean[i], None if var is None else var ** 0.5, var, m2 / n if n else None, low, high))
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, n_rows long, n_null long, mean double, std double, var double, var_pop double, min double, max double")
 
 
 def value_counts(df: DataFrame, cols, dropna: bool = True) -> DataFrame:
@@ -101,19 +138,6 @@ def predominant_share(df: DataFrame, cols, denominator: str = "non_null") -> Dat
 
 # --- correlation -------------------------------------------------------------
 
-def pearson(x, y) -> Column:
-    """Pairwise-complete Pearson r; null (not an ANSI error) for a constant side."""
-    x, y = (F.col(x) if isinstance(x, str) else x), (F.col(y) if isinstance(y, str) else y)
-    both = x.isNotNull() & y.isNotNull()
-    xm, ym = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
-    return F.try_divide(F.covar_samp(xm, ym), F.stddev_samp(xm) * F.stddev_samp(ym))
-
-
-# Per-pair aggregates carry ~10 buffer fields; 9 pairs per aggregate keep the
-# partial aggregation inside whole-stage codegen (``spark.sql.codegen.maxFields``).
-PAIRS_PER_AGG = 9
-
-
 def corr_pairs(df: DataFrame, cols) -> DataFrame:
     """(feature1, feature2, i1, i2, corr) for every pair i1 < i2 in column order.
 
@@ -122,61 +146,49 @@ def corr_pairs(df: DataFrame, cols) -> DataFrame:
 
     Each task turns its Arrow batches into four p x p partial sums (numpy
     matrix products with a presence mask, values centred on the global
-    means); the partials are summed per matrix row with ``Summarizer`` (a
-    distributed aggregate), so the shuffle carries p rows of 4p numbers per
-    task and the driver receives 4p^2 numbers.
+    means); the driver receives 4p^2 numbers.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
-
     cols = list(cols)
-    p = len(cols)
-    spark = df.sparkSession
-    means = df.agg(*[F.avg(F.col(c).cast("double")) for c in cols]).first()
+    r, _ = _pairwise(df, cols, range(len(cols)))
+    rows = [(cols[i], cols[j], i, j, r[i][j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    return df.sparkSession.createDataFrame(rows, "feature1 string, feature2 string, i1 int, i2 int, corr double")
+
+
+def _pairwise(df: DataFrame, cols, others) -> tuple[list[list], list[list]]:
+    """Pearson r and number of complete rows of each column with the columns at positions ``others``."""
+    import numpy as np
+    p, others = len(cols), list(others)
+    table = _doubles(df, cols)
+    means = table.agg(*[F.avg(F.nanvl(f"c{i}", F.lit(None))) for i in range(p)]).first()
     mu = np.array([m if m is not None else 0.0 for m in means], dtype=float)
-    bmu = spark.sparkContext.broadcast(mu)
 
-    def partial(it):
-        acc = None
-        for pdf in it:
-            x = pdf.to_numpy(dtype=float, na_value=np.nan) - bmu.value
-            m = ~np.isnan(x)
-            x0 = np.where(m, x, 0.0)
-            mf = m.astype(float)
-            part = [mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0]
-            acc = part if acc is None else [a + b for a, b in zip(acc, part)]
-        if acc is not None:
-            rows = np.concatenate(acc, axis=1)           # p x 4p
-            yield pd.DataFrame({"i": np.arange(p, dtype=np.int32), "v": list(rows)})
-
-    proj = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    parts = proj.mapInPandas(partial, "i int, v array<double>")
-    summed = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("v")).alias("s")).collect()
-    tot = np.zeros((p, 4 * p))
-    for r in summed:
-        tot[r["i"]] = r["s"].toArray()
-    n, sx, sxx, sxy = (tot[:, k * p:(k + 1) * p] for k in range(4))
-    rows = []
+    def partial(pdf):
+        x = pdf.to_numpy(dtype=float, na_value=np.nan) - mu
+        m = ~np.isnan(x)
+        x0, mf = np.where(m, x, 0.0), m.astype(float)
+        y0, yf = x0[:, others], mf[:, others]
+        return np.concatenate([mf.T @ yf, x0.T @ yf, (x0 * x0).T @ yf, x0.T @ y0, mf.T @ y0, mf.T @ (y0 * y0)], axis=1)
+
+    got, q = _summed(table, partial), len(others)
+    r = [[None] * q for _ in range(p)]
+    count = [[0] * q for _ in range(p)]
     for i in range(p):
-        for j in range(i + 1, p):
-            nij = n[i, j]
-            si, sj = sx[i, j], sx[j, i]          # sum of x_i where x_j present, and vice versa
-            qi, qj = sxx[i, j], sxx[j, i]
-            vi, vj = nij * qi - si * si, nij * qj - sj * sj
-            r = (nij * sxy[i, j] - si * sj) / np.sqrt(vi * vj) if nij > 1 and vi > 0 and vj > 0 else None
-            rows.append((cols[i], cols[j], i, j, float(r) if r is not None else None))
-    return spark.createDataFrame(rows, "feature1 string, feature2 string, i1 int, i2 int, corr double")
+        if i not in got:
+            continue
+        n, sx, sxx, sxy, sy, syy = (got[i][k * q:(k + 1) * q] for k in range(6))
+        for j in range(q):
+            count[i][j] = int(n[j])
+            vx, vy = n[j] * sxx[j] - sx[j] * sx[j], n[j] * syy[j] - sy[j] * sy[j]
+            if n[j] > 1 and vx > 0 and vy > 0:
+                r[i][j] = float((n[j] * sxy[j] - sx[j] * sy[j]) / np.sqrt(vx * vy))
+    return r, count
 
 
 def corr_with(df: DataFrame, cols, target: str) -> DataFrame:
-    """(feature, corr) of each column with one column."""
-    parts = []
-    for chunk in _chunks(cols, PAIRS_PER_AGG):
-        wide = df.agg(*[pearson(c, target).alias(f"corr__{c}") for c in chunk])
-        parts.append(_long_from_row(wide, chunk, ["corr"]))
-    return _union(parts)
+    """(feature, corr) of each column with one column (S8, S9), in one pass after the means."""
+    cols = list(cols)
+    r, _ = _pairwise(df, [*cols, target], [len(cols)])
+    return df.sparkSession.createDataFrame([(c, r[i][0]) for i, c in enumerate(cols)], "feature string, corr double")
 
 
 # --- label-conditional statistics ---------------------------------------------
@@ -221,16 +233,11 @@ def anova_f(df: DataFrame, cols, label: str) -> DataFrame:
 def f_regression(df: DataFrame, cols, target: str) -> DataFrame:
     """F statistic of a univariate linear fit per feature (S7):
     F = r^2 / (1 - r^2) * (n - 2), n = rows with both values present."""
-    parts = []
-    for chunk in _chunks(cols, PAIRS_PER_AGG - 1):
-        exprs = []
-        for c in chunk:
-            exprs += [pearson(c, target).alias(f"r__{c}"),
-                      F.count_if(F.col(c).isNotNull() & F.col(target).isNotNull()).alias(f"n__{c}")]
-        parts.append(_long_from_row(df.agg(*exprs), chunk, ["r", "n"]))
-    r2 = F.col("r") * F.col("r")
-    return _union(parts).select("feature", "n", F.col("r").alias("corr"),
-                                (F.try_divide(r2, 1 - r2) * (F.col("n") - 2)).alias("f"))
+    cols = list(cols)
+    r, n = _pairwise(df, [*cols, target], [len(cols)])
+    table = df.sparkSession.createDataFrame([(c, n[i][0], r[i][0]) for i, c in enumerate(cols)], "feature string, n long, corr double")
+    r2 = F.col("corr") * F.col("corr")
+    return table.withColumn("f", F.try_divide(r2, 1 - r2) * (F.col("n") - 2))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -250,42 +257,29 @@ def contingency(df: DataFrame, cols, label: str) -> DataFrame:
         "_klabel", "label")
 
 
-def _observed_cells(ct: DataFrame) -> DataFrame:
-    """Observed cells with marginals and expected counts (no zero cells)."""
-    rows = ct.groupBy("feature", "value").agg(F.sum("count").alias("row_n"))
-    colm = ct.groupBy("feature", "label").agg(F.sum("count").alias("col_n"))
-    tot = ct.groupBy("feature").agg(F.sum("count").alias("n"), F.countDistinct("value").alias("r"),
-                                    F.countDistinct("label").alias("c"))
-    return (ct.join(rows, ["feature", "value"]).join(colm, ["feature", "label"]).join(tot, "feature")
-            .select("feature", "value", "label", F.col("count").alias("o"),
-                    (F.col("row_n") * F.col("col_n") / F.col("n")).alias("e"), "n", "r", "c"))
-
-
 def chi_square(df: DataFrame, cols, label: str) -> DataFrame:
     """Chi-square test of independence per feature.
 
     Returns the plain statistic, the Yates-corrected one (what scipy's
-    ``chi2_contingency`` reports when dof == 1) and dof.  Only observed
-    cells are materialised: empty cells add ``n - sum(expected)`` to the
-    plain statistic; the Yates form (2 x 2 tables only) gets its at most
-    four cells from the margins.
+    ``chi2_contingency`` reports when dof == 1) and dof.  With margins r, c of
+    the observed cells o the plain statistic is n * (sum o^2 / (r * c) - 1),
+    so empty cells need no rows; a 2 x 2 table has one deviation
+    d = |o - r * c / n| in all four cells, and the Yates form scales the plain
+    one by ((d - min(d, 0.5)) / d)^2.
     """
-    cells = _observed_cells(_small(contingency(df, cols, label)))
-    d = F.abs(F.col("o") - F.col("e"))
-    plain = cells.groupBy("feature").agg(
-        (F.sum(d * d / F.col("e")) + F.first("n") - F.sum("e")).alias("chi2"),
-        ((F.first("r") - 1) * (F.first("c") - 1)).cast("long").alias("dof"))
-    two = cells.where((F.col("r") == 2) & (F.col("c") == 2))
-    rws = two.groupBy("feature", "value").agg(F.sum("o").alias("rn"), F.first("n").alias("n"))
-    cls = two.groupBy("feature", "label").agg(F.sum("o").alias("cn"))
-    grid = (rws.join(cls, "feature")      # 2 x 2 = 4 cells per feature
-            .join(two.select("feature", "value", "label", "o"), ["feature", "value", "label"], "left")
-            .select("feature", F.coalesce("o", F.lit(0)).alias("o"), (F.col("rn") * F.col("cn") / F.col("n")).alias("e")))
-    dg = F.abs(F.col("o") - F.col("e"))
-    yk = F.greatest(dg - F.least(dg, F.lit(0.5)), F.lit(0.0))
-    yates = grid.groupBy("feature").agg(F.sum(yk * yk / F.col("e")).alias("chi2_yates"))
-    return plain.join(yates, "feature", "left").select(
-        "feature", "chi2", F.coalesce("chi2_yates", "chi2").alias("chi2_yates"), "dof")
+    ct = contingency(df, cols, label)
+    row, column, whole = (Window.partitionBy("feature", "value"), Window.partitionBy("feature", "label"), Window.partitionBy("feature"))
+    cells = ct.select("feature", "value", "label", F.col("count").alias("o"), F.sum("count").over(row).alias("r"),
+                      F.sum("count").over(column).alias("c"), F.sum("count").over(whole).alias("n"))
+    d = F.abs(F.col("o") - F.col("r") * F.col("c") / F.col("n"))
+    per = cells.groupBy("feature").agg(
+        F.max("n").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("share"), F.max(d).alias("d"),
+        F.countDistinct("value").alias("rows"), F.countDistinct("label").alias("columns"))
+    chi2 = F.col("n") * (F.col("share") - 1)
+    cut = F.try_divide(F.col("d") - F.least("d", F.lit(0.5)), F.col("d"))
+    two = (F.col("rows") == 2) & (F.col("columns") == 2)
+    return per.select("feature", chi2.alias("chi2"), F.when(two, chi2 * F.coalesce(cut * cut, F.lit(0.0))).otherwise(chi2).alias("chi2_yates"),
+                      ((F.col("rows") - 1) * (F.col("columns") - 1)).cast("long").alias("dof"))
 
 
 def mutual_info_discrete(df: DataFrame, cols, label: str) -> DataFrame:
