@@ -44,3 +44,18 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """
     return [F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_kd"),
             F.xxhash64(F.col(doc_id).isNull(), F.col(text).isNull(), F.col(text)).alias("_kt")]
+
+
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python tasks in batches of at most ``BATCH_ROWS`` rows.
+
+    Spark's default of 10,000 rows is meant for narrow rows; with texts each
+    batch (held by the JVM and by Python) would take a large part of a small
+    executor.  The session's own setting stays if it is smaller.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))

@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kestrel.llm.common import small_batches
+
 Q = 10
 RATE = 0.08
 BLOCK_CHARS = 4_000_000
@@ -250,6 +252,7 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list]:
 
 def _search_columns(df: DataFrame, index: Index, text: str, out: str, keep: list[str]) -> DataFrame:
     import pyarrow as pa
+    small_batches(df.sparkSession)
     src = df.select(*keep, F.col(text).alias("_searched"))
     kind = pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("edits", pa.int32())]))
 

@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import written
+from kestrel.llm.common import small_batches, written
 
 N_BYTES = 129                    # ASCII by value, all others together
 N_FEATURES = N_BYTES + 14
@@ -80,6 +80,7 @@ def text_features(text: str | None) -> np.ndarray:
 def features(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, x binary``: the features of each text as 32-bit floats."""
     import pyarrow as pa
+    small_batches(df.sparkSession)
     src = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

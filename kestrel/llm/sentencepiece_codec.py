@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.llm import pieces as P
+from kestrel.llm.common import small_batches
 
 ROWS_AT_ONCE = 256
 
@@ -128,6 +129,7 @@ class Codec:
 
 
 def _with(df: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame, T.StructType]:
+    small_batches(df.sparkSession)
     kept = df.drop(name) if name in df.columns else df
     return kept, T.StructType([*kept.schema.fields, T.StructField(name, kind)])
 

@@ -47,12 +47,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import row_key, written
+from kestrel.llm.common import row_key, small_batches, written
 from kestrel.llm.components import components
 
 SEED = 42
 PAIR_PIVOTS = [3 << (2 * j) for j in range(32)]
 MAX_MEETING = 1024
+ROWS_AT_ONCE = 20_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -83,6 +84,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(df: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, _kt, fp``: one row per document, ``fp`` as a signed 64-bit number, ``_kt`` the row's text key."""
     import pyarrow as pa
+    small_batches(df.sparkSession)
     src = df.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text)[1], F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +166,19 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
+def _gathered(batches: Iterator, rows: int) -> Iterator[list]:
+    """Lists of consecutive batches with about ``rows`` rows, none of them empty."""
+    part: list = []
+    for batch in batches:
+        if batch.num_rows:
+            part.append(batch)
+        if sum(b.num_rows for b in part) >= rows:
+            yield part
+            part = []
+    if part:
+        yield part
+
+
 def _link(max_bits: int):
     """A mapInArrow body over rows sorted by (key, near): emits the edges of spanning forests."""
     import pyarrow as pa
@@ -179,10 +194,8 @@ def _link(max_bits: int):
             member = np.flatnonzero(label != np.arange(len(keys)))
             return pa.RecordBatch.from_arrays([pa.array(prints[label[member]]), pa.array(prints[member])], names=["a", "b"])
 
-        for batch in batches:
-            rows = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-            if not len(rows[0]):
-                continue
+        for part in _gathered(batches, ROWS_AT_ONCE):
+            rows = [np.concatenate([h, *(b.column(i).to_numpy() for b in part)]) for i, h in enumerate(held)]
             open_ = int(np.flatnonzero((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]))[0])   # the last group may go on
             held = [r[open_:] for r in rows]
             if open_:

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm import pieces as P
+from kestrel.llm.common import small_batches
 
 
 class PrefixCounter:
@@ -130,6 +131,7 @@ def _tasks(model: bytes, answer):
 
 
 def _id_and_text(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    small_batches(df.sparkSession)
     return df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 

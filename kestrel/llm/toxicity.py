@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kestrel.llm.common import small_batches
+
 PREFIXES = (3, 4, 5, 6)
 _ENDS = re.compile(r"[.!?\n]")
 _NOT_LETTER = re.compile(r"[\W\d_]")
@@ -197,6 +199,7 @@ def fit_bags(bags: list[list[list[int]]], labels: np.ndarray, weights: np.ndarra
 def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", chosen: Column | None = None, max_docs: int = 4000,
         max_features: int = 1024, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Learn a model from the documents whose label row satisfies ``chosen`` (default: all)."""
+    small_batches(df.sparkSession)
     chosen = F.lit(True) if chosen is None else chosen
     ids = training_sample(labels, label, chosen, max_docs, doc_id)                  # at most 2 * max_docs rows
     sample = (df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
@@ -224,6 +227,7 @@ RESULTS = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("n
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with the probability of each text and its most toxic sentence (code points, end exclusive)."""
     import pyarrow as pa
+    small_batches(df.sparkSession)
     keep = df.drop(*[f.name for f in RESULTS if f.name != text])
     if text not in keep.columns:
         raise ValueError(f"no column {text}")
@@ -257,6 +261,7 @@ def locate(df: DataFrame, model: Model, threshold: float = 0.3, doc_id: str = "d
     import pyarrow as pa
     src = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = df.schema[doc_id].dataType.simpleString()
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = model.automaton()
