@@ -86,16 +86,16 @@ def with_earlier_usage(df: DataFrame, partition_by="controllerName", order_by=("
 
 
 def preprocess_metrics(df: DataFrame, namespace: str | None = None,
-                       partition_by="controllerName") -> DataFrame:
+                       partition_by="controllerName", keep=()) -> DataFrame:
     """The metric preprocessing job (R6): filter, units, calendar, ratios,
-    category codes, rolling features, projection."""
+    category codes, rolling features, projection (and the columns in ``keep``)."""
     if namespace is not None:
         df = df.where(F.col("namespace") == namespace)
     df = drop_all_zero(df)
     df = utilisation(time_features(convert_units(df)))
     df = ordinal_codes(df, CODE_COLS)
     df = rolling_usage(df, partition_by=partition_by)
-    return df.select(*PROCESSED_COLS)
+    return df.select(*PROCESSED_COLS, *keep)
 
 
 def recommend(df: DataFrame, cpu_pred: str = "cpuRequest_predicted",

@@ -429,16 +429,25 @@ def auc_by_group(df: DataFrame, group: str | None, score: str, label: str) -> Da
     """Exact ROC-AUC per group with tie handling (H6): rank-sum over distinct scores.
 
     Positives/negatives per (group, score) are pre-aggregated (map-side
-    combine).  Negatives ranked below each score come from a distributed
-    running sum in (group, score) order, so neither a single global AUC nor a
-    group holding most rows is squeezed into one task.
+    combine); see :func:`auc_from_counts`.
     """
-    from kestrel.operators.ordering import running_sum
     g = [group] if group else []
     lab = F.col(label).cast("double")
     per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*g, score).agg(
         F.sum(lab).alias("pos"), F.sum(1.0 - lab).alias("neg"))
-    cum = running_sum(per, g + [score], "neg", "_kcum").withColumn("_kbefore", F.col("_kcum") - F.col("neg"))
+    return auc_from_counts(per, group, score)
+
+
+def auc_from_counts(per: DataFrame, group: str | None, score: str) -> DataFrame:
+    """Exact ROC-AUC per group from one row ``pos, neg`` per (group, score).
+
+    Negatives ranked below each score come from a distributed running sum in
+    (group, score) order, so neither a single global AUC nor a group holding
+    most rows is squeezed into one task.
+    """
+    from kestrel.operators.ordering import running_sum
+    g = [group] if group else []
+    cum = _small(running_sum(per, g + [score], "neg", "_kcum").withColumn("_kbefore", F.col("_kcum") - F.col("neg")))
     if g:   # one row per group; AQE broadcasts it when its runtime size allows
         joined = cum.join(cum.groupBy(*g).agg(F.min("_kbefore").alias("_kstart")), g)
     else:

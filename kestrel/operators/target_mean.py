@@ -54,17 +54,30 @@ def bin_numeric(train: DataFrame, test: DataFrame, cols, q: int = 10, outside: s
     return tr, test.withColumns(te_expr), edges
 
 
+def _value_counts(df: DataFrame, key: str, cols, target: str, part) -> DataFrame:
+    """(feature, value, part, pos, neg): label counts of every value, the only pass over the rows."""
+    t = F.col(target).cast("double")
+    return (to_long(df.withColumn("_kpart", part), key, cols, target, ["_kpart"]).where(F.col(target).isNotNull())
+            .groupBy("feature", "value", "_kpart").agg(F.sum(t).alias("pos"), F.sum(1.0 - t).alias("neg")))
+
+
+def _auc_of_means(counts: DataFrame) -> DataFrame:
+    """AUC per feature of the training means (``_kpart`` false) on the test counts (``_kpart`` true)."""
+    means = counts.where(~F.col("_kpart")).select("feature", "value", (F.col("pos") / (F.col("pos") + F.col("neg"))).alias("target_mean"))
+    test = counts.where(F.col("_kpart")).join(means, ["feature", "value"])
+    per = test.groupBy("feature", "target_mean").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return ST.auc_from_counts(per, "feature", "target_mean")
+
+
 def target_mean_auc(df: DataFrame, key: str, cols, target: str, test_pct: int = 30, seed: int = 0,
                     numeric=(), bins: int = 10) -> DataFrame:
     """KDD-cup ranking (H7): per feature, ROC-AUC on the test split of the
     training target mean of its category (numeric columns binned first)."""
     flagged = random_split(df, key, test_pct, seed, "_ktest")
-    train, test = flagged.where(~F.col("_ktest")), flagged.where(F.col("_ktest"))
     if numeric:
-        train, test, _ = bin_numeric(train, test, list(numeric), bins)
-    means = fit_target_means(to_long(train, key, cols, target), target)
-    scored = apply_target_means(to_long(test, key, cols, target), means)
-    return ST.auc_by_group(scored, "feature", "target_mean", target)
+        train, test, _ = bin_numeric(flagged.where(~F.col("_ktest")), flagged.where(F.col("_ktest")), list(numeric), bins)
+        flagged = train.unionByName(test)
+    return _auc_of_means(ST._small(_value_counts(flagged, key, cols, target, F.col("_ktest"))))
 
 
 def target_mean_performance(df: DataFrame, key: str, cols, target: str, folds: int = 3, seed: int = 0,
@@ -79,9 +92,8 @@ def target_mean_performance(df: DataFrame, key: str, cols, target: str, folds: i
         train, test = data.where(F.col("_kfold") != k), data.where(F.col("_kfold") == k)
         if numeric:
             train, test, _ = bin_numeric(train, test, list(numeric), bins)
-        means = fit_target_means(to_long(train, key, cols, target), target)
-        scored = apply_target_means(to_long(test, key, cols, target), means)
-        parts.append(ST.auc_by_group(scored, "feature", "target_mean", target).withColumn("fold", F.lit(k)))
+        counts = _value_counts(train.unionByName(test), key, cols, target, F.col("_kfold") == k)
+        parts.append(_auc_of_means(ST._small(counts)).withColumn("fold", F.lit(k)))
     per = ST._union(parts).groupBy("feature").agg(F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_std"))
     # The per-feature table has one row per feature: a global window is fine.
     thr = F.lit(threshold) if threshold is not None else F.avg("auc_mean").over(Window.partitionBy())

@@ -52,13 +52,13 @@ rec AS (
 )"""
 
 
-def processed(spark, sf_dir):
-    return C.preprocess_metrics(view(spark, sf_dir, "metrics"))
+def processed(spark, sf_dir, keep=()):
+    return C.preprocess_metrics(view(spark, sf_dir, "metrics"), keep=keep)
 
 
-def recommended(spark, sf_dir):
+def recommended(spark, sf_dir, keep=()):
     """Rows with a predictor (the rolling max of the samples before) and the request rule applied."""
-    df = C.with_earlier_usage(processed(spark, sf_dir)).withColumns({
+    df = C.with_earlier_usage(processed(spark, sf_dir, keep)).withColumns({
         "cpuRequest_predicted": F.col("max_cpu_before"), "memRequest_predicted": F.col("max_mem_before")})
     return C.recommend(df)
 

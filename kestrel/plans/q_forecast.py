@@ -45,9 +45,8 @@ SELECT dep.deployment, rec.key, rec.recommended_cpuRequest, rec.recommended_memR
 def r07_rows_by_deployment(spark, d):
     """Rows grouped by deployment with their recommendations (R7): a re-keyed
     projection, no per-group function needed."""
-    dep = view(spark, d, "metrics").select("key", "deployment")
-    return recommended(spark, d).join(dep, "key").select("deployment", "key", "recommended_cpuRequest",
-                                                         "recommended_memRequest")
+    return recommended(spark, d, keep=("deployment",)).select("deployment", "key", "recommended_cpuRequest",
+                                                              "recommended_memRequest")
 
 
 @query("r08_arima_forecast")
@@ -55,9 +54,8 @@ def r08_arima_forecast(spark, d):
     """5-step ARIMA(1,1,1) forecasts of the predicted cpu and memory requests
     per deployment (R8), stamped at last timestamp + h * last gap, with the
     last usage / request / prediction of the deployment."""
-    dep = view(spark, d, "metrics").select("key", "deployment", "collectionTimestamp")
-    rows = recommended(spark, d).join(dep, "key")
-    out = FC.forecast_requests(rows, "deployment", "collectionTimestamp", "key", {
+    rows = recommended(spark, d, keep=("deployment",))
+    out = FC.forecast_requests(rows, "deployment", "timestamp", "key", {
         "cpu": ("cpuRequest_predicted", "cpuUsage", "cpuRequest"),
         "memory": ("memRequest_predicted", "memUsage", "memRequest")}, steps=5)
     return out.select("deployment", "resource", "step", "forecast_timestamp",

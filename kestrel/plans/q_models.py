@@ -31,9 +31,19 @@ def _feat(spark, d):
     return view(spark, d, "feat").select("id", *XCOLS, "qty_corr", "target")
 
 
+_HELD: list = []
+
+
+def _held(*frames):
+    """Cache the frames of one query; those of the query before are released first."""
+    while _HELD:
+        _HELD.pop().unpersist()
+    _HELD.extend(f.cache() for f in frames)
+    return frames if len(frames) > 1 else frames[0]
+
+
 def _split(spark, d):
-    tr, te = split_frames(_feat(spark, d), "id", 30)
-    return tr.cache(), te.cache()
+    return _held(*split_frames(_feat(spark, d), "id", 30))
 
 
 def _rows(spark, rows, schema):
@@ -62,7 +72,7 @@ def h01b_single_feature_tree_mse(spark, d):
 @query("h02_single_feature_cv")
 def h02_single_feature_cv(spark, d):
     """``SelectBySingleFeaturePerformance(cv=3, scoring='roc_auc')`` (H2)."""
-    df = fold_column(_feat(spark, d), "id", 3).cache()
+    df = _held(fold_column(_feat(spark, d), "id", 3))
     return ML.single_feature_cv("dt_clf", df, XCOLS, "target", "roc_auc", threshold=0.5, **TREE)
 
 
@@ -90,8 +100,10 @@ def e01_standardize(spark, d):
 
 
 def _std_train(spark, d):
-    tr, te = _split(spark, d)
-    return ML.standardize(tr, XCOLS).cache(), tr.count()
+    tr, _ = _split(spark, d)
+    scaled = ML.standardize(tr, XCOLS).cache()
+    _HELD.append(scaled)
+    return scaled, tr.count()
 
 
 @query("e02_logistic_coefficients")
@@ -204,7 +216,7 @@ def y02_permutation_regression(spark, d):
 @query("y03_select_by_shuffling")
 def y03_select_by_shuffling(spark, d):
     """``SelectByShuffling(cv=2)``: drift on the held-out fold, mean over folds, keep > mean."""
-    df = fold_column(_feat(spark, d), "id", 2).cache()
+    df = _held(fold_column(_feat(spark, d), "id", 2))
     parts = []
     for k in (0, 1):
         dr = ML.permutation_drift("rf_clf", df.where(F.col("fold") != k), XCOLS, "target", "id", "roc_auc", seed=k,
@@ -225,7 +237,7 @@ def y04_recursive_elimination(spark, d):
 @query("y05_recursive_elimination_cv")
 def y05_recursive_elimination_cv(spark, d):
     """``RecursiveFeatureElimination(cv=2, threshold)``: one elimination, drift of the mean score over the folds."""
-    df = fold_column(_feat(spark, d), "id", 2).cache()
+    df = _held(fold_column(_feat(spark, d), "id", 2))
     splits = [(df.where(F.col("fold") != k), df.where(F.col("fold") == k)) for k in (0, 1)]
     log = ML.recursive_elimination_cv("dt_clf", splits, df, XCOLS, "target", "roc_auc", 0.001, **TREE)
     return _rows(spark, log, "feature string, drift double, kept boolean")
@@ -335,7 +347,7 @@ def l08_column_transformer(spark, d):
 @query("l09_grid_search")
 def l09_grid_search(spark, d):
     """``GridSearchCV(cv=3)``: random forest depth x trees, RMSE."""
-    df = fold_column(_metrics_frame(spark, d), "key", 3).cache()
+    df = _held(fold_column(_metrics_frame(spark, d), "key", 3))
     _, rows = ML.grid_search("rf_reg", df, MCOLS, "cpuUsage", {"maxDepth": [2, 4], "numTrees": [5, 10]}, metric="rmse")
     return _rows(spark, rows, "params string, rmse double")
 
@@ -343,7 +355,7 @@ def l09_grid_search(spark, d):
 @query("l10_random_search")
 def l10_random_search(spark, d):
     """``RandomizedSearchCV(n_iter=10)``: seeded draws from the grid."""
-    df = fold_column(_metrics_frame(spark, d), "key", 2).cache()
+    df = _held(fold_column(_metrics_frame(spark, d), "key", 2))
     _, rows = ML.grid_search("gbt_reg", df, MCOLS, "cpuUsage",
                              {"maxDepth": [2, 3, 4], "maxIter": [5, 10], "stepSize": [0.05, 0.1, 0.3]}, metric="mae",
                              sample=10, seed=42, num_folds=2)
@@ -439,7 +451,7 @@ def z03_pluggable_scorers(spark, d):
     """Pluggable estimator and scoring names (Z3): the same CV loop with
     ``roc_auc`` for a classifier and ``r2`` / ``neg_rmse`` / ``mae`` for a
     regressor."""
-    df = fold_column(_feat(spark, d), "id", 2).cache()
+    df = _held(fold_column(_feat(spark, d), "id", 2))
     rows = []
     for kind, label, cols, metric in (("dt_clf", "target", XCOLS, "roc_auc"),
                                       ("dt_reg", "price", ["qty", "n_items", "max_disc"], "r2"),

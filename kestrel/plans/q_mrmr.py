@@ -114,7 +114,9 @@ def y11_mrmr_rfcq(spark, d):
                               metric="roc_auc", num_folds=2)
     best = cv.bestModel
     rel = dict(ML.importance_table(best, MI_COLS))
-    return _steps(spark, MR.mrmr(rel, MR.redundancy_corr(df, MI_COLS), 4, "quotient", MI_COLS))
+    steps = MR.mrmr(rel, MR.redundancy_corr(df, MI_COLS), 4, "quotient", MI_COLS)
+    df.unpersist()
+    return _steps(spark, steps)
 
 
 @query("y12_mrmr_subset_discrete", _mrmr_sql(["qty", "noise", "max_disc", "priority", "status"], 3, "quotient",

@@ -316,7 +316,8 @@ def t06_seeded_sample(spark, d):
 FROM metrics) WHERE rn <= 500""", views=M)
 def t07_last_n(spark, d):
     df = view(spark, d, "metrics").select("key", "cpuUsage", "collectionTimestamp")
-    return O.first_n(df, [F.col("collectionTimestamp").desc(), F.col("key").desc()], n=500).select("key", "cpuUsage")
+    # Each task keeps its last 500 rows; no global sort of the table.
+    return df.orderBy(F.col("collectionTimestamp").desc(), F.col("key").desc()).limit(500).select("key", "cpuUsage")
 
 
 # --- 2.8 set operations and reshaping ----------------------------------------------------

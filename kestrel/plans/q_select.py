@@ -538,6 +538,7 @@ def f15_smart_correlated_performance(spark, d):
     score = {r["feature"]: r["mean"] for r in sc.collect()}
     order = sorted(CORR_COLS, key=lambda c: (-score[c], CORR_COLS.index(c)))
     groups = SEL.correlated_groups(ST.corr_pairs(df, CORR_COLS), order, 0.8)
+    df.unpersist()
     return _groups_df(spark, groups)
 
 
