@@ -179,19 +179,31 @@ def e09_rfe(spark, d):
 
 @query("e10_stacked_selection")
 def e10_stacked_selection(spark, d):
-    """Basic filters + correlation, then ANOVA top 3, then a forest on the
-    survivors compared with all columns (E10)."""
+    """Basic filters + correlation, then one of four selectors (ANOVA top 3,
+    logistic coefficients, lasso, forest importance), then a forest on the
+    survivors, train and test ROC-AUC, beside all columns (E10)."""
     tr, te = _split(spark, d)
     cols = XCOLS + ["qty_corr"]
     chain = SEL.SelectorChain([SEL.DropConstant(tol=0.998), SEL.DropDuplicates("id"), SEL.DropCorrelated(0.8)])
     chain.fit(tr.select("id", *cols, "target"), cols)
     left = [c for c in cols if c not in chain.features_to_drop_]
     top = [r[0] for r in select_k_best(ST.anova_f(tr, left, "target").withColumnRenamed("f", "score"), 3).collect()]
+    scaled, n = ML.standardize(tr, left), tr.count()
+
+    def logistic(C, enet):
+        m = ML.fit("log_reg", scaled, left, "target", regParam=1.0 / (C * n), elasticNetParam=enet, standardization=False)
+        return ML.coefficient_table(m, left)
+    importance = ML.importance_table(ML.fit("rf_clf", tr, left, "target", **FOREST), left)
     rows = []
-    for name, cs in (("all", cols), ("selected", top)):
+    for name, cs in (("all", cols), ("anova", top), ("coefficients", ML.select_from_model(logistic(1000.0, 0.0))),
+                     ("lasso", ML.select_from_model(logistic(0.5, 1.0), "nonzero")), ("forest", ML.select_from_model(importance))):
+        if not cs:                       # a selector may keep nothing
+            rows.append((name, "", None, None))
+            continue
         m = ML.fit("rf_clf", tr, cs, "target", **FOREST)
-        rows.append((name, ",".join(cs), float(ML.metric_value("rf_clf", m.transform(te), "target", "roc_auc"))))
-    return _rows(spark, rows, "subset string, columns string, test_roc_auc double")
+        auc = [float(ML.metric_value("rf_clf", m.transform(x), "target", "roc_auc")) for x in (tr, te)]
+        rows.append((name, ",".join(cs), *auc))
+    return _rows(spark, rows, "subset string, columns string, train_roc_auc double, test_roc_auc double")
 
 
 # --- 2.15 hybrid ----------------------------------------------------------------------------------
@@ -230,7 +242,16 @@ def y03_select_by_shuffling(spark, d):
 def y04_recursive_elimination(spark, d):
     """Recursive elimination by GBT importance, tol 0.0005 on test AUC."""
     tr, te = _split(spark, d)
-    log = ML.recursive_elimination("gbt_clf", tr, te, XCOLS, "target", "roc_auc", 0.0005, maxIter=5, maxDepth=3)
+    log = ML.recursive_elimination("gbt_clf", tr, te, XCOLS, "target", "roc_auc", 0.0005, maxIter=10, maxDepth=3)
+    return _rows(spark, log, "feature string, drift double, kept boolean")
+
+
+@query("y04b_recursive_elimination_regression")
+def y04b_recursive_elimination_regression(spark, d):
+    """Y4 for a continuous target: boosted regressor, tol 0.001 on test R^2."""
+    tr, te = _split(spark, d)
+    cols = [c for c in XCOLS if c != "price"]
+    log = ML.recursive_elimination("gbt_reg", tr, te, cols, "price", "r2", 0.001, maxIter=10, maxDepth=3)
     return _rows(spark, log, "feature string, drift double, kept boolean")
 
 
@@ -251,6 +272,15 @@ def y07_recursive_addition_model(spark, d):
     return _rows(spark, log, "feature string, score double, gain double, kept boolean")
 
 
+@query("y07b_recursive_addition_regression")
+def y07b_recursive_addition_regression(spark, d):
+    """Y7 for a continuous target: forest regressor, tol 0.001 on test R^2."""
+    tr, te = _split(spark, d)
+    cols = [c for c in XCOLS if c != "price"]
+    log = ML.recursive_addition("rf_reg", tr, te, cols, "price", "r2", 0.001, **FOREST)
+    return _rows(spark, log, "feature string, score double, gain double, kept boolean")
+
+
 # --- 2.16 fitting, tuning, metrics ------------------------------------------------------------------
 
 def _metrics_frame(spark, d):
