@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.llm import contamination, line_dedup, sentencepiece_codec, simhash, toxicity
-from kestrel.llm.common import documents, table, written
+from kestrel.llm.common import discard, documents, table, written
 
 TOXIC = 0.3
 
@@ -61,9 +61,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``; what a stage kept is written once for the next."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, name)
+            last, docs = before, written(docs, name)
+            if last is not None:
+                discard(last)
+            before = docs
     return docs

@@ -32,7 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_scratch_dir(spark, 'llm')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def discard(table: DataFrame) -> None:
+    """Remove the files of a :func:`written` table that nothing unwritten depends on any more."""
+    path = getattr(table, "_written_at", None)
+    if path:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:

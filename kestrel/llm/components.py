@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import written
+from kestrel.llm.common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = written(now, "edges")
     before, state = None, _state(now)
     while state != before:
-        now = written(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        last, now = now, written(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        discard(last)
         before, state = state, _state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

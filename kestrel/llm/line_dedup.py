@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import row_key, written
+from kestrel.llm.common import discard, row_key, written
 
 KEY = ["_kd", "_kt"]
 
@@ -99,7 +99,9 @@ def suffix_ranks(places: DataFrame, longest: int) -> tuple[DataFrame, int]:
         paired = written(places.withColumn("_b", F.coalesce(F.lead(a, 1 << level).over(follow), F.lit(-1))), "pairs")
         pairs = paired.groupBy(F.col(a).alias("_a"), "_b").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
         ranks = ranked(pairs, ["_a", "_b"], "ranks").withColumnRenamed("rank", now)
-        places = written(paired.join(ranks.withColumnRenamed("_a", a), [a, "_b"]).drop("_b"), "places")
+        last, places = places, written(paired.join(ranks.withColumnRenamed("_a", a), [a, "_b"]).drop("_b"), "places")
+        for done in (last, paired):
+            discard(done)
         level += 1
     return places, level
 
@@ -128,6 +130,7 @@ def duplicate_runs(df: DataFrame, min_chars: int = 30, doc_id: str = "doc_id", t
     longest = found.agg(F.max("n")).first()[0] or 1
     places, levels = suffix_ranks(places, longest)
     named = written(named_windows(found, places, levels), "named")
+    discard(found)
     at = F.struct("doc_id", "_kt", "start")
     earliest = written(named.groupBy("n", "first", "last").agg(F.min(at).alias("kept"), F.count(F.lit(1)).alias("copies"))
                        .where("copies > 1"), "intervals")
