@@ -26,7 +26,8 @@ def test_registry_is_consistent():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 150
-    assert all("_" in k for k in q)
+    from kestrel.plans import registry
+    assert set(registry.QUERIES) <= set(q) and all("_" in k for k in registry.QUERIES)
 
 
 @pytest.fixture(scope="module")
