@@ -92,11 +92,11 @@ def test_future_frame_counts(spark):
     assert out[(out.k == "b") & out.is_future]["ts"].max() == pd.Timestamp("2024-01-08")
 
 
-def test_exhaustive_distributed_path_matches_driver_path(spark, monkeypatch):
+def test_exhaustive_scores_do_not_depend_on_the_number_of_tasks(spark, monkeypatch):
     pdf, df = _lin(spark, 600)
     g = LN.gram_stats(df, ["a", "b", "c", "d"], "y")
     small = LN.exhaustive_scores(spark, g, 1, 3).toPandas().set_index("subset")["r2"]
-    monkeypatch.setattr(LN, "DRIVER_SUBSETS", 2)      # forces mapInPandas scoring
+    monkeypatch.setattr(LN, "SUBSETS_PER_TASK", 2)
     big = LN.exhaustive_scores(spark, g, 1, 3).toPandas().set_index("subset")["r2"]
     assert len(small) == len(big) == 14
     assert all(math.isclose(small[k], big[k], rel_tol=1e-12) for k in small.index)
