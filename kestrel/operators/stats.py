@@ -404,6 +404,17 @@ def quantile_edges(df: DataFrame, cols, q: int = 10) -> dict[str, list[float]]:
     return out
 
 
+def width_edges(df: DataFrame, cols, q: int = 10) -> dict[str, list[float]]:
+    """Equal-width bin edges per column (``cut(q)``): least value plus i / q of the range."""
+    cols = list(cols)
+    row = df.agg(*[f(F.col(c).cast("double")) for c in cols for f in (F.min, F.max)]).first()
+    out = {}
+    for k, c in enumerate(cols):
+        low, high = row[2 * k], row[2 * k + 1]
+        out[c] = [] if low is None else [low] if low == high else [low + (high - low) * i / q for i in range(q + 1)]
+    return out
+
+
 def bin_column(c, edges: list[float], outside: str = "null") -> Column:
     """``pd.cut(x, edges, labels=False)``: right-closed bins (H5).
 

@@ -38,14 +38,14 @@ def mean_encoding(train: DataFrame, test: DataFrame, key: str, cols, target: str
     return apply_target_means(to_long(test, key, cols), means)
 
 
-def bin_numeric(train: DataFrame, test: DataFrame, cols, q: int = 10, outside: str = "zero"):
-    """Equal-frequency bins fitted on train (H4) applied to both (H5).
+def bin_numeric(train: DataFrame, test: DataFrame, cols, q: int = 10, outside: str = "zero", strategy: str = "equal_frequency"):
+    """Equal-frequency or equal-width bins fitted on train (H4) applied to both (H5).
 
     Train uses ``qcut`` (lowest edge included); test uses ``cut`` on the train
     edges: values outside become null and then 0 with ``outside='zero'`` (the
     reference fills them with 0).
     """
-    edges = ST.quantile_edges(train, cols, q)
+    edges = {"equal_frequency": ST.quantile_edges, "equal_width": ST.width_edges}[strategy](train, cols, q)
     tr = train.withColumns({c: ST.bin_column(c, edges[c], outside="clip") for c in cols})
     te_expr = {}
     for c in cols:
@@ -81,7 +81,8 @@ def target_mean_auc(df: DataFrame, key: str, cols, target: str, test_pct: int =
 
 
 def target_mean_performance(df: DataFrame, key: str, cols, target: str, folds: int = 3, seed: int = 0,
-                            numeric=(), bins: int = 5, threshold: float | None = None) -> DataFrame:
+                            numeric=(), bins: int = 5, threshold: float | None = None,
+                            strategy: str = "equal_frequency") -> DataFrame:
     """``SelectByTargetMeanPerformance`` (H8): cross-validated AUC of the
     target-mean encoding per feature; keep above ``threshold`` (default: the
     mean over features).  Returns (feature, auc_mean, auc_std, keep)."""
@@ -91,7 +92,7 @@ def target_mean_performance(df: DataFrame, key: str, cols, target: str, folds: i
     for k in range(folds):
         train, test = data.where(F.col("_kfold") != k), data.where(F.col("_kfold") == k)
         if numeric:
-            train, test, _ = bin_numeric(train, test, list(numeric), bins)
+            train, test, _ = bin_numeric(train, test, list(numeric), bins, strategy=strategy)
         counts = _value_counts(train.unionByName(test), key, cols, target, F.col("_kfold") == k)
         parts.append(_auc_of_means(ST._small(counts)).withColumn("fold", F.lit(k)))
     per = ST._union(parts).groupBy("feature").agg(F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_std"))

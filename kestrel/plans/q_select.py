@@ -480,10 +480,14 @@ def h07_kdd_target_mean_auc(spark, d):
     return out.select("feature", S.rnd("auc", 6).alias("auc"))
 
 
-def _h08_sql(cats, nums, folds=3, bins=5):
+def _h08_sql(cats, nums, folds=3, bins=5, equal_width=False):
     probs = ", ".join(str(i / bins) for i in range(bins + 1))
     fold = "CAST(CAST(('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) % 1073741824 % {k} AS INTEGER)".format(k=folds)
     edges = ", ".join(f"list_sort(list_distinct(quantile_cont({c}, [{probs}]) FILTER (WHERE fold <> k))) AS e_{c}" for c in nums)
+    if equal_width:
+        low, high = "min({c}) FILTER (WHERE fold <> k)", "max({c}) FILTER (WHERE fold <> k)"
+        edges = ", ".join("[" + ", ".join(f"{low} + ({high} - {low}) * {i} / {bins}" for i in range(bins + 1)).replace("{c}", c)
+                          + f"] AS e_{c}" for c in nums)
     tr_bin = lambda c: f"len(list_filter(e_{c}[2:len(e_{c}) - 1], lambda v: v < {c}))"
     te_bin = lambda c: (f"CASE WHEN {c} IS NULL OR {c} <= e_{c}[1] OR {c} > e_{c}[len(e_{c})] THEN 0 "
                         f"ELSE len(list_filter(e_{c}[2:len(e_{c}) - 1], lambda v: v < {c})) END")
@@ -509,6 +513,14 @@ per AS (SELECT feature, avg(auc) AS auc_mean, stddev_samp(auc) AS auc_std FROM a
 SELECT feature, RND(auc_mean, 6) AS auc_mean, RND(auc_std, 6) AS auc_std, auc_mean > (SELECT avg(auc_mean) FROM per) AS keep FROM per"""
 
 
+@query("h08b_target_mean_equal_width", _h08_sql(KDD_COLS, ["fare", "balance"], equal_width=True), views=P)
+def h08b_target_mean_equal_width(spark, d):
+    """H8 with ``strategy='equal_width'``."""
+    out = TM.target_mean_performance(view(spark, d, "people"), "id", KDD_COLS + ["fare", "balance"], "target", folds=3,
+                                     numeric=["fare", "balance"], bins=5, strategy="equal_width")
+    return out.select("feature", S.rnd("auc_mean", 6).alias("auc_mean"), S.rnd("auc_std", 6).alias("auc_std"), "keep")
+
+
 @query("h08_target_mean_performance", _h08_sql(KDD_COLS, ["fare", "balance"]), views=P)
 def h08_target_mean_performance(spark, d):
     """``SelectByTargetMeanPerformance(bins=5, cv=3)`` over categorical and
