@@ -74,13 +74,17 @@ def _fingerprint(key: str, c: str, numeric: bool):
     return F.bit_xor(F.xxhash64(F.col(key), F.coalesce(v, F.lit("\u0000null"))))
 
 
+PAIRS_AT_ONCE = 200
+
+
 def duplicate_pairs(df: DataFrame, cols, key: str) -> DataFrame:
     """(feature, duplicate_of) for every column equal to an earlier one.
 
     Pass 1: one aggregate of a per-column fingerprint ``bit_xor(xxhash64(key,
     value))`` (order-free, no overflow).  Columns with equal fingerprints are
-    candidates; pass 2 verifies each candidate pair exactly with
-    ``count_if(not (a <=> b)) == 0``.  p^2 column comparisons become two scans.
+    candidates; pass 2 verifies each candidate against the first of its group
+    exactly with ``count_if(not (a <=> b)) == 0``.  p^2 column comparisons
+    become two scans (one more for every ``PAIRS_AT_ONCE`` candidates).
     """
     cols = list(cols)
     num = {f.name for f in df.schema.fields if f.dataType.typeName() in
@@ -89,19 +93,19 @@ def duplicate_pairs(df: DataFrame, cols, key: str) -> DataFrame:
     groups: dict[tuple, list[str]] = {}
     for c in cols:
         groups.setdefault((fps[c], c in num), []).append(c)
-    cand = [(g[0], other) for g in groups.values() if len(g) > 1 for other in g[1:]]
-    cand += [(a, b) for g in groups.values() if len(g) > 2 for i, a in enumerate(g[1:], 1) for b in g[i + 1:]]
     spark = df.sparkSession
-    if not cand:
-        return spark.createDataFrame([], "feature string, duplicate_of string")
-    check = df.agg(*[F.count_if(~F.col(a).eqNullSafe(F.col(b))).alias(f"{i}") for i, (a, b) in enumerate(cand)]).first()
-    equal = [(a, b) for i, (a, b) in enumerate(cand) if check[i] == 0]
-    first_of: dict[str, str] = {}
-    for a, b in equal:
-        root = first_of.get(a, a)
-        if b not in first_of or cols.index(root) < cols.index(first_of[b]):
-            first_of[b] = root
-    rows = [(b, a) for b, a in first_of.items()]
+    todo, first_of = [g for g in groups.values() if len(g) > 1], {}
+    while todo:
+        # Each column is held against the first of its group only; what differs (a hash collision) goes on as a group.
+        cand = [(g[0], other) for g in todo for other in g[1:]]
+        same = set()
+        for chunk in ST._chunks(cand, PAIRS_AT_ONCE):
+            check = df.agg(*[F.count_if(~F.col(x).eqNullSafe(F.col(y))) for x, y in chunk]).first()
+            same.update(pair for pair, n in zip(chunk, check) if n == 0)
+        first_of |= {y: x for x, y in cand if (x, y) in same}
+        rest = [[y for y in g[1:] if (g[0], y) not in same] for g in todo]
+        todo = [g for g in rest if len(g) > 1]
+    rows = sorted(first_of.items(), key=lambda r: cols.index(r[0]))
     return spark.createDataFrame(rows, "feature string, duplicate_of string")
 
 
