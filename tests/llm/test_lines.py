@@ -1,7 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
-
 from kestrel.llm import line_dedup
 
 
@@ -44,13 +42,10 @@ def random_docs(seed, n):
 def test_deleted_lines_equal_brute_force(make):
     for least in (12, 1):
         docs = random_docs(least, 60) + [None, ""]
-        seen, rows = set(), []
-        for t in docs:                       # equal rows differ in id
-            rows.append((len(rows), t))
         want = brute(docs, least)
+        rows = list(enumerate(docs))         # equal texts differ in id
         got = {r.doc_id: (r.text, r.n) for r in line_dedup.drop_repeated_lines(make(rows), least, count="n").collect()}
         assert got == dict(enumerate(want))
-        del seen
 
 
 def test_ranks_are_a_suffix_array(make):
@@ -69,7 +64,7 @@ def test_ranks_are_a_suffix_array(make):
 
 
 def test_odd_rows(odd, empty):
-    out = line_dedup.drop_repeated_lines(odd.withColumn("doc_id", F.col("doc_id")), 30)
+    out = line_dedup.drop_repeated_lines(odd, 30)
     assert out.columns == odd.columns
     rows = out.collect()
     assert len(rows) == odd.count()
