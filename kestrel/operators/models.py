@@ -22,8 +22,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.operators import stats as ST
-from kestrel.operators.sampling import fold_column, permute_columns
+from kestrel.operators.sampling import permute_columns
 
 ESTIMATORS = {
     "dt_reg": DecisionTreeRegressor, "dt_clf": DecisionTreeClassifier,

@@ -8,7 +8,6 @@ over those p and p^2 numbers only.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from kestrel.operators import stats as ST
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from kestrel.functions import scalar as S
 from kestrel.operators import models as ML

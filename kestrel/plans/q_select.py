@@ -13,7 +13,7 @@ from kestrel.operators.cleaning import fill_median
 from kestrel.operators import stats as ST
 from kestrel.operators import target_mean as TM
 from kestrel.plans.registry import query
-from kestrel.sources.fixtures import FEAT_DENSE, FEAT_NUMERIC, table, view
+from kestrel.sources.fixtures import FEAT_NUMERIC, table, view
 
 FT, P = ("feat",), ("people",)
 SPLIT = "CAST(('0x' || substr(md5(CAST({k} AS VARCHAR)), 1, 8)) AS BIGINT) % 100"
