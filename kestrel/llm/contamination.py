@@ -14,8 +14,16 @@ Characters are compared after ASCII letters are lower-cased and white space
 (0x09 to 0x0D) is read as a space, one for one, so places are code points of
 the original text.
 
+An occurrence need not be whole: a document may hold only part of an item, or
+an item of which a line was cut out.  Items longer than ``SEGMENT`` characters
+are also indexed as segments of that length, one at every ``STEP`` characters,
+and segments are found like items, with their own edit budget and bound.  A
+part of an item with ``SEGMENT + STEP - 1`` or more characters in one piece
+holds a whole segment wherever it begins.  Segments outside the whole
+occurrences of their item are joined where they follow each other.
+
 Items are few compared with documents: they are indexed in blocks of at most
-``BLOCK_CHARS`` characters in all, sent to the tasks, and every document is
+``BLOCK_CHARS`` characters in all (segments counted), sent to the tasks, and every document is
 held against every block.
 
 Edge cases: null and empty documents match nothing; null items and items with
@@ -39,6 +47,8 @@ from kestrel.llm.common import small_batches
 
 Q = 10
 RATE = 0.08
+SEGMENT = 80
+STEP = 40
 BLOCK_CHARS = 4_000_000
 CHARS_AT_ONCE = 1 << 21
 BANDS_AT_ONCE = 512
@@ -240,17 +250,66 @@ def search(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, i
     return out
 
 
+def distance(item: np.ndarray, codes: np.ndarray) -> int:
+    """Edits between an item, or a part of one, and a stretch of text."""
+    offset = np.arange(len(codes) + 1)
+    row = offset
+    for i, code in enumerate(item.tolist(), 1):
+        best = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (codes != code)))
+        row = np.minimum.accumulate(best - offset) + offset
+    return int(row[-1])
+
+
+class Passages:
+    """Whole items and their segments in one index; ``parts`` has the item and first character of each segment."""
+
+    def __init__(self, items: list[str], q: int = Q, rate: float = RATE):
+        self.whole, self.parts, texts = len(items), [], list(items)
+        for i, text in enumerate(items):
+            last = len(text) - SEGMENT
+            for begin in sorted({*range(0, last + 1, STEP), last}) if last > 0 else []:
+                self.parts.append((i, begin))
+                texts.append(text[begin:begin + SEGMENT])
+        self.index = Index(texts, q, rate)
+
+    def found(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+        """``(item, start, stop, edits)`` of the whole occurrences in each text, and of parts outside them."""
+        return [self._joined(t, places) if places else [] for t, places in zip(texts, search(self.index, texts))]
+
+    def _joined(self, text: str, places: list) -> list[tuple[int, int, int, int]]:
+        out = [p for p in places if p[0] < self.whole]
+        spans: dict[int, list] = {}
+        for k, start, stop, edits in places:
+            if k >= self.whole:
+                i, begin = self.parts[k - self.whole]
+                if not any(w[0] == i and start < w[2] and w[1] < stop for w in out):
+                    spans.setdefault(i, []).append((start, stop, begin, edits))
+        for i, segments in spans.items():
+            chains: list[list] = []
+            for start, stop, begin, edits in sorted(segments):
+                last = chains[-1] if chains else None
+                if last and start <= last[1] and begin > last[3]:      # the next segment of the same occurrence
+                    chains[-1] = [last[0], max(stop, last[1]), last[2], begin, None]
+                else:
+                    chains.append([start, stop, begin, begin, edits])
+            for start, stop, first, begin, edits in chains:
+                if edits is None:
+                    edits = distance(self.index.codes[i][first:begin + SEGMENT], folded(text[start:stop]))
+                out.append((i, start, stop, edits))
+        return sorted(out)
+
+
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list]:
     """The items in blocks of about ``BLOCK_CHARS`` characters, one after the other."""
     src = items.select(F.col(item_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     total = src.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = 1 + total // BLOCK_CHARS
+    n = 1 + total * (1 + SEGMENT // STEP) // BLOCK_CHARS
     for b in range(n):
         part = src.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b).orderBy("id", "text").collect()
         yield [(r["id"], r["text"]) for r in part]
 
 
-def _search_columns(df: DataFrame, index: Index, text: str, out: str, keep: list[str]) -> DataFrame:
+def _search_columns(df: DataFrame, passages: Passages, text: str, out: str, keep: list[str]) -> DataFrame:
     import pyarrow as pa
     small_batches(df.sparkSession)
     src = df.select(*keep, F.col(text).alias("_searched"))
@@ -258,7 +317,7 @@ def _search_columns(df: DataFrame, index: Index, text: str, out: str, keep: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = search(index, batch.column(len(keep)).to_pylist())
+            found = passages.found(batch.column(len(keep)).to_pylist())
             rows = [[dict(zip(("item", "start", "stop", "edits"), f)) for f in fs] for fs in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(rows, kind)], names=[*keep, out])
 
@@ -268,11 +327,11 @@ def _search_columns(df: DataFrame, index: Index, text: str, out: str, keep: list
 
 def matches(df: DataFrame, items: DataFrame, q: int = Q, rate: float = RATE, doc_id: str = "doc_id", text: str = "text",
             item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``doc_id, item_id, start, stop, edits``: every benchmark passage found in a document."""
+    """``doc_id, item_id, start, stop, edits``: every benchmark passage, whole or in part, found in a document."""
     result = None
     for block in _blocks(items, item_id, item_text):
         found = _search_columns(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")),
-                                Index([t for _, t in block], q, rate), "text", "found", ["doc_id"])
+                                Passages([t for _, t in block], q, rate), "text", "found", ["doc_id"])
         ids = F.array(*[F.lit(i) for i, _ in block]) if block else F.array(F.lit(None))
         one = (found.where(F.size("found") > 0).select("doc_id", F.explode("found").alias("m"))
                .select("doc_id", F.get(ids, F.col("m.item")).cast(items.schema[item_id].dataType).alias("item_id"),
@@ -287,7 +346,7 @@ def decontaminate(df: DataFrame, items: DataFrame, q: int = Q, rate: float = RAT
     names = df.columns
     rows = df.select(F.struct(*[F.col(c) for c in names]).alias("_row"))
     for block in _blocks(items, item_id, item_text):
-        index = Index([t for _, t in block], q, rate)
+        passages = Passages([t for _, t in block], q, rate)
         rows = rows.select("_row", F.col("_row").getField(text).alias("_text"))
-        rows = _search_columns(rows, index, "_text", "_found", ["_row"]).where(F.size("_found") == 0).select("_row")
+        rows = _search_columns(rows, passages, "_text", "_found", ["_row"]).where(F.size("_found") == 0).select("_row")
     return rows.select("_row.*")

@@ -102,3 +102,34 @@ def test_many_items_are_searched_in_blocks(spark, make, monkeypatch):
     docs = make([(i, t) for i, t in enumerate(items)])
     assert {(r.doc_id, r.item_id) for r in C.matches(docs, bench).collect()} >= {(i, i) for i in range(12)}
     assert C.decontaminate(docs, bench).count() == 0
+
+
+def test_items_that_lost_a_line_are_found(spark, make):
+    from kestrel.llm import line_dedup
+    rnd = random.Random(6)
+    lines = [words(rnd, 9), words(rnd, 20), words(rnd, 22)]
+    item = "\n".join(lines)
+    bench = spark.createDataFrame([(5, item), (6, words(rnd, 30))], "item_id long, text string")
+    plain = [words(rnd, 60) for _ in range(6)]
+    # The first line stands in a clean document before, so line dedup cuts it out of the next ones.
+    docs = make([(0, plain[0] + "\n" + lines[0]), (1, plain[1] + "\n" + item + " " + plain[2]), (2, plain[3]),
+                 (3, plain[4] + " " + item[len(lines[0]) // 2:] + " " + plain[5])])
+    left = line_dedup.drop_repeated_lines(docs, 30)
+    assert lines[0] not in {r.doc_id: r.text for r in left.collect()}[1]
+    assert {r.doc_id for r in C.decontaminate(left, bench).collect()} == {0, 2}
+    found = C.matches(left, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 5), (3, 5)}
+    texts = {r.doc_id: r.text for r in left.collect()}
+    for r in found:
+        part = texts[r.doc_id][r.start:r.stop]
+        assert len(part) >= C.SEGMENT and least_edits(part, item) <= r.edits <= 0.1 * len(part)
+
+
+def test_any_long_piece_of_an_item_holds_a_segment():
+    rnd = random.Random(8)
+    item = words(rnd, 70)
+    passages, n = C.Passages([item]), C.SEGMENT + C.STEP - 1
+    pieces = [item[at:at + n] for at in range(0, len(item) - n, 7)]
+    assert all(passages.found([words(rnd, 10) + p + words(rnd, 10) for p in pieces]))
+    assert passages.found([item, item[:40], None]) == [[(0, 0, len(item), 0)], [], []]
+    assert C.distance(C.folded("kitten"), C.folded("sitting")) == 3
