@@ -8,8 +8,10 @@ rows; a shard gets rows in proportion to its weight.  All of it is DataFrame
 expressions; nothing is shuffled to place a record.
 
 Slots number the rows of a shard 0, 1, 2, ... without gaps.  A shard is cut
-into hash groups of a bounded number of rows; a group's first slot is the
-running sum of the smaller groups' counts, so no task sorts a whole shard.
+into hash groups by key, CRC and size, as many as its own rows need, so that
+also a key with very many different texts is spread over groups of a bounded
+number of rows; a group's first slot is the running sum of the smaller groups'
+counts, so no task sorts a whole shard.
 
 Edge cases: a null key is replaced by a hash of the text, so rows without a
 key spread over all shards; null and empty texts have size 16; rows with
@@ -62,14 +64,21 @@ def assign(df: DataFrame, weights: Sequence[float], doc_id: str = "doc_id", text
                      rendezvous(key, weights).alias("shard"))
 
 
+def with_groups(placed: DataFrame, shards: int, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
+    """Add ``grp``: groups of about ``rows_per_group`` rows (equal rows stay together) within each shard."""
+    counts = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    groups = F.array(*[F.lit(max(1, counts.get(s, 0) // rows_per_group)) for s in range(shards)])
+    return placed.withColumn("grp", F.pmod(F.xxhash64(F.lit("slot"), "key", "text_crc32", "size"),
+                                           F.get(groups, F.col("shard"))).cast("int"))
+
+
 def with_slots(placed: DataFrame, shards: int, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """Number the rows of each shard 0..n-1, in groups of about ``rows_per_group`` rows.
 
     Equal rows are counted before the shuffle and spread out again at the
     end, so a key with very many equal rows is one row in its group.
     """
-    groups = max(1, placed.count() // (shards * rows_per_group))
-    whole = placed.withColumn("grp", F.pmod(F.xxhash64(F.lit("slot"), F.col("key")), F.lit(groups)).cast("int"))
+    whole = with_groups(placed, shards, rows_per_group)
     counted = whole.groupBy(*whole.columns).agg(F.count(F.lit(1)).alias("copies"))
     earlier = Window.partitionBy("shard").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     starts = (whole.groupBy("shard", "grp").agg(F.count(F.lit(1)).alias("n"))

@@ -34,6 +34,17 @@ def test_slots_have_no_gaps_and_place_is_stable(spark, make):
     assert sorted(map(key, rows)) == sorted(map(key, again))
 
 
+def test_a_key_with_many_texts_is_spread_over_groups(make):
+    df = make([(7, f"text {i} " + "x" * (i % 50)) for i in range(3000)] + [(100 + i, "t") for i in range(3000)])
+    rows = sharding.shard_documents(df, 4, rows_per_group=50).collect()
+    hot = next(r.shard for r in rows if r.doc_id == 7)
+    assert {r.shard for r in rows if r.doc_id == 7} == {hot}
+    slots = sorted(r.slot for r in rows if r.doc_id == 7)
+    assert slots[-1] - slots[0] + 1 > len(slots) + 500                  # other keys stand between them
+    placed = sharding.assign(df, [1.0] * 4)
+    assert sharding.with_groups(placed, 4, 50).groupBy("shard", "grp").count().agg({"count": "max"}).first()[0] < 150
+
+
 def test_odd_rows(odd, empty):
     import zlib
     rows = sharding.shard_documents(odd, 40).collect()
