@@ -268,13 +268,16 @@ def chi_square(df: DataFrame, cols, label: str) -> DataFrame:
     one by ((d - min(d, 0.5)) / d)^2.
     """
     ct = contingency(df, cols, label)
-    row, column, whole = (Window.partitionBy("feature", "value"), Window.partitionBy("feature", "label"), Window.partitionBy("feature"))
-    cells = ct.select("feature", "value", "label", F.col("count").alias("o"), F.sum("count").over(row).alias("r"),
-                      F.sum("count").over(column).alias("c"), F.sum("count").over(whole).alias("n"))
-    d = F.abs(F.col("o") - F.col("r") * F.col("c") / F.col("n"))
-    per = cells.groupBy("feature").agg(
-        F.max("n").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("r") * F.col("c"))).alias("share"), F.max(d).alias("d"),
-        F.countDistinct("value").alias("rows"), F.countDistinct("label").alias("columns"))
+    # A window over one value's cells has as many rows as there are labels; the other margins are partial sums.
+    cells = ct.select("feature", "value", "label", F.col("count").alias("o"),
+                      F.sum("count").over(Window.partitionBy("feature", "value")).alias("r"))
+    columns = cells.groupBy("feature", "label").agg(
+        F.sum("o").alias("c"), F.sum(F.col("o") * F.col("o") / F.col("r")).alias("s"), F.min(F.struct("value", "o", "r")).alias("cell"))
+    values = ct.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("k")).groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
+    one = F.min(F.struct(F.col("label").isNull(), "label", "cell.o", "cell.r", "c"))
+    per = (columns.groupBy("feature").agg(F.sum("c").alias("n"), F.sum(F.col("s") / F.col("c")).alias("share"), one.alias("one"),
+                                          F.count("label").alias("columns"))
+           .withColumn("d", F.abs(F.col("one.o") - F.col("one.r") * F.col("one.c") / F.col("n"))).join(values, "feature"))
     chi2 = F.col("n") * (F.col("share") - 1)
     cut = F.try_divide(F.col("d") - F.least("d", F.lit(0.5)), F.col("d"))
     two = (F.col("rows") == 2) & (F.col("columns") == 2)

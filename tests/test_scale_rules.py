@@ -106,3 +106,22 @@ def test_suggestion_has_a_relative_tolerance(spark):
     df = spark.createDataFrame([(100000.0, 100000.5), (100.0, 101.0), (100.0, 99.0)], "cur double, pred double")
     got = [r[0] for r in df.select(S.suggestion_text("cur", "pred")).collect()]
     assert got == ["No change", "Increase to 101.00", "Reduce to 99.00"]
+
+
+def test_chi_square_gathers_no_feature_in_one_task(spark):
+    from kestrel.operators import stats
+    df = spark.range(400).selectExpr("id % 2 AS y", "CAST(id % 3 = 0 AS INT) AS two", "id % 7 AS seven", "id AS own")
+    out = stats.chi_square(df, ["two", "seven", "own"], "y")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x]
+    assert len(windows) == 1 and "value#" in windows[0].split("], [")[1]
+    for r in out.collect():
+        cells = {}
+        for v in range(400):
+            x = {"two": int(v % 3 == 0), "seven": v % 7, "own": v}[r.feature]
+            cells[x, v % 2] = cells.get((x, v % 2), 0) + 1
+        left = {x: cells.get((x, 0), 0) + cells.get((x, 1), 0) for x, _ in cells}
+        gap = {(x, y): abs(cells.get((x, y), 0) - left[x] / 2) for x in left for y in (0, 1)}
+        assert abs(r.chi2 - sum(g * g / (left[x] / 2) for (x, _), g in gap.items())) < 1e-9
+        yates = sum((g - min(g, 0.5)) ** 2 / (left[x] / 2) for (x, _), g in gap.items()) if len(left) == 2 else r.chi2
+        assert abs(r.chi2_yates - yates) < 1e-9 and r.dof == len(left) - 1
