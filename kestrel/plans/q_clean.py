@@ -357,16 +357,14 @@ def c20_round_half_even(spark, d):
                      S.rnd(q, 2).alias("q_up"))
 
 
-@query("a04_json_array_scan", "SELECT controllerName, max(cpuUsage) AS cpuUsage FROM metrics GROUP BY controllerName",
-       views=M)
-def a04_json_array_scan(spark, d):
-    """Scan of JSON array documents (A4, ``multiLine``).  The documents are
-    made by Spark: every Arrow batch of a task (at most
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows) becomes one array
-    line, written by the text writer (no driver hop), then read back with
-    ``multiLine=True``."""
-    df = view(spark, d, "metrics").groupBy("controllerName").agg(F.max("cpuUsage").alias("cpuUsage"))
-    lines = df.select(F.to_json(F.struct("controllerName", "cpuUsage")).alias("j"))
+def write_json_arrays(df, path):
+    """Write all rows of ``df`` as JSON array documents, by Spark (no driver hop).
+
+    Every Arrow batch of a task (at most
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows) becomes one array in
+    a file of its own, since a ``multiLine`` scan reads one document from a file.
+    """
+    lines = df.select(F.to_json(F.struct(*df.columns)).alias("j"))
 
     def to_array(it):
         import pandas as pd
@@ -374,9 +372,18 @@ def a04_json_array_scan(spark, d):
             if len(pdf):
                 yield pd.DataFrame({"value": ["[" + ",".join(pdf["j"]) + "]"]})
 
-    path = IO.scratch_path(spark, "a04")
-    lines.mapInPandas(to_array, "value string").write.mode("overwrite").text(path)
-    return IO.read_json(spark, path, schema="controllerName string, cpuUsage double", lines=False)
+    lines.mapInPandas(to_array, "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query("a04_json_array_scan", "SELECT controllerName, max(cpuUsage) AS cpuUsage FROM metrics GROUP BY controllerName",
+       views=M)
+def a04_json_array_scan(spark, d):
+    """Scan of JSON array documents (A4, ``multiLine``) that hold the whole metrics view."""
+    df = view(spark, d, "metrics")
+    path = write_json_arrays(df, IO.scratch_path(spark, "a04"))
+    scanned = IO.read_json(spark, path, schema="controllerName string, cpuUsage double", lines=False)
+    return scanned.groupBy("controllerName").agg(F.max("cpuUsage").alias("cpuUsage"))
 
 
 @query("a06_jsonl_summary_sink", """SELECT controllerName, max(cpuUsage) AS cpuUsage, max(memUsage) AS memUsage,

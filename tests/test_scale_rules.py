@@ -108,6 +108,31 @@ def test_suggestion_has_a_relative_tolerance(spark):
     assert got == ["No change", "Increase to 101.00", "Reduce to 99.00"]
 
 
+def test_json_arrays_hold_every_row(spark, tmp_path):
+    from kestrel.plans.q_clean import write_json_arrays
+    from kestrel.sources import files
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10")
+    try:
+        path = write_json_arrays(spark.range(0, 95, 1, 2).selectExpr("id", "id / 7 AS x"), str(tmp_path / "arrays"))
+    finally:
+        spark.conf.set(name, before)
+    rows = files.read_json(spark, path, schema="id long, x double", lines=False).collect()
+    assert sorted((r.id, r.x) for r in rows) == [(i, i / 7) for i in range(95)]
+
+
+def test_json_scan_reads_the_whole_view(spark):
+    from kestrel.plans import registry
+    from kestrel.sources.fixtures import view
+    from tests.conftest import SF_SMALL
+    registry.load_all()
+    out = registry.QUERIES["a04_json_array_scan"](spark, SF_SMALL)
+    want = view(spark, SF_SMALL, "metrics").groupBy("controllerName").agg({"cpuUsage": "max"}).collect()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want))
+    assert "HashAggregate" in out._jdf.queryExecution().executedPlan().toString()      # summed up after the scan
+
+
 def test_chi_square_gathers_no_feature_in_one_task(spark):
     from kestrel.operators import stats
     df = spark.range(400).selectExpr("id % 2 AS y", "CAST(id % 3 = 0 AS INT) AS two", "id % 7 AS seven", "id AS own")
