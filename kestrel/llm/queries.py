@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kestrel.llm import contamination, line_dedup, quality, secret_scan, secret_sql, sentencepiece_codec, sharding, simhash, syncmers, token_counts, toxicity
+from kestrel.llm import contamination, filter_audit, line_dedup, quality, secret_scan, secret_sql, sentencepiece_codec, sharding, simhash, syncmers, token_counts, toxicity
 from kestrel.llm.common import documents, table
 
 
@@ -72,6 +72,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), limit=4096)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents: every step of all 120 orders, by language, with Shapley shares."""
+    return filter_audit.audit(filter_audit.failure_counts(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_sentencepiece_codec": op2_sentencepiece_codec,
@@ -83,10 +88,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_passages": op8_benchmark_passages,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_token_counts": op10_token_counts,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
+    "op13_filter_audit": filter_audit.AUDIT_SQL,
     "op4_secret_scan": secret_sql.scan_sql(min_token=16, prior=0.001),
     # Every run of lines whose first or last line is needed to reach 30 characters, compared as whole text.
     "op7_line_dedup": """
