@@ -187,7 +187,7 @@ steps AS (SELECT o, step, substr(o, CAST(step AS INTEGER), 1) AS f, substr(o, 1,
           FROM orders, range(1, 6) r(step) WHERE length(o) = 5),
 applied AS (
   SELECT part, o, step, f, n, good, toxic, contains(failed, f) AS hit, failed = f AS alone,
-         len(list_intersect(string_split(failed, ''), string_split(earlier, ''))) > 0 AS gone
+         translate(failed, earlier, '') <> failed AS gone
   FROM docs, steps),
 summed AS (
   SELECT part, o, step, f, sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS kept,
