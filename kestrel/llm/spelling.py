@@ -143,7 +143,9 @@ def near_pairs(words: DataFrame, block_words: int = 20_000) -> DataFrame:
                            lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(False).alias("indexed"), F.lit(True).alias("asks")))
     pieces = placed.select("word", "n", "side", "block", F.explode(F.concat(as_index, as_query)).alias("p")).select(
         "word", "n", "side", "block", "p.i", "p.j", "p.indexed", "p.asks")
-    return pieces.groupBy("side", "block", "i", "j").applyInPandas(_search, "word string, near string, near_n long")
+    # A piece is small in bytes and long in work, so tasks follow the number of blocks, not their size.
+    spread = pieces.repartition(blocks, "side", "block", "i", "j")
+    return spread.groupBy("side", "block", "i", "j").applyInPandas(_search, "word string, near string, near_n long")
 
 
 def roots(links: DataFrame) -> DataFrame:
