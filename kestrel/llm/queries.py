@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kestrel.llm import contamination, filter_audit, line_dedup, quality, secret_scan, secret_sql, sentencepiece_codec, sharding, simhash, spelling, syncmers, token_counts, toxicity
+from kestrel.llm import contamination, filter_audit, line_dedup, pii, quality, secret_scan, secret_sql, sentencepiece_codec, sharding, simhash, spelling, syncmers, token_counts, toxicity
 from kestrel.llm.common import documents, table
 
 
@@ -72,6 +72,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), limit=4096)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base patterns, and further candidates that the trained classifier accepts."""
+    found = pii.candidates(documents(spark, sf_dir))
+    return pii.report(pii.judged(found, pii.fit(found)))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents (6 code points, 5 occurrences or more), their near words, forms and roots."""
     words = spelling.vocabulary(documents(spark, sf_dir), least_length=6, least_count=5)
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_passages": op8_benchmark_passages,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_token_counts": op10_token_counts,
+    "op11_personal_data": op11_personal_data,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": corpus_pipeline.run,
