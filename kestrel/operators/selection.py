@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.functions import scalar as S
 from kestrel.operators import stats as ST
 
 
@@ -156,10 +157,12 @@ def correlated_groups_by_strength(pairs: DataFrame, threshold: float) -> list[li
 
     Both directions of a pair count.  A feature that is in no group yet leads
     one with all its correlates, strongest first; those may be in earlier
-    groups as well, so groups can overlap."""
-    band = pairs.where((F.abs("corr") >= threshold) & (F.abs("corr") < 1)).select("feature1", "feature2", "i1", "i2", "corr")
-    both = band.union(band.select("feature2", "feature1", "i2", "i1", "corr"))
-    rows = both.orderBy(F.abs("corr").desc(), "i1", "i2").select("feature1", "feature2").collect()
+    groups as well, so groups can overlap.  ``abs(r)`` is rounded to 12 digits
+    first: the last bits depend on the order in which partial sums are added."""
+    band = pairs.withColumn("r", S.rnd(F.abs("corr"), 12)).where((F.col("r") >= threshold) & (F.col("r") < 1)).select(
+        "feature1", "feature2", "i1", "i2", "r")
+    both = band.union(band.select("feature2", "feature1", "i2", "i1", "r"))
+    rows = both.orderBy(F.col("r").desc(), "i1", "i2").select("feature1", "feature2").collect()
     grouped: set[str] = set()
     groups = []
     for leader, _ in rows:

@@ -180,7 +180,7 @@ def _pairwise(df: DataFrame, cols, others) -> tuple[list[list], list[list]]:
             count[i][j] = int(n[j])
             vx, vy = n[j] * sxx[j] - sx[j] * sx[j], n[j] * syy[j] - sy[j] * sy[j]
             if n[j] > 1 and vx > 0 and vy > 0:
-                r[i][j] = float((n[j] * sxy[j] - sx[j] * sy[j]) / np.sqrt(vx * vy))
+                r[i][j] = float(np.clip((n[j] * sxy[j] - sx[j] * sy[j]) / np.sqrt(vx * vy), -1.0, 1.0))
     return r, count
 
 

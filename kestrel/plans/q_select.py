@@ -152,10 +152,10 @@ def _order_sql(cols, metric_sql=None, desc=True):
 def _strength_sql(cols, threshold=0.8):
     """Oracle for the strongest-pair-first grouping (F11) as a recursive CTE."""
     nxt = "(SELECT list(a.feature2 ORDER BY a.rk) FROM e a WHERE a.feature1 = e.feature1)"
-    return f"""WITH RECURSIVE pr AS ({_pairs_sql(cols)}),
-band AS (SELECT feature1, feature2, i1, i2, corr FROM pr WHERE abs(corr) >= {threshold} AND abs(corr) < 1
-         UNION ALL SELECT feature2, feature1, i2, i1, corr FROM pr WHERE abs(corr) >= {threshold} AND abs(corr) < 1),
-e AS (SELECT feature1, feature2, row_number() OVER (ORDER BY abs(corr) DESC, i1, i2) AS rk FROM band),
+    return f"""WITH RECURSIVE pr AS (SELECT feature1, feature2, i1, i2, RND(abs(corr), 12) AS r FROM ({_pairs_sql(cols)})),
+band AS (SELECT feature1, feature2, i1, i2, r FROM pr WHERE r >= {threshold} AND r < 1
+         UNION ALL SELECT feature2, feature1, i2, i1, r FROM pr WHERE r >= {threshold} AND r < 1),
+e AS (SELECT feature1, feature2, row_number() OVER (ORDER BY r DESC, i1, i2) AS rk FROM band),
 walk(rk, seen, grp) AS (
   SELECT 0, []::VARCHAR[], []::VARCHAR[][]
   UNION ALL

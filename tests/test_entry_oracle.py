@@ -12,7 +12,7 @@ from .conftest import SF_SMALL
 SAMPLE = ["r06_preprocess", "r04_controller_summary", "w01b_rolling_mean_global", "w04_cumulative_savings",
           "w07_label_codes", "p02_chrono_split", "p04_permute_column", "f06_duplicate_pairs", "g08_predominant_share",
           "s04_chi_square", "s06_anova_f", "h06_roc_auc", "h07_kdd_target_mean_auc", "x05_exhaustive_linear",
-          "y10_mrmr_fcq", "r09_trend_season_forecast", "a05_jsonl_roundtrip", "t04_select_percentile"]
+          "f11_corr_groups_by_strength", "y10_mrmr_fcq", "r09_trend_season_forecast", "a05_jsonl_roundtrip", "t04_select_percentile"]
 
 
 def test_entry_runs(spark):

@@ -150,3 +150,17 @@ def test_chi_square_gathers_no_feature_in_one_task(spark):
         assert abs(r.chi2 - sum(g * g / (left[x] / 2) for (x, _), g in gap.items())) < 1e-9
         yates = sum((g - min(g, 0.5)) ** 2 / (left[x] / 2) for (x, _), g in gap.items()) if len(left) == 2 else r.chi2
         assert abs(r.chi2_yates - yates) < 1e-9 and r.dof == len(left) - 1
+
+
+def test_a_perfect_pair_stays_out_of_the_strength_groups(spark):
+    """Equal columns have r = 1 up to the last bits, whichever way the partial sums are added."""
+    import random
+    rnd = random.Random(3)
+    rows = [(x, x, x + rnd.random() / 4, None if rnd.random() < 0.1 else x) for x in (rnd.random() / 7 for _ in range(4000))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    for parts in (1, 3, 7):
+        pairs = ST.corr_pairs(df.repartition(parts), ["a", "b", "c", "d"])
+        assert pairs.where("abs(corr) > 1").count() == 0
+        assert SEL.correlated_groups_by_strength(pairs, 0.999) == []
+        groups = SEL.correlated_groups_by_strength(pairs, 0.2)
+        assert groups and all("c" in g for g in groups)
