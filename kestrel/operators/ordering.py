@@ -196,3 +196,27 @@ def lags(df: DataFrame, partition_by, order_by, cols, max_lag: int,
     exprs = [F.lag(c, k).over(w).alias(f"{c}_lag{k}") for c in cols for k in range(1, max_lag + 1)]
     out = both.select("*", *exprs)
     return out.where(~F.col("_khalo")).drop("_kblk", "_khalo")
+
+
+def neighbours(df: DataFrame, partition_by, order_by, col: str, reach: int,
+               block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """``before`` and ``after``: arrays of ``col`` of up to ``reach`` rows on either side, nearest first.
+
+    Skew-safe like :func:`rolling`: blocks of consecutive rows get ``reach``
+    rows of the blocks on both sides as a halo.
+    """
+    parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
+    if _fits_one_task(df, parts, block_rows):
+        return df.select("*", *_both_sides(Window.partitionBy(*parts).orderBy(*_cols(order_by)), col, reach))
+    at = F.col(IDX)
+    first = F.greatest(F.floor((at - F.lit(reach)) / F.lit(block_rows)), F.lit(0))
+    last = F.floor((at + F.lit(reach)) / F.lit(block_rows))
+    both = (with_global_index(df, _cols(parts) + _cols(order_by)).withColumn("_kown", F.floor(at / F.lit(block_rows)))
+            .withColumn("_kblk", F.explode(F.sequence(first, last))))
+    out = both.select("*", *_both_sides(Window.partitionBy("_kblk", *parts).orderBy(IDX), col, reach))
+    return out.where(F.col("_kblk") == F.col("_kown")).drop("_kblk", "_kown", IDX)
+
+
+def _both_sides(w, col: str, reach: int) -> list[Column]:
+    return [F.array_compact(F.array(*[f(col, t).over(w) for t in range(1, reach + 1)])).alias(name)
+            for f, name in ((F.lag, "before"), (F.lead, "after"))]

@@ -10,6 +10,7 @@ from kestrel.functions.distributions import chi2_pvalue, f_pvalue
 from kestrel.operators import reshape as RS
 from kestrel.operators import selection as SEL
 from kestrel.operators.cleaning import fill_median
+from kestrel.operators import neighbours as NB
 from kestrel.operators import stats as ST
 from kestrel.operators import target_mean as TM
 from kestrel.plans.registry import query
@@ -288,6 +289,83 @@ def s02_mutual_info_binned(spark, d):
     return ST.mutual_info_discrete(binned, BIN_COLS, "target").withColumn("mi", S.rnd("mi", 6))
 
 
+# --- neighbour-based mutual information ------------------------------------------------------
+
+NEAR_COLS = ["qty", "noise", "max_disc"]
+
+
+def _jitter_sql(c, key="id", seed=0, table="feat"):
+    unit = f"CAST(CAST(('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{c}:{seed}'), 1, 12)) AS BIGINT) AS DOUBLE) / 281474976710656.0 - 0.5"
+    return f"{c} + ({unit}) * pow(2, floor(log2((SELECT max(abs({c})) FROM {table}))) - 33)"
+
+
+def _psi_sql(n):
+    x = f"({n} + 6.0)"
+    low = " - ".join(f"1.0 / ({n} + {i}.0)" for i in range(6))
+    return f"(ln({x}) - 0.5 / {x} - 1.0 / (12 * {x} ** 2) + 1.0 / (120 * {x} ** 4) - 1.0 / (252 * {x} ** 6) + 1.0 / (240 * {x} ** 8) - {low})"
+
+
+def _near_class_sql(cols, label, k):
+    """Distances to the k-th row of the class by lag and lead; rows inside by a running count over rows and boundaries."""
+    points = " UNION ALL ".join(f"SELECT '{c}' AS feature, id, {label} AS label, {_jitter_sql(c)} AS x FROM feat "
+                                f"WHERE {c} IS NOT NULL AND {label} IS NOT NULL" for c in cols)
+    near = ", ".join([f"{{'d': x - lag(x, {t}) OVER w, 'side': 0, 'v': lag(x, {t}) OVER w}}" for t in range(1, k + 1)]
+                     + [f"{{'d': lead(x, {t}) OVER w - x, 'side': 1, 'v': lead(x, {t}) OVER w}}" for t in range(1, k + 1)])
+    return f"""WITH all_points AS ({points}),
+points AS (SELECT *, count(*) OVER (PARTITION BY feature, label) AS size FROM all_points QUALIFY size > 1),
+near AS (SELECT feature, id, x, size, unnest([{near}]) AS c FROM points WINDOW w AS (PARTITION BY feature, label ORDER BY x, id)),
+kth AS (SELECT feature, id, x, size, c.d AS d, c.side AS side, c.v AS v,
+        row_number() OVER (PARTITION BY feature, id ORDER BY c.d, c.side) AS nth FROM near WHERE c.d IS NOT NULL),
+radius AS (SELECT feature, id, size, least({k}, size - 1) AS own_k, CASE WHEN side = 0 THEN v ELSE x - d END AS lo,
+           CASE WHEN side = 1 THEN v ELSE x + d END AS hi FROM kth WHERE nth = least({k}, size - 1)),
+events AS (SELECT feature, x AS place, 1 AS turn, id FROM points UNION ALL SELECT feature, hi, 0, id FROM radius
+           UNION ALL SELECT feature, lo, 2, id FROM radius),
+ranked AS (SELECT feature, id, turn, count(*) FILTER (WHERE turn = 1) OVER (PARTITION BY feature ORDER BY place, turn, id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below FROM events),
+inside AS (SELECT feature, id, sum(CASE turn WHEN 0 THEN below WHEN 2 THEN -below ELSE 0 END) AS m FROM ranked GROUP BY feature, id)
+SELECT r.feature, RND(greatest(0, {_psi_sql('count(*)')} + avg({_psi_sql('own_k')}) - avg({_psi_sql('size')}) - avg({_psi_sql('m')})), 6) AS mi
+FROM radius r JOIN inside i ON i.feature = r.feature AND i.id = r.id GROUP BY r.feature"""
+
+
+@query("s02c_mutual_info_neighbours", _near_class_sql(NEAR_COLS, "target", 3), views=FT)
+def s02c_mutual_info_neighbours(spark, d):
+    """MI of continuous features with the class from 3 neighbours (S2), without bins."""
+    return NB.against_class(view(spark, d, "feat"), NEAR_COLS, "target", "id", k=3).withColumn("mi", S.rnd("mi", 6))
+
+
+def _near_plane_sql(cols, target, k):
+    """All pairs of rows, the k-th nearest in the plane, and the counts closer in either coordinate."""
+    points = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, id, {_jitter_sql(c)} AS x, {_jitter_sql(target)} AS y, "
+        f"(SELECT stddev_samp({target}) / stddev_samp({c}) FROM feat WHERE {c} IS NOT NULL AND {target} IS NOT NULL) AS s FROM feat "
+        f"WHERE {c} IS NOT NULL AND {target} IS NOT NULL" for c in cols)
+    return f"""WITH points AS ({points}),
+near AS (SELECT a.feature, a.id, arg_min({{'vx': b.x, 'vy': b.y}}, greatest(abs(a.x - b.x) * a.s, abs(a.y - b.y)), {k})[{k}] AS v
+         FROM points a JOIN points b ON b.feature = a.feature AND b.id <> a.id GROUP BY a.feature, a.id),
+kth AS (SELECT p.*, v.vx AS vx, v.vy AS vy, abs(v.vx - x) AS dx, abs(v.vy - y) AS dy, abs(v.vx - x) * s >= abs(v.vy - y) AS by_x
+        FROM near JOIN points p ON p.feature = near.feature AND p.id = near.id WHERE v IS NOT NULL),
+ends AS (
+  SELECT 'x' AS axis, feature, id, CASE WHEN by_x AND vx < x THEN vx ELSE x - CASE WHEN by_x THEN dx ELSE dy / s END END AS lo,
+         CASE WHEN by_x AND vx > x THEN vx ELSE x + CASE WHEN by_x THEN dx ELSE dy / s END END AS hi FROM kth
+  UNION ALL
+  SELECT 'y', feature, id, CASE WHEN NOT by_x AND vy < y THEN vy ELSE y - CASE WHEN by_x THEN dx * s ELSE dy END END,
+         CASE WHEN NOT by_x AND vy > y THEN vy ELSE y + CASE WHEN by_x THEN dx * s ELSE dy END END FROM kth),
+events AS (SELECT 'x' AS axis, feature, x AS place, 1 AS turn, id FROM points UNION ALL SELECT 'y', feature, y, 1, id FROM points
+           UNION ALL SELECT axis, feature, hi, 0, id FROM ends UNION ALL SELECT axis, feature, lo, 2, id FROM ends),
+ranked AS (SELECT axis, feature, id, turn, count(*) FILTER (WHERE turn = 1) OVER (PARTITION BY axis, feature ORDER BY place, turn, id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS below FROM events),
+inside AS (SELECT axis, feature, id, sum(CASE turn WHEN 0 THEN below WHEN 2 THEN -below ELSE 0 END) AS m
+           FROM ranked WHERE turn <> 1 GROUP BY axis, feature, id)
+SELECT feature, RND(greatest(0, {_psi_sql("count(*) FILTER (WHERE axis = 'x')")} + {_psi_sql(k)}
+       - 2 * avg({_psi_sql('m')})), 6) AS mi FROM inside GROUP BY feature"""
+
+
+@query("s03b_mutual_info_regression_neighbours", _near_plane_sql(["qty", "noise"], "price", 3), views=FT)
+def s03b_mutual_info_regression_neighbours(spark, d):
+    """MI of continuous features with a continuous target from 3 neighbours in the plane (S3)."""
+    return NB.against_target(view(spark, d, "feat"), ["qty", "noise"], "price", "id", k=3).withColumn("mi", S.rnd("mi", 6))
+
+
 def _chi_sql(ct):
     return f"""WITH ct AS ({ct}),
 r AS (SELECT feature, value, sum(o) AS rn FROM ct GROUP BY 1, 2),
