@@ -114,32 +114,6 @@ def _parallel(fn, items, threads: int = 8):
         return list(ex.map(fn, items))
 
 
-def single_feature_scores(kind: str, train: DataFrame, test: DataFrame, cols, label: str, metric: str,
-                          **params) -> DataFrame:
-    """One model per feature, scored on the test split (H1); fits run concurrently."""
-    def one(c):
-        m = fit(kind, train, [c], label, **params)
-        return (c, float(metric_value(kind, m.transform(test), label, metric)))
-    rows = _parallel(one, list(cols))
-    return train.sparkSession.createDataFrame(rows, "feature string, score double")
-
-
-def single_feature_cv(kind: str, df: DataFrame, cols, label: str, metric: str, fold_col: str = "fold",
-                      threshold: float | None = None, **params) -> DataFrame:
-    """``SelectBySingleFeaturePerformance`` (H2): mean and std over folds;
-    keep above ``threshold`` (default: mean of the means)."""
-    import statistics
-    folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]
-
-    def one(c):
-        sc = cv_score(kind, df, [c], label, metric, fold_col, folds, **params)
-        return (c, float(statistics.mean(sc)), float(statistics.stdev(sc)) if len(sc) > 1 else 0.0)
-    rows = _parallel(one, list(cols))
-    thr = threshold if threshold is not None else sum(r[1] for r in rows) / len(rows)
-    return df.sparkSession.createDataFrame([(c, m, s, m > thr) for c, m, s in rows],
-                                           "feature string, mean double, std double, keep boolean")
-
-
 def subset_scorer(kind: str, df: DataFrame, label: str, metric: str, fold_col: str = "fold", **params):
     """``score_many`` of a wrapper search: mean CV score of a model on each
     subset; the subsets of one call are fitted concurrently."""

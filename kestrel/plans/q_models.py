@@ -51,31 +51,7 @@ def _rows(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
-# --- H1, H2, X6 ---------------------------------------------------------------------------
-
-@query("h01_single_feature_tree")
-def h01_single_feature_tree(spark, d):
-    """One decision tree per feature, test ROC-AUC; keep > 0.5 (H1)."""
-    tr, te = _split(spark, d)
-    sc = ML.single_feature_scores("dt_clf", tr, te, XCOLS, "target", "roc_auc", **TREE)
-    return sc.withColumn("keep", F.col("score") > 0.5)
-
-
-@query("h01b_single_feature_tree_mse")
-def h01b_single_feature_tree_mse(spark, d):
-    """Regression form: test MSE per feature, keep below the mean MSE (H1)."""
-    tr, te = _split(spark, d)
-    cols = [c for c in XCOLS if c != "price"]
-    sc = ML.single_feature_scores("dt_reg", tr, te, cols, "price", "mse", **TREE)
-    return sc.withColumn("keep", F.col("score") < sc.agg(F.avg("score")).scalar())
-
-
-@query("h02_single_feature_cv")
-def h02_single_feature_cv(spark, d):
-    """``SelectBySingleFeaturePerformance(cv=3, scoring='roc_auc')`` (H2)."""
-    df = _held(fold_column(_feat(spark, d), "id", 3))
-    return ML.single_feature_cv("dt_clf", df, XCOLS, "target", "roc_auc", threshold=0.5, **TREE)
-
+# --- X6 ---------------------------------------------------------------------------
 
 @query("x06_compare_subsets")
 def x06_compare_subsets(spark, d):

@@ -119,12 +119,12 @@ def _groups_df(spark, groups):
 GROUPS_FINAL = "SELECT CAST(gi - 1 AS INTEGER) AS group_id, g[1] AS leader, unnest(g) AS feature FROM gs"
 
 
-def _greedy_sql(cols, order_sql, threshold=0.8, final=GROUPS_FINAL, extra_ctes=""):
+def _greedy_sql(cols, order_sql, threshold=0.8, final=GROUPS_FINAL, extra_ctes="", table_="feat"):
     """Feature-engine grouping walk as a recursive CTE (oracle for F12-F14):
     state = features already grouped + groups so far, one step per position."""
     nxt = ("(SELECT list(a.g ORDER BY a.gpos) FROM adjp a WHERE a.f = o.feature AND a.gpos > w.pos "
            "AND NOT list_contains(w.seen, a.g))")
-    return f"""WITH RECURSIVE {extra_ctes}pr AS ({_pairs_sql(cols)}),
+    return f"""WITH RECURSIVE {extra_ctes}pr AS ({_pairs_sql(cols, table_)}),
 ord AS ({order_sql}),
 adj AS (SELECT feature1 AS f, feature2 AS g FROM pr WHERE abs(corr) > {threshold}
         UNION ALL SELECT feature2, feature1 FROM pr WHERE abs(corr) > {threshold}),
@@ -615,23 +615,6 @@ def f07_duplicate_list(spark, d):
     return SEL.duplicate_pairs(view(spark, d, "feat"), FEAT_NUMERIC, "id").select("feature").distinct()
 
 
-@query("f15_smart_correlated_performance")
-def f15_smart_correlated_performance(spark, d):
-    """``SmartCorrelatedSelection(selection_method='model_performance')`` (F15):
-    within each correlated group keep the best single-feature CV score."""
-    from kestrel.operators import models as ML
-    from kestrel.operators.sampling import fold_column
-    df = view(spark, d, "feat")
-    holes = [r["feature"] for r in ST.column_moments(df, CORR_COLS).where("n_null > 0").collect()]
-    df = fold_column(fill_median(df, holes) if holes else df, "id", 3).cache()   # all features on the same rows
-    sc = ML.single_feature_cv("dt_clf", df, CORR_COLS, "target", "roc_auc", maxDepth=3)
-    score = {r["feature"]: r["mean"] for r in sc.collect()}
-    order = sorted(CORR_COLS, key=lambda c: (-score[c], CORR_COLS.index(c)))
-    groups = SEL.correlated_groups(ST.corr_pairs(df, CORR_COLS), order, 0.8)
-    df.unpersist()
-    return _groups_df(spark, groups)
-
-
 @query("f16_group_best_by_forest")
 def f16_group_best_by_forest(spark, d):
     """Best member of each correlated group by forest importance (F16)."""

@@ -53,45 +53,6 @@ def x01_forward_linear(spark, d):
     return df.select("step", "feature", S.rnd("score", 6).alias("score"))
 
 
-def _model_scorer(spark, d, kind, label, cols, **params):
-    """(columns, scorer, cached input) of a model-scored search on 2 hash folds."""
-    df = fold_column(view(spark, d, "feat").select("id", *cols, label), "id", 2, seed=1).cache()
-    metric = "roc_auc" if kind in ML.CLASSIFIERS else "r2"
-    return ML.subset_scorer(kind, df, label, metric, **params), df
-
-
-FOREST_COLS = ["n_items", "qty", "max_disc", "noise"]
-FOREST = {"numTrees": 10, "maxDepth": 4}
-
-
-@query("x01b_forward_forest")
-def x01b_forward_forest(spark, d):
-    """Step-forward selection with a random forest scored by CV ROC-AUC."""
-    score, df = _model_scorer(spark, d, "rf_clf", "target", FOREST_COLS, **FOREST)
-    steps = W.forward(FOREST_COLS, score, 3)
-    df.unpersist()
-    return spark.createDataFrame(steps, "step int, feature string, score double")
-
-
-@query("x03b_backward_forest")
-def x03b_backward_forest(spark, d):
-    """Step-backward selection with a random-forest regressor scored by CV R^2."""
-    score, df = _model_scorer(spark, d, "rf_reg", "price", FOREST_COLS, **FOREST)
-    kept, steps = W.backward(FOREST_COLS, score, 2)
-    df.unpersist()
-    rows = [(f, False, sc) for _, f, sc in steps] + [(f, True, None) for f in kept]
-    return spark.createDataFrame(rows, "feature string, kept boolean, score double")
-
-
-@query("x05d_exhaustive_tree")
-def x05d_exhaustive_tree(spark, d):
-    """Every subset of 1 or 2 columns scored by a decision tree's CV ROC-AUC."""
-    score, df = _model_scorer(spark, d, "dt_clf", "target", FOREST_COLS, maxDepth=3)
-    rows = [(",".join(cols), len(cols), float(sc)) for cols, sc in W.exhaustive(FOREST_COLS, score, 1, 2)]
-    df.unpersist()
-    return spark.createDataFrame(rows, "subset string, k int, score double")
-
-
 def _cv_gram(spark, d, cols=WRAP_COLS, k=3):
     df = fold_column(view(spark, d, "feat"), "id", k, seed=1)
     return LN.gram_stats(df, cols, TARGET, "fold")

@@ -64,6 +64,7 @@ def load_all() -> None:
         q_select,
         q_wrapper,
         q_models,
+        q_trees,
         q_mrmr,
         q_forecast,
     )
