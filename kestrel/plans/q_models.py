@@ -12,12 +12,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kestrel.functions import scalar as S
+from kestrel.operators import linear as LN
 from kestrel.operators import models as ML
+from kestrel.operators import penalties as PN
 from kestrel.operators import selection as SEL
 from kestrel.operators import stats as ST
 from kestrel.operators.reshape import select_k_best
 from kestrel.operators.sampling import fold_column, split_frames
 from kestrel.plans.q_capacity import PRE_SQL
+from kestrel.plans.q_select import SPLIT
 from kestrel.plans.registry import query
 from kestrel.session import shared_scratch_dir
 from kestrel.sources.fixtures import view
@@ -76,64 +79,87 @@ def e01_standardize(spark, d):
     return out.select("id", S.rnd("qty", 6).alias("qty"), S.rnd("price", 6).alias("price"))
 
 
-def _std_train(spark, d):
+def _logistic(spark, d, l2=(), l1=()):
+    """Paths over the scaled training columns; scikit-learn's C is 1 over the weight."""
     tr, _ = _split(spark, d)
-    scaled = ML.standardize(tr, XCOLS).cache()
-    _HELD.append(scaled)
-    return scaled, tr.count()
+    return PN.logistic_path(tr, XCOLS, "target", l2=l2, l1=l1, standardise=True)
 
 
 @query("e02_logistic_coefficients")
 def e02_logistic_coefficients(spark, d):
     """``SelectFromModel(LogisticRegression(C=1000))``: keep abs(coef) > mean."""
-    tr, n = _std_train(spark, d)
-    m = ML.fit("log_reg", tr, XCOLS, "target", regParam=1.0 / (1000 * n), elasticNetParam=0.0, standardization=False)
-    coefs = ML.coefficient_table(m, XCOLS)
-    keep = set(ML.select_from_model(coefs))
-    return _rows(spark, [(c, v, c in keep) for c, v in coefs], "feature string, coef double, keep boolean")
+    (fit,), _ = _logistic(spark, d, l2=[1 / 1000.0])
+    keep = set(ML.select_from_model(list(fit.coef.items())))
+    return _rows(spark, [(c, v, c in keep) for c, v in fit.coef.items()], "feature string, coef double, keep boolean")
 
 
 @query("e04_coefficient_path")
 def e04_coefficient_path(spark, d):
-    """Coefficients over five penalties C (E4): feature x C table."""
-    tr, n = _std_train(spark, d)
-    rows = []
-    for C in (10.0, 1.0, 0.1, 0.01, 0.001):
-        m = ML.fit("log_reg", tr, XCOLS, "target", regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False)
-        rows += [(c, C, v) for c, v in ML.coefficient_table(m, XCOLS)]
-    return _rows(spark, rows, "feature string, C double, coef double")
+    """Coefficients over five penalties C (E4): feature x C table, all fitted in the same passes."""
+    path, _ = _logistic(spark, d, l2=[1 / C for C in (10.0, 1.0, 0.1, 0.01, 0.001)])
+    return _rows(spark, [(c, round(1 / w, 6), v) for c, w, v in PN.table_of(path, XCOLS)], "feature string, C double, coef double")
 
 
 @query("e05_lasso_logistic")
 def e05_lasso_logistic(spark, d):
     """L1 logistic regression, C = 0.5: keep non-zero coefficients (E5)."""
-    tr, n = _std_train(spark, d)
-    m = ML.fit("log_reg", tr, XCOLS, "target", regParam=1.0 / (0.5 * n), elasticNetParam=1.0, standardization=False)
-    coefs = ML.coefficient_table(m, XCOLS)
-    keep = set(ML.select_from_model(coefs, "nonzero"))
-    return _rows(spark, [(c, v, c in keep) for c, v in coefs], "feature string, coef double, keep boolean")
+    _, (fit,) = _logistic(spark, d, l1=[1 / 0.5])
+    return _rows(spark, [(c, v, v != 0) for c, v in fit.coef.items()], "feature string, coef double, keep boolean")
 
 
-@query("e06_lasso_regression")
-def e06_lasso_regression(spark, d):
-    """``Lasso(alpha=100)`` on the price target, features scaled (E6): regParam = alpha, L1."""
+LASSO_COLS = [c for c in XCOLS if c != "price"]
+
+
+def _lasso_sql(cols, y, alphas, source, steps=20_000):
+    """Lasso coefficients on scaled columns by cyclic coordinate descent from 0, one coordinate a step of a recursion."""
+    q = ", ".join("[" + ", ".join(f"covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b}))" for b in cols) + "]" for a in cols)
+    b = ", ".join(f"covar_pop({a}, {y}) / stddev_pop({a})" for a in cols)
+    j, p = "CAST(i % {0} AS INTEGER) + 1".format(len(cols)), len(cols)
+    return f"""WITH RECURSIVE src AS ({source}),
+sums AS (SELECT [{q}] AS q, [{b}] AS b FROM src),
+walk(i, alpha, beta) AS (
+  SELECT 0, alpha, [{", ".join(["CAST(0 AS DOUBLE)"] * p)}] FROM (SELECT unnest([{", ".join(f"CAST({x} AS DOUBLE)" for x in alphas)}]) AS alpha)
+  UNION ALL
+  SELECT i + 1, alpha, list_concat(list_concat(beta[1:j - 1], [sign(rho) * greatest(abs(rho) - alpha, 0) / q[j][j]]), beta[j + 1:])
+  FROM (SELECT i, alpha, beta, q, {j} AS j, b[{j}] - list_dot_product(q[{j}], beta) + q[{j}][{j}] * beta[{j}] AS rho FROM walk, sums WHERE i < {steps})),
+fin AS (SELECT alpha, beta FROM walk WHERE i = {steps})
+SELECT unnest([{", ".join(f"'{c}'" for c in cols)}]) AS feature, alpha, unnest(beta) AS coef FROM fin"""
+
+
+_TRAIN = f"SELECT * FROM feat WHERE {SPLIT.format(k='id')} >= 30"
+
+
+def _lasso(spark, d, alphas):
     tr, _ = _split(spark, d)
-    cols = [c for c in XCOLS if c != "price"]
-    m = ML.fit("lin_reg", ML.standardize(tr, cols), cols, "price", regParam=100.0, elasticNetParam=1.0, standardization=False)
-    coefs = ML.coefficient_table(m, cols)
-    return _rows(spark, [(c, v, v != 0) for c, v in coefs], "feature string, coef double, nonzero boolean")
+    return PN.lasso_path(LN.gram_stats(tr, LASSO_COLS, "price"), alphas, standardise=True)
+
+
+@query("e06_lasso_regression", "SELECT feature, RND(coef, 3) AS coef, coef <> 0 AS nonzero FROM (" + _lasso_sql(LASSO_COLS, "price", [100], _TRAIN, 2000) + ")",
+       views=FT)
+def e06_lasso_regression(spark, d):
+    """``Lasso(alpha=100)`` on the price target, features scaled (E6), from the sums of one scan."""
+    (fit,) = _lasso(spark, d, [100.0])
+    out = _rows(spark, [(c, v, v != 0) for c, v in fit.coef.items()], "feature string, coef double, nonzero boolean")
+    return out.withColumn("coef", S.rnd("coef", 3))
+
+
+ALPHAS = [1000.0, 300.0, 100.0, 30.0, 1.0]
+
+
+@query("e04b_lasso_path", "SELECT feature, alpha, RND(coef, 3) AS coef FROM (" + _lasso_sql(LASSO_COLS, "price", ALPHAS, _TRAIN, 2000) + ")", views=FT)
+def e04b_lasso_path(spark, d):
+    """Regression form of the coefficient path (E4): five penalties from one scan, each begun at the answer before."""
+    rows = PN.table_of(_lasso(spark, d, ALPHAS), LASSO_COLS)
+    return _rows(spark, rows, "feature string, alpha double, coef double").withColumn("coef", S.rnd("coef", 3))
 
 
 @query("e07_zero_coefficients")
 def e07_zero_coefficients(spark, d):
     """Zero coefficients of L1 and L2 logistic regression, C = 0.5 on scaled
-    features (E7): L1 zeroes some, L2 none."""
-    tr, n = _std_train(spark, d)
-    rows = []
-    for name, enet in (("l1", 1.0), ("l2", 0.0)):
-        m = ML.fit("log_reg", tr, XCOLS, "target", regParam=1.0 / (0.5 * n), elasticNetParam=enet, standardization=False)
-        rows.append((name, sum(1 for _, v in ML.coefficient_table(m, XCOLS) if v == 0)))
-    return _rows(spark, rows, "model string, n_zero int")
+    features (E7): L1 zeroes some, L2 none.  Both fitted in the same passes."""
+    (ridge,), (lasso,) = _logistic(spark, d, l2=[1 / 0.5], l1=[1 / 0.5])
+    return _rows(spark, [(name, sum(v == 0 for v in fit.coef.values())) for name, fit in (("l1", lasso), ("l2", ridge))],
+                 "model string, n_zero int")
 
 
 @query("e08_forest_importance")
