@@ -25,7 +25,7 @@ Edge cases: null texts stay null, empty ones empty; repeated rows (same id and
 text) are one document and share a result, so they do not delete each other;
 null ids sort first; a text may become empty when all its lines occurred
 before; an empty table gives an empty result; all columns of the input are
-kept and clash with nothing.
+kept and clash with nothing, except that ``count`` replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -134,7 +134,9 @@ def duplicate_runs(df: DataFrame, min_chars: int = 30, doc_id: str = "doc_id", t
     at = F.struct("doc_id", "_kt", "start")
     earliest = written(named.groupBy("n", "first", "last").agg(F.min(at).alias("kept"), F.count(F.lit(1)).alias("copies"))
                        .where("copies > 1"), "intervals")
-    later = named.join(earliest, ["n", "first", "last"]).where(at != F.col("kept"))
+    # A copy that begins inside the kept one would take its lines; the first copy after it goes.
+    inside = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("_kt") == F.col("kept._kt")) & (F.col("start") < F.col("kept.start") + F.col("n"))
+    later = named.join(earliest, ["n", "first", "last"]).where((at != F.col("kept")) & ~inside)
     return later.select(*KEY, "doc_id", "start", "n", F.col("kept.doc_id").alias("kept_id"),
                         F.col("kept.start").alias("kept_start")), places
 

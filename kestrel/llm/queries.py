@@ -122,8 +122,10 @@ runs AS (
   FROM lines a JOIN lines e ON e.doc_id = a.doc_id AND e.pos BETWEEN a.pos AND a.pos + 29
   JOIN lines m ON m.doc_id = a.doc_id AND m.pos BETWEEN a.pos AND e.pos
   GROUP BY a.doc_id, a.pos, e.pos, a.n, e.n HAVING sum(m.n) >= 30 AND (sum(m.n) - a.n < 30 OR sum(m.n) - e.n < 30)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS copy FROM runs),
-gone AS (SELECT DISTINCT l.doc_id, l.nth FROM ranked r JOIN lines l ON l.doc_id = r.doc_id AND l.pos BETWEEN r.s AND r.e WHERE r.copy > 1),
+ranked AS (SELECT *, row_number() OVER w AS copy, first_value(doc_id) OVER w AS kept_id, first_value(e) OVER w AS kept_e
+  FROM runs WINDOW w AS (PARTITION BY run ORDER BY doc_id, s)),
+gone AS (SELECT DISTINCT l.doc_id, l.nth FROM ranked r JOIN lines l ON l.doc_id = r.doc_id AND l.pos BETWEEN r.s AND r.e
+  WHERE r.copy > 1 AND NOT (r.doc_id = r.kept_id AND r.s <= r.kept_e)),
 kept AS (
   SELECT a.doc_id, string_agg(a.line, chr(10) ORDER BY a.nth) FILTER (WHERE g.nth IS NULL) AS text, CAST(count(g.nth) AS INTEGER) AS n_deleted
   FROM all_lines a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.nth = a.nth GROUP BY a.doc_id)

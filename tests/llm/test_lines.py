@@ -15,13 +15,13 @@ def brute(docs, least):
             for e in range(s, len(at)):
                 run = tuple(lines[k] for k in at[s:e + 1])
                 if sum(map(len, run)) >= least:
-                    seen.setdefault(run, (d, s))
+                    seen.setdefault(run, (d, s, e))
     for d, (lines, at) in enumerate(parts):
         gone = set()
         for s in range(len(at)):
             for e in range(s, len(at)):
                 run = tuple(lines[k] for k in at[s:e + 1])
-                if sum(map(len, run)) >= least and seen[run] != (d, s):
+                if sum(map(len, run)) >= least and seen[run] != (d, s, e) and not (seen[run][0] == d and s <= seen[run][2]):
                     gone.update(at[s:e + 1])
         out.append((None if docs[d] is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)))
     return out
@@ -72,3 +72,15 @@ def test_odd_rows(odd, empty):
     assert [r.text for r in rows if r.doc_id == 6] == [""]
     assert [r.text for r in rows if r.doc_id == 1] == [None]
     assert line_dedup.drop_repeated_lines(empty).count() == 0
+
+
+def test_overlapping_copies_leave_the_kept_one_whole(make):
+    """Equal lines of ten characters: lines 1 to 3 stay, copies that begin inside them are passed over."""
+    line = "0123456789"
+    docs = ["\n".join([line] * n) for n in (5, 6, 8)]
+    for doc, left in zip(docs, (5, 3, 3)):
+        (row,) = line_dedup.drop_repeated_lines(make([(1, doc)]), 30, count="n").collect()
+        assert row.text == "\n".join([line] * left) and row.n == doc.count("\n") + 1 - left
+    both = line_dedup.drop_repeated_lines(make([(1, docs[0]), (2, docs[0])]), 30, count="n").orderBy("doc_id").collect()
+    assert [r.n for r in both] == [0, 5]
+    assert brute([docs[0], docs[0]], 30) == [(docs[0], 0), ("", 5)]
