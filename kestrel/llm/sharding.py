@@ -75,8 +75,9 @@ def with_groups(placed: DataFrame, shards: int, rows_per_group: int = ROWS_PER_G
 def with_slots(placed: DataFrame, shards: int, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
     """Number the rows of each shard 0..n-1, in groups of about ``rows_per_group`` rows.
 
-    Equal rows are counted before the shuffle and spread out again at the
-    end, so a key with very many equal rows is one row in its group.
+    Equal rows are counted before the shuffle, so a key with very many equal
+    rows is one row in its group; at the end they are written out in blocks of
+    ``rows_per_group``, which are spread over tasks.
     """
     whole = with_groups(placed, shards, rows_per_group)
     counted = whole.groupBy(*whole.columns).agg(F.count(F.lit(1)).alias("copies"))
@@ -85,10 +86,12 @@ def with_slots(placed: DataFrame, shards: int, rows_per_group: int = ROWS_PER_GR
               .select("shard", "grp", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")))
     within = (Window.partitionBy("shard", "grp").orderBy("key", "text_crc32", "size")
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (counted.withColumn("nth", F.coalesce(F.sum("copies").over(within), F.lit(0)))
-            .join(starts, ["shard", "grp"])
-            .withColumn("first", F.col("start") + F.col("nth"))
-            .select(*placed.columns, F.explode(F.sequence("first", F.col("first") + F.col("copies") - 1)).alias("slot")))
+    numbered = (counted.withColumn("nth", F.coalesce(F.sum("copies").over(within), F.lit(0)))
+                .join(starts, ["shard", "grp"])
+                .withColumn("first", F.col("start") + F.col("nth")).withColumn("last", F.col("first") + F.col("copies") - 1))
+    blocks = numbered.select(*placed.columns, "last", F.explode(F.sequence("first", "last", F.lit(rows_per_group).cast("long"))).alias("from"))
+    return blocks.repartition("shard", "from").select(
+        *placed.columns, F.explode(F.sequence("from", F.least("last", F.col("from") + rows_per_group - 1))).alias("slot"))
 
 
 def shard_documents(df: DataFrame, shards: int = 40, weights: Sequence[float] | None = None,
