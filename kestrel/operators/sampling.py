@@ -35,6 +35,22 @@ def fold_column(df: DataFrame, key: str, k: int, seed: int = 0, out: str = "fold
     return df.withColumn(out, (hash_bucket(key, seed, 1 << 30) % F.lit(k)).cast("int"))
 
 
+def stratified_folds(df: DataFrame, key: str, label: str, k: int, seed: int | None = None, out: str = "fold") -> DataFrame:
+    """``StratifiedKFold`` (P3): folds whose sizes differ by at most one row within every class.
+
+    Rows get their rank inside their class (in key order, or shuffled by md5 of
+    key and seed) from one distributed index over (class, order): a class is the
+    stretch of the index between its first and last row, however large it is.
+    The fold is the rank's share of the class.  ``key`` must be unique; rows
+    without a label are a class of their own.
+    """
+    order = [F.col(key)] if seed is None else [F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), F.col(key)]
+    indexed = with_global_index(df, [F.col(label), *order])
+    classes = indexed.groupBy(F.col(label).alias("_kclass")).agg(F.min(IDX).alias("_kfirst"), F.count(F.lit(1)).alias("_kn"))
+    return (indexed.join(classes, F.col(label).eqNullSafe(F.col("_kclass")))
+            .withColumn(out, F.expr(f"CAST(({IDX} - _kfirst) * {int(k)} DIV _kn AS INT)")).drop(IDX, "_kclass", "_kfirst", "_kn"))
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """``sample(n, random_state)`` (T6): the n rows with the smallest md5 rank.
 

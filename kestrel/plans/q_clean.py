@@ -357,20 +357,30 @@ def c20_round_half_even(spark, d):
                      S.rnd(q, 2).alias("q_up"))
 
 
-def write_json_arrays(df, path):
+JSON_ARRAY_BYTES = 64 * 1024 * 1024
+
+
+def write_json_arrays(df, path, array_bytes: int = JSON_ARRAY_BYTES):
     """Write all rows of ``df`` as JSON array documents, by Spark (no driver hop).
 
-    Every Arrow batch of a task (at most
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows) becomes one array in
-    a file of its own, since a ``multiLine`` scan reads one document from a file.
+    A ``multiLine`` scan reads one document from a file, so a task writes one
+    array for about every ``array_bytes`` of JSON, each in a file of its own;
+    the size of Arrow batches plays no part.
     """
     lines = df.select(F.to_json(F.struct(*df.columns)).alias("j"))
 
     def to_array(it):
         import pandas as pd
+        held, size = [], 0
         for pdf in it:
-            if len(pdf):
-                yield pd.DataFrame({"value": ["[" + ",".join(pdf["j"]) + "]"]})
+            for j in pdf["j"]:
+                if held and size + len(j) > array_bytes:
+                    yield pd.DataFrame({"value": ["[" + ",".join(held) + "]"]})
+                    held, size = [], 0
+                held.append(j)
+                size += len(j) + 1
+        if held:
+            yield pd.DataFrame({"value": ["[" + ",".join(held) + "]"]})
 
     lines.mapInPandas(to_array, "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
     return path

@@ -406,6 +406,21 @@ def g02_group_max10(spark, d):
     return AG.group_max(view(spark, d, "metrics"), "controllerName", cols)
 
 
+@query("p03b_stratified_folds", """SELECT id, target, CAST((row_number() OVER (PARTITION BY target ORDER BY md5(CAST(id AS VARCHAR) || ':5'), id) - 1) * 5
+ // count(*) OVER (PARTITION BY target) AS INTEGER) AS fold FROM feat""", views=FT)
+def p03b_stratified_folds(spark, d):
+    """Five folds balanced by class, shuffled by hash (P3, ``StratifiedKFold``)."""
+    return SP.stratified_folds(view(spark, d, "feat").select("id", "target"), "id", "target", 5, seed=5)
+
+
+@query("w07b_numeric_codes", """SELECT key, CAST(dense_rank() OVER (ORDER BY cpuRequest) - 1 AS BIGINT) AS "cat_cpuRequest",
+ CAST(dense_rank() OVER (ORDER BY key % 23) - 1 AS BIGINT) AS cat_part FROM metrics""", views=M)
+def w07b_numeric_codes(spark, d):
+    """Codes of numeric columns follow the numbers' size."""
+    df = view(spark, d, "metrics").select("key", "cpuRequest", (F.col("key") % 23).alias("part"))
+    return ordinal_codes(df, ["cpuRequest", "part"]).select("key", "cat_cpuRequest", "cat_part")
+
+
 @query("p03_kfold_assignment", """SELECT id, CAST(CAST(('0x' || substr(md5(CAST(id AS VARCHAR) || ':5'), 1, 8)) AS BIGINT)
  % 1073741824 % 5 AS INTEGER) AS fold FROM feat""", views=FT)
 def p03_kfold_assignment(spark, d):

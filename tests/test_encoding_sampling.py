@@ -42,3 +42,29 @@ def test_permutation_keeps_values(spark):
     sample = SP.seeded_sample(df, "id", 50, seed=2).toPandas()
     again = SP.seeded_sample(df.repartition(3), "id", 50, seed=2).toPandas()
     assert sorted(sample["id"]) == sorted(again["id"]) and len(sample) == 50
+
+
+def test_numeric_codes_follow_size_on_both_paths(spark, monkeypatch):
+    rows = [(i, v, w, t) for i, (v, w, t) in enumerate([(10, 2.5, "b"), (9, float("nan"), "a"), (-3, -1.0, "10"), (None, None, None), (9, 2.5, "9"), (100, 0.0, "b")])]
+    df = spark.createDataFrame(rows, "id int, n long, x double, t string")
+    want = {0: (2, 2, 3), 1: (1, 3, 2), 2: (0, 0, 0), 3: (None, None, None), 4: (1, 2, 1), 5: (3, 1, 3)}
+    for limit in (EN.SMALL_CODE_TABLE, 2):
+        monkeypatch.setattr(EN, "SMALL_CODE_TABLE", limit)
+        got = {r.id: (r.cat_n, r.cat_x, r.cat_t) for r in EN.ordinal_codes(df, ["n", "x", "t"]).collect()}
+        assert got == want
+
+
+def test_stratified_folds_are_balanced(spark):
+    from collections import Counter
+
+    from kestrel.operators import sampling
+    df = spark.range(503).selectExpr("id", "CASE WHEN id % 17 = 0 THEN 'rare' WHEN id % 50 = 1 THEN NULL ELSE 'common' END AS label")
+    for seed in (None, 3):
+        rows = sampling.stratified_folds(df, "id", "label", 4, seed).collect()
+        assert len(rows) == 503
+        for label in ("rare", "common", None):
+            sizes = Counter(r.fold for r in rows if r.label == label)
+            assert set(sizes) == {0, 1, 2, 3} and max(sizes.values()) - min(sizes.values()) <= 1
+    plain = {r.id: r.fold for r in sampling.stratified_folds(df, "id", "label", 4).collect()}
+    common = sorted(r.id for r in df.where("label = 'common'").collect())
+    assert [plain[i] for i in common] == sorted(plain[i] for i in common)

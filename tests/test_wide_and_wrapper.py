@@ -87,3 +87,30 @@ def test_model_scored_searches_equal_a_loop(spark):
     kept, removed = W.backward(list("abc"), score, 2)
     assert removed[0][2] == max(every[p] for p in itertools.combinations("abc", 2)) and len(kept) == 2
     df.unpersist()
+
+
+def test_pair_counts_take_one_pass_at_any_width(spark):
+    from kestrel.operators import mrmr as MR
+
+    from .test_histtrees import jobs
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({f"x{i}": rng.integers(0, 4 + i % 3, 300) for i in range(108)})
+    pdf["x3"] = pdf.x1 % 2
+    pdf["holes"] = np.where(rng.random(300) < 0.2, None, pdf.x1)
+    df = spark.createDataFrame(pdf.astype({"holes": "Int64"}))
+    cols = list(pdf.columns)
+    got = {}
+    few = jobs(spark, lambda: MR.redundancy_mi(df, cols[:3], discrete=cols[:3]))
+    assert jobs(spark, lambda: got.update(MR.redundancy_mi(df, cols, discrete=cols))) == few > 0
+    assert len(got) == len(cols) * (len(cols) - 1)
+    for a in ("x1", "x5"):
+        later = cols[cols.index(a) + 1:]
+        for r in ST.mutual_info_discrete(df, later, a).collect():
+            assert math.isclose(got[a, r.feature], r.mi, abs_tol=1e-9)
+    old = MR.WIDE
+    try:
+        MR.WIDE = 4                      # columns of 5 and 6 values take jobs of their own
+        again = MR.redundancy_mi(df, cols[:8], discrete=cols[:8])
+    finally:
+        MR.WIDE = old
+    assert all(math.isclose(v, got[k], abs_tol=1e-9) for k, v in again.items()) and len(again) == 56
