@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.operators.sampling import permute_columns
+from kestrel.operators.stats import auc_by_group
 
 ESTIMATORS = {
     "dt_reg": DecisionTreeRegressor, "dt_clf": DecisionTreeClassifier,
@@ -172,18 +173,24 @@ def permutation_drift(kind: str, train: DataFrame, cols, label: str, key: str, m
 
     The model is fitted once on ``train`` and scored on ``test`` (default:
     ``train``).  All columns are permuted by one pair of indexes and one join
-    (:func:`permute_columns`), stored once; each column then takes its
-    permuted twin for its own score."""
+    (:func:`permute_columns`), stored once.  Every row then gives one row as it
+    is and one with each column replaced by its permuted twin; the model scores
+    them in one pass, and one grouped job makes all metrics."""
+    cols = list(cols)
     model = fit(kind, train, cols, label, **params)
-    test = train if test is None else test
-    base = metric_value(kind, model.transform(test), label, metric)
-    both = permute_columns(test, key, cols, seed).checkpoint(eager=True)
-
-    def one(c):
-        shuffled = both.withColumn(c, F.col(f"{c}__perm"))
-        return (c, float(base - metric_value(kind, model.transform(shuffled), label, metric)))
-    rows = _parallel(one, list(cols))
-    return train.sparkSession.createDataFrame(rows, "feature string, drift double")
+    both = permute_columns(train if test is None else test, key, cols, seed).checkpoint(eager=True)
+    forms = [F.struct(F.lit(swapped).alias("_kform"), *[F.col(f"{c}__perm" if c == swapped else c).alias(c) for c in cols]) for swapped in ("", *cols)]
+    rows = both.select(F.col(label).cast("double").alias("_ky"), F.explode(F.array(*forms)).alias("_kf")).select("_ky", "_kf.*")
+    scored = model.transform(rows).select("_kform", "_ky", score_column(kind).alias("_kscore"))
+    if metric == "roc_auc":
+        values = {r["_kform"]: r["auc"] for r in auc_by_group(scored, "_kform", "_kscore", "_ky").collect()}
+    else:
+        e = F.col("_ky") - F.col("_kscore")
+        sums = scored.groupBy("_kform").agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop("_ky").alias("var")).collect()
+        make = {"mse": lambda r: r["mse"], "rmse": lambda r: r["mse"] ** 0.5, "neg_rmse": lambda r: -r["mse"] ** 0.5, "mae": lambda r: r["mae"],
+                "r2": lambda r: 1 - r["mse"] / r["var"]}[metric]
+        values = {r["_kform"]: make(r) for r in sums}
+    return train.sparkSession.createDataFrame([(c, float(values[""] - values[c])) for c in cols], "feature string, drift double")
 
 
 def recursive_elimination(kind: str, train: DataFrame, test: DataFrame, cols, label: str, metric: str,

@@ -319,15 +319,23 @@ def _key_value(key: int) -> float:
     return struct.unpack("<d", struct.pack("<Q", bits))[0]
 
 
-def _digit_counts(table: DataFrame, prefixes: list[list[int]], shift: int, width: int) -> dict:
-    """{(column, prefix): counts by next digit}: one pass, counted per task and summed."""
+def _next_digits(table: DataFrame, wanted: list[dict], shift: int, width: int) -> list[tuple[int, int, int, int]]:
+    """``(column, rank, digit, rank among values with it)`` for every wanted rank.
+
+    One pass counts, by column and known bits, the next digit of the values that
+    have them; the digit in which a rank falls is found by running counts in
+    Spark (a window has at most 2^width rows), so one row a rank reaches the driver.
+    """
     import numpy as np
     import pandas as pd
+    prefixes = [sorted({known for known, _ in w.values()}) for w in wanted]
 
     def partial(it):
         acc = {}
         for pdf in it:
             for c, known in enumerate(prefixes):
+                if not known:
+                    continue
                 x = pdf.iloc[:, c].to_numpy(dtype=float, na_value=np.nan)
                 keys = _ordered_keys(x[~np.isnan(x)])
                 top, digit = keys >> np.uint64(shift), (1 << width) - 1
@@ -339,12 +347,12 @@ def _digit_counts(table: DataFrame, prefixes: list[list[int]], shift: int, width
             at = np.flatnonzero(n)
             yield pd.DataFrame({"c": np.int32(c), "q": str(q), "d": at.astype(np.int32), "n": n[at]})
 
-    rows = (table.mapInPandas(partial, "c int, q string, d int, n long").groupBy("c", "q", "d")
-            .agg(F.sum("n").alias("n")).orderBy("c", "q", "d").collect())
-    out: dict = {}
-    for r in rows:
-        out.setdefault((r["c"], int(r["q"])), []).append((r["d"], r["n"]))
-    return out
+    counts = table.mapInPandas(partial, "c int, q string, d int, n long").groupBy("c", "q", "d").agg(F.sum("n").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("c", "q").orderBy("d")))
+    ranks = table.sparkSession.createDataFrame(
+        [(c, str(known), rank, left) for c, w in enumerate(wanted) for rank, (known, left) in w.items()], "c int, q string, rank long, left long")
+    hit = upto.join(F.broadcast(ranks), ["c", "q"]).where((F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("n")))
+    return [tuple(r) for r in hit.select("c", "rank", "d", F.col("left") - (F.col("upto") - F.col("n"))).collect()]
 
 
 def quantiles(df: DataFrame, cols, probs) -> dict[str, list]:
@@ -352,32 +360,24 @@ def quantiles(df: DataFrame, cols, probs) -> dict[str, list]:
 
     One method at every size: a radix select over the ordered bits of the
     doubles.  Each of five passes over the stored columns counts the next 13
-    bits of the values that can still be the wanted ranks; the driver sees at
-    most 8,192 counts per column and rank.  Null and NaN are missing; a column
-    without values gives None.
+    bits of the values that can still be the wanted ranks and chooses the digit
+    of every rank in Spark; the driver sees one row for each column and rank.
+    Null and NaN are missing; a column without values gives None.
     """
     cols, probs = list(cols), [float(p) for p in probs]
     table = _small(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]))
-    wanted: list[dict[int, tuple[int, int]]] = [{} for _ in cols]     # rank -> (known bits, rank among values with them)
-    totals, shift = [0] * len(cols), 64
-    while shift:
+    first = table.agg(*[F.count(F.nanvl(f"c{i}", F.lit(None))) for i in range(len(cols))]).first() if cols else ()
+    totals = list(first)
+    wanted: list[dict[int, tuple[int, int]]] = []                     # rank -> (known bits, rank among values with them)
+    for n in totals:
+        ranks = {int(p * (n - 1)) + up for p in probs for up in (0, 1)} if n else set()
+        wanted.append({r: (0, r) for r in ranks if r < n})
+    shift = 64
+    while shift and any(wanted):
         width = min(RADIX_BITS, shift)
         shift -= width
-        first = shift + width == 64
-        prefixes = [[0] if first else sorted({k for k, _ in w.values()}) for w in wanted]
-        counts = _digit_counts(table, prefixes, shift, width)
-        if first:
-            for c in range(len(cols)):
-                n = totals[c] = sum(k for _, k in counts.get((c, 0), []))
-                ranks = {int(p * (n - 1)) + up for p in probs for up in (0, 1)} if n else set()
-                wanted[c] = {r: (0, r) for r in ranks if r < n}
-        for c, ranks in enumerate(wanted):
-            for rank, (known, left) in ranks.items():
-                for digit, n in counts[c, known]:
-                    if left < n:
-                        ranks[rank] = (known << width | digit, left)
-                        break
-                    left -= n
+        for c, rank, digit, left in _next_digits(table, wanted, shift, width):
+            wanted[c][rank] = (wanted[c][rank][0] << width | digit, left)
     out = {}
     for c, name in enumerate(cols):
         value = {rank: _key_value(key) for rank, (key, _) in wanted[c].items()}

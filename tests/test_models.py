@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 
 from kestrel.operators import models as ML
+from kestrel.operators import sampling as SP
 
 
 def test_regression_metrics_and_report(spark):
@@ -42,3 +43,21 @@ def test_fit_score_and_persist(spark):
     a = m.transform(df).select("prediction").toPandas()
     b = back.transform(df).select("prediction").toPandas()
     assert a.equals(b)
+
+
+def test_permutation_drift_equals_one_column_at_a_time(spark):
+    """One scoring pass for all columns gives what scoring each permuted table gives, in as many jobs at any width."""
+    from .test_histtrees import jobs
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({c: rng.normal(size=400) for c in "abcdefgh"})
+    pdf["id"], pdf["y"], pdf["t"] = range(400), 3 * pdf.a - pdf.b + 0.1 * rng.normal(size=400), (pdf.a + 0.3 * pdf.c > 0).astype(int)
+    df = spark.createDataFrame(pdf)
+    for kind, label, metric in (("lin_reg", "y", "rmse"), ("log_reg", "t", "roc_auc"), ("dt_clf", "t", "roc_auc")):
+        got = {r.feature: r.drift for r in ML.permutation_drift(kind, df, list("abc"), label, "id", metric, seed=3).collect()}
+        model = ML.fit(kind, df, list("abc"), label)
+        base = ML.metric_value(kind, model.transform(df), label, metric)
+        for c in "abc":
+            one = SP.permute_column(df, "id", c, seed=3)
+            assert abs(got[c] - (base - ML.metric_value(kind, model.transform(one), label, metric))) < 1e-9
+    few = jobs(spark, lambda: ML.permutation_drift("lin_reg", df, list("ab"), "y", "id", "rmse"))
+    assert jobs(spark, lambda: ML.permutation_drift("lin_reg", df, list("abcdefgh"), "y", "id", "rmse")) == few > 0
