@@ -36,7 +36,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents: pattern matches, and tokens that the Markov models take for random."""
-    return secret_scan.report(secret_scan.scan(documents(spark, sf_dir), min_token=16, prior=0.001))
+    return secret_scan.report(secret_scan.scan(documents(spark, sf_dir), min_token=12, prior=0.001))
 
 
 def op5_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op13_filter_audit": filter_audit.AUDIT_SQL,
-    "op4_secret_scan": secret_sql.scan_sql(min_token=16, prior=0.001),
+    "op4_secret_scan": secret_sql.scan_sql(min_token=12, prior=0.001),
     # Every run of lines whose first or last line is needed to reach 30 characters, compared as whole text.
     "op7_line_dedup": """
 WITH all_lines AS (

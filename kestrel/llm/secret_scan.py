@@ -1,14 +1,19 @@
 """Secret scan: three fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 The patterns find assignments to secret names, access keys and hexadecimal
-strings.  What they match is the labelled sample of random strings; the other
-long tokens of the same corpus that hold no digit are the labelled sample of
-ordinary identifiers.  Transitions between neighbouring characters are counted
-over all documents for either sample (each distinct string once), smoothed
-toward the shares of single characters, and kept as the logarithm of the ratio
-of the two transition probabilities.  A token of ``min_token`` or more characters outside the
-pattern matches is a further span if the sum of its ratios, plus the logarithm
-of the prior odds, is positive.
+strings.  What they match is the labelled sample of random strings.  The
+labelled sample of ordinary identifiers is all other tokens of ``SAMPLE_TOKEN``
+or more characters of the same corpus, each weighted by the number of binary
+digits of its count (a token that holds digits has to occur twice to count, as
+a random string hardly does), and names with dates and numbers made by a rule
+(:func:`numbered_names`), which are a tenth of the sample: a corpus without such
+names would else take every digit for a sign of randomness.  Transitions
+between neighbouring characters are counted over all documents for either
+sample, smoothed toward the shares of single characters, and kept as the
+logarithm of the ratio of the two transition probabilities.  A token of
+``min_token`` or more characters outside the pattern matches is a further span
+if the sum of its ratios, plus the logarithm of the prior odds, is positive;
+UUIDs are identifiers by their form and no spans.
 
 Everything is DataFrame functions.  Positions come from the lengths of the
 pieces between matches; the ratio table has 128 x 128 entries whatever the
@@ -41,6 +46,21 @@ TOKEN_CLASS = r"[A-Za-z0-9+/_=-]"
 ADDED = "random"
 SAMPLE_TOKEN = 12
 WIDTH = 128                      # ASCII; no sample holds other characters
+UUID = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
+NAMES = ("release", "build", "chapter", "section", "page", "invoice", "report", "version", "user", "item", "test", "image", "figure",
+         "table", "backup", "order")
+NAMES_SHARE = 9                  # corpus transitions for each one of the names made by the rule
+
+
+def numbered_names() -> list[str]:
+    """Ordinary identifiers with dates and numbers: every name with six dates, parts and ids, joined by ``_`` or ``-``."""
+    out = []
+    for name in NAMES:
+        for k in range(6):
+            for sep in "_-":
+                out += [f"{name}{sep}{2004 + 4 * k}{sep}{1 + 5 * k % 12:02d}{sep}{1 + 11 * k % 28:02d}",
+                        f"{name}{k + 1}{sep}part{3 * k + 2}{sep}notes", f"{name}{sep}id{sep}{10007 * (k + 1)}"]
+    return out
 
 
 def _sum(numbers: Column) -> Column:
@@ -116,22 +136,22 @@ def _bigrams(token: Column) -> Column:
 
 
 def transition_counts(scanned: DataFrame, least: int = SAMPLE_TOKEN) -> DataFrame:
-    """``pair, random, ordinary``: transitions in either labelled sample, over all rows."""
+    """``pair, random, ordinary``: weighted transitions in either labelled sample, over all rows."""
     tokens = F.regexp_extract_all("rest", F.lit(TOKEN_CLASS + "{%d,}" % least), F.lit(0))
-    named = F.filter(tokens, lambda t: ~t.rlike("[0-9]"))
     labelled = scanned.select(F.explode(F.concat(
         F.transform("values", lambda v: F.struct(F.lit(1).alias("label"), v.alias("token"))),
-        F.transform(named, lambda t: F.struct(F.lit(0).alias("label"), t.alias("token"))))).alias("s"))
+        F.transform(tokens, lambda t: F.struct(F.lit(0).alias("label"), t.alias("token"))))).alias("s"))
     distinct = labelled.groupBy("s.label", "s.token").agg(F.count(F.lit(1)).alias("n"))
-    pairs = distinct.select("label", F.explode(_bigrams(F.col("token"))).alias("pair"))
-    return pairs.groupBy("pair").agg(F.sum("label").alias("random"), F.sum(1 - F.col("label")).alias("ordinary"))
+    weight = F.when(F.col("label") == 1, F.lit(1)).otherwise(F.length(F.bin("n")) - F.col("token").rlike("[0-9]").cast("int"))
+    pairs = distinct.select("label", weight.alias("w"), F.explode(_bigrams(F.col("token"))).alias("pair")).where("w > 0")
+    return pairs.groupBy("pair").agg(F.sum(F.col("label") * F.col("w")).alias("random"), F.sum((1 - F.col("label")) * F.col("w")).alias("ordinary"))
 
 
 def log_ratios(counts: DataFrame) -> list[float] | None:
     """The 128 x 128 log ratios of transition probabilities (random over ordinary).
 
     Characters that neither sample holds have ratio 0.  None without a sample
-    on both sides.
+    of the corpus on both sides.
     """
     import numpy as np
     table = np.zeros((2, WIDTH * WIDTH))
@@ -139,6 +159,10 @@ def log_ratios(counts: DataFrame) -> list[float] | None:
         table[0, r["pair"]], table[1, r["pair"]] = r["random"], r["ordinary"]
     if not table[0].any() or not table[1].any():
         return None
+    made = np.zeros(WIDTH * WIDTH)
+    for name in numbered_names():
+        np.add.at(made, [ord(a) * WIDTH + ord(b) for a, b in zip(name, name[1:])], 1)
+    table[1] += made * max(1, int(table[1].sum()) // (NAMES_SHARE * int(made.sum())))
     both = table.reshape(2, WIDTH, WIDTH)
     seen = both.any(axis=(0, 1)) | both.any(axis=(0, 2))
     size = seen.sum()
@@ -154,7 +178,7 @@ def log_odds(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(_bigrams(token), F.lit(0.0), lambda a, i: a + F.coalesce(F.get(table, i), F.lit(0.0)))
 
 
-def scan(df: DataFrame, min_token: int = 16, prior: float = 0.001, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(df: DataFrame, min_token: int = SAMPLE_TOKEN, prior: float = 0.001, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, assign, access, hex, random``: the spans of each kind in every text."""
     import math
     src = df.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
@@ -165,7 +189,8 @@ def scan(df: DataFrame, min_token: int = 16, prior: float = 0.001, doc_id: str =
         return scanned.select("doc_id", *KINDS, empty.alias(ADDED))
     pattern = TOKEN_CLASS + "{%d,}" % min_token
     found = located(scanned, "rest", "token", pattern, F.col("rest").rlike(pattern))
-    scored = F.zip_with("token", "token_found", lambda s, t: F.struct(s.alias("span"), log_odds(t, ratios).alias("odds")))
+    scored = F.zip_with("token", "token_found", lambda s, t: F.struct(
+        s.alias("span"), F.when(~t.rlike(UUID), log_odds(t, ratios)).alias("odds")))
     above = F.filter(scored, lambda s: s["odds"] + math.log(prior / (1 - prior)) > 0)
     return found.select("doc_id", *KINDS, F.transform(above, lambda s: s["span"]).alias(ADDED))
 

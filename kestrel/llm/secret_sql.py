@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kestrel.llm.secret_scan import ACCESS, ADDED, ASSIGN, HEX, SAMPLE_TOKEN, TOKEN_CLASS
+from kestrel.llm.secret_scan import ACCESS, ADDED, ASSIGN, HEX, NAMES_SHARE, SAMPLE_TOKEN, TOKEN_CLASS, UUID, numbered_names
 
 
 def _quoted(pattern: str) -> str:
@@ -29,7 +29,7 @@ def _located(name: str, source: str, pattern: str, group: int = 0) -> str:
 {name}_rest AS (SELECT s.doc_id, coalesce(b.t, s.t) AS t FROM {source} s LEFT JOIN {name}_b b USING (doc_id))"""
 
 
-def scan_sql(min_token: int = 16, prior: float = 0.001) -> str:
+def scan_sql(min_token: int = SAMPLE_TOKEN, prior: float = 0.001) -> str:
     assign = _ascii_case(ASSIGN)
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 {_located('assign', 'd', assign, 2)},
@@ -42,13 +42,19 @@ base AS (
   UNION ALL SELECT doc_id, 1, 'access', stop - length(found), stop, found FROM access
   UNION ALL SELECT doc_id, 2, 'hex', stop - length(found), stop, found FROM hex),
 sample AS (
-  SELECT DISTINCT 1 AS label, value AS token FROM base
-  UNION ALL SELECT DISTINCT 0, token FROM (SELECT unnest(regexp_extract_all(t, '{TOKEN_CLASS}{{{SAMPLE_TOKEN},}}')) AS token FROM hex2_rest)
-  WHERE NOT regexp_matches(token, '[0-9]')),
+  SELECT DISTINCT 1 AS label, value AS token, 1 AS w FROM base
+  UNION ALL SELECT 0, token, length(bin(count(*))) - CASE WHEN regexp_matches(token, '[0-9]') THEN 1 ELSE 0 END
+  FROM (SELECT unnest(regexp_extract_all(t, '{TOKEN_CLASS}{{{SAMPLE_TOKEN},}}')) AS token FROM hex2_rest) GROUP BY token),
 pairs AS (
-  SELECT label, substr(token, i, 1) AS a, substr(token, i + 1, 1) AS b FROM
-  (SELECT label, token, unnest(range(1, length(token))) AS i FROM sample)),
-n AS (SELECT label, a, b, count(*) AS n FROM pairs GROUP BY ALL),
+  SELECT label, w, substr(token, i, 1) AS a, substr(token, i + 1, 1) AS b FROM
+  (SELECT label, token, w, unnest(range(1, length(token))) AS i FROM sample WHERE w > 0)),
+found AS (SELECT label, a, b, sum(w) AS n FROM pairs GROUP BY ALL),
+names AS (SELECT unnest([{", ".join(f"'{x}'" for x in numbered_names())}]) AS token),
+made AS (SELECT substr(token, i, 1) AS a, substr(token, i + 1, 1) AS b, count(*) AS n
+  FROM (SELECT token, unnest(range(1, length(token))) AS i FROM names) GROUP BY ALL),
+share AS (SELECT greatest(1, (SELECT sum(n) FROM found WHERE label = 0) // ({NAMES_SHARE} * (SELECT sum(n) FROM made))) AS w),
+n AS (SELECT label, a, b, sum(n) AS n FROM (SELECT * FROM found UNION ALL SELECT 0, a, b, n * w FROM made, share
+  WHERE (SELECT count(*) FROM found WHERE label = 0) > 0) GROUP BY ALL),
 chars AS (SELECT DISTINCT c FROM (SELECT a AS c FROM n UNION ALL SELECT b FROM n)),
 size AS (SELECT count(*) AS size FROM chars),
 labels AS (SELECT label, sum(n) AS total FROM n GROUP BY label),
@@ -64,11 +70,11 @@ ratio AS (SELECT x.a, x.b, ln(x.p / y.p) AS ratio FROM p x JOIN p y ON x.a = y.a
 {_located('token', 'hex2_rest', TOKEN_CLASS + '{%d,}' % min_token)},
 steps AS (SELECT doc_id, k, found, stop, unnest(range(1, length(found))) AS i FROM token),
 scored AS (
-  SELECT s.doc_id, s.stop - length(s.found) AS start, s.stop, sum(coalesce(r.ratio, 0)) AS odds FROM steps s
+  SELECT s.doc_id, s.found, s.stop - length(s.found) AS start, s.stop, sum(coalesce(r.ratio, 0)) AS odds FROM steps s
   LEFT JOIN ratio r ON r.a = substr(s.found, s.i, 1) AND r.b = substr(s.found, s.i + 1, 1) GROUP BY s.doc_id, s.k, s.found, s.stop),
 spans AS (
   SELECT doc_id, nth, kind, start, stop FROM base
-  UNION ALL SELECT doc_id, 3, '{ADDED}', start, stop FROM scored WHERE odds + ln({prior} / (1 - {prior})) > 0 AND (SELECT count(*) FROM labels) = 2),
+  UNION ALL SELECT doc_id, 3, '{ADDED}', start, stop FROM scored WHERE NOT regexp_matches(found, '{UUID}') AND odds + ln({prior} / (1 - {prior})) > 0 AND (SELECT count(*) FROM labels) = 2),
 shown AS (SELECT *, kind || ':' || start || ':' || stop AS s FROM spans)
 SELECT d.doc_id, count(*) FILTER (WHERE nth = 0) AS n_assign, count(*) FILTER (WHERE nth = 1) AS n_access, count(*) FILTER (WHERE nth = 2) AS n_hex,
   sha256(coalesce(string_agg(s, ',' ORDER BY start, nth) FILTER (WHERE nth < 3), '')) AS base_sha256,

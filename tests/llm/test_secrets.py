@@ -51,6 +51,20 @@ def test_markov_models_find_random_tokens_only(make):
     assert sum(len(found[i].random) for i in range(300)) == 0
 
 
+def test_clean_tokens_with_digits_are_no_spans(make):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice(["tion", "ment", "con", "pre", "able", "ing", "er", "an"]) for _ in range(6))
+    mixed = lambda n: "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(n))
+    clean = ["8f14e45f-ceea-467f-a8f6-8d3c1f2b9a77", "invoice_2023_11_customer", "build-2024-01-15-nightly", "release_notes_2024",
+             "internationalization_guide", "chapter12_section34_notes", "user_id_100234"]
+    rows = [(i, f"{word()} {word()} secret = {mixed(28)} and {word()} {clean[i % len(clean)] if i < len(clean) else word()}") for i in range(300)]
+    secrets = [mixed(n) for n in (14, 20, 24, 32) for _ in range(5)]
+    rows += [(1000 + i, f"{word()} uses {x} here") for i, x in enumerate(secrets)]
+    got = {r.doc_id: r for r in secret_scan.scan(make(rows)).collect()}
+    assert not any(got[i].random for i in range(300))
+    assert sum(len(got[1000 + i].random) for i in range(len(secrets))) >= 18
+
+
 def test_sql_twin_gives_the_same_spans(make, tmp_path):
     import duckdb
 
@@ -59,7 +73,8 @@ def test_sql_twin_gives_the_same_spans(make, tmp_path):
     word = lambda: "".join(rnd.choice(["tion", "ment", "con", "pre", "able", "ing", "er", "an"]) for _ in range(6))
     mixed = lambda n: "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(n))
     texts = pieces(2, 80) + [f"{word()} {word()} token = {mixed(24)} and {word()}_{word()}" for _ in range(60)]
-    texts += [f"{word()} uses {mixed(rnd.randint(16, 32))} or {word()}{mixed(9)} here" for _ in range(40)] + [None, ""]
+    texts += [f"{word()} uses {mixed(rnd.randint(12, 32))} or {word()}{mixed(9)} here" for _ in range(40)] + [None, ""]
+    texts += ["8f14e45f-ceea-467f-a8f6-8d3c1f2b9a77 build-2024-01-15-nightly name_77_twice", "name_77_twice again", "name_77_twice"]
     path = str(tmp_path / "documents")
     df = make(list(enumerate(texts)))
     df.write.parquet(path)
