@@ -62,6 +62,101 @@ def trend_season_forecast(df: DataFrame, key: str, ts: str, y: str, periods: int
     return out.select(key, F.col(ts).alias("ds"), "is_future", yhat.alias("yhat"))
 
 
+class Additive:
+    """Terms of an additive forecast: line, hinges at changepoints, Fourier terms of a day and a week.
+
+    ``t`` runs from 0 at a key's first sample to 1 at its last; changepoints lie
+    evenly in the first ``covered`` of it.  ``priors`` are the scales to which
+    terms are shrunk (none for the line), in units of the largest absolute value.
+    """
+
+    def __init__(self, changepoints: int = 5, daily: int = 3, weekly: int = 3, covered: float = 0.8,
+                 hinge_prior: float = 0.05, season_prior: float = 10.0):
+        self.hinges = [covered * j / changepoints for j in range(1, changepoints + 1)]
+        self.waves = [(1.0, k) for k in range(1, daily + 1)] + [(7.0, k) for k in range(1, weekly + 1)]
+        self.priors = [None, None] + [hinge_prior] * changepoints + [season_prior] * (2 * len(self.waves))
+
+    def columns(self, t: F.Column, days: F.Column) -> list[F.Column]:
+        """The terms as columns; ``days`` counts from 1970."""
+        out = [F.lit(1.0), t] + [F.greatest(t - F.lit(h), F.lit(0.0)) for h in self.hinges]
+        for period, k in self.waves:
+            angle = F.lit(2 * np.pi * k / period) * days
+            out += [F.sin(angle), F.cos(angle)]
+        return out
+
+
+def additive_sums(df: DataFrame, key: str, terms: list[F.Column], y: F.Column) -> DataFrame:
+    """``key, sums``: the flattened matrix of products of terms and value, summed by key.
+
+    Rows of an Arrow batch are multiplied out and added up by key without a
+    loop over keys, then summed over batches and tasks with partial sums, so a
+    key with most rows costs a row per batch.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    q = len(terms) + 1
+    rows = df.select(F.col(key).alias("_kkey"), *[c.alias(f"x{i}") for i, c in enumerate([*terms, y])])
+    kind = rows.schema["_kkey"].dataType.simpleString()
+
+    def partial(it):
+        for pdf in it:
+            if not len(pdf):
+                continue
+            code, names = pd.factorize(pdf["_kkey"])
+            order = np.argsort(code, kind="stable")
+            x = pdf.iloc[order, 1:].to_numpy(dtype=float)
+            begin = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+            sums = np.add.reduceat((x[:, :, None] * x[:, None, :]).reshape(len(x), q * q), begin, axis=0)
+            yield pd.DataFrame({"_kkey": names, "sums": list(sums)})
+
+    return rows.mapInPandas(partial, f"_kkey {kind}, sums array<double>").groupBy(F.col("_kkey").alias(key)).agg(
+        vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+
+
+def additive_forecast(df: DataFrame, key: str, ts: str, y: str, periods: int = 30, step_seconds: int = 3600,
+                      model: Additive | None = None, min_points: int = 2) -> DataFrame:
+    """Trend with changepoints plus daily and weekly seasons per key (R9, an additive regression).
+
+    Each key's terms are fitted by one shrunken least squares solve from its
+    sums (all keys of a batch solved together); the trend goes on beyond the
+    last changepoint.  The penalty of a term is the variance of the scaled
+    series over the square of its prior.  Output: history and ``periods`` future
+    steps with ``yhat``, ``trend`` and ``season``; keys with fewer than
+    ``min_points`` samples or a single time are skipped.
+    """
+    model = model or Additive()
+    base = df.select(key, ts, F.col(y).cast("double").alias("_ky")).where(F.col("_ky").isNotNull() & ~F.isnan("_ky") & F.col(ts).isNotNull())
+    at = epoch_micros(ts)
+    ranges = base.groupBy(key).agg(F.min(at).alias("_ka"), F.max(at).alias("_kb"), F.max(F.abs("_ky")).alias("_kmax"), F.count(F.lit(1)).alias("_kn"))
+    ranges = ranges.where((F.col("_kn") >= min_points) & (F.col("_kb") > F.col("_ka"))).withColumn(
+        "_kmax", F.when(F.col("_kmax") > 0, F.col("_kmax")).otherwise(F.lit(1.0)))
+    t, days = (at - F.col("_ka")) / (F.col("_kb") - F.col("_ka")), at / F.lit(86400e6)
+    terms = model.columns(t, days)
+    p, priors = len(terms), model.priors
+    sums = additive_sums(base.join(ranges, key), key, terms, F.col("_ky") / F.col("_kmax"))
+    kind = sums.schema[key].dataType.simpleString()
+
+    def solve(it):
+        for pdf in it:
+            if not len(pdf):
+                continue
+            m = np.stack(pdf["sums"].to_list()).reshape(-1, p + 1, p + 1)
+            n, mean = m[:, 0, 0], m[:, 0, p] / m[:, 0, 0]
+            variance = np.maximum(m[:, p, p] / n - mean * mean, 0)
+            ridge = np.array([0.0 if s is None else 1 / s ** 2 for s in priors])
+            a = m[:, :p, :p] + np.einsum("k,j,ij->kij", variance + 1e-9, ridge, np.eye(p))
+            beta = np.linalg.solve(a, m[:, :p, p:])[:, :, 0]
+            yield pd.DataFrame({key: pdf[key], "beta": list(beta)})
+
+    fitted = sums.mapInPandas(solve, f"{key} {kind}, beta array<double>")
+    frame = future_frame(base.join(ranges.select(key), key).select(key, ts), key, ts, periods, step_seconds).join(ranges, key).join(fitted, key)
+    parts = [F.get("beta", F.lit(i)) * c for i, c in enumerate(terms)]
+    split = 2 + len(model.hinges)
+    out = frame.select(key, F.col(ts).alias("ds"), "is_future", (sum(parts[1:split], parts[0]) * F.col("_kmax")).alias("trend"),
+                       (sum(parts[split + 1:], parts[split]) * F.col("_kmax")).alias("season"))
+    return out.withColumn("yhat", F.col("trend") + F.col("season"))
+
+
 def _levinson(g: np.ndarray, order: int) -> np.ndarray:
     """AR coefficients from autocovariances g[0..order] (Levinson-Durbin)."""
     a = np.zeros(order)

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from kestrel.functions import scalar as S
@@ -86,6 +88,47 @@ def r09_trend_season_forecast(spark, d):
     return out.select("controllerName", "ds", "is_future", S.rnd("yhat", 6).alias("yhat"))
 
 
+def _additive_sql(key, ts, y, periods, step, table_="metrics"):
+    """The additive forecast: sums of products by key, penalties added, the terms swept out one by one."""
+    model = FC.Additive()
+    t, days = "((us - a) / CAST(b - a AS DOUBLE))", "(us / 86400e6)"
+    terms = ["1.0", t] + [f"greatest({t} - {h!r}, 0)" for h in model.hinges]
+    for period, k in model.waves:
+        angle = f"({2 * math.pi * k / period!r} * {days})"
+        terms += [f"sin({angle})", f"cos({angle})"]
+    p = len(terms)
+    size, split = p + 1, 2 + len(model.hinges)
+    as_terms = ", ".join(f"CAST({x} AS DOUBLE) AS x{i}" for i, x in enumerate(terms, 1))
+    sums = ", ".join("[" + ", ".join(f"sum(x{i} * x{j})" for j in range(1, size + 1)) + "]" for i in range(1, size + 1))
+    ridge = "[" + ", ".join("0.0" if s is None else repr(1 / s ** 2) for s in model.priors) + "]"
+    value = " + ".join(f"beta[{i}] * x{i}" for i in range(1, split + 1)), " + ".join(f"beta[{i}] * x{i}" for i in range(split + 1, p + 1))
+    return f"""WITH RECURSIVE base AS (SELECT {key} AS k, {ts} AS ts, epoch_us({ts}) AS us, {y} AS y FROM {table_} WHERE {y} IS NOT NULL AND {ts} IS NOT NULL),
+ranges AS (SELECT k, min(us) AS a, max(us) AS b, CASE WHEN max(abs(y)) > 0 THEN max(abs(y)) ELSE 1 END AS top FROM base GROUP BY k
+           HAVING count(*) >= 2 AND max(us) > min(us)),
+xs AS (SELECT k, {as_terms}, y / top AS x{size} FROM base JOIN ranges USING (k)),
+sums AS (SELECT k, [{sums}] AS m FROM xs GROUP BY k),
+ridged AS (SELECT k, list_transform(m, lambda r, i: list_transform(r, lambda v, j: v + CASE WHEN i = j AND i <= {p}
+  THEN {ridge}[i] * (greatest(m[{size}][{size}] / m[1][1] - (m[1][{size}] / m[1][1]) ** 2, 0) + 1e-9) ELSE 0 END)) AS m FROM sums),
+sweep(k, n, a) AS (
+  SELECT k, 1, m FROM ridged UNION ALL
+  SELECT k, n + 1, list_transform(range(1, {size + 1}), lambda i: list_transform(range(1, {size + 1}), lambda j:
+    CASE WHEN i = n AND j = n THEN -1 / a[n][n] WHEN i = n OR j = n THEN a[i][j] / a[n][n] ELSE a[i][j] - a[i][n] * a[n][j] / a[n][n] END))
+  FROM sweep WHERE n <= {p}),
+fitted AS (SELECT k, list_transform(range(1, {size}), lambda i: a[i][{size}]) AS beta FROM sweep WHERE n = {size}),
+lst AS (SELECT k, max(ts) AS lt FROM base JOIN ranges USING (k) GROUP BY k),
+frame AS (SELECT k, ts, false AS is_future FROM base UNION ALL SELECT k, lt + to_seconds(h * {step}), true FROM lst, range(1, {periods + 1}) r(h)),
+placed AS (SELECT frame.k, ts, is_future, top, {as_terms} FROM (SELECT *, epoch_us(ts) AS us FROM frame) frame JOIN ranges ON ranges.k = frame.k)
+SELECT placed.k AS {key}, ts AS ds, is_future, RND(({value[0]}) * top, 4) AS trend, RND(({value[1]}) * top, 4) AS season,
+       RND(({value[0]}) * top + ({value[1]}) * top, 4) AS yhat FROM placed JOIN fitted ON fitted.k = placed.k"""
+
+
+@query("r09b_additive_forecast", _additive_sql("controllerName", "collectionTimestamp", "cpuUsage", 30, 3600), views=M)
+def r09b_additive_forecast(spark, d):
+    """Trend with changepoints, daily and weekly seasons per controller, history + 30 hourly steps."""
+    out = FC.additive_forecast(view(spark, d, "metrics"), "controllerName", "collectionTimestamp", "cpuUsage", periods=30)
+    return out.select("controllerName", "ds", "is_future", *[S.rnd(c, 4).alias(c) for c in ("trend", "season", "yhat")])
+
+
 @query("r10_future_frame", """WITH lst AS (SELECT controllerName, max(collectionTimestamp) AS lt FROM metrics GROUP BY 1)
 SELECT controllerName, collectionTimestamp, false AS is_future FROM metrics UNION ALL
 SELECT controllerName, lt + to_seconds(h * 86400), true FROM lst, range(1, 8) r(h)""", views=M)

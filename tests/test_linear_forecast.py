@@ -100,3 +100,45 @@ def test_exhaustive_scores_do_not_depend_on_the_number_of_tasks(spark, monkeypat
     big = LN.exhaustive_scores(spark, g, 1, 3).toPandas().set_index("subset")["r2"]
     assert len(small) == len(big) == 14
     assert all(math.isclose(small[k], big[k], rel_tol=1e-12) for k in small.index)
+
+
+def test_additive_forecast_equals_a_plain_solve(spark):
+    """Every key alone: terms in numpy, shrunken normal equations, and recovery of a bend and of both seasons."""
+    import datetime as dt
+
+    rng = np.random.default_rng(4)
+    begin, rows, model = dt.datetime(2024, 1, 1), [], FC.Additive(hinge_prior=5.0)
+    for key in ("a", "b"):
+        for h in range(24 * 35):
+            days = h / 24
+            y = 10 + 0.2 * days + (days > 14) * -0.5 * (days - 14) + 2 * np.sin(2 * np.pi * days) + (key == "b") * 3 * np.cos(2 * np.pi * days / 7)
+            rows.append((key, begin + dt.timedelta(hours=h), float(y + 0.05 * rng.normal()) if h % 50 else None))
+    rows += [("one", begin, 1.0), ("zero", begin, 0.0), ("zero", begin + dt.timedelta(days=1), 0.0)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, y double").repartition(5)
+    got = {(r.k, r.ds): r for r in FC.additive_forecast(df, "k", "ts", "y", periods=48, model=model).collect()}
+    assert {k for k, _ in got} == {"a", "b", "zero"} and all(abs(r.yhat) < 1e-9 for (k, _), r in got.items() if k == "zero")
+    for key in ("a", "b"):
+        mine = [(t, y) for k, t, y in rows if k == key and y is not None]
+        us = np.array([(t - dt.datetime(1970, 1, 1)).total_seconds() * 1e6 for t, _ in mine])
+        y = np.array([v for _, v in mine])
+        top = np.abs(y).max()
+
+        def terms(at):
+            t, days = (at - us.min()) / (us.max() - us.min()), at / 86400e6
+            x = [np.ones(len(at)), t] + [np.maximum(t - h, 0) for h in model.hinges]
+            for period, k in model.waves:
+                x += [np.sin(2 * np.pi * k * days / period), np.cos(2 * np.pi * k * days / period)]
+            return np.stack(x, axis=1)
+        x = terms(us)
+        ridge = np.array([0 if s is None else 1 / s ** 2 for s in model.priors]) * ((y / top).var() + 1e-9)
+        beta = np.linalg.solve(x.T @ x + np.diag(ridge), x.T @ (y / top))
+        ahead = [k for k in got if k[0] == key]
+        at = np.array([(t - dt.datetime(1970, 1, 1)).total_seconds() * 1e6 for _, t in ahead])
+        want = terms(at) @ beta * top
+        assert np.allclose([got[k].yhat for k in ahead], want, atol=1e-6)
+        future = sorted(t for k, t in ahead if got[k, t].is_future)
+        assert len(future) == 48
+        for t in future:
+            days = (t - begin).total_seconds() / 86400
+            true = 10 + 0.2 * days - 0.5 * (days - 14) + 2 * np.sin(2 * np.pi * days) + (key == "b") * 3 * np.cos(2 * np.pi * days / 7)
+            assert abs(got[key, t].yhat - true) < 1.0
