@@ -240,6 +240,127 @@ def arima111_forecast(df: DataFrame, key: str, ts: str, tie: str, y: str, steps:
     return fc.select(key, "step", "tsT", "yT", "phi", "theta", (F.col("yT") + w1 * growth).alias("forecast"))
 
 
+# --- ARIMA(1,1,1) by conditional sum of squares -----------------------------------------------
+
+CSS_BLOCK = 256                      # rows of a block, and blocks of a block of blocks
+CSS_LIMIT, CSS_COARSE, CSS_FINE, CSS_ZOOMS = 0.95, 15, 9, 4
+CSS_CLIP = 0.99
+
+
+def css_step(zoom: int) -> float:
+    """Distance of neighbouring candidates: the coarse grid's, then a quarter each time."""
+    return 2 * CSS_LIMIT / (CSS_COARSE - 1) / 4 ** zoom
+
+
+def css_candidates(phi: np.ndarray, theta: np.ndarray, zoom: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(series, candidates)`` of both coefficients: a grid over the square, or around the best so far."""
+    n = CSS_FINE if zoom else CSS_COARSE
+    off = css_step(zoom) * (np.arange(n) - n // 2) if zoom else -CSS_LIMIT + css_step(0) * np.arange(n)
+    grid = [np.clip((x[:, None] if zoom else np.zeros((len(x), 1))) + off, -CSS_CLIP, CSS_CLIP) for x in (phi, theta)]
+    return np.repeat(grid[0], n, axis=1), np.tile(grid[1], (1, n))
+
+
+def css_blocks(w: np.ndarray, w1: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """What a block does to the residual before it, for every candidate: ``(5, blocks, candidates)``.
+
+    The residual ``e_t = w_t - phi w_{t-1} - theta e_{t-1}`` is an affine function
+    ``a e + b`` of the residual e before the block, and the block's sum of
+    squares a polynomial ``s0 + s1 e + s2 e^2``; the five are a, b, s0, s1, s2.
+    Rows (columns of ``w``) are gone through once for all blocks; NaN pads short blocks.
+    """
+    a, b = np.ones(phi.shape), np.zeros(phi.shape)
+    s0, s1, s2 = (np.zeros(phi.shape) for _ in range(3))
+    for t in range(w.shape[1]):
+        on = ~np.isnan(w[:, t])
+        if not on.any():
+            break
+        b[on] = (w[on, t, None] - phi[on] * w1[on, t, None]) - theta[on] * b[on]
+        a[on] = -theta[on] * a[on]
+        s0[on] += b[on] * b[on]
+        s1[on] += 2 * a[on] * b[on]
+        s2[on] += a[on] * a[on]
+    return np.stack([a, b, s0, s1, s2])
+
+
+def css_compose(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Block ``x`` followed by block ``y`` as one block."""
+    (a1, b1, p0, p1, p2), (a2, b2, q0, q1, q2) = x, y
+    return np.stack([a2 * a1, a2 * b1 + b2, p0 + q0 + q1 * b1 + q2 * b1 * b1, p1 + q1 * a1 + 2 * q2 * a1 * b1, p2 + q2 * a1 * a1])
+
+
+def arima111_css(df: DataFrame, key: str, ts: str, tie: str, y: str, steps: int = 5, min_points: int = 4,
+                 block_rows: int = CSS_BLOCK) -> DataFrame:
+    """ARIMA(1,1,1) per key by the conditional sum of squares (R8): ``key, step, phi, theta, sse, forecast``.
+
+    A grid of (phi, theta) over the square, then grids around the best that
+    are a quarter as wide each time, all keys at once.  Series are cut into blocks of
+    ``block_rows`` rows; a block's effect is an affine map, so blocks are
+    worked out independently and composed afterwards, blocks of blocks at a
+    time, and a key with very many rows is spread over tasks.  Each grid costs
+    one pass over the blocks and one composing job for each level of blocks.
+    The residual before the first usable row is 0.  Null values are left out;
+    keys with fewer than ``min_points`` values are skipped.
+    """
+    from kestrel.operators.ordering import with_global_index
+    from kestrel.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    base = df.select(F.col(key).alias("k"), F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(y).cast("double").alias("y")).where(F.col("y").isNotNull())
+    base = base.join(base.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select("k"), "k")
+    lagged = lags(base, "k", ["ts", "tie"], ["y"], 2).drop(IDX)
+    w, w1 = F.col("y") - F.col("y_lag1"), F.col("y_lag1") - F.col("y_lag2")
+    rows = with_global_index(lagged.select("k", "ts", "tie", "y", w.alias("w"), w1.alias("w1")).where(F.col("w1").isNotNull()), ["k", "ts", "tie"])
+    starts = rows.groupBy("k").agg(F.min(IDX).alias("start"), F.max_by(F.struct(F.col("y"), F.col("w")), F.col(IDX)).alias("last"))
+    kind = rows.schema["k"].dataType.simpleString()
+    blocks = (rows.join(starts.select("k", "start"), "k").withColumn("block", F.floor((F.col(IDX) - F.col("start")) / F.lit(block_rows)).cast("long"))
+              .groupBy("k", "block").agg(F.array_sort(F.collect_list(F.struct(F.col(IDX).alias("at"), "w", "w1"))).alias("r"))       # block_rows entries
+              .select("k", "block", F.col("r.w").alias("w"), F.col("r.w1").alias("w1")).checkpoint(eager=True))
+    most = blocks.agg(F.max("block")).first()[0]
+    best = starts.select("k", F.lit(0.0).alias("phi"), F.lit(0.0).alias("theta"), F.lit(0.0).alias("sse"), F.lit(0.0).alias("e"))
+
+    def padded(values) -> np.ndarray:
+        size = max(len(v) for v in values)
+        return np.stack([np.r_[np.asarray(v, float), np.full(size - len(v), np.nan)] for v in values])
+
+    for zoom in range(CSS_ZOOMS + 1):
+        def effects(it, zoom=zoom):
+            for pdf in it:
+                if len(pdf):
+                    phi, theta = css_candidates(pdf["phi"].to_numpy(), pdf["theta"].to_numpy(), zoom)
+                    out = css_blocks(padded(pdf["w"]), padded(pdf["w1"]), phi, theta)
+                    yield pd.DataFrame({"k": pdf["k"], "block": pdf["block"], "phi": pdf["phi"], "theta": pdf["theta"],
+                                        "f": list(out.transpose(1, 0, 2).reshape(len(pdf), -1))})
+
+        def compose(pdf):
+            pdf = pdf.sort_values("block")
+            maps = np.stack(pdf["f"].to_list()).reshape(len(pdf), 5, -1)
+            out = maps[0]
+            for x in maps[1:]:                                             # block_rows of them at most
+                out = css_compose(out, x)
+            return pd.DataFrame({"k": pdf["k"].iloc[:1], "block": pdf["block"].iloc[:1] // block_rows, "phi": pdf["phi"].iloc[:1],
+                                 "theta": pdf["theta"].iloc[:1], "f": [out.ravel()]})
+
+        def choose(it, zoom=zoom):
+            for pdf in it:
+                if len(pdf):
+                    phi, theta = css_candidates(pdf["phi"].to_numpy(), pdf["theta"].to_numpy(), zoom)
+                    f = np.stack(pdf["f"].to_list()).reshape(len(pdf), 5, -1)
+                    at, i = f[:, 2].argmin(axis=1), np.arange(len(pdf))
+                    yield pd.DataFrame({"k": pdf["k"], "phi": phi[i, at], "theta": theta[i, at], "sse": f[i, 2, at], "e": f[i, 1, at]})
+
+        schema = f"k {kind}, block long, phi double, theta double, f array<double>"
+        done = blocks.join(best.select("k", "phi", "theta"), "k").mapInPandas(effects, schema)
+        left = most or 0
+        while left:                                                         # blocks, blocks of blocks, ...
+            done = done.groupBy("k", F.floor(F.col("block") / F.lit(block_rows))).applyInPandas(compose, schema)
+            left //= block_rows
+        best = done.mapInPandas(choose, f"k {kind}, phi double, theta double, sse double, e double").checkpoint(eager=True)
+
+    out = best.join(starts.select("k", "last"), "k").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    first = F.col("phi") * F.col("last.w") + F.col("theta") * F.col("e")
+    growth = (1 - F.pow("phi", F.col("step"))) / (1 - F.col("phi"))
+    return out.select(F.col("k").alias(key), "step", "phi", "theta", "sse", (F.col("last.y") + first * growth).alias("forecast"))
+
+
 def last_step_micros(df: DataFrame, key: str, ts: str, tie: str, default_micros: int = 86_400_000_000) -> DataFrame:
     """(key, step_us): gap between the last two samples per key, one day when
     a key has a single sample (W6).  Two plain aggregates, no window."""

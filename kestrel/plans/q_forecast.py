@@ -66,6 +66,42 @@ def r08_arima_forecast(spark, d):
                       S.rnd("theta", 6).alias("theta"))
 
 
+def _css_sql(key, ts, tie, y, steps, table_="metrics"):
+    """The same grids: the residual recursion goes through all series and candidates row by row."""
+    ctes = [f"""base AS (SELECT {key} AS k, {y} AS y, row_number() OVER w AS nth, count(*) OVER (PARTITION BY {key}) AS n,
+  {y} - lag({y}) OVER w AS w, lag({y}) OVER w - lag({y}, 2) OVER w AS w1
+  FROM {table_} WHERE {y} IS NOT NULL WINDOW w AS (PARTITION BY {key} ORDER BY {ts}, {tie}))""",
+            "rows AS (SELECT k, nth - 2 AS t, y, w, w1 FROM base WHERE n >= 4 AND nth > 2)",
+            "sizes AS (SELECT k, max(t) AS n FROM rows GROUP BY k)",
+            "best_0 AS (SELECT k, 0.0 AS phi, 0.0 AS theta FROM sizes)"]
+    for z in range(FC.CSS_ZOOMS + 1):
+        n = FC.CSS_FINE if z else FC.CSS_COARSE
+        step = repr(FC.css_step(z))
+
+        def at(c, i):
+            value = f"CAST({c} AS DOUBLE) + {step} * ({i} - {n // 2})" if z else f"-{FC.CSS_LIMIT} + {step} * {i}"
+            return f"greatest(least(CAST({value} AS DOUBLE), {FC.CSS_CLIP}), -{FC.CSS_CLIP})"
+        ctes += [f"cand_{z} AS (SELECT k, i * {n} + j AS g, {at('phi', 'i')} AS phi, {at('theta', 'j')} AS theta FROM best_{z}, range({n}) a(i), range({n}) b(j))",
+                 f"""walk_{z}(k, g, phi, theta, t, e, sse) AS (
+  SELECT k, g, phi, theta, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM cand_{z}
+  UNION ALL SELECT k, g, phi, theta, t, e, sse + e * e FROM (
+    SELECT x.k, x.g, x.phi, x.theta, r.t, x.sse, (r.w - x.phi * r.w1) - x.theta * x.e AS e FROM walk_{z} x JOIN rows r ON r.k = x.k AND r.t = x.t + 1))""",
+                 f"best_{z + 1} AS (SELECT w.k, phi, theta, sse, e FROM walk_{z} w JOIN sizes ON sizes.k = w.k AND sizes.n = w.t "
+                 "QUALIFY row_number() OVER (PARTITION BY w.k ORDER BY sse, g) = 1)"]
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f"""
+SELECT b.k AS {key}, CAST(h AS INTEGER) AS step, RND(phi, 6) AS phi, RND(theta, 6) AS theta, RND(sse, 4) AS sse,
+  RND(r.y + (phi * r.w + theta * e) * (1 - phi ** h) / (1 - phi), 6) AS forecast
+FROM best_{FC.CSS_ZOOMS + 1} b JOIN sizes ON sizes.k = b.k JOIN rows r ON r.k = b.k AND r.t = sizes.n, range(1, {steps + 1}) s(h)"""
+
+
+@query("r08b_arima_css", _css_sql("deployment", "collectionTimestamp", "key", "cpuUsage", 5), views=M)
+def r08b_arima_css(spark, d):
+    """ARIMA(1,1,1) of cpu usage per deployment by the conditional sum of squares, five steps ahead."""
+    out = FC.arima111_css(view(spark, d, "metrics"), "deployment", "collectionTimestamp", "key", "cpuUsage", steps=5)
+    return out.select("deployment", "step", S.rnd("phi", 6).alias("phi"), S.rnd("theta", 6).alias("theta"), S.rnd("sse", 4).alias("sse"),
+                      S.rnd("forecast", 6).alias("forecast"))
+
+
 R9_SQL = """WITH base AS (SELECT controllerName AS k, collectionTimestamp AS ts, cpuUsage AS y FROM metrics WHERE cpuUsage IS NOT NULL),
 o AS (SELECT k, min(epoch_us(ts)) AS orig, count(*) AS n FROM base GROUP BY k HAVING count(*) >= 2),
 b AS (SELECT base.*, orig, (epoch_us(ts) - orig) / 86400e6 AS t FROM base JOIN o USING (k)),

@@ -142,3 +142,47 @@ def test_additive_forecast_equals_a_plain_solve(spark):
             days = (t - begin).total_seconds() / 86400
             true = 10 + 0.2 * days - 0.5 * (days - 14) + 2 * np.sin(2 * np.pi * days) + (key == "b") * 3 * np.cos(2 * np.pi * days / 7)
             assert abs(got[key, t].yhat - true) < 1.0
+
+
+def plain_css(y, phi, theta):
+    """``(sum of squares, last residual)`` by the recursion over the differences."""
+    w = np.diff(y)
+    e = total = 0.0
+    for t in range(1, len(w)):
+        e = w[t] - phi * w[t - 1] - theta * e
+        total += e * e
+    return total, e
+
+
+def test_css_equals_the_plain_recursion_in_any_blocks(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for key, (phi, theta, n) in {"a": (0.6, 0.3, 300), "b": (-0.5, -0.2, 90), "c": (0.2, -0.7, 41), "d": (0, 0, 4)}.items():
+        w = e0 = 0.0
+        y = 5.0
+        for t in range(n):
+            e = rng.normal()
+            w, e0 = phi * w + e + theta * e0, e
+            y += w
+            rows.append((key, t, t, float(y)))
+    rows += [("few", t, t, 1.0) for t in range(3)] + [("a", 1000, 1000, None)]
+    df = spark.createDataFrame(rows, "k string, ts int, tie int, y double").repartition(4)
+    whole = {(r.k, r.step): r for r in FC.arima111_css(df, "k", "ts", "tie", "y").collect()}
+    cut = {(r.k, r.step): r for r in FC.arima111_css(df, "k", "ts", "tie", "y", block_rows=6).collect()}          # three levels of blocks
+    assert {k for k, _ in whole} == {"a", "b", "c", "d"} and set(whole) == set(cut)
+    start = {(r.k, r.step): r for r in FC.arima111_forecast(df, "k", "ts", "tie", "y").collect()}
+    for (key, step), r in whole.items():
+        assert math.isclose(r.phi, cut[key, step].phi, abs_tol=1e-12) and math.isclose(r.forecast, cut[key, step].forecast, abs_tol=1e-9)
+        y = np.array([v for k, _, _, v in rows if k == key and v is not None])
+        sse, e = plain_css(y, r.phi, r.theta)
+        assert math.isclose(r.sse, sse, rel_tol=1e-9)
+        value, w = y[-1], y[-1] - y[-2]
+        for h in range(step):
+            w = r.phi * w + (r.theta * e if h == 0 else 0.0)
+            value += w
+        assert math.isclose(r.forecast, value, abs_tol=1e-9)
+        if key != "d":
+            assert sse <= plain_css(y, start[key, 1].phi, start[key, 1].theta)[0] * (1 + 1e-6)
+            near = [plain_css(y, r.phi + a, r.theta + b)[0] for a in (-0.002, 0, 0.002) for b in (-0.002, 0, 0.002)
+                    if max(abs(r.phi + a), abs(r.theta + b)) < 0.99]
+            assert sse <= min(near) * (1 + 1e-5)
