@@ -157,25 +157,31 @@ def additive_forecast(df: DataFrame, key: str, ts: str, y: str, periods: int = 3
     return out.withColumn("yhat", F.col("trend") + F.col("season"))
 
 
-def _levinson(g: np.ndarray, order: int) -> np.ndarray:
-    """AR coefficients from autocovariances g[0..order] (Levinson-Durbin)."""
-    a = np.zeros(order)
-    if g[0] <= 0:
-        return a
-    e = g[0]
+def _levinson_rows(g: np.ndarray, order: int) -> np.ndarray:
+    """AR coefficients from autocovariances ``g[:, 0..order]`` of many series at once (Levinson-Durbin).
+
+    A series without variance gets zeros; one that is exactly predictable keeps
+    the coefficients found so far.
+    """
+    a = np.zeros((len(g), order))
+    e = g[:, 0].copy()
+    on = e > 0
     for k in range(order):
-        acc = g[k + 1] - np.dot(a[:k], g[k:0:-1]) if k else g[1]
-        ref = acc / e
-        prev = a[:k].copy()
-        a[k] = ref
-        if k:
-            a[:k] = prev - ref * prev[::-1]
-        e *= (1 - ref * ref)
-        if e <= 0:
-            break
+        acc = g[:, k + 1] - (a[:, :k] * g[:, k:0:-1]).sum(axis=1)
+        ref = np.where(on, acc / np.where(on, e, 1.0), 0.0)
+        prev = a[:, :k].copy()
+        a[:, :k] = prev - ref[:, None] * prev[:, ::-1]
+        a[:, k] = ref
+        e = e * (1 - ref * ref)
+        on &= e > 0
     return a
 
 
+def _levinson(g: np.ndarray, order: int) -> np.ndarray:
+    """The coefficients of one series."""
+    return _levinson_rows(np.asarray(g, float)[None], order)[0]
+
+
 def arima111_forecast(df: DataFrame, key: str, ts: str, tie: str, y: str, steps: int = 5,
                       ar_order: int = 5, min_points: int = 4) -> DataFrame:
     """ARIMA(1,1,1) per key by Hannan-Rissanen (R8, re-aimed statsmodels MLE).
@@ -183,8 +189,8 @@ def arima111_forecast(df: DataFrame, key: str, ts: str, tie: str, y: str, steps:
     1. w = y - lag(y) per key (differences); lags 1..order+1 of w in one
        skew-safe indexed pass.
     2. Per-key autocovariances of w (sums) -> long AR(order) by
-       Levinson-Durbin on the per-key table (one row per key, pandas in
-       ``mapInPandas``) -> residuals e.
+       Levinson-Durbin on the per-key table (all keys of a batch at once) ->
+       residuals e.
     3. Per-key 2x2 normal equations of w_t on (w_{t-1}, e_{t-1}) -> phi, theta
        (phi clipped to (-0.99, 0.99); singular or short keys get 0, 0).
     4. Forecast y_{T+h} = y_T + w1 (1 - phi^h) / (1 - phi),
@@ -203,8 +209,7 @@ def arima111_forecast(df: DataFrame, key: str, ts: str, tie: str, y: str, steps:
 
     def ar(it):
         for pdf in it:
-            coefs = [_levinson(np.nan_to_num(r[[f"g{k}" for k in range(p + 1)]].to_numpy(dtype=float)), p)
-                     for _, r in pdf.iterrows()]
+            coefs = _levinson_rows(np.nan_to_num(pdf[[f"g{k}" for k in range(p + 1)]].to_numpy(dtype=float)), p)
             out = pd.DataFrame(coefs, columns=[f"a{k}" for k in range(1, p + 1)])
             out.insert(0, key, pdf[key].to_numpy())
             yield out
