@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import small_batches, written
+from kestrel.llm.common import discard, small_batches, written
 
 N_BYTES = 129                    # ASCII by value, all others together
 N_FEATURES = N_BYTES + 14
@@ -148,20 +148,29 @@ class Fit:
         return np.clip((x - self.mean) * self.scale, -8, 8) @ w
 
     def step(self, prior: float) -> bool:
-        """One Newton step; false if none of the step lengths lowers the risk."""
+        """One Newton step; false if none of the step lengths lowers the risk.
+
+        Where the second term of the risk is negative it counts as 0, so the step
+        follows the first term alone.
+        """
         d, w, mean, scale = self.d, self.w, self.mean, self.scale
 
         def curvature(x, part):
             z = np.clip((x - mean) * scale, -8, 8)
             u, p = z[part == 0], z[part == 1]
-            s = 1 / (1 + np.exp(-(u @ w)))
-            return np.concatenate([s @ u, p.sum(0), (u.T @ (u * (s * (1 - s))[:, None])).ravel()])
-        got = _total(self.table, curvature, 2 * d + d * d)
+            s, t = 1 / (1 + np.exp(-(u @ w))), 1 / (1 + np.exp(-(p @ w)))
+            return np.concatenate([s @ u, p.sum(0), (u.T @ (u * (s * (1 - s))[:, None])).ravel(), [_softplus(u @ w).sum(), _softplus(p @ w).sum()],
+                                   (t - 1) @ p, (p.T @ (p * (t * (1 - t))[:, None])).ravel()])
+        got = _total(self.table, curvature, 3 * d + 2 * d * d + 2)
         ridge = np.full(d, self.l2)
         ridge[-1] = 0.0
         # With logistic loss l(z) - l(-z) = -z, so the unclipped risk is E_unl[softplus(z)] - prior * E_pos[z].
         gradient = got[:d] / self.n_unl - prior * got[d:2 * d] / self.n_pos + ridge * w
-        hessian = got[2 * d:].reshape(d, d) / self.n_unl + np.diag(ridge + 1e-9)
+        hessian = got[2 * d:2 * d + d * d].reshape(d, d) / self.n_unl + np.diag(ridge + 1e-9)
+        rest = got[2 * d + d * d:]
+        if rest[0] / self.n_unl - prior * rest[1] / self.n_pos < 0:
+            gradient = prior * rest[2:2 + d] / self.n_pos + ridge * w
+            hessian = prior * rest[2 + d:].reshape(d, d) / self.n_pos + np.diag(ridge + 1e-9)
         move = -np.linalg.lstsq(hessian, gradient, rcond=None)[0]
         tries = [w + t * move for t in STEPS]
 
@@ -200,17 +209,18 @@ def fit(table: DataFrame, positives: DataFrame, steps: int = 8) -> Fit:
     """Fit on a feature table (``doc_id, x``); ``positives`` has the ids of trusted rows."""
     marked = positives.select(F.col("doc_id"), (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0).alias("held"))
     trusted = table.join(F.broadcast(marked), "doc_id").select("x", F.when(F.col("held"), 2).otherwise(1).alias("part"))
-    both = table.select("x", F.lit(0).alias("part")).union(trusted)
+    # Read in every step, so the positives are looked up once.
+    both = written(table.select("x", F.lit(0).alias("part")).union(trusted), "quality-rows")
     model = Fit(both)
-    if not model.n_pos or not model.n_unl:
-        return model
-    for _ in range(steps // 2):
-        if not model.step(0.5):
-            break
-    model.class_prior = model.prior()
-    for _ in range(steps):
-        if not model.step(model.class_prior):
-            break
+    if model.n_pos and model.n_unl:
+        for _ in range(steps // 2):
+            if not model.step(0.5):
+                break
+        model.class_prior = model.prior()
+        for _ in range(steps):
+            if not model.step(model.class_prior):
+                break
+    discard(both)
     return model
 
 

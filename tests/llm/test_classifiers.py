@@ -124,3 +124,36 @@ def test_quality_odd_rows(tables, odd, empty, make):
     assert quality.classify(empty, labels).count() == 0
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.text_features(None).sum() == 0 and np.isfinite(quality.text_features("x" * 10)).all()
+
+
+def plain_risk(model, x, part, prior, w):
+    """The non-negative unbiased risk with its ridge, row by row."""
+    z = np.clip((np.hstack([x, np.ones((len(x), 1))]) - model.mean) * model.scale, -8, 8) @ w
+    loss = lambda v: np.logaddexp(0, -v).mean()
+    ridge = np.full(len(w), model.l2)
+    ridge[-1] = 0
+    second = loss(-z[part == 0]) - prior * loss(-z[part == 1])
+    return prior * loss(z[part == 1]) + max(0.0, second) + (ridge * w * w).sum() / 2, second
+
+
+@pytest.mark.parametrize("prior, share", [(0.3, 0.5), (0.6, 0.6), (0.97, 0.2)])
+def test_newton_steps_minimise_the_non_negative_risk(spark, prior, share):
+    """Steps only lower the plain risk, and end where no direction lowers it; with a prior far too high the second term is clipped."""
+    rng = np.random.default_rng(4)
+    n, d = 600, quality.N_FEATURES
+    good = rng.random(n) < share
+    x = (rng.normal(size=(n, d)) + good[:, None] * (np.arange(d) < 3) * 1.5).astype(np.float32)
+    positives = (rng.normal(size=(80, d)) + (np.arange(d) < 3) * 1.5).astype(np.float32)
+    x, part = np.vstack([x, positives]), np.r_[np.zeros(n, int), np.ones(80, int)]
+    table = spark.createDataFrame([(v.tobytes(), int(k)) for v, k in zip(x, part)], "x binary, part int").repartition(3)
+    model = quality.Fit(table)
+    value, clipped = plain_risk(model, x, part, prior, model.w)[0], False
+    for _ in range(25):
+        if not model.step(prior):
+            break
+        risk, second = plain_risk(model, x, part, prior, model.w)
+        assert risk < value
+        value, clipped = risk, clipped or second < 0
+    assert clipped or prior < 0.9
+    around = [plain_risk(model, x, part, prior, model.w + 0.02 * v / np.linalg.norm(v))[0] for v in rng.normal(size=(200, d + 1))]
+    assert min(around) > value - 2e-3
