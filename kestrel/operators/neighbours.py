@@ -19,7 +19,9 @@ neighbourhood leaves their strip ask the strips that it reaches.
 
 Equal values are told apart by a jitter from a hash of the row's key, below
 ``2^-33`` of the largest absolute value of the column, so results repeat on any
-cluster.  Rows where either side is null or NaN are left out for that feature;
+cluster.  A double holds about ``2^19`` places inside that jitter; where a
+row's k-th neighbour of the class shares its place, both the neighbour and the
+rows closer are told by a second offset from the same hash.  Rows where either side is null or NaN are left out for that feature;
 so are classes of one row.  Fewer than two rows (a plane: ``k + 1``) give null.
 """
 
@@ -59,6 +61,12 @@ def jittered(df: DataFrame, cols, key: str, seed: int = 0) -> list[Column]:
     return out
 
 
+def second_offset(feature, key) -> Column:
+    """A place in [0, 1) from a hash of feature and key, for rows at the same jittered value."""
+    text = F.concat(F.col(key).cast("string"), F.lit(":"), F.col(feature), F.lit(":second"))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
 def _long(df: DataFrame, cols, rest: list[Column]) -> DataFrame:
     """``feature, x`` and ``rest`` for every column, without missing values."""
     named = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in cols]
@@ -70,31 +78,50 @@ def closer(points: DataFrame, asked: DataFrame) -> DataFrame:
 
     Rows and boundaries are sorted together once; the running number of rows at
     a boundary is its rank, whatever the distance between the two boundaries.
+    With a column ``u`` in ``points``, and ``lo_u`` and ``hi_u`` in ``asked``, rows at
+    the same ``x`` are in the order of ``u``; a boundary without one leaves out all rows
+    at its place.  If both boundaries are the same place, the rows at it count.
     """
+    second = "u" in points.columns
+    at = ["at", "u"] if second else ["at"]
+
+    def end(side: str, turn: int, sign: int) -> Column:
+        alone = F.col("lo") == F.col("hi")
+        if second:
+            alone = alone & F.col("lo_u").eqNullSafe(F.col("hi_u"))
+        place = [F.coalesce(f"{side}_u", F.lit(float(turn) - 1)).alias("u")] if second else []      # -1 and 1: no row is there
+        return F.struct(F.col(side).alias("at"), *place, F.when(alone, 2 - turn).otherwise(turn).alias("turn"), F.lit(sign).alias("sign"))
+
     # At equal places an upper boundary comes before the rows, a lower one after them.
-    rows = points.select("feature", F.col("x").alias("at"), F.lit(1).alias("turn"), "key")
-    ends = asked.select("feature", F.explode(F.array(F.struct(F.col("hi").alias("at"), F.lit(0).alias("turn")),
-                                                     F.struct(F.col("lo").alias("at"), F.lit(2).alias("turn")))).alias("e"), "key")
-    both = rows.union(ends.select("feature", "e.at", "e.turn", "key")).withColumn("one", F.when(F.col("turn") == 1, 1.0).otherwise(0.0))
-    ranked = O.running_sum(both, ["feature", "at", "turn", "key"], "one", "below").where("turn <> 1")
-    n = F.sum(F.when(F.col("turn") == 0, F.col("below")).otherwise(-F.col("below")))
-    return ranked.groupBy("feature", "key").agg(n.cast("long").alias("n"))
+    rows = points.select("feature", F.col("x").alias("at"), *at[1:], F.lit(1).alias("turn"), F.lit(0).alias("sign"), "key")
+    ends = asked.select("feature", F.explode(F.array(end("hi", 0, 1), end("lo", 2, -1))).alias("e"), "key")
+    both = rows.union(ends.select("feature", "e.*", "key")).withColumn("one", F.when(F.col("turn") == 1, 1.0).otherwise(0.0))
+    ranked = O.running_sum(both, ["feature", *at, "turn", "key"], "one", "below").where("turn <> 1")
+    return ranked.groupBy("feature", "key").agg(F.sum(F.col("below") * F.col("sign")).cast("long").alias("n"))
 
 
 def _by_class(points: DataFrame, k: int) -> DataFrame:
     """``feature, mi`` of ``x`` against ``label`` (``points``: feature, x, key, label)."""
     sizes = points.groupBy("feature", "label").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    points = ST._small(points.join(sizes, ["feature", "label"]).select("feature", "label", "x", "key"))
-    found = O.neighbours(points, ["feature", "label"], ["x", "key"], "x", k)
-    near = F.array_sort(F.concat(
-        F.transform("before", lambda v: F.struct((F.col("x") - v).alias("d"), F.lit(0).alias("side"), v.alias("v"))),
-        F.transform("after", lambda v: F.struct((v - F.col("x")).alias("d"), F.lit(1).alias("side"), v.alias("v")))))
+    points = ST._small(points.join(sizes, ["feature", "label"]).select("feature", "label", "x", "key", second_offset("feature", "key").alias("u")))
+    found = O.neighbours(points.withColumn("at", F.struct("x", "u")), ["feature", "label"], ["x", "u", "key"], "at", k)
+
+    def candidate(v: Column, d: Column, side: int) -> Column:
+        # The second offset counts only between rows at the same place.
+        return F.struct(d.alias("d"), F.when(d == 0, F.abs(F.col("u") - v["u"])).otherwise(0.0).alias("du"), F.lit(side).alias("side"),
+                        v["x"].alias("v"), v["u"].alias("vu"))
+
+    near = F.array_sort(F.concat(F.transform("before", lambda v: candidate(v, F.col("x") - v["x"], 0)),
+                                 F.transform("after", lambda v: candidate(v, v["x"] - F.col("x"), 1))))
     kth = found.withColumn("near", near).withColumn("own_k", F.least(F.lit(k), F.size("near"))).withColumn(
         "kth", F.get("near", F.col("own_k") - 1))
     # On the neighbour's side the neighbour is the boundary; on the other side it is as far away.
+    tied = F.col("kth.d") == 0
     radius = kth.select("feature", "key", "own_k",
                         F.when(F.col("kth.side") == 0, F.col("kth.v")).otherwise(F.col("x") - F.col("kth.d")).alias("lo"),
-                        F.when(F.col("kth.side") == 1, F.col("kth.v")).otherwise(F.col("x") + F.col("kth.d")).alias("hi"))
+                        F.when(F.col("kth.side") == 1, F.col("kth.v")).otherwise(F.col("x") + F.col("kth.d")).alias("hi"),
+                        F.when(tied, F.when(F.col("kth.side") == 0, F.col("kth.vu")).otherwise(F.col("u") - F.col("kth.du"))).alias("lo_u"),
+                        F.when(tied, F.when(F.col("kth.side") == 1, F.col("kth.vu")).otherwise(F.col("u") + F.col("kth.du"))).alias("hi_u"))
     radius = ST._small(radius)
     inside = closer(points, radius).groupBy("feature").agg(F.avg(digamma("n")).alias("inside"))
     own = radius.groupBy("feature").agg(F.avg(digamma("own_k")).alias("own"))

@@ -93,6 +93,21 @@ def test_ties_are_told_apart_the_same_way_on_any_layout(spark):
     assert len(scores) == 1 and next(iter(scores))[0] > 0.5 > next(iter(scores))[1]
 
 
+def test_rows_at_the_same_place_are_told_apart(spark):
+    """Four and more rows at one jittered value: the estimate stays that of the classes, whatever the number of places."""
+    rnd = random.Random(5)
+    rows = [(i, f, rnd.choice([0.0, 0.5, 1.0]), i % 2) for f in ("few", "one") for i in range(2000)]
+    rows = [(i, f, x if f == "few" else 7.0, int(x > 0.2) if f == "few" else lab) for i, f, x, lab in rows]
+    points = spark.createDataFrame(rows, "key long, feature string, x double, label int")        # no jitter: all rows of a value share a place
+    got = {r.feature: r.mi for r in NB._by_class(points, 3).collect()}
+    share = sum(r[3] for r in rows[:2000]) / 2000
+    entropy = -share * math.log(share) - (1 - share) * math.log(1 - share)
+    assert abs(got["few"] - entropy) < 0.02 and got["one"] < 0.05
+    # The same key many times: nothing tells the rows apart, and they count as one place.
+    same = spark.createDataFrame([(1, "a", 2.0, i % 2) for i in range(12)], "key long, feature string, x double, label int")
+    assert NB._by_class(same, 3).first().mi is not None
+
+
 def test_small_and_constant_columns(spark):
     df = spark.createDataFrame([(1, 1.0, None, 2.0, "a"), (2, 1.0, None, 3.0, "b")], "id long, x double, e double, y double, label string")
     assert {r.feature: r.mi for r in NB.against_class(df, ["x", "e"], "label", "id").collect()} == {"x": None, "e": None}
