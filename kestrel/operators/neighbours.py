@@ -14,8 +14,9 @@ All features go through the same jobs as one long table.  Neighbours on a line
 come from a sorted range shuffle with halos, counts below a boundary from a
 running sum over rows and boundaries in one order, so neither a large class
 nor a wide neighbourhood is gathered in one task.  Neighbours in the plane are
-searched in strips of rows next to each other by the feature; rows whose
-neighbourhood leaves their strip ask the strips that it reaches.
+searched in cells of about as many rows each, cut across the wider of their two
+sides in turn; rows whose neighbourhood leaves their cell ask the cells that it
+reaches.
 
 Equal values are told apart by a jitter from a hash of the row's key, below
 ``2^-33`` of the largest absolute value of the column, so results repeat on any
@@ -181,48 +182,122 @@ def nearest(qx, qy, qk, px, py, pk, scale: float, k: int, limit):
     return best, index
 
 
-STRIP_ROWS = 4096
+STRIP_ROWS = 4096         # rows of a cell, as far as MAX_CELLS allows
+MAX_CELLS = 8192
+CELL_SAMPLE = 32          # rows of a cell by which the cuts are placed
 NEAR = "array<struct<d:double,vx:double,vy:double>>"
 
 
+def cell_cuts(x, y, scale: float, cells: int) -> list[tuple]:
+    """A tree of cuts ``(axis, place, left, right)`` into about ``cells`` cells; a leaf is ``(-1, 0.0, cell, 0)``.
+
+    Every cut is in the widest gap among the middle points of the wider side
+    (``x`` counts ``scale`` times), so a column of few values is cut between its
+    values, and bands of one value along ``y``.  Points below ``place`` go left.
+    """
+    import numpy as np
+    out: list[tuple] = [()]
+    todo, leaves = [(0, np.arange(len(x)), cells)], 0
+    while todo:
+        at, rows, n = todo.pop()
+        cut = None
+        if n > 1 and len(rows) > 1:
+            spans = [(np.ptp(v[rows]) * unit, axis) for axis, v, unit in ((0, x, scale), (1, y, 1.0))]
+            span, axis = max(spans, key=lambda t: (t[0], -t[1]))
+            if span > 0:
+                v = (x, y)[axis][rows]
+                inner = np.sort(v)[int(0.3 * (len(v) - 1)):int(0.7 * (len(v) - 1)) + 2]
+                gap = np.argmax(np.diff(inner))
+                place = (inner[gap] + inner[gap + 1]) / 2
+                place = place if place > v.min() else v[v > v.min()].min()
+                cut = (axis, float(place), v < place)
+        if cut is None:
+            out[at] = (-1, 0.0, leaves, 0)
+            leaves += 1
+            continue
+        axis, place, low = cut
+        out[at] = (axis, place, len(out), len(out) + 1)
+        out += [(), ()]
+        few = min(max(round(n * low.mean()), 1), n - 1)
+        todo += [(len(out) - 1, rows[~low], n - few), (len(out) - 2, rows[low], few)]
+    return out
+
+
+def cells_reached(cuts: list[tuple], x0, x1, y0, y1):
+    """``(row, cell)`` of all cells that the boxes from ``x0, y0`` to ``x1, y1`` (both included) meet."""
+    import numpy as np
+    axis, left, right = (np.array([c[i] for c in cuts], np.int64) for i in (0, 2, 3))
+    place = np.array([c[1] for c in cuts], float)
+    row, node = np.arange(len(x0)), np.zeros(len(x0), np.int64)
+    rows, cells = [], []
+    while len(row):
+        leaf = axis[node] < 0
+        rows.append(row[leaf])
+        cells.append(left[node[leaf]])
+        row, node = row[~leaf], node[~leaf]
+        by_x = axis[node] == 0
+        low = np.where(by_x, x0[row], y0[row]) < place[node]
+        high = np.where(by_x, x1[row], y1[row]) >= place[node]
+        row, node = np.concatenate([row[low], row[high]]), np.concatenate([left[node[low]], right[node[high]]])
+    return np.concatenate(rows or [row]), np.concatenate(cells or [node])
+
+
 def _found(pdf, best, index, px, py):
     """The rows' neighbours as lists of ``(d, vx, vy)``."""
     return [[{"d": float(d), "vx": float(px[i]), "vy": float(py[i])} for d, i in zip(ds, ii) if i >= 0] for ds, ii in zip(best, index)]
 
 
 def _plane_neighbours(points: DataFrame, scales: dict[str, float], k: int) -> DataFrame:
-    """``feature, key, x, y, kth``: each row's k-th neighbour ``(d, vx, vy)`` (``points``: feature, key, x, y)."""
+    """``feature, key, x, y, kth``: each row's k-th neighbour ``(d, vx, vy)`` (``points``: feature, key, x, y).
+
+    The cuts between cells come from a hash sample of bounded size; every row is
+    placed and searched, so the sample decides only how even the cells are.
+    """
     import numpy as np
     import pandas as pd
-    spark = points.sparkSession
-    indexed = O.with_global_index(points, ["feature", "x", "key"])
-    starts = {r["feature"]: (r["a"], r["n"]) for r in indexed.groupBy("feature").agg(F.min(O.IDX).alias("a"), F.count(F.lit(1)).alias("n")).collect()}
-    if not starts:
+    counts = {r["feature"]: r["n"] for r in points.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
         return points.select("feature", "key", "x", "y", F.lit(None).cast("struct<d:double,vx:double,vy:double>").alias("kth"))
-    # About 2 sqrt(k n) rows a strip: as wide as a usual neighbourhood, and no more than sqrt(n) strips.
-    start = F.create_map(*[F.lit(v) for f, (a, _) in starts.items() for v in (f, a)])
-    rows = F.create_map(*[F.lit(v) for f, (_, n) in starts.items() for v in (f, max(STRIP_ROWS, 2 * math.isqrt(k * n)))])
-    placed = ST._small(indexed.withColumn("strip", F.floor((F.col(O.IDX) - start[F.col("feature")]) / rows[F.col("feature")]).cast("int")).drop(O.IDX))
-    ends: dict[str, list] = {}
-    for r in placed.groupBy("feature", "strip").agg(F.min("x").alias("a"), F.max("x").alias("b")).orderBy("feature", "strip").collect():
-        ends.setdefault(r["feature"], []).append((r["a"], r["b"]))
-    kind = placed.schema["key"].dataType.simpleString()
+    cells = {f: max(1, min(MAX_CELLS, -(-n // STRIP_ROWS))) for f, n in counts.items()}
+    shares = F.create_map(*[F.lit(v) for f, n in counts.items() for v in (f, 1.0 if cells[f] == 1 else min(1.0, CELL_SAMPLE * cells[f] / n))])
+    hashed = F.pmod(F.xxhash64("key", F.lit("cell")), F.lit(1 << 20)) < shares[F.col("feature")] * float(1 << 20)
+    some = points.where(hashed & F.col("feature").isin([f for f in cells if cells[f] > 1])).select("feature", "x", "y").toPandas()
+    some = some.sort_values(["feature", "x", "y"])
+    cuts = {}
+    for f, n in cells.items():
+        mine = some[some["feature"] == f]
+        cuts[f] = cell_cuts(mine["x"].to_numpy(), mine["y"].to_numpy(), scales[f], n)
+    kind = points.schema["key"].dataType.simpleString()
+
+    def place(batches):
+        for pdf in batches:
+            cell = np.zeros(len(pdf), np.int32)
+            for f in pdf["feature"].unique():
+                at = np.flatnonzero(pdf["feature"].to_numpy() == f)
+                x, y = pdf["x"].to_numpy()[at], pdf["y"].to_numpy()[at]
+                row, found = cells_reached(cuts[f], x, x, y, y)
+                cell[at[row]] = found
+            yield pdf.assign(cell=cell)
+
+    placed = ST._small(points.select("feature", "key", "x", "y").mapInPandas(place, f"feature string, key {kind}, x double, y double, cell int"))
 
     def own(pdf):
         f = pdf["feature"].iloc[0]
         x, y, key = pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["key"].to_numpy()
         best, index = nearest(x, y, key, x, y, key, scales[f], k, np.full(len(x), np.inf))
-        low, high = (np.array(v) for v in zip(*ends[f]))
         # A little wider than the neighbourhood, against rounding.
-        r = best[:, -1] / scales[f] * (1 + 1e-9)
-        first, last = np.searchsorted(high, x - r), np.searchsorted(low, x + r, side="right") - 1
-        return pd.DataFrame({"feature": f, "key": key, "x": x, "y": y, "strip": pdf["strip"].to_numpy(), "near": _found(pdf, best, index, x, y),
-                             "r": best[:, -1], "first": first.astype(np.int32), "last": last.astype(np.int32)})
-
-    mine = ST._small(placed.groupBy("feature", "strip").applyInPandas(
-        own, f"feature string, key {kind}, x double, y double, strip int, near {NEAR}, r double, first int, last int"))
-    asked = mine.where("first < strip OR last > strip").select(
-        "feature", "key", "x", "y", "r", F.explode(F.filter(F.sequence("first", "last"), lambda s: s != F.col("strip"))).alias("strip"))
+        ry = best[:, -1] * (1 + 1e-9)
+        rx = ry / scales[f] * (1 + 1e-9)
+        row, cell = cells_reached(cuts[f], x - rx, x + rx, y - ry, y + ry)
+        other = cell != pdf["cell"].iloc[0]
+        row, cell = row[other], cell[other]
+        order = np.argsort(row, kind="stable")
+        ask = np.split(cell[order].astype(np.int32), np.cumsum(np.bincount(row, minlength=len(x)))[:-1])
+        return pd.DataFrame({"feature": f, "key": key, "x": x, "y": y, "near": _found(pdf, best, index, x, y), "r": best[:, -1], "ask": ask})
+
+    mine = ST._small(placed.groupBy("feature", "cell").applyInPandas(
+        own, f"feature string, key {kind}, x double, y double, near {NEAR}, r double, ask array<int>"))
+    asked = mine.select("feature", "key", "x", "y", "r", F.explode("ask").alias("cell"))
 
     def others(queries, pdf):
         if not len(queries) or not len(pdf):
@@ -233,10 +308,10 @@ def _plane_neighbours(points: DataFrame, scales: dict[str, float], k: int) -> Da
                               scales[f], k, queries["r"].to_numpy())
         return pd.DataFrame({"feature": f, "key": queries["key"].to_numpy(), "more": _found(queries, best, index, px, py)})
 
-    more = asked.groupBy("feature", "strip").cogroup(placed.groupBy("feature", "strip")).applyInPandas(
+    more = asked.groupBy("feature", "cell").cogroup(placed.groupBy("feature", "cell")).applyInPandas(
         others, f"feature string, key {kind}, more {NEAR}")
-    more = more.groupBy("feature", "key").agg(F.flatten(F.collect_list("more")).alias("more"))      # k for each strip reached
-    merged = mine.join(more, ["feature", "key"], "left").withColumn(
+    more = more.groupBy("feature", "key").agg(F.flatten(F.collect_list("more")).alias("more"))      # k for each cell reached
+    merged = mine.drop("ask").join(more, ["feature", "key"], "left").withColumn(
         "near", F.array_sort(F.concat("near", F.coalesce("more", F.array().cast(NEAR)))))
     return merged.select("feature", "key", "x", "y", F.get("near", F.lit(k - 1)).alias("kth"))
 

@@ -81,6 +81,20 @@ def test_plane_form_equals_all_pairs(rows, table, strip, monkeypatch):
     assert got["a"] > 0.3 and got["b"] < 0.1
 
 
+def test_rows_of_few_values_ask_few_cells():
+    """A column of few values and small jitter: most neighbourhoods stay in their cell, at any number of rows."""
+    for n in (8_000, 64_000):
+        rng = np.random.default_rng(1)
+        x, y = rng.integers(0, 10, n) + rng.random(n) * 1e-9, rng.random(n) * 100
+        some = np.flatnonzero(rng.random(n) < 32 / 500)
+        cuts = NB.cell_cuts(x[some], y[some], 10.0, n // 500)
+        row, cell = NB.cells_reached(cuts, x, x, y, y)
+        assert len(row) == n and np.bincount(cell).max() < 1500
+        r = 4 * 1000 / n                                     # as far as about 4 rows of the value
+        reached, _ = NB.cells_reached(cuts, x - r / 10, x + r / 10, y - r, y + r)
+        assert len(reached) < 1.15 * n
+
+
 def test_discrete_feature_against_a_continuous_target(rows, table):
     got = {r.feature: r.mi for r in NB.against_target(table, ["a", "label"], "y", "id", 3, discrete=["label"]).collect()}
     use = [r for r in rows if r[4] is not None and not math.isnan(r[5])]
