@@ -211,8 +211,15 @@ def single_feature_scores(df: DataFrame, cols, label: str, fold: str, metric: st
 
 # --- many trees at once ------------------------------------------------------------------
 
-def binned(df: DataFrame, cols, label: str, key: str, cuts: list[np.ndarray], fold: str | None = None) -> DataFrame:
-    """``kh, fold, y, c0, c1, ...``: key hash, fold (0 without one), label and bin numbers, written once."""
+def binned(df: DataFrame, cols, label: str, key: str, cuts: list[np.ndarray], fold: str | None = None, trees: int = 0, seed: int = 0,
+           by_label: bool = False) -> DataFrame:
+    """Rows of equal fold (0 without one) and bin numbers ``c0, c1, ...`` as one row, written once.
+
+    ``n, s, ss`` are their count and the sums and squares of the label; ``w0, g0,
+    w1, g1, ...`` the summed weights and weighted labels in the bags of so many
+    ``trees``.  A pass over this table costs by the different rows, however many
+    rows are equal.  With ``by_label`` only rows of the same label are one, as ``y``.
+    """
     from kestrel.session import ensure_checkpoint_dir
     cols = list(cols)
     table = df.select(F.xxhash64(key).alias("kh"), (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"),
@@ -222,34 +229,41 @@ def binned(df: DataFrame, cols, label: str, key: str, cuts: list[np.ndarray], fo
         for part in batches:
             for i in range(len(cols)):
                 part[f"c{i}"] = coded(part[f"c{i}"].to_numpy(dtype=float, na_value=np.nan), cuts[i]).astype(np.int16)
-            yield part
+            kh = part.pop("kh").to_numpy()
+            yield part.assign(**{f"w{t}": bag(kh, t, seed).astype(np.int16) for t in range(trees)})
 
-    schema = "kh long, fold int, y double" + "".join(f", c{i} short" for i in range(len(cols)))
+    schema = "fold int, y double" + "".join(f", c{i} short" for i in range(len(cols))) + "".join(f", w{t} short" for t in range(trees))
     ensure_checkpoint_dir(df.sparkSession)
-    out = table.where("y IS NOT NULL").mapInPandas(code, schema).checkpoint(eager=True)
+    sums = [F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss")]
+    for t in range(trees):
+        sums += [F.sum(f"w{t}").cast("double").alias(f"w{t}"), F.sum(F.col(f"w{t}") * F.col("y")).alias(f"g{t}")]
+    same = ["fold", *(["y"] if by_label else []), *[f"c{i}" for i in range(len(cols))]]
+    out = table.where("y IS NOT NULL").mapInPandas(code, schema).groupBy(*same).agg(*sums).checkpoint(eager=True)
     # Growing trees costs far more than reading codes: a table of few files is spread over all cores.
     cores = df.sparkSession.sparkContext.defaultParallelism
     return out if out.rdd.getNumPartitions() >= cores else out.repartition(cores).checkpoint(eager=True)
 
 
+def bag(kh: np.ndarray, number: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights of the rows with these key hashes for one tree."""
+    with np.errstate(over="ignore"):
+        z = kh.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(1 + number + (seed << 20))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return np.searchsorted(POISSON, (z >> np.uint64(11)) / float(1 << 53), side="right").astype(float)
+
+
 class Batch:
     """Rows of the binned table as arrays."""
 
     def __init__(self, part: pd.DataFrame):
-        self.kh, self.fold, self.y = (part[c].to_numpy() for c in ("kh", "fold", "y"))
-        self.codes = part.iloc[:, 3:].to_numpy(dtype=np.int16)
-        self._bags: dict = {}
-
-    def bag(self, number: int, seed: int) -> np.ndarray:
-        """Poisson(1) weights of the rows for one tree."""
-        if (number, seed) not in self._bags:
-            with np.errstate(over="ignore"):
-                z = self.kh.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * np.uint64(1 + number + (seed << 20))
-                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                z ^= z >> np.uint64(31)
-            self._bags[number, seed] = np.searchsorted(POISSON, (z >> np.uint64(11)) / float(1 << 53), side="right").astype(float)
-        return self._bags[number, seed]
+        codes = [c for c in part.columns if c[0] == "c"]
+        self.codes = part[codes].to_numpy(dtype=np.int16)
+        self.columns = {c: part[c].to_numpy() for c in part.columns if c[0] != "c"}
+
+    def __getitem__(self, column: str) -> np.ndarray:
+        return self.columns[column]
 
 
 # The distribution function of Poisson(1) at 0, 1, ..., 12.
@@ -356,7 +370,7 @@ class Forests:
     def __post_init__(self):
         cuts = inner_cuts(self.df, self.cols, self.bins)
         self.width = max((len(c) for c in cuts), default=0) + 2
-        self._table = binned(self.df, self.cols, self.label, self.key, cuts, self.fold)
+        self._table = binned(self.df, self.cols, self.label, self.key, cuts, self.fold, self.trees if self.bagged else 0, self.seed)
         self.folds = [r[0] for r in self._table.select("fold").distinct().orderBy("fold").collect()]
 
     def _specs(self, subsets) -> list[Spec]:
@@ -368,8 +382,9 @@ class Forests:
         seed, bagged, share = self.seed, self.bagged, self.metric
 
         def gradients(batch: Batch, spec: Spec):
-            w = (batch.bag(spec.number, seed) if bagged else np.ones(len(batch.y))) * (batch.fold != spec.fold)
-            return w * batch.y, w
+            w, g = (batch[f"w{spec.number}"], batch[f"g{spec.number}"]) if bagged else (batch["n"], batch["s"])
+            used = batch["fold"] != spec.fold
+            return g * used, w * used
 
         def tried(spec: Spec, node: int) -> np.ndarray:
             n = len(spec.columns)
@@ -388,19 +403,19 @@ class Forests:
         def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in batches:
                 batch = Batch(part)
-                for f in np.unique(batch.fold):
-                    mine = batch.fold == f
-                    codes, y = batch.codes[mine], batch.y[mine]
+                for f in np.unique(batch["fold"]):
+                    mine = batch["fold"] == f
+                    codes, n, y, yy = batch.codes[mine], batch["n"][mine], batch["s"][mine], batch["ss"][mine]
                     for s in range(len(subsets)):
                         begin = (s * len(folds) + at[int(f)]) * per
                         p = np.mean([t.predict(codes) for t in trees[begin:begin + per]], axis=0)
                         if metric == "roc_auc":
                             level, which = np.unique(np.rint(p * 65536).astype(np.int64), return_inverse=True)
                             yield pd.DataFrame({"subset": np.int32(s), "fold": np.int32(f), "level": level,
-                                                "a": np.bincount(which, y), "b": np.bincount(which, 1 - y), "c": 0.0, "d": 0.0})
+                                                "a": np.bincount(which, y), "b": np.bincount(which, n - y), "c": 0.0, "d": 0.0})
                         else:
-                            yield pd.DataFrame({"subset": np.int32([s]), "fold": np.int32([f]), "level": [0], "a": [float(len(y))],
-                                                "b": [y.sum()], "c": [(y * y).sum()], "d": [((y - p) ** 2).sum()]})
+                            yield pd.DataFrame({"subset": np.int32([s]), "fold": np.int32([f]), "level": [0], "a": [n.sum()],
+                                                "b": [y.sum()], "c": [yy.sum()], "d": [(yy - 2 * p * y + n * p * p).sum()]})
 
         sums = (self._table.mapInPandas(scored, "subset int, fold int, level long, a double, b double, c double, d double")
                 .groupBy("subset", "fold", "level").agg(*[F.sum(c).alias(c) for c in "abcd"]))
@@ -473,33 +488,34 @@ def boost(df: DataFrame, cols, label: str, key: str, is_eval: str, objective: st
     training ends when the evaluation loss has not improved for ``patience``
     rounds, and the best round stays.  A round takes ``depth`` histogram jobs and
     one for the losses.  Current predictions are recomputed from the trees in
-    each pass, so nothing but the binned table is stored.
+    each pass, so nothing but the binned table is stored, with equal rows as one.
     """
     if objective not in ("squared", "logistic"):
         raise ValueError(objective)
     cols = list(cols)
     cuts = inner_cuts(df.where(~F.col(is_eval)), cols, bins)
     width = max((len(c) for c in cuts), default=0) + 2
-    table = binned(df, cols, label, key, cuts, is_eval)
-    first = table.where("fold = 0").agg(F.avg("y"), F.count("y")).first()
+    table = binned(df, cols, label, key, cuts, is_eval, by_label=True)
+    first = table.where("fold = 0").agg(F.sum("s"), F.sum("n")).first()
     if not first[1]:
         raise ValueError("no training rows")
-    mean = float(first[0])
+    mean = first[0] / first[1]
     start = mean if objective == "squared" else math.log(min(max(mean, 1e-6), 1 - 1e-6) / (1 - min(max(mean, 1e-6), 1 - 1e-6)))
     model = Boosted(objective, start, [], cols, cuts, [], 0)
 
     def gradients(batch: Batch, spec: Spec):
-        m, train = model.margin(batch.codes, len(model.trees)), (batch.fold == 0).astype(float)
+        m, train = model.margin(batch.codes, len(model.trees)), np.where(batch["fold"] == 0, batch["n"], 0.0)
         if objective == "squared":
-            return (batch.y - m) * train, train
+            return (batch["y"] - m) * train, train
         p = 1 / (1 + np.exp(-m))
-        return (batch.y - p) * train, p * (1 - p) * train
+        return (batch["y"] - p) * train, p * (1 - p) * train
 
     def losses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             batch = Batch(part)
-            each = loss_of(objective, batch.y, model.margin(batch.codes, len(model.trees)))
-            yield pd.DataFrame({"fold": [0, 1], "s": [each[batch.fold == f].sum() for f in (0, 1)], "n": [float((batch.fold == f).sum()) for f in (0, 1)]})
+            n = batch["n"]
+            each, fold = n * loss_of(objective, batch["y"], model.margin(batch.codes, len(model.trees))), batch["fold"]
+            yield pd.DataFrame({"fold": [0, 1], "s": [each[fold == f].sum() for f in (0, 1)], "n": [n[fold == f].sum() for f in (0, 1)]})
 
     best = math.inf
     for r in range(1, rounds + 1):

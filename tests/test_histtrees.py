@@ -179,3 +179,17 @@ def test_boosting_stops_when_the_evaluation_set_gets_worse(spark):
     model = HT.boost(df, ["x"], "y", "id", "held", "logistic", rounds=60, patience=3, depth=3)
     assert len(model.log) == model.best_round + 3 < 60
     assert model.log[model.best_round - 1][2] == min(x[2] for x in model.log)
+
+
+def test_equal_rows_are_stored_once(spark):
+    """Twenty copies of the rows make no larger table for the passes, and give the same boosted trees."""
+    one = spark.range(300).select("id", (F.col("id") % 12).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+                                  (F.col("id") % 12 * (F.col("id") % 5) > 15).cast("int").alias("y"), (F.col("id") % 4 == 0).alias("held"))
+    many = one.crossJoin(spark.range(20).select(F.col("id").alias("copy"))).withColumn("id", F.col("id") + 300 * F.col("copy")).drop("copy")
+    cuts = [np.arange(11.0), np.arange(4.0)]
+    rows = [HT.binned(df, ["a", "b"], "y", "id", cuts, trees=2).orderBy("c0", "c1").collect() for df in (one, many)]
+    assert len(rows[0]) == len(rows[1]) == 60 and [20 * r.n for r in rows[0]] == [r.n for r in rows[1]]
+    logs = [HT.boost(df, ["a", "b"], "y", "id", "held", "logistic", rounds=3, l2=0.0, min_child=0.0).log for df in (one, many)]
+    assert np.allclose(logs[0], logs[1], atol=1e-12)
+    forests = HT.Forests(many.withColumn("fold", (F.col("id") % 2).cast("int")), ["a", "b"], "y", "id", "fold", trees=3)
+    assert forests._table.count() <= 120 and forests.score_many([["a", "b"]])[0] > 0.9
