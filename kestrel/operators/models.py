@@ -10,6 +10,7 @@ the cluster runs them concurrently.
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,7 +19,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
 from pyspark.ml.feature import OneHotEncoder, PolynomialExpansion, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -260,7 +261,8 @@ def grid_search(kind: str, df: DataFrame, cols, label: str, grid: dict, fold_col
                 num_folds: int = 3):
     """``GridSearchCV`` / ``RandomizedSearchCV`` (L9, L10) as a CrossValidator
     over a hash-derived fold column.  ``sample`` draws that many grid points
-    with a seeded RNG (randomised search)."""
+    with a seeded RNG (randomised search).  The rounds of a boosted regressor
+    are scored from one fit (:func:`_boosted_scores`)."""
     import random
 
     from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
@@ -273,15 +275,56 @@ def grid_search(kind: str, df: DataFrame, cols, label: str, grid: dict, fold_col
         maps = random.Random(seed).sample(maps, sample)
     ev = (BinaryClassificationEvaluator(labelCol=label) if metric == "roc_auc"
           else RegressionEvaluator(labelCol=label, metricName=metric))
-    cv = CrossValidator(estimator=Pipeline(stages=[assemble(cols), est]), estimatorParamMaps=maps, evaluator=ev,
-                        foldCol=fold_col, numFolds=num_folds, parallelism=parallelism)
-    model = cv.fit(df)
+    pipeline = Pipeline(stages=[assemble(cols), est])
+    held = df.select(fold_col, *dict.fromkeys([*cols, label])).cache()              # many fits read it: no more columns than they need
+    try:
+        if kind == "gbt_reg" and metric in BOOSTED_LOSSES:
+            scores = _boosted_scores(pipeline, held, maps, metric, fold_col, num_folds, parallelism)
+            best = min(range(len(maps)), key=lambda i: scores[i])
+            model = CrossValidatorModel(pipeline.fit(held, maps[best]), scores)
+        else:
+            model = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col, numFolds=num_folds,
+                                   parallelism=parallelism).fit(held)
+    finally:
+        held.unpersist()
     rows = []
     for pm, score in zip(maps, model.avgMetrics):
         rows.append((";".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name)), float(score)))
     return model, rows
 
 
+BOOSTED_LOSSES = {"mae": ("absolute", float), "mse": ("squared", float), "rmse": ("squared", math.sqrt)}
+
+
+def _boosted_scores(pipeline: Pipeline, df: DataFrame, maps, metric: str, fold_col: str, num_folds: int, parallelism: int) -> list[float]:
+    """Mean held-out score of every grid point of a boosted regressor.
+
+    Fewer rounds with the same other settings are the first trees of more
+    rounds, so one fit and one pass over the held-out rows score all of them.
+    """
+    est = pipeline.getStages()[-1]
+    rounds = [pm.get(est.maxIter, est.getMaxIter()) for pm in maps]
+    longest: dict[frozenset, int] = {}
+    same = [frozenset((p.name, v) for p, v in pm.items() if p.name != "maxIter") for pm in maps]
+    for i, g in enumerate(same):
+        if g not in longest or rounds[i] > rounds[longest[g]]:
+            longest[g] = i
+    loss, made = BOOSTED_LOSSES[metric]
+    splits = [(df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)) for f in range(num_folds)]
+    for f, (train, test) in enumerate(splits):
+        if train.isEmpty() or test.isEmpty():
+            raise ValueError(f"fold {f} leaves no rows to fit or to score")
+
+    def one(item):
+        (train, test), i = item
+        assembler, model = pipeline.fit(train, maps[i]).stages
+        return model.evaluateEachIteration(assembler.transform(test), loss)
+
+    items = [(split, i) for split in splits for i in longest.values()]
+    found = dict(zip([(f, g) for f in range(num_folds) for g in longest], _parallel(one, items, parallelism)))
+    return [sum(made(found[f, g][n - 1]) for f in range(num_folds)) / num_folds for g, n in zip(same, rounds)]
+
+
 def polynomial(df: DataFrame, cols, degree: int = 2, out: str = "poly") -> DataFrame:
     """``PolynomialFeatures(include_bias=False)`` (L7) as an array column."""
     vec = VectorAssembler(inputCols=list(cols), outputCol="_kvec").transform(df)

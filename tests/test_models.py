@@ -61,3 +61,24 @@ def test_permutation_drift_equals_one_column_at_a_time(spark):
             assert abs(got[c] - (base - ML.metric_value(kind, model.transform(one), label, metric))) < 1e-9
     few = jobs(spark, lambda: ML.permutation_drift("lin_reg", df, list("ab"), "y", "id", "rmse"))
     assert jobs(spark, lambda: ML.permutation_drift("lin_reg", df, list("abcdefgh"), "y", "id", "rmse")) == few > 0
+
+
+def test_rounds_of_a_boosted_grid_come_from_one_fit(spark, monkeypatch):
+    """Same scores and choice as a cross-validator that fits every point, with a fit for each other setting only."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 2))
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": x[:, 0] ** 2 + x[:, 1], "fold": np.arange(300) % 2, "other": "text"}))
+    df = df.withColumn("fold", df["fold"].cast("int")).coalesce(1)
+    est = ML.estimator("gbt_reg", "y")
+    maps = ParamGridBuilder().addGrid(est.maxDepth, [2]).addGrid(est.maxIter, [1, 3]).build()
+    want = CrossValidator(estimator=Pipeline(stages=[ML.assemble(["a", "b"]), est]), estimatorParamMaps=maps, foldCol="fold", numFolds=2,
+                          evaluator=RegressionEvaluator(labelCol="y", metricName="mae")).fit(df).avgMetrics
+    fits, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, *a, **b: fits.append(1) or fit(self, *a, **b))
+    model, rows = ML.grid_search("gbt_reg", df, ["a", "b"], "y", {"maxDepth": [2], "maxIter": [1, 3]}, metric="mae", num_folds=2)
+    assert np.allclose([r[1] for r in rows], want, rtol=1e-12) and len(model.bestModel.stages[-1].trees) == 3
+    # A pipeline with a parameter map fits a copy of itself; 2 folds and the best point.
+    assert len(fits) <= 2 * 3
