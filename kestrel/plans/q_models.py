@@ -459,7 +459,7 @@ def l15_save_load_model(spark, d):
 @query("l16_models_side_by_side")
 def l16_models_side_by_side(spark, d):
     """Decision tree vs gradient boosting on two targets, one split."""
-    df = _metrics_frame(spark, d)
+    df = _held(_metrics_frame(spark, d).select("key", *MCOLS, "cpuUsage", "memUsage"))      # read by every fit: made once
     tr, te = split_frames(df, "key", 20)
     parts = []
     for kind, params in (("dt_reg", {"maxDepth": 4}), ("gbt_reg", {"maxIter": 10, "maxDepth": 3})):

@@ -82,3 +82,11 @@ def test_rounds_of_a_boosted_grid_come_from_one_fit(spark, monkeypatch):
     assert np.allclose([r[1] for r in rows], want, rtol=1e-12) and len(model.bestModel.stages[-1].trees) == 3
     # A pipeline with a parameter map fits a copy of itself; 2 folds and the best point.
     assert len(fits) <= 2 * 3
+
+
+def test_the_side_by_side_frame_is_made_once(spark, monkeypatch):
+    from kestrel.plans import q_models as Q
+    made = Q._metrics_frame(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(Q, "_metrics_frame", lambda s, d: made)
+    Q.l16_models_side_by_side(spark, "/root/testdata/sf0.001")
+    assert Q._HELD and Q._HELD[-1].storageLevel.useMemory and set(Q._HELD[-1].columns) == {"key", *Q.MCOLS, "cpuUsage", "memUsage"}
