@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import threading
 
 from kestrel.llm import secret_scan
 
@@ -85,6 +86,36 @@ def test_sql_twin_gives_the_same_spans(make, tmp_path):
     assert got == want and sum("random:" in r[4] for r in want.values()) > 10
 
 
+def test_text_of_many_tokens_takes_time_in_proportion(spark, make):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice(["tion", "ment", "con", "pre", "able", "ing", "er", "añ"]) for _ in range(6))
+    mixed = lambda n: "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(n))
+    parts = [f"api_key = {mixed(30)} " if i % 40 == 0 else mixed(32) if i % 40 == 1 else "0123456789abcdef" if i % 40 == 2 else f"{word()} 🎉 {word()}_a"
+             for i in range(8000)]
+    text = " ".join(parts)
+    timer = threading.Timer(100, spark.sparkContext.cancelAllJobs)      # ends a scan that passes over all tokens for each of them
+    timer.start()
+    try:
+        r = secret_scan.report(secret_scan.scan(make([(1, text), (2, "a short text")]))).where("doc_id = 1").first()
+    finally:
+        timer.cancel()
+    spans = [s.split(":") for s in r.spans.split(",")]
+    want = base(text)
+    assert [s for s in spans if s[0] != "random"] == [[k, str(a), str(b)] for a, _, b, k in want]
+    assert (r.n_assign, r.n_hex) == (200, sum(s[3] == "hex" for s in want))
+    whole = {m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text)}
+    hits = {(int(a), int(b)) for k, a, b in spans if k == "random"}
+    assert hits <= whole and len(hits & {m.span() for m in re.finditer(r"(?<= )[A-Za-z0-9]{32}(?= )", text)}) >= 190
+
+
+def test_running_sum_of_any_size(spark):
+    from pyspark.sql import functions as F
+    sizes = [*range(10), 63, 64, 65, 1000]
+    df = spark.createDataFrame([([k % 7 - 2 for k in range(n)],) for n in sizes], "a array<int>")
+    for a, sums in df.select("a", secret_scan.running_sum(F.col("a"), F.size("a"))).collect():
+        assert sums == [sum(a[:i + 1]) for i in range(len(a))]
+
+
 def test_odd_rows_and_native(odd, empty):
     out = secret_scan.report(secret_scan.scan(odd))
     assert out.count() == odd.count()
